@@ -38,10 +38,12 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts end to end (null: empty), and the n + 1 offsets of the texts in them."""
     texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    _, offsets, data = texts.buffers()
+    offsets, data = texts.buffers()[1:]
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    # the bytes of a slice may begin at its first text while its offsets still count from the whole array's first
+    base = offsets[0] if len(data) >= offsets[-1] else 0
+    return data[base : base + offsets[-1] - offsets[0]], offsets - offsets[0]
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
