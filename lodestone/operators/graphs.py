@@ -84,12 +84,13 @@ def cycles(edges: DataFrame, most: int = MAX_CYCLES) -> DataFrame:
                     place[node] = len(path)
                     path.append(node)
                     todo.append(iter(after.get(node, ())))
-        return pd.DataFrame({"project_id": [frame["project_id"].iloc[0]] * len(found), "cycle_ord": range(len(found)), "path": ["\0".join(ring) for ring in found]}).astype({"path": object})
+        paths = ["\0".join(ring) for ring in found] or [None]
+        return pd.DataFrame({"project_id": [frame["project_id"].iloc[0]] * len(paths), "cycle_ord": list(range(len(paths))), "path": paths})
 
     nth = F.struct(F.col("at.file_ord"), F.col("at.imp_ord"))
     ranked = edges.select("project_id", "from", "to", F.row_number().over(Window.partitionBy("project_id").orderBy(nth, "to")).alias("nth"))
     found = ranked.groupBy("project_id").applyInPandas(walk, "project_id string, cycle_ord int, path string")
-    return found.withColumn("path", F.split("path", "\0"))
+    return found.where("path is not null").withColumn("path", F.split("path", "\0"))
 
 
 def cyclic_files(found: DataFrame) -> DataFrame:
