@@ -17,18 +17,19 @@ from lodestone.functions.text import js_trim, lines, masked, newlines
 CONTROL = ("if", "else", "for", "while", "switch", "case", "catch", "return", "do", "new", "sizeof", "typeof", "delete", "throw", "using", "lock", "foreach", "fixed", "when", "guard", "select", "defer", "assert", "synchronized")
 COUNTED = ("if", "for", "while", "case", "catch", "foreach", "when", "guard")
 _ARGS = r"\s*\(([^;{}()]*)\)\s*"
+_LIST = r"\s*\(((?:[^()]|\([^()]*\))*)\)"
 #: language: (header ends with its brace, function header, class header, decisions, strings and comments)
 _STRINGS = {'"': r'"(?:[^"\\\n]|\\.)*+"', "'": r"'(?:[^'\\\n]|\\.)*+'", "`": r"`[^`]*+`", "//": r"//[^\n]*+", "/*": r"/\*.*?\*/", "#": r"#[^\n]*+"}
 LANGUAGES = {
-    "go": (False, r"\bfunc\b(?:\s*\([^()]*\))?\s*([A-Za-z_]\w*)?\s*(?=\()", None, ("if", "for", "case", "select", "&&", "||"), ('"', "'", "`", "//", "/*")),
-    "rust": (False, r"\bfn\s+([A-Za-z_]\w*)", r"\b(?:impl|trait)\s+([A-Za-z_][\w:]*)", ("if", "while", "for", "loop", "match", "&&", "||"), ('"', "//", "/*", "#")),
-    "kotlin": (False, r"\bfun\s+(?:<[^<>]*>\s*)?(?:[\w.]+\.)?([A-Za-z_]\w*)\s*(?=\()", r"\b(?:class|interface|object)\s+([A-Za-z_]\w*)", ("if", "for", "while", "when", "catch", "&&", "||"), ('"', "'", "//", "/*")),
-    "swift": (False, r"\bfunc\s+([A-Za-z_]\w*)", r"\b(?:class|struct|enum|protocol|extension)\s+([A-Za-z_][\w.]*)", ("if", "for", "while", "guard", "case", "catch", "&&", "||"), ('"', "//", "/*")),
+    "go": (False, r"\bfunc\b(?:\s*\([^()]*\))?\s*([A-Za-z_]\w*)?" + _LIST, None, ("if", "for", "case", "select", "&&", "||"), ('"', "'", "`", "//", "/*")),
+    "rust": (False, r"\bfn\s+([A-Za-z_]\w*)(?:\s*<[^()]*>)?" + _LIST, r"\b(?:impl|trait)\s+([A-Za-z_][\w:]*)", ("if", "while", "for", "loop", "match", "&&", "||"), ('"', "//", "/*", "#")),
+    "kotlin": (False, r"\bfun\s+(?:<[^<>]*>\s*)?(?:[\w.]+\.)?([A-Za-z_]\w*)" + _LIST, r"\b(?:class|interface|object)\s+([A-Za-z_]\w*)", ("if", "for", "while", "when", "catch", "&&", "||"), ('"', "'", "//", "/*")),
+    "swift": (False, r"\bfunc\s+([A-Za-z_]\w*)(?:\s*<[^()]*>)?" + _LIST, r"\b(?:class|struct|enum|protocol|extension)\s+([A-Za-z_][\w.]*)", ("if", "for", "while", "guard", "case", "catch", "&&", "||"), ('"', "//", "/*")),
     "java": (True, r"([A-Za-z_$]\w*)" + _ARGS + r"(?:throws\s+[\w.,\s]*?)?\{", r"\b(?:class|interface|enum|record)\s+([A-Za-z_$]\w*)", ("if", "for", "while", "case", "catch", "&&", "||"), ('"', "'", "//", "/*")),
     "csharp": (True, r"([A-Za-z_]\w*)" + _ARGS + r"(?:where\s+[^{;]+)?\{", r"\b(?:class|interface|struct|enum|record)\s+([A-Za-z_]\w*)", ("if", "for", "foreach", "while", "case", "catch", "&&", "||", "??"), ('"', "'", "//", "/*")),
     "c": (True, r"([A-Za-z_]\w*)" + _ARGS + r"\{", None, ("if", "for", "while", "case", "&&", "||"), ('"', "'", "//", "/*", "#")),
     "cpp": (True, r"([A-Za-z_][\w:~]*)" + _ARGS + r"(?:const\b|noexcept\b|override\b|final\b|\s)*\{", r"\b(?:class|struct)\s+([A-Za-z_]\w*)", ("if", "for", "while", "case", "catch", "&&", "||"), ('"', "'", "//", "/*", "#")),
-    "php": (False, r"\bfunction\s*&?\s*([A-Za-z_]\w*)?\s*(?=\()", r"\b(?:class|trait|interface)\s+([A-Za-z_]\w*)", ("if", "elseif", "for", "foreach", "while", "case", "catch", "&&", "||"), ('"', "'", "//", "/*", "#")),
+    "php": (False, r"\bfunction\s*&?\s*([A-Za-z_]\w*)?" + _LIST, r"\b(?:class|trait|interface)\s+([A-Za-z_]\w*)", ("if", "elseif", "for", "foreach", "while", "case", "catch", "&&", "||"), ('"', "'", "//", "/*", "#")),
     "javascript": (True, r"([A-Za-z_$][\w$]*)(?:\s*=\s*(?:async\s*)?(?:function\s*)?)?" + _ARGS + r"(?:=>\s*)?\{", r"\bclass\s+([A-Za-z_$][\w$]*)", ("if", "for", "while", "case", "catch", "&&", "||", "??"), ('"', "'", "`", "//", "/*")),
 }
 LANGUAGES["typescript"] = LANGUAGES["javascript"]
@@ -58,10 +59,10 @@ def brace_functions(files: DataFrame, language: str) -> DataFrame:
     inline, header, cls, words, hidden = LANGUAGES[language]
     cx = _decisions(words)
     whole = "|".join(f"({x})" for x in (r"\n", r"\{", r"\}", ";", cls or "(?!)", header, cx))
-    clean = files.select("file", masked("content", "|".join(_STRINGS[h] for h in hidden)).alias("s"))
+    source = only_php("content") if language == "php" else F.col("content")
+    clean = files.select("file", masked(source, "|".join(_STRINGS[h] for h in hidden)).alias("s"))
     tokens = clean.select("file", "s", F.posexplode(F.regexp_extract_all("s", F.lit(f"(?s){whole}"), F.lit(0))).alias("pos", "t")).drop("s")
-    name = F.regexp_extract("t", f"(?s)^(?:{header})$", 1) if inline else F.regexp_extract(F.concat("t", F.lit("(")), f"(?s)^(?:{header})", 1)
-    is_header = F.regexp_like("t", F.lit(f"(?s)\\A(?:{header})\\z")) if inline else F.regexp_like(F.concat("t", F.lit("(")), F.lit(f"(?s)\\A(?:{header})\\(?\\z")) & (F.length("t") > 1)
+    name, is_header = F.regexp_extract("t", f"(?s)^(?:{header})$", 1), F.regexp_like("t", F.lit(f"(?s)\\A(?:{header})\\z"))
     kind = F.when(F.col("t") == "\n", "newline").when(F.col("t") == "{", "open").when(F.col("t") == "}", "close").when(F.col("t") == ";", "semi")
     if cls:
         kind = kind.when(F.regexp_like("t", F.lit(f"(?s)\\A(?:{cls})\\z")), "class")
@@ -76,18 +77,16 @@ def brace_functions(files: DataFrame, language: str) -> DataFrame:
     x = x.where("kind != 'newline'").withColumns({"up": opens.cast("int"), "down": (F.col("kind") == "close").cast("int")})
     x = x.withColumn("level", F.sum(F.col("up") - F.col("down")).over(w) + F.col("down"))  # of an opening brace, or the one that closes
     # what an opening brace opens: the last header or class since the last brace or semicolon
-    mark = F.when(F.col("kind").isin("header", "class", "semi", "open"), F.struct("kind", F.coalesce("name", F.regexp_extract("t", f"(?s)({cls or '(?!)'})", 2 if cls else 0)).alias("name"), "line", "pos"))
+    mark = F.when(F.col("kind").isin("header", "class", "semi", "open"), F.struct("kind", F.coalesce("name", F.regexp_extract("t", f"(?s)({cls or '(?!)'})", 2 if cls else 0)).alias("name"), "line", "pos", F.regexp_extract("t", f"(?s)^(?:{header})$", 2).alias("args")))
     x = x.withColumn("mark", F.last(mark, ignorenulls=True).over(past))
     if inline:
         what = F.when(F.col("kind") == "header", "function").when(F.col("kind") == "control", "block").when((F.col("kind") == "open") & (F.col("mark.kind") == "class"), "class").when(F.col("kind") == "open", "block")
-        x = x.withColumns({"what": what, "fname": F.when(what == "class", F.col("mark.name")).otherwise(F.col("name")), "start": F.col("line")})
-        args = F.regexp_extract("t", f"(?s)^(?:{header})$", 2)
+        x = x.withColumns({"what": what, "fname": F.when(what == "class", F.col("mark.name")).otherwise(F.col("name")), "start": F.col("line"), "args": F.regexp_extract("t", f"(?s)^(?:{header})$", 2)})
     else:
         what = F.when((F.col("kind") == "open") & (F.col("mark.kind") == "header"), "function").when((F.col("kind") == "open") & (F.col("mark.kind") == "class"), "class").when(F.col("kind") == "open", "block")
-        x = x.withColumns({"what": what, "fname": F.col("mark.name"), "start": F.coalesce("mark.line", "line")})
-        args = None
+        x = x.withColumns({"what": what, "fname": F.col("mark.name"), "start": F.coalesce("mark.line", "line"), "args": F.col("mark.args")})
     braces = x.where("up = 1 or down = 1").withColumn("end_pos", F.lead("pos").over(Window.partitionBy("file", "level").orderBy("pos"))).withColumn("end_line", F.lead("line").over(Window.partitionBy("file", "level").orderBy("pos")))
-    spans = braces.where("what in ('function', 'class') and end_pos is not null").select("file", "pos", "end_pos", "what", "fname", F.col("start").alias("line"), "end_line", "level", *([args.alias("args")] if inline else []))
+    spans = braces.where("what in ('function', 'class') and end_pos is not null").select("file", "pos", "end_pos", "what", "fname", F.col("start").alias("line"), "end_line", "level", "args")
     functions, classes = spans.where("what = 'function'").drop("what"), spans.where("what = 'class'")
     inner = x.where("kind in ('decision', 'control') or what = 'block'").select("file", "pos", "kind", "name", "level", "what").alias("i")
     f = functions.alias("f")
@@ -100,13 +99,69 @@ def brace_functions(files: DataFrame, language: str) -> DataFrame:
     prefix = within.groupBy("f.file", "f.pos").agg(F.max_by("c.fname", "c.pos").alias("prefix"))
     out = functions.join(sums.withColumnRenamed("fpos", "pos"), ["file", "pos"], "left").join(prefix, ["file", "pos"], "left")
     own = F.when(F.coalesce("fname", F.lit("")) == "", "(anonymous)").otherwise(F.col("fname"))
-    params = _parameters(F.col("args")) if inline else F.lit(None).cast("int")
+    params = _parameters(F.coalesce("args", F.lit("")))
     return out.select(
         "file", F.when(F.col("prefix").isNotNull(), F.concat("prefix", F.lit("."), own)).otherwise(own).alias("name"), "line", "end_line", (F.col("end_line") - F.col("line") + 1).alias("lines"),
         params.alias("params"), (1 + F.coalesce("decisions", F.lit(0))).alias("complexity"), F.greatest(F.coalesce("deepest", "level") - F.col("level"), F.lit(0)).alias("nesting"), F.lit(language).alias("language"),
     )
 
 
+def only_php(content: Column | str) -> Column:
+    """What stands between <?php or <?= and ?>, newlines of the rest kept in place."""
+    x = F.coalesce(F.col(content) if isinstance(content, str) else content, F.lit(""))
+    parts = F.regexp_extract_all(x, F.lit(r"(?s)<\?(?:php|=).*?(?:\?>|\z)|.[^<]*+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda t: F.when(t.rlike(r"\A<\?(php|=)"), t).otherwise(F.regexp_replace(t, "[^\n]", " "))), "")
+
+
+# Ruby's words that open a block, in the places where they do, and its decisions.
+_RB_DEF = r"(?<![.\w:$@])def\s+(?:self\.)?([A-Za-z_][\w.]*[?!=]?)(?:[ \t]*\(([^)\n]*)\))?"
+_RB_ENDLESS = r"(?<![.\w:$@])def\s+(?:self\.)?([A-Za-z_][\w?!]*)(?:\(([^)\n]*)\))?\s*=(?![=~>])[^\n]*"
+_RB_CLASS = r"(?<![.\w:$@])(?:class|module)\b\s*([A-Z]\w*(?:::\w+)*)?"
+_RB_OPEN = r"(?<![.\w:$@])(?:case|begin|for)\b|\n[ \t]*(?:if|unless|while|until)\b|[=(,;]\s*(?:if|unless|while|until)\b|\bdo\b[ \t]*(?:\|[^|\n]*\|)?[ \t]*(?m:$)"
+_RB_CX = r"\b(?:if|elsif|unless|while|until|when|rescue|and|or)\b|&&|\|\|"
+
+
+def ruby_functions(files: DataFrame) -> DataFrame:
+    """Functions of Ruby files (file, content), with the same columns; one that is not closed ends with its file."""
+    hidden = r"(?m:^)=begin\b.*?(?m:^)=end\b[^\n]*|" + "|".join(_STRINGS[h] for h in ('"', "'", "#"))
+    text = F.coalesce("content", F.lit(""))
+    tokens = F.regexp_extract_all(text, F.lit(f"(?s)(?:{hidden})|.[^\"'#=]*+"), F.lit(0))
+    blank = F.transform(tokens, lambda t: F.when(F.regexp_like(t, F.lit(f"(?s)\\A(?:{hidden})\\z")), F.regexp_replace(t, "[^\n]", " ")).otherwise(t))
+    # every line has a newline before it, so that a word at its beginning differs from one behind a statement
+    clean = files.select("file", F.concat(F.lit("\n"), F.array_join(blank, "")).alias("s"))
+    whole = "|".join(f"({x})" for x in (_RB_ENDLESS, _RB_DEF, _RB_CLASS, _RB_OPEN, r"(?<![.\w:$@])end\b", _RB_CX, r"\n"))
+    x = clean.select("file", (F.size(lines("s")) - 1).alias("total"), F.posexplode(F.regexp_extract_all("s", F.lit(f"(?s){whole}"), F.lit(0))).alias("pos", "t"))
+    is_a = lambda p: F.regexp_like("t", F.lit(f"(?s)\\A(?:{p})\\z"))
+    kind = F.when(is_a(_RB_ENDLESS), "endless").when(is_a(_RB_DEF), "function").when(is_a(_RB_CLASS), "class").when(F.col("t") == "end", "end").when(F.trim("t") == "", "newline").when(is_a(_RB_OPEN), "block").otherwise("word")
+    w = Window.partitionBy("file").orderBy("pos")
+    x = x.withColumn("kind", kind).withColumn("line", F.coalesce(F.sum(newlines(F.col("t"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("kind != 'newline'")
+    x = x.withColumn("line", F.col("line") + newlines(F.regexp_extract("t", r"^(\s*)", 1)))
+    up, down = F.col("kind").isin("function", "class", "block").cast("int"), (F.col("kind") == "end").cast("int")
+    x = x.withColumns({"up": up, "down": down}).withColumn("level", F.sum(F.col("up") - F.col("down")).over(w) + F.col("down"))
+    x = x.withColumn("decisions", F.when(F.col("kind").isin("block", "word"), F.regexp_count("t", F.lit(_RB_CX))).otherwise(0))
+    level = Window.partitionBy("file", "level").orderBy("pos")
+    spans = x.where("up = 1 or down = 1").withColumns({"end_pos": F.lead("pos").over(level), "end_line": F.lead("line").over(level)})
+    part = lambda p, k: F.regexp_extract("t", f"(?s)^(?:{p})", k)
+    functions = spans.where("kind = 'function'").select("file", "pos", F.coalesce("end_pos", F.lit(1 << 30)).alias("end_pos"), "line", F.coalesce("end_line", "total").alias("end_line"), "level", part(_RB_DEF, 1).alias("fname"), part(_RB_DEF, 2).alias("args"))
+    endless = x.where("kind = 'endless'").select("file", "pos", F.col("pos").alias("end_pos"), "line", F.col("line").alias("end_line"), "level", part(_RB_ENDLESS, 1).alias("fname"), part(_RB_ENDLESS, 2).alias("args"), F.regexp_count("t", F.lit(_RB_CX)).alias("own"))
+    classes = spans.where("kind = 'class'").select("file", "pos", F.coalesce("end_pos", F.lit(1 << 30)).alias("end_pos"), F.nullif(part(_RB_CLASS, 1), F.lit("")).alias("cname"))
+    f = functions.alias("f")
+    inner = x.where("decisions > 0 or kind = 'block'").alias("i")
+    around = inner.join(f, (F.col("i.file") == F.col("f.file")) & (F.col("i.pos") > F.col("f.pos")) & (F.col("i.pos") < F.col("f.end_pos")))
+    owner = around.groupBy("i.file", "i.pos", "i.kind", "i.level", "i.decisions").agg(F.max("f.pos").alias("fpos"))
+    sums = owner.groupBy("file", F.col("fpos").alias("pos")).agg(F.sum("decisions").alias("decisions"), F.max(F.when(F.col("kind") == "block", F.col("level"))).alias("deepest"))
+    both = functions.withColumn("own", F.lit(0)).unionByName(endless).join(sums, ["file", "pos"], "left")
+    b, c = both.alias("b"), classes.alias("c")
+    within = b.join(c, (F.col("b.file") == F.col("c.file")) & (F.col("b.pos") > F.col("c.pos")) & (F.col("b.pos") < F.col("c.end_pos")))
+    prefix = within.groupBy("b.file", "b.pos").agg(F.max_by(F.coalesce("c.cname", F.lit("class")), "c.pos").alias("prefix"))
+    out = both.join(prefix, ["file", "pos"], "left")
+    name = F.when(F.col("prefix").isNotNull(), F.concat("prefix", F.lit("."), "fname")).otherwise(F.col("fname"))
+    return out.select(
+        "file", name.alias("name"), "line", "end_line", (F.col("end_line") - F.col("line") + 1).alias("lines"), _parameters(F.col("args")).alias("params"),
+        (1 + F.col("own") + F.coalesce("decisions", F.lit(0))).alias("complexity"), F.greatest(F.coalesce("deepest", "level") - F.col("level"), F.lit(0)).alias("nesting"), F.lit("ruby").alias("language"),
+    )
+
+
 def python_functions(files: DataFrame) -> DataFrame:
     """Functions of Python files (file, content), with the same columns.
 

@@ -86,7 +86,7 @@ def counters(files: DataFrame) -> DataFrame:
     return files.select("file", F.size(s).alias("statements"), F.size(F.filter(s, lambda x: x.rlike(r"(?i)\bSELECT\b"))).alias("selects"))
 
 
-HINT = r"(?i)\b(?:select\s[\s\S]{0,400}?\sfrom|insert\s+into|update\s+\w+\s+set|delete\s+from|create\s+table)\b"
+HINT = r"(?i)\b(?:SELECT\s[\s\S]{0,300}?\bFROM\b|INSERT\s+INTO\b|UPDATE\s+[`\"\w]+\s+SET\b|DELETE\s+FROM\b|CREATE\s+TABLE\b|(?:INNER|LEFT|RIGHT|FULL|CROSS)\s+JOIN\b)"
 _TARGET = r"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+[`\"\[]?([A-Za-z_][\w.]*)[`\"\]]?(?:\s+(?:AS\s+)?([A-Za-z_]\w*))?"
 _ON = r"(?i)\bON\s+([A-Za-z_]\w*)\.([A-Za-z_]\w*)\s*=\s*([A-Za-z_]\w*)\.([A-Za-z_]\w*)"
 QUERY = r"(?i)\bSELECT\b[\s\S]{1,300}?\bFROM\b|\bINSERT\s+INTO\b|\bUPDATE\s+[\w`\".]+\s+SET\b|\bDELETE\s+FROM\b"
@@ -108,6 +108,14 @@ def _targets(files: DataFrame) -> DataFrame:
     return found.select("file", "nth", F.regexp_extract("t", _TARGET, 1).alias("name"), F.regexp_extract("t", _TARGET, 2).alias("alias"))
 
 
+def embedded_declared(files: DataFrame) -> DataFrame:
+    """Tables that CREATE TABLE statements inside code declare, each once by its name's first declaration."""
+    hinted = files.where(F.col("content").rlike(HINT)).select("file", F.replace("content", F.lit("'"), F.lit('"')).alias("content"))
+    t = tables(hinted)
+    first = t.groupBy(F.lower("name").alias("key")).agg(F.min_by(F.struct("name", "file", "columns"), F.struct("file", "table_ord")).alias("t"))
+    return first.select("t.*")
+
+
 def embedded_relations(files: DataFrame) -> DataFrame:
     """Relations that join conditions show, aliases resolved within their file, the last one of a name; no self-joins."""
     t = _targets(files).where(likely_table(F.col("name")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import advisor, duplicates, extract, graphql, graphs, markup, rollup, sqlfacts
+from lodestone.operators import advisor, cards, duplicates, extract, graphql, graphs, markup, rollup, sqlfacts
 from lodestone.sources import project
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -466,6 +466,160 @@ def gql_missing_resolvers(spark: SparkSession, d: str) -> DataFrame:
     return graphql.missing_resolvers(graphql.fields(s), graphql.roots(s), keys)
 
 
+@query("SELECT 'm' || p_partkey AS file, 'K.f_' || p_partkey AS name, 2 AS line, 3 + 2 * (p_size % 6) + 1 AS end_line, 3 + 2 * (p_size % 6) AS lines, 2 AS params, 2 + p_size % 6 AS complexity, p_size % 6 AS nesting, 'ruby' AS language FROM part")
+def x_ruby(spark: SparkSession, d: str) -> DataFrame:
+    """EX-21: methods nested p_size % 6 deep, with a modifier that opens nothing and words in strings."""
+    k = "p_size % 6"
+    body = f"'class K' || {_NL} || '  def f_' || p_partkey || '(a, b) # if' || {_NL} || repeat('    if a' || {_NL}, {k}) || '    x.end \"if do\" unless b' || {_NL} || repeat('    end' || {_NL}, {k}) || '  end' || {_NL} || 'end'"
+    return extract.ruby_functions(_part(spark, d, body))
+
+
+@query("SELECT 'm' || p_partkey AS file, 1 + p_size % 4 AS params FROM part")
+def x_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """EX-16, EX-19: commas inside brackets are no separators."""
+    return extract.brace_functions(_part(spark, d, "'fn f<T>(a: Map<K, V>' || repeat(', b: (i32, i32)', p_size % 4) || ') { }'"), "rust").select("file", "params")
+
+
+@query("""SELECT 'Orders' || (p_partkey % 5) AS name, min('m' || p_partkey) AS file, 2 AS columns FROM part GROUP BY 1""")
+def x_embedded_declared(spark: SparkSession, d: str) -> DataFrame:
+    """EX-27, AG-17."""
+    x = sqlfacts.embedded_declared(_part(spark, d, "'db.run(''CREATE TABLE Orders' || (p_partkey % 5) || ' (id INT, note TEXT)'')'"))
+    return x.select("name", "file", F.size("columns").alias("columns"))
+
+
+@query("""SELECT DISTINCT 'u' || (p_size % 3) AS name FROM part""")
+def sql_external_tables(spark: SparkSession, d: str) -> DataFrame:
+    """J-18: ends of foreign keys that no table declares."""
+    f = _part(spark, d, "'CREATE TABLE t_' || p_partkey || ' (a INT REFERENCES u' || (p_size % 3) || ', b INT REFERENCES t_' || p_partkey || ');'")
+    return sqlfacts.external_tables(sqlfacts.tables(f), sqlfacts.relations(f))
+
+
+@query("SELECT 'm' || p_partkey AS file, 4 AS statements, 2 AS selects FROM part")
+def x_sql_counters(spark: SparkSession, d: str) -> DataFrame:
+    """AG-15."""
+    return sqlfacts.counters(_part(spark, d, _SQL_FILE))
+
+
+@query("SELECT bool_or(p_size = 7) AS uses FROM part")
+def x_data_loader(spark: SparkSession, d: str) -> DataFrame:
+    """EX-08, AG-16."""
+    f = _part(spark, d, "CASE WHEN p_size = 7 THEN 'new DataLoader(k)' ELSE 'MyDataLoaders' END")
+    return f.agg(F.bool_or(extract.uses_data_loader("content")).alias("uses"))
+
+
+@query("SELECT 'm' || p_partkey AS file, 0 AS tpl_ord, 'type A_' || p_partkey || ' { a: Int   }' AS content FROM part")
+def x_templates(spark: SparkSession, d: str) -> DataFrame:
+    """EX-07."""
+    return extract.graphql_templates(_part(spark, d, "'const q = gql`type A_' || p_partkey || ' { a: Int $' || '{x} }`; notgql`b`'"))
+
+
+@query("""SELECT 'T_' || p_partkey AS "from", 'f' || k AS field, 'T_' || (p_partkey % 10) AS "to", true AS is_list FROM part, range(1, 51) r(k) WHERE k <= p_size AND p_partkey % 10 IN (SELECT p_partkey FROM part)
+UNION ALL SELECT 'Query', 't' || p_partkey, 'T_' || p_partkey, false FROM part""")
+def gql_relations(spark: SparkSession, d: str) -> DataFrame:
+    """J-08, GQ-13."""
+    s = _part(spark, d, _SDL)
+    return graphql.relations(graphql.fields(s), graphql.types(s))
+
+
+_SDL2 = "'union U' || p_partkey || ' = A' || p_partkey || ' | B' || (p_size % 4) || ' scalar S' || (p_size % 4) || ' enum E' || (p_size % 4) || ' { X Y' || (p_partkey % 2) || ' } type A' || p_partkey || ' implements I & J { a: Int } schema { query: A1 }'"
+
+
+@query("SELECT 'U' || p_partkey AS type, 'A' || p_partkey AS member FROM part UNION ALL SELECT 'U' || p_partkey, 'B' || (p_size % 4) FROM part")
+def gql_unions(spark: SparkSession, d: str) -> DataFrame:
+    """GQ-06, J-09."""
+    return graphql.union_members(_part(spark, d, _SDL2))
+
+
+@query("SELECT 'A' || p_partkey AS type, i AS interface FROM part, (VALUES ('I'), ('J')) v(i)")
+def gql_interfaces(spark: SparkSession, d: str) -> DataFrame:
+    """J-09."""
+    return graphql.implemented(_part(spark, d, _SDL2))
+
+
+@query("SELECT DISTINCT 'E' || (p_size % 4) AS type, v AS value FROM part, LATERAL (SELECT unnest(['X', 'Y' || (p_partkey % 2)]) AS v)")
+def gql_enums(spark: SparkSession, d: str) -> DataFrame:
+    """GQ-04, SO-02."""
+    return graphql.enum_values(_part(spark, d, _SDL2))
+
+
+@query("SELECT count(*) - 1 AS type_count, 0 AS interface_count, 0 AS input_count, count(DISTINCT p_size % 4) AS enum_count, count(*) AS union_count, count(DISTINCT p_size % 4) AS scalar_count FROM part")
+def gql_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """AG-13, GQ-02, GQ-10."""
+    s = _part(spark, d, _SDL2)
+    return graphql.statistics(graphql.types(s), graphql.roots(s))
+
+
+@query("SELECT 'T' || p_partkey AS type, 'f' AS name, 'T' || p_size AS base_type, true AS is_list FROM part")
+def gql_introspection(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-16, GQ-07, SC-14."""
+    body = """'{"data":{"__schema":{"types":[{"kind":"OBJECT","name":"T' || p_partkey || '","fields":[{"name":"f","type":{"kind":"NON_NULL","ofType":{"kind":"LIST","ofType":{"kind":"OBJECT","name":"T' || p_size || '"}}}}]},{"kind":"SCALAR","name":"Int"},{"kind":"OBJECT","name":"__Type"}]}}}'"""
+    return graphql.introspected(_part(spark, d, body))[1]
+
+
+@query(f"""WITH {_SQL_KG}, d AS (SELECT k, count(*) AS n FROM (SELECT f AS k FROM e UNION ALL SELECT t FROM e) GROUP BY k) SELECT n_name AS label, 'nation' AS type, CAST(coalesce(n, 0) AS DOUBLE) AS degree FROM nation LEFT JOIN d ON k = n_nationkey ORDER BY degree DESC, n_nationkey LIMIT 12""")
+def kg_god_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """GR-07, TK-07."""
+    nodes, edges = _kg(spark, d)
+    x = graphs.with_degrees(nodes, edges).withColumn("ord", F.substring("id", 2, 9).cast("int"))
+    return graphs.god_nodes(x).drop("source")
+
+
+@query(f"""WITH {_SQL_KG}, d AS (SELECT k, count(*) AS n FROM (SELECT f AS k FROM e UNION ALL SELECT t FROM e) GROUP BY k), top AS (SELECT n_nationkey AS k FROM nation LEFT JOIN d ON k = n_nationkey ORDER BY coalesce(n, 0) DESC, n_nationkey LIMIT 10)
+SELECT path, count(*) AS edges FROM e WHERE f IN (FROM top) AND t IN (FROM top) GROUP BY path""")
+def kg_capped(spark: SparkSession, d: str) -> DataFrame:
+    """J-02, J-13, TK-07: edges between the best-connected nodes."""
+    nodes, edges = _kg(spark, d)
+    x = graphs.with_degrees(nodes, edges).withColumn("ord", F.substring("id", 2, 9).cast("int"))
+    return graphs.capped(x, edges, 10, 1 << 30)[1].groupBy("path").agg(F.count("*").alias("edges"))
+
+
+@query(f"""WITH {_SQL_KG} SELECT DISTINCT * FROM (SELECT 'out' AS direction, 'n' || t AS other, relation FROM e WHERE f = 3 UNION ALL SELECT 'in', 'n' || f, relation FROM e WHERE t = 3)""")
+def kg_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """J-17, GR-09, TK-13."""
+    return graphs.neighbours(_kg(spark, d)[1], "n3")
+
+
+@query("SELECT 'graph' || n_regionkey || '.json' AS path FROM nation GROUP BY n_regionkey ORDER BY count(*) DESC, path LIMIT 1")
+def kg_largest(spark: SparkSession, d: str) -> DataFrame:
+    """AG-20, J-19."""
+    return graphs.largest_graph(_kg(spark, d)[0])
+
+
+@query(f"""WITH RECURSIVE {_SQL_EDGES}, one AS (SELECT p FROM path WHERE k = 1) SELECT (SELECT p FROM one) AS path, count_if("from" = (SELECT p FROM one)) AS imports, count_if("to" = (SELECT p FROM one)) AS dependents, 1 AS ord FROM edges""")
+def dep_inspector(spark: SparkSession, d: str) -> DataFrame:
+    """J-16, AG-19."""
+    imports, files = _imports(spark, d)
+    edges = graphs.dependency_edges(graphs.resolve_imports(imports, files))
+    return cards.node_details("n1/s1/index.js", edges, files.select("path", "ord"))
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_name) > 10 THEN left(p_name, 8) || '…' ELSE p_name END AS label, replace(replace(p_name || '<&>', '&', '&amp;'), '<', '&lt;').replace('>', '&gt;') AS escaped, CASE WHEN p_size > 30 THEN 'bad' WHEN p_size > 10 THEN 'warn' ELSE 'good' END AS class, 'a/b' || p_size || '.js' AS file, 'Part ' || p_partkey || ' of ' || p_size AS title FROM part")
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    """SC-18, SC-19, SC-22, SC-23, SC-25."""
+    p = _t(spark, d, "part")
+    node = F.concat(F.lit("fn:a/b"), F.col("p_size").cast("string"), F.lit(".js#x.y@3"))
+    title = cards.filled(F.lit("Part {n} of {m}"), n=F.col("p_partkey"), m=F.col("p_size"))
+    return p.select("p_partkey", text.shortened(F.col("p_name"), 10).alias("label"), text.escape_html(F.concat("p_name", F.lit("<&>"))).alias("escaped"), text.severity(F.col("p_size"), 30, 10).alias("class"), cards.node_file(node, F.lit("x")).alias("file"), title.alias("title"))
+
+
+@query("WITH c AS (SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1) SELECT name, n, greatest(4.0, n * 100 / (SELECT max(n) FROM c)) AS width FROM c")
+def bars(spark: SparkSession, d: str) -> DataFrame:
+    """W-07."""
+    return rollup.bars(_t(spark, d, "part").groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("n")), "n", 4.0)
+
+
+@query("WITH f AS (SELECT p_brand, min(p_partkey) AS first FROM part GROUP BY 1) SELECT p_brand, (row_number() OVER (ORDER BY first) - 1) % 12 AS place FROM f")
+def community_places(spark: SparkSession, d: str) -> DataFrame:
+    """W-06."""
+    return rollup.dense_places(_t(spark, d, "part"), "p_brand", "p_partkey", 12)
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-17's way of reading JSON members."""
+    return _t(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

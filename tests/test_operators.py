@@ -177,3 +177,14 @@ def test_score_without_functions(spark):
     none = spark.createDataFrame([], "file string, complexity int, lines int, nesting int")
     row = rollup.score(rollup.summary(files, none).withColumns({"duplication_percentage": F.lit(0.0), "cycle_count": F.lit(1)})).first()
     assert row["total"] == 97 and row["grade"] == "healthy" and row["components"][3]["detail"] == "1 circular dependency"
+
+
+def test_ruby_quirks(spark):
+    rows = [("a", "module M\n def a(x) = x ? 1 : 2\n def self.b(x, y)\n  z = if x\n   1\n  end\n  [1].each do |i|\n   p i if i && y\n  end\n end\nend\ndef open\n 1\n"), ("b", "=begin\ndef no\n=end\n")]
+    got = {r["name"]: (r["lines"], r["params"], r["complexity"], r["nesting"]) for r in extract.ruby_functions(table(spark, rows)).collect()}
+    assert got["M.a"] == (1, 1, 1, 0) and got["M.b"] == (8, 2, 4, 1) and got["open"][2] == 1 and len(got) == 3
+
+
+def test_php_outside_its_tags(spark):
+    f = functions_of(spark, "php", "function no() { }\n<?php\nclass A { function f($a, $b) { if ($a) { } } }\n?>\nfunction no2() { }")
+    assert set(f) == {"A.f"} and f["A.f"]["line"] == 3 and f["A.f"]["params"] == 2 and f["A.f"]["complexity"] == 2
