@@ -22,7 +22,9 @@ from lodestone.llm.common import chunks
 
 LIMIT = 512
 #: Pieces and prefixes that a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: Bytes of a piece beyond which its prefixes are not remembered.
+LONG = 100
 #: Fixed value: how byte-level BPE of this kind cuts text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACES = regex.compile(r"\s+$")
@@ -53,7 +55,10 @@ class PrefixCounter:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.rank = {(text(a), text(b)): i for i, (a, b) in enumerate(pairs)}
         self.tokens = {a + b for a, b in self.rank} | {bytes([b]) for b in range(256)}
-        self.longest = max(map(len, self.tokens))
+        #: the length of the longest token by the bytes it ends with
+        self.reach: dict[bytes, int] = {}
+        for t in self.tokens:
+            self.reach[t[-2:]] = max(self.reach.get(t[-2:], 0), len(t))
         self.special = [x["content"] for x in spec.get("added_tokens", []) if x.get("special")]
         self.pieces = regex.compile(PIECES)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -85,36 +90,46 @@ class PrefixCounter:
         return parts
 
     def stays(self, a: bytes, b: bytes) -> bool:
-        """Whether tokens a and b, side by side, are the encoding of their bytes."""
+        """Whether tokens a and b, side by side, are the encoding of their bytes; with an empty a, b on its own."""
         found = self.beside.get((a, b))
         if found is None:
-            found = self.beside[a, b] = self.merged(a + b) == [a, b]
+            found = self.beside[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return found
 
     def last(self, data: bytes) -> tuple[int, bytes]:
-        """(count, last token) of a prefix; those of its own prefixes are computed or remembered."""
-        known = self.state
-        n = len(data)
-        start = n
-        while data[:start] not in known:
-            start -= 1
-        for end in range(start + 1, n + 1):
-            for i in range(max(0, end - self.longest), end):
+        """(count, last token) of a prefix, from those of the shorter prefixes that its last token may follow."""
+        found = self.state.get(data)
+        if found is None:
+            n, tokens = len(data), self.tokens
+            for i in range(max(0, n - self.reach.get(data[-2:], 1)), n):
+                token = data[i:]
+                if token in tokens:
+                    count, before = self.last(data[:i])
+                    if self.stays(before, token):
+                        found = (count + 1, token)
+                        break
+            self.state[data] = found
+        return found
+
+    def counts_of_long(self, data: bytes) -> list[int]:
+        """The counts of all prefixes of a piece that is too long to keep each of them by its bytes."""
+        counts, lasts = [0], [b""]
+        for end in range(1, len(data) + 1):
+            for i in range(max(0, end - self.reach.get(data[max(0, end - 2) : end], 1)), end):
                 token = data[i:end]
-                if token not in self.tokens:
-                    continue
-                count, before = known[data[:i]]
-                if self.stays(before, token) if before else self.merged(token) == [token]:
-                    known[data[:end]] = (count + 1, token)
+                if token in self.tokens and self.stays(lasts[i], token):
+                    counts.append(counts[i] + 1)
+                    lasts.append(token)
                     break
-        return known[data]
+        return counts
 
     def piece(self, text: str) -> int:
         found = self.known.get(text)
         if found is None:
-            if len(self.state) > REMEMBERED:
+            if len(self.state) + len(self.known) > REMEMBERED:
                 self.forget()
-            found = self.known[text] = self.last(text.encode("utf-8", "surrogatepass"))[0]
+            data = text.encode("utf-8", "surrogatepass")
+            found = self.known[text] = self.last(data)[0] if len(data) <= LONG else self.counts_of_long(data)[-1]
         return found
 
     def ends(self, text: str) -> tuple[np.ndarray, np.ndarray]:
