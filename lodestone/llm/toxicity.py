@@ -24,7 +24,7 @@ from lodestone.llm.common import chunks, written
 SAMPLE = 12_000
 ORDERS = (3, 4, 5)
 BITS = 18
-FEATURES = 8192
+FEATURES = 2048
 THRESHOLD = 0.3
 _TASKS = 12
 
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, label: str = "to
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, sizes = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
-        for batch in chunks(batches, "text", 1 << 20):
+        for batch in chunks(batches, "text", 1 << 18):
             y = batch.column("y").to_numpy()
             owner, bucket = _present(batch.column("text"))
             for k in (0, 1):
@@ -126,9 +126,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, label: str = "to
                 sizes[k] += (y == k).sum()
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(sizes), pa.array([x.tobytes() for x in sums], pa.binary())], ["y", "n", "counts"])
 
-    got = sample.mapInArrow(count, "y int, n long, counts binary").collect()  # 2 rows of 1 MB for each of the sample's few tasks
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_py(), np.int32) for x in table["counts"]], axis=0, dtype=np.int32)
+        return pa.table({"y": table["y"][:1], "n": pa.array([pc.sum(table["n"]).as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    counted = sample.mapInArrow(count, "y int, n long, counts binary").groupBy("y").applyInArrow(add, "y int, n long, counts binary")
     counts, sizes = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for r in got:
+    for r in counted.collect():  # two rows of 1 MB
         counts[r.y] += np.frombuffer(r.counts, np.int32)
         sizes[r.y] += r.n
     if not sizes.sum():
@@ -146,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, label: str = "to
     index[best] = np.arange(len(best))
 
     def indices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 1 << 20):
+        for batch in chunks(batches, "text", 1 << 18):
             owner, feature = _present(batch.column("text"), index)
             at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feature.astype(np.int32)))], ["doc_id", "y", "f"])
@@ -154,10 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, label: str = "to
     table = sample.mapInArrow(indices, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, y int, f array<int>").orderBy("doc_id").toArrow()
     lists = table["f"].combine_chunks()
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    columns = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    columns = lists.flatten().to_numpy(zero_copy_only=False)
     y = table["y"].to_numpy().astype(float)
     r = ratio[best] if len(best) else np.zeros(1)
-    w, b = _logistic(np.repeat(np.arange(len(y)), lengths), columns, r[columns], y, len(r))
+    w, b = _logistic(np.repeat(np.arange(len(y), dtype=np.int32), lengths), columns, r.astype(np.float32)[columns], y, len(r))
     return Model(index, w * r, b)
 
 
@@ -166,7 +170,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     handed = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, fixed by BITS and FEATURES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 1 << 20):
+        for batch in chunks(batches, "text", 1 << 18):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(handed.value.score(batch.column("text")))], ["doc_id", "score"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -195,7 +199,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     handed = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 1 << 20):
+        for batch in chunks(batches, "text", 1 << 18):
             yield batch.filter(pa.array(handed.value.score(batch.column("text")) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
