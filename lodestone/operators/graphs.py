@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import basename, dirname, normalize_path, package_root, top_folder
-from lodestone.sources.tables import written
 
 # What an import may leave out, and sizes of graphs.
 ENDINGS = ("", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", "/index.js", "/index.jsx", "/index.ts", "/index.tsx", "/index.mjs", "/index.cjs")
@@ -98,17 +97,51 @@ def cyclic_files(found: DataFrame) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """(project_id, node) of all nodes that lie on a cycle or between two, without any order: leaves are peeled off."""
-    left = written(edges.select("project_id", "from", "to"), "edges")
-    n = left.count()
-    while True:
-        into, out = left.select("project_id", F.col("to").alias("from")).distinct(), left.select("project_id", F.col("from").alias("to")).distinct()
-        fewer = left.join(into, ["project_id", "from"], "left_semi").join(out, ["project_id", "to"], "left_semi")
-        left = written(fewer, "edges")
-        m = left.count()
-        if m == n:
-            return left.select("project_id", F.col("from").alias("node")).distinct()
-        n = m
+    """(project_id, node) of all nodes that lie on any cycle, whatever order a walk takes.
+
+    Two walks over a project's edges, forward and backward, give its strongly connected parts; as with ``cycles``, one
+    task has one project.
+    """
+
+    def parts(frame: pd.DataFrame) -> pd.DataFrame:
+        after: dict[str, list[str]] = {}
+        before: dict[str, list[str]] = {}
+        for a, b in frame[["from", "to"]].itertuples(index=False):
+            after.setdefault(a, []).append(b)
+            before.setdefault(b, []).append(a)
+        left: list[str] = []  # nodes in the order in which the forward walk leaves them
+        met: set[str] = set()
+        for root in after:
+            if root in met:
+                continue
+            met.add(root)
+            todo = [(root, iter(after[root]))]
+            while todo:
+                node, following = todo[-1]
+                step = next((x for x in following if x not in met), None)
+                if step is None:
+                    left.append(node)
+                    todo.pop()
+                else:
+                    met.add(step)
+                    todo.append((step, iter(after.get(step, ()))))
+        found: list[str] = []
+        taken: set[str] = set()
+        for root in reversed(left):
+            if root in taken:
+                continue
+            taken.add(root)
+            part = [root]
+            for node in part:
+                fresh = [x for x in before.get(node, ()) if x not in taken]
+                taken.update(fresh)
+                part.extend(dict.fromkeys(fresh))
+            if len(part) > 1:
+                found.extend(part)
+        nodes = found or [None]
+        return pd.DataFrame({"project_id": [frame["project_id"].iloc[0]] * len(nodes), "node": nodes})
+
+    return edges.select("project_id", "from", "to").groupBy("project_id").applyInPandas(parts, "project_id string, node string").where("node is not null")
 
 
 def dependency_nodes(edges: DataFrame, cyclic: DataFrame, most: int = MAX_NODES) -> DataFrame:

@@ -254,7 +254,7 @@ deg AS (SELECT node, count(*) AS degree, sum(o) AS out_degree FROM (SELECT "from
 SELECT node AS id, regexp_replace(node, '/[^/]*$', '') AS folder, degree, out_degree, EXISTS (SELECT 1 FROM r WHERE a = node AND b = node) AS in_cycle FROM deg ORDER BY in_cycle DESC, degree DESC, node LIMIT 400"""
 )
 def dep_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """AG-07, GR-03, GR-04, TK-05: degrees and cyclic files; here every node between cycles is on one."""
+    """AG-07, GR-03, GR-04, TK-05: degrees and cyclic files."""
     imports, files = _imports(spark, d)
     edges = graphs.dependency_edges(graphs.resolve_imports(imports, files)).persist()
     return graphs.dependency_nodes(edges, graphs.on_cycles(edges).select(F.col("node").alias("file")))
