@@ -169,7 +169,8 @@ def dedup(snapshot: DataFrame, batch: DataFrame, id_col: str = "doc_id", text_co
         merged = own.join(both, "digest", "left")
         return merged.select("digest", F.coalesce("keep_id", "last_id").alias("keep_id"), F.coalesce("group_size", "n").alias("group_size")).where("group_size > 1")
 
-    sides = [rows.join(groups(own), "digest", "left") for rows, own in ((known, old_groups), (new, new_groups))]
+    # the groups are a table of their own, so that Spark can split the rows of a digest that very many have
+    sides = [rows.join(written(groups(own), "groups"), "digest", "left") for rows, own in ((known, old_groups), (new, new_groups))]
     out = sides[0].unionByName(sides[1])
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
