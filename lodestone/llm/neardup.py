@@ -7,7 +7,8 @@ They are banded by four into 48 bands: sets with J = 0.75 miss each other with p
 Identical sets become one representative first. Buckets are never expanded into all their pairs:
 
 1. Every representative is compared, by sketches, with four pivots of each of its buckets, and linked with the most
-   alike if their full sets confirm it. Large groups of copies collapse here, in linear work.
+   alike if their full sets confirm it; twice more with other pivots, between components. Large groups of copies
+   collapse here, in linear work.
 2. Every representative is linked with the most alike member of another component in its buckets, likewise.
 3. Pairs that still are in different components and whose sketches don't rule out the threshold are all confirmed.
 
@@ -40,6 +41,8 @@ ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 WORDS = 2 * PERMUTATIONS // 64
 PIVOTS = 4
+#: Times that pivots are tried; what is still apart after them goes to the tiles.
+TURNS = 3
 TILE = 256
 #: Longs of the odd sketch, one bit for each parity.
 ODD = 16
@@ -156,12 +159,13 @@ def components(links: DataFrame) -> DataFrame:
 
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
     while True:
-        # stars: no node is both someone's root and under another one
-        if edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
+        # stars: a node below another one is below no third, and above none
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("below")), F.struct(F.col("v").alias("node"), F.lit(0).alias("below")))).alias("e"))
+        if ends.groupBy("e.node").agg(F.sum("e.below").alias("below"), F.count("*").alias("n")).where("below > 0 and n > 1").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(lowest(both).select("u", F.least("u", "m").alias("m")), "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.distinct(), "large-star")
+        large = written(large, "large-star")
         low = lowest(large)
         star = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         edges = written(star, "small-star")
@@ -215,16 +219,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     sets = full_sets(wanted).groupBy("rep").agg(F.max_by("shingles", F.size("shingles")).alias("shingles")) if _repeats(described) else full_sets(wanted)
     sets = written(sets, "sets")
 
-    # 1. the most alike of the pivots
-    ranks = [F.xxhash64(F.lit(k), "rep") for k in range(PIVOTS - 1)]
-    who = F.struct("rep", "size", "sketch")
-    pivots = members.groupBy("key").agg(F.min_by(who, "rep").alias("p0"), *(F.min_by(who, rank).alias(f"p{k + 1}") for k, rank in enumerate(ranks)))
-    tried = members.join(pivots, "key").select("rep", F.struct("rep", "size", "sketch").alias("a"), F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("b"))
-    tried = tried.where((F.col("a.rep") != F.col("b.rep")) & _plausible("a", "b", threshold))
-    best = tried.groupBy("rep").agg(F.max_by("b.rep", F.struct(_agreement("a", "b"), -F.col("b.rep"))).alias("other"))
-    pairs = best.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-    links = written(confirm(written(pairs, "pivot-pairs"), sets, threshold), "pivot-links")
-    roots = components(links)
+    # 1. the most alike of the pivots, again as long as that finds links, with other pivots and between components only
+    links = roots = None
+    for turn in range(TURNS):
+        now = members if roots is None else members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        now = now.withColumn("comp", F.col("rep") if roots is None else F.coalesce("root", "rep"))
+        who = F.struct("rep", "size", "sketch", "comp")
+        ranks = ["rep", *(F.xxhash64(F.lit(turn * PIVOTS + k), "rep") for k in range(1, PIVOTS))]
+        pivots = now.groupBy("key").agg(*(F.min_by(who, rank).alias(f"p{k}") for k, rank in enumerate(ranks)))
+        tried = now.join(pivots, "key").select("rep", who.alias("a"), F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("b"))
+        tried = tried.where((F.col("a.comp") != F.col("b.comp")) & _plausible("a", "b", threshold))
+        best = tried.groupBy("rep").agg(F.max_by("b.rep", F.struct(_agreement("a", "b"), -F.col("b.rep"))).alias("other"))
+        pairs = best.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+        found = written(confirm(written(pairs, "pivot-pairs"), sets, threshold), "pivot-links")
+        if links is not None and found.isEmpty():
+            break
+        links = found if links is None else written(links.union(found), "links")
+        roots = components(links)
 
     # 2. the most alike member of another component, 3. all that is left between components
     rooted = written(_rooted(members, roots), "rooted")
