@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import chunks
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|iframe|textarea)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][\w:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-z][\w:-]*)[^>]*>|<[!?][^>]*>",
     re.S | re.I,
 )
+#: Elements that are left out with all they hold; of one that has no end tag, only the tag is.
+_HIDDEN = {t: re.compile(rf"<(?P<end>/?){t}(?=[\s/>])(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)", re.I) for t in ("svg", "object", "select", "template", "noscript")}
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 #: Elements that make a node; all others are part of the text around them.
@@ -79,8 +81,26 @@ def _groups(attrs: str) -> tuple[int, ...]:
     return tuple(sorted({_TOKEN_OF[w] for w in words if w in _TOKEN_OF}))
 
 
+def _ends(source: str, tag: str) -> dict[int, int]:
+    """Where the elements of a tag that are closed end, by where they start. An svg may close itself."""
+    opened: list[int] = []
+    ends = {}
+    for m in _HIDDEN[tag].finditer(source):
+        if m["end"]:
+            if opened:
+                ends[opened.pop()] = m.end()
+        elif tag == "svg" and m[0].endswith("/>"):
+            ends[m.start()] = m.end()
+        else:
+            opened.append(m.start())
+    return ends
+
+
 def parse(source: str) -> Page:
-    """The tree of a page, however its tags are nested or left open."""
+    """The tree of a page, however its tags are nested or left open.
+
+    As in HTML5, a script, style, iframe or textarea without an end tag takes the rest of the page.
+    """
     page = Page()
     stack, open_tags = [page.add(-1, "html")], ["html"]
     run: list[str] = []
@@ -95,7 +115,9 @@ def parse(source: str) -> Page:
             run.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(source):
+    hidden: dict[str, dict[int, int]] = {}
+    found = _TOKEN.finditer(source)
+    while m := next(found, None):
         if m.start() > at:
             run.append(source[at : m.start()])
             if in_link:
@@ -105,6 +127,13 @@ def parse(source: str) -> Page:
         if tag is None:
             continue
         tag, closing = tag.lower(), bool(m["end"] or m["end2"])
+        if tag in _HIDDEN:
+            if tag not in hidden:
+                hidden[tag] = _ends(source, tag)
+            if m.start() in hidden[tag]:
+                at = hidden[tag][m.start()]
+                found = _TOKEN.finditer(source, at)
+            continue
         if tag not in _BLOCKS:
             if tag in ("br", "hr", "img", "input"):
                 run.append(" ")

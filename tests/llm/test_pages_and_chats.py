@@ -89,6 +89,17 @@ def test_extraction_of_whole_pages(spark):
     assert htmltext.extract(pages(spark, [])).count() == 0
 
 
+def test_text_behind_elements_that_are_left_out():
+    texts = lambda source: [t for t in htmltext.parse(source).text if t is not None]
+    for dropped in (
+        '<svg class="i"/>', "<svg/>", '<svg title="a>b" />', '<svg><style/></svg>', "<svg><svg>x</svg>y</svg>", '<svg-icon name="x"></svg-icon>', "<object-view></object-view>", "<style-guide>", "<textarea-x>",
+        "<svg>", "<object data=x>", "<select>", "<template>", "<noscript>", "<svg><path></svg>", "<object>x</object>", "<SELECT><option>x</SELECT>", "<template><p>x</template>", "<noscript><style></noscript>",
+        "<script>x</script>", "<style>x</style >", "<iframe>x</iframe>", "<textarea>x</textarea x>",
+    ):
+        assert texts(f"<p>a {dropped} b</p><p>rest of article</p>") == ["a b", "rest of article"], dropped
+        assert texts(f"<p>a {dropped} b</p><p>rest</p><svg>x</svg><object>x</object><select>x</select><noscript>x</noscript><template>x</template>") == ["a b", "rest"], dropped
+
+
 def test_extraction_from_the_test_pages(spark):
     found = queries.op10_html_extraction(spark, "/root/testdata/sf0.001").toPandas()
     source = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").toPandas().set_index("page_id")["html"]
