@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import js_trim, lines, masked, newlines
+from lodestone.operators import javascript
 
 # Words that look like calls but are control flow, those of them that count, and the languages' patterns.
 CONTROL = ("if", "else", "for", "while", "switch", "case", "catch", "return", "do", "new", "sizeof", "typeof", "delete", "throw", "using", "lock", "foreach", "fixed", "when", "guard", "select", "defer", "assert", "synchronized")
@@ -30,9 +31,9 @@ LANGUAGES = {
     "c": (True, r"([A-Za-z_]\w*)" + _ARGS + r"\{", None, ("if", "for", "while", "case", "&&", "||"), ('"', "'", "//", "/*", "#")),
     "cpp": (True, r"([A-Za-z_][\w:~]*)" + _ARGS + r"(?:const\b|noexcept\b|override\b|final\b|\s)*\{", r"\b(?:class|struct)\s+([A-Za-z_]\w*)", ("if", "for", "while", "case", "catch", "&&", "||"), ('"', "'", "//", "/*", "#")),
     "php": (False, r"\bfunction\s*&?\s*([A-Za-z_]\w*)?" + _LIST, r"\b(?:class|trait|interface)\s+([A-Za-z_]\w*)", ("if", "elseif", "for", "foreach", "while", "case", "catch", "&&", "||"), ('"', "'", "//", "/*", "#")),
-    "javascript": (True, r"([A-Za-z_$][\w$]*)(?:\s*=\s*(?:async\s*)?(?:function\s*)?)?" + _ARGS + r"(?:=>\s*)?\{", r"\bclass\s+([A-Za-z_$][\w$]*)", ("if", "for", "while", "case", "catch", "&&", "||", "??"), ('"', "'", "`", "//", "/*")),
 }
-LANGUAGES["typescript"] = LANGUAGES["javascript"]
+#: Read by ``javascript`` from their tokens, not by a header's pattern.
+SCRIPTS = ("javascript", "typescript")
 _DEF = r"^(?:async\s+)?def\s+([A-Za-z_]\w*)"
 _CLASS = r"^class\s+([A-Za-z_]\w*)"
 _PY_WORDS = r"(?<![A-Za-z0-9_])(?:if|elif|for|while|except|and|or)(?![A-Za-z0-9_])"
@@ -52,10 +53,12 @@ def _parameters(inside: Column) -> Column:
 
 
 def brace_functions(files: DataFrame, language: str) -> DataFrame:
-    """Functions of files (file, content) in one of ``LANGUAGES``: file, name, line, end_line, lines, params, complexity, nesting.
+    """Functions of files (file, content) in one of ``LANGUAGES`` or ``SCRIPTS``: file, name, line, end_line, lines, params, complexity, nesting.
 
     Decisions and braces belong to the innermost function around them. A function that is not closed is left out.
     """
+    if language in SCRIPTS:
+        return javascript.functions(files, language)
     inline, header, cls, words, hidden = LANGUAGES[language]
     cx = _decisions(words)
     whole = "|".join(f"({x})" for x in (r"\n", r"\{", r"\}", ";", cls or "(?!)", header, cx))

@@ -31,7 +31,7 @@ def all_functions(code: DataFrame) -> DataFrame:
     """Functions of (file, language, content), every language by its own extractor."""
     found = extract.python_functions(code.where("language = 'python'"))
     found = found.unionByName(extract.ruby_functions(code.where("language = 'ruby'")))
-    for name in extract.LANGUAGES:
+    for name in (*extract.LANGUAGES, *extract.SCRIPTS):
         found = found.unionByName(extract.brace_functions(code.where(F.col("language") == name), name))
     return found
 

@@ -54,6 +54,23 @@ def test_arrow_functions(spark):
     assert f["f"]["complexity"] == 2 and f["K.m"]["complexity"] == 2
 
 
+def test_forms_of_javascript_functions(spark):
+    for source in (
+        "function f(a: number): number { return 1; }", "function f({ a, b }) {}", "const f = ({a}) => {}", "const f = (a = g()) => {}", "const f = async (a): Promise<void> => {}", "const f = x => {}", "const f = (a) => a + 1",
+        "const f: (a: number) => void = (a) => { }", "const f = <T,>(a: T): a is A | B => !!a", "let f = function (a: Map<string, number>) {}", "const o = { f(a) {} }", "class A { f = async (a) => a; }", "const f = (a): ((b: number) => void) => { }",
+    ):
+        for language in ("javascript", "typescript"):
+            got = functions_of(spark, language, source)
+            assert {n: (r["params"], r["complexity"]) for n, r in got.items()} == {"f": (1, 1)}, source
+
+
+def test_javascript_decisions_and_names(spark):
+    source = "class K {\n  m(x?: T, y) {\n    do { x++; } while (a && b);\n    return a ? 1 : `${b ?? c ? '}' : 3}`;\n  }\n}\nfunction e() { if (a) b(); else if (c) d() }\nxs.map(x => x * 2)\ntype F = (a: number) => void;\ndeclare function f(a: F): void\nconst r = /[{/]'/.test(s), p = new Promise((r) => { switch (r) { case 1: try { r() } catch { } default: } });"
+    got = {n: (r["line"], r["end_line"], r["params"], r["complexity"], r["nesting"]) for n, r in functions_of(spark, "typescript", source).items()}
+    assert got == {"K.m": (2, 5, 2, 6, 1), "e": (7, 7, 0, 3, 2), "(callback in xs.map)": (8, 8, 1, 1, 0), "(anonymous)": (11, 11, 1, 3, 2)}
+    assert functions_of(spark, "javascript", "function a() {") == functions_of(spark, "javascript", "") == {}
+
+
 def test_paths(spark):
     got = spark.range(1).select(
         text.normalize_path(F.lit("a/./b/../c")).alias("a"), text.normalize_path(F.lit("../../x")).alias("b"), text.dirname(F.lit("x")).alias("c"), text.extension(F.lit("a/B.Min.JS")).alias("d"),
