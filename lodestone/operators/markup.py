@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import collapse, masked
+from lodestone.functions.text import collapse, masked, newlines
 
 # Fixed values.
 DEPRECATED = ("center", "font", "marquee", "blink", "big", "strike", "tt", "frame", "frameset", "noframes", "applet", "basefont", "dir", "acronym")
@@ -58,11 +58,17 @@ def depth(pages: DataFrame) -> DataFrame:
 
 
 def inline_code(pages: DataFrame) -> DataFrame:
-    """(file, ord, language, content) of scripts without a source, and of styles."""
-    pattern = r"(?is)<(script|style)\b([^>]*)>(.*?)</\1\s*>"
-    found = pages.select("file", F.posexplode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("ord", "t"))
-    part = lambda k: F.regexp_extract("t", pattern, k)
-    x = found.select("file", "ord", F.when(F.lower(part(1)) == "style", "css").otherwise("javascript").alias("language"), part(2).alias("attrs"), part(3).alias("content"))
+    """(file, ord, line, language, content) of scripts without a source, and of styles; line is where the tag begins.
+
+    One without an end tag takes the rest of the page, one that closes itself holds nothing.
+    """
+    pattern = r"<(script|style)\b([^>]*)(?<!/)>(.*?)(?:</\1\s*>|\z)"
+    tokens = F.regexp_extract_all("content", F.lit(rf"(?is)<!--.*?-->|{pattern}|.[^<]*+"), F.lit(0))
+    found = pages.select("file", F.posexplode(tokens).alias("ord", "t"))
+    before = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("line", F.coalesce(F.sum(newlines(F.col("t"))).over(before), F.lit(0)) + 1).where(F.regexp_like("t", F.lit(r"(?is)\A<(script|style)\b[^>]*(?<!/)>")))
+    part = lambda k: F.regexp_extract("t", rf"(?is)^{pattern}$", k)
+    x = found.select("file", "ord", "line", F.when(F.lower(part(1)) == "style", "css").otherwise("javascript").alias("language"), part(2).alias("attrs"), part(3).alias("content"))
     return x.where((F.col("language") == "css") | ~F.col("attrs").rlike(r"(?i)\bsrc\s*=")).drop("attrs")
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import code_line_count, line_count, round1
-from lodestone.operators import advisor, duplicates, extract, graphs, markup, rollup, sqlfacts
+from lodestone.operators import advisor, duplicates, extract, graphql, graphs, markup, rollup, sqlfacts
+from lodestone.sources.tables import written
 
 
 @dataclass
@@ -25,6 +26,8 @@ class Analysis:
     style_issues: DataFrame
     page_checks: DataFrame
     advice: DataFrame
+    #: Further lists of the report by their names, each of bounded length.
+    sections: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def all_functions(code: DataFrame) -> DataFrame:
@@ -36,21 +39,85 @@ def all_functions(code: DataFrame) -> DataFrame:
     return found
 
 
+def inline_functions(inline: DataFrame) -> DataFrame:
+    """Functions of scripts inside pages (see markup.inline_code), lines counted as the original does: one too many."""
+    scripts = inline.where("language = 'javascript'").select(F.struct("file", "ord", "line").alias("file"), "content")
+    found = extract.brace_functions(scripts, "javascript")
+    shift = F.col("file.line")
+    return found.withColumns({"name": F.concat(F.lit("<script> "), "name"), "line": F.col("line") + shift, "end_line": F.col("end_line") + shift, "file": F.col("file.file")})
+
+
+def graphql_sections(sdl: DataFrame, schemas: DataFrame, scripts: DataFrame, code: DataFrame) -> dict[str, DataFrame]:
+    """GraphQL types and issues from SDL files, templates that define something, and introspection results.
+
+    All lists are empty unless there is a type, and a root or a field.
+    """
+    defines = F.col("content").rlike(r"\b(type|interface|input|enum|union|scalar|schema)\s+[A-Za-z_{]")
+    sources = sdl.unionByName(extract.graphql_templates(scripts).where(defines).select("file", "content")).persist()
+    types, fields = graphql.types(sources).select("name", "kind"), graphql.fields(sources).select("type", "name", "base_type", "is_list")
+    more_types, more_fields = graphql.introspected(schemas)
+    known = types.unionByName(more_types.join(types, "name", "left_anti").groupBy("name").agg(F.min("kind").alias("kind")))
+    fields = fields.unionByName(more_fields.join(fields, ["type", "name"], "left_anti").dropDuplicates(["type", "name"]))
+    given = graphql.roots(sources)
+    roots = given.unionByName(known.where(F.col("name").isin(*graphql.ROOTS)).select(F.col("name").alias("root"), "name").join(given, "root", "left_anti"))
+    present = F.broadcast(known.agg((F.count("*") > 0).alias("a")).crossJoin(roots.select("name").unionByName(fields.select("name")).agg((F.count("*") > 0).alias("b"))).where("a and b").select())  # one row at most
+    known, fields, roots = (written(x.crossJoin(present), "graphql") for x in (known, fields, roots))
+    counts = fields.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("field_count"), F.slice(F.array_sort(F.collect_list(F.struct("name", "base_type", "is_list"))), 1, 60).alias("fields"))
+    ranked = known.join(counts, "name", "left").join(roots, "name", "left").select("name", "kind", "root", F.coalesce("field_count", F.lit(0)).alias("field_count"), "fields")
+    links = graphql.relations(fields, known)
+    return {
+        "graphql_types": ranked.orderBy(F.col("root").isNull(), F.desc("field_count"), "name"),
+        "graphql_statistics": graphql.statistics(known, roots),
+        "graphql_relations": links,
+        "graphql_edges": links.select("from", "to").distinct(),
+        "graphql_n_plus_one": graphql.n_plus_one(fields, known, roots),
+        "graphql_oversized": graphql.oversized(fields, known, roots),
+        "graphql_missing_resolvers": graphql.missing_resolvers(fields, roots, graphql.resolver_keys(code)),
+        "graphql_data_loader": code.where(extract.uses_data_loader("content")).select("file").limit(1),
+    }
+
+
+def graph_sections(nodes: DataFrame, edges: DataFrame, prefix: str) -> dict[str, DataFrame]:
+    """The largest of some graphs (see graphs.graph_of_json): its numbers, nodes and edges, most connected nodes and relations."""
+    nodes = written(nodes, "graph")
+    largest = F.broadcast(graphs.largest_graph(nodes))  # one row
+    edges = written(edges.join(largest, "path", "left_semi"), "graph")
+    nodes = written(graphs.with_degrees(nodes.join(largest, "path", "left_semi"), edges), "graph")
+    top, between = graphs.capped(nodes, edges)
+    return {f"{prefix}_stats": graphs.graph_stats(nodes, edges).where("node_count > 0"), f"{prefix}_nodes": top, f"{prefix}_edges": between, f"{prefix}_god_nodes": graphs.god_nodes(nodes), f"{prefix}_relations": graphs.relation_counts(edges)}
+
+
+def sql_sections(tables: DataFrame, relations: DataFrame, issues: DataFrame, code: DataFrame) -> dict[str, DataFrame]:
+    """Tables and relations of SQL files and of SQL inside other code, each once; what SQL files name comes first."""
+    code = code.where("language != 'sql'").select("file", "content")
+    inside = written(sqlfacts.embedded_declared(code), "declared")
+    declared = tables.select("name", "file", "columns").unionByName(inside.join(tables.select(F.lower("name").alias("k")).distinct(), F.lower("name") == F.col("k"), "left_anti").select("name", "file", "columns"))
+    inferred = sqlfacts.merged_tables(declared.select("name"), sqlfacts.embedded_tables(code)).where("inferred").select("name", F.lit(None).cast("string").alias("file"), F.lit(None).cast(declared.schema["columns"].dataType).alias("columns"), "inferred")
+    every = declared.withColumn("inferred", F.lit(False)).unionByName(inferred)
+    keys = ["from", "from_column", "to", "to_column"]
+    links = sqlfacts.distinct_relations(relations.select(*keys).unionByName(sqlfacts.relations(code.select("file", F.replace("content", F.lit("'"), F.lit('"')).alias("content")).where(F.col("content").rlike(sqlfacts.HINT))).select(*keys)).unionByName(sqlfacts.embedded_relations(code).select(*keys)))
+    return {"sql_tables": every.orderBy("inferred", "file", "name").limit(200), "sql_relations": links.orderBy(*keys).limit(500), "sql_issues": issues.orderBy("file", "line").limit(100), "sql_queries": sqlfacts.query_counts(code)}
+
+
 def analyse(files: DataFrame) -> Analysis:
-    """Analyse one project's file table (see sources.project); facts are persisted, as many sections read them."""
+    """Analyse one project's file table (see sources.project); facts are written to tables, as many sections read them."""
     files = files.persist()
     code = files.where("kind = 'code'").select(F.col("path").alias("file"), F.col("ord").alias("file_ord"), "language", "content")
-    functions = all_functions(code).persist()
+    pages, sheets = code.where("language = 'html'"), code.where("language = 'css'")
+    inline = written(markup.inline_code(pages), "inline")
+    functions = written(all_functions(code).unionByName(inline_functions(inline)), "functions")
     described = files.where("kind = 'code'").select("project_id", "path", "language", line_count("content").alias("lines"), code_line_count("content", "language").alias("code_lines"))
     scripts = code.where(F.col("language").isin("javascript", "typescript"))
     imports = extract.imports(scripts).join(files.select("project_id", F.col("path").alias("file"), F.col("ord").alias("file_ord")), "file")
-    edges = graphs.dependency_edges(graphs.resolve_imports(imports, files.select("project_id", "path"))).persist()
-    cycles = graphs.cycles(edges).persist()
-    table = rollup.mark_cyclic(rollup.file_rollup(described, functions), graphs.cyclic_files(cycles))
+    resolved = written(graphs.resolve_imports(imports, files.select("project_id", "path")), "imports")
+    edges = written(graphs.dependency_edges(resolved), "edges")
+    cycles = written(graphs.cycles(edges), "cycles")
+    table = written(rollup.mark_cyclic(rollup.file_rollup(described, functions), graphs.cyclic_files(cycles)), "files")
     sql = code.where("language = 'sql'").select("file", "content")
-    issues = sqlfacts.issues(sql).persist()
-    pages, sheets = code.where("language = 'html'"), code.where("language = 'css'")
-    checks, styles = markup.page_checks(pages).persist(), markup.style_issues(sheets).persist()
+    issues = written(sqlfacts.issues(sql), "issues")
+    place = lambda x, nth: x.select(F.struct("file", nth.alias("nth")).alias("file"), "content")
+    styled = place(sheets, F.lit(-1)).unionByName(place(inline.where("language = 'css'"), F.col("ord")))
+    checks, styles = markup.page_checks(pages).persist(), written(markup.style_issues(styled).withColumn("file", F.col("file.file")), "styles")
     share = duplicates.percentage(code.select("file", "file_ord", "content"))
     totals = rollup.summary(table, functions)
     bad = checks.select(F.expr("missing_alt + deprecated_tags + inline_handlers + cast(missing_lang as int) + cast(missing_viewport as int) + cast(missing_title as int)").alias("n"))
@@ -63,14 +130,34 @@ def analyse(files: DataFrame) -> Analysis:
     ]
     for more in one_row:
         facts = facts.crossJoin(more)  # one row each
-    facts = facts.withColumn("parse_errors", F.lit(0)).persist()
+    facts = written(facts.withColumn("parse_errors", F.lit(0)), "facts")
     scored = rollup.score(totals.crossJoin(facts.withColumn("cycle_count", F.col("cycles"))))  # one row each
     advice = advisor.advise(functions.select("file", "name", "complexity", "lines", "nesting"), table.select("path", "lines"), facts)
-    return Analysis(rollup.file_warnings(table), functions, imports, edges, cycles, scored, sqlfacts.tables(sql), sqlfacts.relations(sql), issues, styles, checks, advice)
+    tables, relations = written(sqlfacts.tables(sql), "tables"), written(sqlfacts.relations(sql), "relations")
+    schemas = files.where("kind = 'schema_json'").select("path", "content").persist()
+    sections = {
+        "style_issues": markup.first_issues(styles),
+        "page_checks": checks,
+        "duplicate_ids": markup.duplicate_ids(pages),
+        "duplicate_blocks": duplicates.top_blocks(code.select("file", "file_ord", "content")),
+        "packages": graphs.external_packages(resolved),
+        "dependency_nodes": graphs.dependency_nodes(edges, graphs.cyclic_files(cycles)),
+        **graphql_sections(files.where("kind = 'graphql'").select(F.col("path").alias("file"), "content"), schemas.withColumnRenamed("path", "file"), scripts, code),
+        **sql_sections(tables, relations, issues, code),
+        **graph_sections(*graphs.graph_of_json(schemas), "knowledge"),
+    }
+    order = Window.orderBy(F.desc("risky_functions"), F.desc("max_complexity"), F.desc("lines"), "path")
+    ranked = table.orderBy(F.desc("risky_functions"), F.desc("max_complexity"), F.desc("lines"), "path").limit(graphs.AUTO_FILES).withColumn("rank", F.row_number().over(order))
+    of_tables = written(sections["sql_tables"], "tables").withColumn("rank", F.row_number().over(Window.orderBy("inferred", "file", "name")))
+    ends = written(sections["sql_relations"], "relations").withColumn("file", F.lit("sql"))
+    nodes, links = (written(x, "graph") for x in graphs.project_graph(ranked.select("path", "rank"), functions, edges, of_tables.select("name", "file", "rank"), ends))
+    enough = F.broadcast(nodes.agg(F.count("*").alias("n")).where("n >= 3").select())  # one row at most
+    sections |= {"project_nodes": nodes.crossJoin(enough), "project_edges": links.crossJoin(enough)}
+    return Analysis(rollup.file_warnings(table), functions, imports, edges, cycles, scored, tables, relations, issues, styles, checks, advice, sections)
 
 
 def report(a: Analysis) -> DataFrame:
-    """One row with the report: totals, score, ranked files and functions, cycles and advice. Lists have fixed lengths."""
+    """One row with the report: totals, score, ranked files and functions, cycles, advice and the sections. Lists have fixed lengths."""
     listed = lambda df, name: df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
     parts = [
         a.summary.select(F.struct("total", "grade", "components").alias("score"), F.struct("file_count", "function_count", "total_lines", "total_code_lines", "risky_functions", "long_functions", "deep_functions", round1(F.col("avg_complexity")).alias("avg_complexity")).alias("summary")),
@@ -78,8 +165,8 @@ def report(a: Analysis) -> DataFrame:
         listed(rollup.top_functions(a.functions, rollup.TOP_FUNCTIONS, "file", "line"), "functions"),
         listed(rollup.histogram(a.functions), "histogram"),
         listed(a.cycles.select("path"), "cycles"),
-        listed(a.sql_tables.limit(200), "sql_tables"),
         listed(a.advice, "advice"),
+        *(written(listed(df, name), "section") for name, df in a.sections.items()),
     ]
     out = parts[0]
     for p in parts[1:]:

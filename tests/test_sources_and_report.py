@@ -52,6 +52,25 @@ def test_report(spark, tmp_path):
     assert doc["score"]["components"][3]["score"] == 82
 
 
+def test_report_has_all_sections(spark):
+    page = "<html>\n<style>#a { }</style><body id='x' id2>\n<p id='x'></p><script>\nfunction f(a) { return a ? 1 : 2; }\n</script></body></html>"
+    block = "\n".join(f"export const value{k} = 'a rather long line of text {k}';" for k in range(12))
+    introspection = {"__schema": {"types": [{"kind": "OBJECT", "name": "Z", "fields": [{"name": "q", "type": {"kind": "LIST", "ofType": {"kind": "OBJECT", "name": "A"}}}]}]}}
+    files = {
+        "p.html": page, "a.js": "import x from 'lib/x';\nimport b from './b';\n" + block, "b.js": block, "q.py": "s = 'SELECT oo.x FROM orders oo JOIN items AS it ON oo.id = it.order_id'\n", "t.sql": "CREATE TABLE t (id INT);", "s.graphql": "type Query { a: [A] }\ntype A { bs: [A] }",
+        "t.js": "const t = gql`type T { x: Int }`;", "schema.json": json.dumps(introspection), "graph.json": json.dumps({"nodes": [{"id": "n"}, {"id": "m"}], "links": [{"source": "n", "target": "m", "label": "r"}]}), "resolvers.js": "export default { Query: { z: 1 } }",
+    }
+    rows = spark.createDataFrame([("p", p, c) for p, c in files.items()], "project_id string, path string, content string")
+    doc = json.loads(report.report(report.analyse(project.from_table(rows))).first()["report"])
+    names = lambda section, key="name": {x.get(key) for x in doc[section]}
+    assert [(f["name"], f["file"], f["line"], f["complexity"]) for f in doc["functions"]] == [("<script> f", "p.html", 5, 2)]
+    assert ("p.html", "empty-rule") in {(x["file"], x["type"]) for x in doc["style_issues"]} and names("duplicate_ids", "id") == {"x"}
+    assert names("graphql_types") == {"Query", "A", "T", "Z"} and names("graphql_n_plus_one", "type") == {"A", "Z"}
+    assert names("sql_tables") == {"t", "orders", "items"} and names("sql_relations", "from") == {"orders"} and doc["sql_queries"][0]["queries"] == 1
+    assert len(doc["duplicate_blocks"]) == 1 and names("packages") == {"lib"} and names("dependency_nodes", "id") == {"a.js", "b.js"}
+    assert names("knowledge_nodes", "id") == {"n", "m"} and names("knowledge_relations") == {"r"} and "table:orders" in names("project_nodes", "id") and doc["project_edges"]
+
+
 def test_stream(spark, tmp_path):
     rows = [("p", "a.py", "x\ny", "2024-01-01 00:00:01"), ("p", "b.py", "x", "2024-01-01 00:00:02"), ("p", "c.png", "x", "2024-01-01 00:00:03")]
     df = spark.createDataFrame(rows, "project_id string, path string, content string, arrived string").selectExpr("project_id", "path", "content", "CAST(arrived AS timestamp) AS arrived")
