@@ -11,18 +11,23 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of this machine only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; where that is unset, as in tests, a temporary one, but only for a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.applicationId not in _own:
         _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return _own[spark.sparkContext.applicationId]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table and read it back: this cuts its lineage, and a lost executor costs nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
