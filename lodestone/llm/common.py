@@ -1,51 +1,67 @@
-"""Shared helpers: scratch tables in the folder all executors share, and Arrow batches of bounded size."""
+"""Shared helpers: broadcasts of bounded size, ids that don't tell rows apart, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which the side of a join is broadcast; it is counted first, and beyond the bound the join shuffles.
-BROADCAST_ROWS = 1_000_000
+from lodestone.sources.tables import new_path, shared_folder, written  # noqa: F401
+
+#: Bytes up to which the side of a join is broadcast; its rows are measured first, and beyond the bound the join shuffles.
+BROADCAST_BYTES = 16 << 20
+#: Rows up to which all of them may share a key and be joined in one task.
+FEW = 500_000
 #: Bytes of text that a Python task works on at once.
 CHUNK_BYTES = 4 << 20
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own: dict[str, str] = {}
 
+def width(df: DataFrame) -> Column:
+    """About the bytes of a row as a broadcast holds it."""
+    sizes = [F.lit(8)]
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16)
+        elif kind in ("array", "map", "struct", "variant"):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0)))
+        else:
+            sizes.append(F.lit(8))
+    return sum(sizes[1:], sizes[0]).cast("long")
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the (already written) table has at most ``limit`` bytes by its rows, otherwise a sort-merge join."""
+    size = df.agg(F.sum(width(df))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df.hint("merge")
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of this machine only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.applicationId not in _own:
-        _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _own[spark.sparkContext.applicationId]
 
+def splittable(sums: DataFrame, rows: int, name: str) -> DataFrame:
+    """Sums by key that are about to be joined with the ``rows`` rows they sum up.
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    Spark splits the rows of a hot key only if the sums come from a table, so they are written, unless the rows are few.
+    """
+    return written(sums, name) if rows > FEW else sums
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: it cuts the lineage and outlives any executor."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def odd_ids(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether an id is null or stands for several rows, so that ids alone don't tell rows apart."""
+    found = docs.groupBy(id_col).count()
+    return not found.where(F.col(id_col).isNull() | (F.col("count") > 1)).isEmpty()
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the (already written) table has at most ``limit`` rows, otherwise leave the join to Spark."""
-    return F.broadcast(df) if df.count() <= limit else df
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ascii_lower(text: Column | str) -> Column:
