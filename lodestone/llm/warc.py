@@ -3,7 +3,8 @@
 Tasks write archives of gzip members, one a record, into the shared folder, and return an index row for each record:
 file, offset, length, url and digest. An archive's name is its task attempt's own, and the index is stored before it is
 used, so a repeated or lost attempt leaves a file that no row names. Reading starts at the index: the selected rows are
-dealt by archive, sorted by offset, neighbouring ranges are joined into one read, and the records are cut out of it.
+dealt by spans of the archives to as many tasks as their bytes ask for, sorted by offset, neighbouring ranges are joined
+into one read, and the records are cut out of it.
 
 Equal payloads of at least ``LEAST`` bytes are stored once, as the response of the smallest page_id; other pages with
 that payload have a revisit record that names it.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,14 +31,22 @@ LEAST = 100
 ROLL = 64 << 20
 #: Bytes between two wanted records that are read along rather than skipped.
 GAP = 64 << 10
-#: Bytes of one read at most, unless a single record is longer.
+#: Bytes of one read at most, unless a single record is longer; also the span of an archive whose records one task reads.
 SPAN = 8 << 20
+#: Bytes of records that a reading task gets, about.
+TASK = 64 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
 
 
+def arrow_uri(path: str) -> str:
+    """A folder as Arrow names it: Hadoop's s3a and s3n are s3 there, and a bare path is a file's."""
+    path = re.sub("^s3[an]://", "s3://", path)
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """Any store that Arrow opens by its URI: a shared folder (file:), an object store or HDFS."""
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return pafs.FileSystem.from_uri(arrow_uri(path))
 
 
 def record(page_id: int | None, url: str | None, body: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -161,7 +171,11 @@ def read_records(selected: DataFrame, folder: str) -> DataFrame:
         if opened is not None:
             opened.close()
 
-    dealt = selected.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    size, rows = selected.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    # a number of its own, which Spark doesn't merge by the size of the index; few bytes still use all cores
+    tasks = max(1, min(rows, max(-(-size // TASK), selected.sparkSession.sparkContext.defaultParallelism)))
+    span = F.floor(F.col("offset") / max(1, min(SPAN, size // (4 * tasks))))
+    dealt = selected.select("file", "offset", "length").repartition(tasks, "file", span).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
