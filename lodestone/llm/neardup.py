@@ -17,9 +17,14 @@ Estimation for High Similarities using Odd Sketches", 2014), which tells 0.75 fr
 shingles. A pair is not confirmed if the sketches rule it out: surely, by more odd cells than sets at the threshold
 differ in shingles, or with ``SLACK`` standard deviations.
 
-Steps 2 and 3 look only into buckets that hold several components; such a bucket is cut into tiles of at most
-``TILE`` x ``TILE`` rows, so no task ever holds a bucket. Components come from alternating large-star and small-star
-steps (Kiveris et al., 2014) over tables in the shared folder.
+Steps 2 and 3 look only into buckets that hold several components. Such a bucket is cut by the sets' sizes into classes
+of the ratio 3/4, and only rows of one class or of neighbouring ones meet, in tiles of about ``TILE`` x ``TILE`` rows, so
+no task ever holds a bucket. Components come from alternating large-star and small-star steps (Kiveris et al., 2014) over
+tables in the shared folder. Of many rows, whatever is summed up by bucket or node is written before it is joined with
+the rows of that bucket or node, so that Spark can split those of a hot one.
+
+A representative is numbered when its table is written: doc_ids play no part in the links, so that null and repeated
+ones do no harm; a component gets its smallest doc_id in the end.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, small, written
+from lodestone.llm.common import WORD, chunks, free_name, odd_ids, small, splittable, written
 from lodestone.llm.shingles import mix, shingle_sets
 
 THRESHOLD = 0.75
@@ -67,7 +72,7 @@ def signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands, sketch): two 64-bit hashes of the whole set, band keys and sketch."""
+    """(doc_id, print, n_shingles, set_a, set_b, bands, sketch): a hash of the text, two of its set, band keys and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 20):
@@ -92,22 +97,27 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 odd = (np.bincount(cell, minlength=n * 64 * ODD) & 1).astype(np.uint8)
                 sketch[:, WORDS:] = np.packbits(odd, bitorder="little").view(np.uint64).reshape(n, ODD)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, n * w + 1, w), pa.int32()), pa.array(x.ravel().view(np.int64))) for x, w in ((bands, BANDS), (sketch, WORDS + ODD))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), *(pa.array(x.view(np.int64)) for x in whole), *lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
+            columns = [batch.column("doc_id"), batch.column("print"), pa.array(size), *(pa.array(x.view(np.int64)) for x in whole), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "n_shingles", "set_a", "set_b", "bands", "sketch"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_print(text_col).alias("print"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, print long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rep, shingles): the sorted 64-bit hashes of a document's distinct shingles."""
+def text_print(text_col: str = "text") -> Column:
+    """A hash that tells the texts of one doc_id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def full_sets(texts: DataFrame) -> DataFrame:
+    """(rep, shingles) of (rep, text): the sorted 64-bit hashes of a text's distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             values, at = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))], ["rep", "shingles"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "rep long, shingles array<long>")
+    return texts.select("rep", "text").mapInArrow(run, "rep long, shingles array<long>")
 
 
 def _different(a: str, b: str, start: int, end: int) -> Column:
@@ -155,9 +165,10 @@ def components(links: DataFrame) -> DataFrame:
     """
 
     def lowest(edges: DataFrame) -> DataFrame:
-        return edges.groupBy("u").agg(F.min("v").alias("m"))
+        return splittable(edges.groupBy("u").agg(F.min("v").alias("m")), rows, "lowest")
 
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
+    rows = 2 * edges.count()
     while True:
         # stars: a node below another one is below no third, and above none
         ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("below")), F.struct(F.col("v").alias("node"), F.lit(0).alias("below")))).alias("e"))
@@ -171,24 +182,36 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(star, "small-star")
 
 
-def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _rooted(members: DataFrame, roots: DataFrame, rows: int) -> DataFrame:
     """Members of buckets that hold several components, each with its component."""
     x = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
-    mixed = x.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low != high").select("key", "m")
-    return x.join(mixed, "key")
+    mixed = x.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
+    return x.join(splittable(mixed, rows, "mixed"), "key")
 
 
 def _across(rooted: DataFrame, threshold: float) -> DataFrame:
-    """Plausible pairs of different components in one bucket, tile by tile: (a, b, agreement), a < b."""
-    blocks = F.ceil(F.col("m") / TILE).cast("int")
-    x = rooted.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # tile (i, j), i <= j, gets block i on the left and block j on the right
-    left = x.withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumnRenamed("block", "i")
-    right = x.withColumn("i", F.explode(F.sequence(F.lit(0), "block"))).withColumnRenamed("block", "j")
-    a, b = (y.select("key", "i", "j", "rep", "comp", "size", "sketch") for y in (left, right))
+    """Plausible pairs of different components in one bucket, tile by tile: (a, b, agreement), a < b.
+
+    Sets that reach the threshold are of one size class or of neighbouring ones. Of a pair of classes (c, c + 1) both are
+    cut into blocks by a hash, and every block of the one meets every block of the other; of (c, c) each unordered pair.
+    """
+    x = rooted.withColumn("class", F.floor(F.log(F.col("size") + 0.5) / math.log(1 / threshold)).cast("int"))
+    rows = rooted.count()
+    counts = splittable(x.groupBy("key", "class").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")), rows, "classes")
+    above = counts.select("key", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above"))
+    below = counts.select("key", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below"))
+    sized = splittable(counts.join(above, ["key", "class"], "left").join(below, ["key", "class"], "left").na.fill(0), rows, "class-blocks")
+    x = x.join(sized, ["key", "class"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    tile = lambda low, i, j: F.struct(low.alias("low"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    # tile (2 c, i, j), i <= j, is of class c alone; (2 c + 1, i, j) has block i of class c on the left, j of class c + 1 on the right
+    own = F.col("class") * 2
+    left = F.concat(F.transform(F.sequence("block", F.col("blocks") - 1), lambda j: tile(own, F.col("block"), j)), F.transform(upto(F.col("above")), lambda j: tile(own + 1, F.col("block"), j)))
+    right = F.concat(F.transform(F.sequence(F.lit(0), "block"), lambda i: tile(own, i, F.col("block"))), F.transform(upto(F.col("below")), lambda i: tile(own - 1, i, F.col("block"))))
+    a, b = (x.select("key", F.explode(side).alias("t"), "rep", "comp", "size", "sketch").select("key", "t.*", "rep", "comp", "size", "sketch") for side in (left, right))
     a, b = a.alias("a"), b.alias("b")
-    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
-    once = (F.col("a.i") != F.col("a.j")) | (F.col("a.rep") < F.col("b.rep"))
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    once = (F.col("a.low") % 2 != 0) | (F.col("a.i") != F.col("a.j")) | (F.col("a.rep") < F.col("b.rep"))
     pairs = a.join(b, same & (F.col("a.comp") != F.col("b.comp")) & once & _plausible("a", "b", threshold))
     return pairs.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"), _agreement("a", "b").alias("agreement")).distinct()
 
@@ -199,26 +222,36 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable, itself included) and kept (doc_id =
     component_id), one row for each row of ``docs``. A set holds the distinct five-word shingles of a text (words split
     at U+0009-U+000D and U+0020, A-Z lower-cased); with fewer words, the whole sequence as one. A null text is an empty
-    one; without words a document is linked with nothing and keeps itself. Rows that repeat a doc_id count as documents
-    of one component if their texts are linked; a null doc_id stands for no document others could be grouped under: such a
-    row gets the component of its set's smallest doc_id, or null, and is kept only if that is null. Other columns are
-    not read. An empty table gives an empty one.
+    one; without words a document is linked with nothing and keeps itself. Rows that repeat a doc_id are documents of
+    their own, each linked by its own text. A null doc_id is linked like any other, but gives its name to a component
+    only if all its doc_ids are null: component_id is null then, and its rows count as kept. Other columns are not read. An
+    empty table gives an empty one.
     """
+    x = _grouped(docs, id_col, text_col, threshold)
+    return x.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(doc_id, print, n_shingles, component_id, root): root tells components apart; it is null for texts without words."""
     described = written(describe(docs, id_col, text_col), "described")
-    sized = described.where("n_shingles > 0 and doc_id is not null")
-    # identical sets: one representative, the smallest doc_id
-    reps = written(sized.groupBy("set_a", "set_b", "n_shingles").agg(F.min_by(F.struct("doc_id", "bands", "sketch"), "doc_id").alias("r")).select(F.col("r.doc_id").alias("rep"), "set_a", "set_b", F.col("n_shingles").alias("size"), "r.bands", "r.sketch"), "representatives")
+    # identical sets: one representative
+    first = described.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct(F.col("doc_id").alias("of"), "print", "bands", "sketch"), F.struct("doc_id", "print")).alias("r"))
+    # the number is stored with the table, so that it stays when a task is repeated later on
+    reps = written(first.select(F.monotonically_increasing_id().alias("rep"), "doc_id", "set_a", "set_b", F.col("n_shingles").alias("size"), "r.of", "r.print", "r.bands", "r.sketch"), "representatives")
     spread = reps.select("rep", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high").select("key")
+    shared = splittable(shared, BANDS * reps.count(), "shared")
     keyed = written(spread.join(shared, "key"), "buckets")
     involved = written(keyed.select("rep").distinct(), "involved")
-    described_reps = reps.select("rep", "size", "sketch").join(small(involved), "rep")
-    members = written(keyed.join(described_reps, "rep"), "members")
-    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(small(involved.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
-    # a doc_id may stand for several rows: the one whose set is the representative's counts
-    sets = full_sets(wanted).groupBy("rep").agg(F.max_by("shingles", F.size("shingles")).alias("shingles")) if _repeats(described) else full_sets(wanted)
-    sets = written(sets, "sets")
-
+    described_reps = written(reps.select("rep", "size", "sketch", "of", "print").join(small(involved), "rep"), "involved")
+    members = written(keyed.join(described_reps.select("rep", "size", "sketch"), "rep"), "members")
+    t = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("its", text_print())
+    who = small(described_reps.select("rep", "of", "print"))
+    sets = full_sets(t.join(who, t.id.eqNullSafe(who.of) & (t.its == who.print)))
+    # rows that repeat both id and text have the same set
+    sets = written(sets if described.groupBy("doc_id", "print").count().where("count > 1").isEmpty() else sets.dropDuplicates(["rep"]), "sets")
+
+    rows = keyed.count()
     # 1. the most alike of the pivots, again as long as that finds links, with other pivots and between components only
     links = roots = None
     for turn in range(TURNS):
@@ -226,7 +259,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
         now = now.withColumn("comp", F.col("rep") if roots is None else F.coalesce("root", "rep"))
         who = F.struct("rep", "size", "sketch", "comp")
         ranks = ["rep", *(F.xxhash64(F.lit(turn * PIVOTS + k), "rep") for k in range(1, PIVOTS))]
-        pivots = now.groupBy("key").agg(*(F.min_by(who, rank).alias(f"p{k}") for k, rank in enumerate(ranks)))
+        pivots = splittable(now.groupBy("key").agg(*(F.min_by(who, rank).alias(f"p{k}") for k, rank in enumerate(ranks))), rows, "pivots")
         tried = now.join(pivots, "key").select("rep", who.alias("a"), F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("b"))
         tried = tried.where((F.col("a.comp") != F.col("b.comp")) & _plausible("a", "b", threshold))
         best = tried.groupBy("rep").agg(F.max_by("b.rep", F.struct(_agreement("a", "b"), -F.col("b.rep"))).alias("other"))
@@ -238,7 +271,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
         roots = components(links)
 
     # 2. the most alike member of another component, 3. all that is left between components
-    rooted = written(_rooted(members, roots), "rooted")
+    rooted = written(_rooted(members, roots, rows), "rooted")
     if not rooted.isEmpty():
         across = written(_across(rooted, threshold), "across")
         ends = across.select("a", "b", "agreement", F.explode(F.array("a", "b")).alias("rep"))
@@ -253,23 +286,32 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
         if not more.isEmpty():
             roots = components(links.union(more))
 
-    of_set = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "size", F.coalesce("root", "rep").alias("component"))
-    d = described.select("doc_id", "n_shingles", "set_a", "set_b").alias("d")
-    r = of_set.alias("r")
+    # components by their smallest doc_id; most sets are alone in theirs
+    rooted = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = written(rooted.select("set_a", "set_b", "size", "doc_id", "root"), "rooted")
+    named = splittable(rooted.groupBy("root").agg(F.min("doc_id").alias("component")), rooted.count(), "named")
+    of_set = rooted.join(named, "root").select("set_a", "set_b", "size", "root", "component")
+    d, r = described.select("doc_id", "print", "n_shingles", "set_a", "set_b").alias("d"), of_set.alias("r")
     joined = d.join(r, (F.col("d.set_a") == F.col("r.set_a")) & (F.col("d.set_b") == F.col("r.set_b")) & (F.col("d.n_shingles") == F.col("r.size")), "left")
-    component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def _repeats(described: DataFrame) -> bool:
-    return described.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count() > 0
+    return joined.select("doc_id", "print", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "root")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: one document of each group, the one with the smallest doc_id, stays with all its columns.
 
-    Documents without words stay. Of rows that repeat a doc_id all stay or all go.
+    Documents without words stay. Null doc_ids come last; of rows of a group with the same smallest doc_id, or with null
+    ones alone, the one whose text has the smallest hash stays, once.
     """
-    gone = written(groups(docs).where(~F.col("kept")).select("doc_id").distinct(), "near")
-    ids = small(gone)
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_anti")
+    found = written(_grouped(docs, "doc_id", "text", THRESHOLD), "near")
+    if not odd_ids(found):
+        ids = small(written(found.where("doc_id != component_id").select("doc_id"), "gone"))
+        return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    # ids alone don't tell rows apart: the text's hash has to as well
+    chosen = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "print")).alias("c"))
+    chosen = written(chosen.select(F.col("c.doc_id").alias("id"), F.col("c.print").alias("its")), "chosen")
+    mark = free_name(docs, "text_print")
+    keyed = docs.withColumn(mark, text_print())
+    bare = ~F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
+    rest, ids = keyed.where(~bare), small(chosen)
+    left = rest.join(ids, rest.doc_id.eqNullSafe(ids.id) & (rest[mark] == ids.its), "left_semi").dropDuplicates(["doc_id", mark])
+    return keyed.where(bare).unionByName(left).drop(mark)
