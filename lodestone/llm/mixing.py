@@ -6,9 +6,12 @@ directions chosen so that expectations stay, until one of them is 0 or 1; it is
 next pair. As the mass that moves is counted in words, a source's words stay exactly at its target until one fraction
 is left, so the mix ends within one document of the target.
 
-The pairs form a reduction tree: blocks of about ``BLOCK`` documents, dealt by a hash, are folded on their own, and each
-leaves one open document for the next level's blocks. A source that holds a third of all rows is thousands of blocks.
-All of it is DataFrame functions; the random numbers are hashes of ids, so reruns agree.
+The pairs form a reduction tree. Its first block are the documents of over 1 / ``HEAVY`` of their source (fewer than
+``HEAVY`` each): what they leave open is paired with all other documents of the source taken as one, whose fractions rise
+or fall in proportion, so that none leaves 0 to 1 and expectations stay. The others then make blocks of about ``BLOCK``,
+dealt by a hash; each is folded on its own and leaves one open document for the next level's blocks. A source that holds a
+third of all rows is thousands of blocks. All of it is DataFrame functions; the random numbers are hashes of ids, so
+reruns agree.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ BLOCK = 64
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
-#: A document of more than 1 / HEAVY of its source is rounded before the others.
+#: Documents of more than 1 / HEAVY of their source are the tree's first block.
 HEAVY = 100
 #: Fractions nearer to 0 or 1 than this are integral.
 EPS = 1e-9
@@ -129,49 +132,63 @@ def round_fractions(rows: DataFrame, seed: int = 0, block: int = BLOCK) -> DataF
     return out
 
 
+def _first_block(rows: DataFrame, pool: DataFrame, seed: int) -> DataFrame:
+    """The heavy rows of each part folded, and what they leave open paired with the part's other rows as one.
+
+    ``pool`` has part, mass (sum of size * p) and room (sum of size * (1 - p)). Returns part, done (the heavy rows, all
+    settled) and how much of its mass, or of its room, the pool has lost: down, up.
+    """
+    f = rows.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("size", "id", "nth", "p")), asc=False).alias("rows"))
+    f = written(f.select("part", _fold(F.col("rows"), seed).alias("f")), "first-block").alias("f")
+    q = pool.alias("q")
+    x = f.join(q, F.col("f.part").eqNullSafe(F.col("q.part")), "left").select("f.part", "f.f", *(F.coalesce(f"q.{c}", F.lit(0.0)).alias(c) for c in ("mass", "room")))
+    a = F.col("f.open")
+    gain, loss = F.least((1 - a["p"]) * a["size"], F.col("mass")), F.least(a["p"] * a["size"], F.col("room"))
+    x = x.withColumns({"gain": gain, "loss": loss}).withColumn("to_a", _uniform(F.lit(seed + 7), a["id"], a["nth"]) * (F.col("gain") + F.col("loss")) < F.col("loss"))
+    p = a["p"] + F.when(F.col("to_a"), F.col("gain")).otherwise(-F.col("loss")) / a["size"]
+    # still open only if the pool has nothing more to give or take
+    last = F.when((p < EPS) | (p > 1 - EPS), F.round(p)).otherwise((_uniform(F.lit(seed + 8), a["id"], a["nth"]) < p).cast("double"))
+    share = lambda moved, whole: F.when(F.col(whole) > 0, F.least(F.col(moved) / F.col(whole), F.lit(1.0))).otherwise(0.0)
+    down, up = F.when(F.col("to_a"), share("gain", "mass")).otherwise(0.0), F.when(F.col("to_a"), 0.0).otherwise(share("loss", "room"))
+    return x.select("part", F.concat(F.col("f.done"), F.array(_settled(a, last))).alias("done"), down.alias("down"), up.alias("up"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
     """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken.
 
     One row for each row of ``docs``. A size is a number of words; null and empty texts have 0, are taken with the
-    whole part of their source's rate, and add nothing. The null source is a source of its own, the last. Repeated rows
-    are documents of their own, told apart by a number among equal ids. A null doc_id counts as one id. An empty table
-    gives an empty one. Other columns are not read.
+    whole part of their source's rate, and add nothing. The null source is a source of its own, the last. Rows with null
+    or repeated ids are documents of their own, told apart by a hash of their text and, if that is equal too, by a number.
+    An empty table gives an empty one. Other columns are not read.
     """
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    text = F.col(text_col).cast("string")
+    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("part"), word_count(text).alias("size"), F.xxhash64(text).alias("nth"))
     sized = written(sized, "sized")
-    wanted = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    t = small(wanted)
-    x = sized.join(t, sized.source.eqNullSafe(t.source)).drop(t.source)
+    wanted = targets(sized.groupBy(F.col("part").alias("source")).agg(F.sum("size").alias("source_size")), weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(rate + EPS)
-    x = x.withColumn("whole", whole.cast("long")).withColumn("p", F.greatest(rate - whole, F.lit(0.0)))
+    wanted = wanted.withColumn("whole", F.floor(rate + EPS).cast("long")).withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0)))
+    t = small(written(wanted, "targets"))
+    x = sized.join(t, sized.part.eqNullSafe(t.source))
     settled = (F.col("p") < EPS) | (F.col("size") == 0)
-    fixed = x.where(settled).withColumn("copies", F.col("whole"))
-    open_rows = x.where(~settled)
-    # equal rows are interchangeable, so numbering them needs no order among them
-    repeated = open_rows.groupBy("doc_id").count().where("count > 1").limit(1)
-    nth = F.lit(0) if repeated.isEmpty() else F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("size"))
-    open_rows = written(open_rows.withColumn("nth", nth.cast("long")), "open")
-
-    # documents that are a large share of their source go first; what rounding them costs is shared out over the rest
-    heavy = F.col("size") * HEAVY > F.col("source_size")
-    first = written(_rounded(open_rows.where(heavy), seed + 1), "heavy")
-    debt = first.groupBy("source").agg(F.sum((F.col("more") - F.col("p")) * F.col("size")).alias("debt"))
-    room = open_rows.where(~heavy).groupBy("source").agg(F.sum("size").alias("room"))
-    d, r = debt.alias("d"), room.alias("r")
-    shift = small(written(d.join(r, F.col("d.source").eqNullSafe(F.col("r.source"))).select("d.source", (F.col("debt") / F.col("room")).alias("shift")), "shift"))
-    light = open_rows.where(~heavy)
-    light = light.join(shift, light.source.eqNullSafe(shift.source), "left").drop(shift.source)
-    light = light.withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") - F.coalesce("shift", F.lit(0.0))))).drop("shift")
-    parts = first.unionByName(_rounded(light, seed)).withColumn("copies", F.col("whole") + F.round("more").cast("long"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "copies"]
-    return fixed.select(columns).unionByName(parts.select(columns)).withColumn("taken", F.col("copies") * F.col("size"))
-
-
-def _rounded(rows: DataFrame, seed: int) -> DataFrame:
-    """The rows with ``more``, their p settled to 0 or 1."""
-    rows = written(rows, "to-round")
-    done = round_fractions(rows.select(F.col("source").alias("part"), F.col("doc_id").alias("id"), "nth", "size", "p"), seed)
-    r, d = rows.alias("r"), done.select("id", "part", "nth", "size", F.col("p").alias("more")).alias("d")
-    same = F.col("r.doc_id").eqNullSafe(F.col("d.id")) & F.col("r.source").eqNullSafe(F.col("d.part")) & (F.col("r.nth") == F.col("d.nth")) & (F.col("r.size") == F.col("d.size"))
-    return r.join(d, same).select("r.*", "d.more")
+    rows = x.where(~settled).select("part", "id", "nth", "size", "p", (F.col("size") * HEAVY > F.col("source_size")).alias("heavy"))
+    if not rows.groupBy("part", "id", "nth").count().where("count > 1").isEmpty():
+        # equal rows are interchangeable, so numbering them needs no order among them
+        again = F.row_number().over(Window.partitionBy("part", "id", "nth", "size").orderBy("size"))
+        rows = rows.withColumn("nth", F.when(again > 1, F.xxhash64("nth", again)).otherwise(F.col("nth")))
+    rows = written(rows, "open")
+    done = x.where(settled).select("part", "size", "id", F.lit(0.0).alias("more"))
+
+    pool = written(rows.where(~F.col("heavy")).groupBy("part").agg(F.sum(F.col("size") * F.col("p")).alias("mass"), F.sum(F.col("size") * (1 - F.col("p"))).alias("room")), "pool")
+    first = written(_first_block(rows.where("heavy"), pool, seed + 1), "heavy")
+    done = done.unionByName(first.select("part", F.explode("done").alias("d")).select("part", "d.size", "d.id", F.col("d.p").alias("more")))
+    shift = small(first.select("part", "down", "up"))
+    light = rows.where(~F.col("heavy"))
+    light = light.join(shift, light.part.eqNullSafe(shift.part), "left").drop(shift.part)
+    p = F.col("p") * (1 - F.coalesce("down", F.lit(0.0)))
+    light = written(light.select("part", "id", "nth", "size", (p + (1 - p) * F.coalesce("up", F.lit(0.0))).alias("p")), "light")
+    integral = (F.col("p") < EPS) | (F.col("p") > 1 - EPS)
+    done = done.unionByName(light.where(integral).select("part", "size", "id", F.round("p").alias("more")))
+    done = done.unionByName(round_fractions(light.where(~integral), seed).select("part", "size", "id", F.col("p").alias("more")))
+    # what else there is to tell is the source's
+    out = done.join(t, done.part.eqNullSafe(t.source)).withColumn("copies", F.col("whole") + F.round("more").cast("long"))
+    return out.select(F.col("id").alias("doc_id"), F.col("part").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
