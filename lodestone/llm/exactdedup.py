@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, chunks, small, written
+from lodestone.llm.common import ascii_lower, chunks, free_name, odd_ids, small, written
 from lodestone.llm.shingles import mix, text_bytes
 
-#: Keys for which one filter is built: about 75 kB of filter, whatever the snapshot's size.
+#: Digests of a shard, the snapshot's or the batch's, whichever are more: a filter has at most about 75 kB.
 SHARD_KEYS = 1 << 16
 
 
@@ -146,7 +146,7 @@ def dedup(snapshot: DataFrame, batch: DataFrame, id_col: str = "doc_id", text_co
     """
     known, new = (written(digests(x, id_col, text_col), f"digests-{k}") for k, x in enumerate((snapshot, batch)))
     old_groups, new_groups = written(buckets(known), "snapshot"), written(buckets(new), "batch")
-    shards = max(1, math.ceil(old_groups.count() / shard_keys))
+    shards = max(1, math.ceil(max(old_groups.count(), new_groups.count()) / shard_keys))
     passed = screen(new_groups, build_filters(old_groups, shards), shards)
     o, n = old_groups.alias("o"), new_groups.alias("n")
     hits = written(
@@ -192,16 +192,16 @@ def keep_last(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: of equal texts the row with the largest doc_id stays, with all its columns.
 
     Of repeated rows (same doc_id, same text) one stays. Rows whose doc_id is null stay only if no row of the group
-    has one. Extra columns are kept as they are; none of them may be named __sha.
+    has one; then one of them does. Extra columns are kept as they are, whatever their names.
     """
     result = written(dedup(*halves(docs)), "exact")
     dropped = result.where(~F.col("kept"))
-    per_id = result.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    if per_id.where("rows > 1").isEmpty():
+    if not odd_ids(result):
         ids = small(written(dropped.select("doc_id"), "dropped"))
-        return docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_anti")
+        return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
     # ids that occur more than once don't tell rows apart: the digest has to as well
-    gone = written(dropped.select(F.col("doc_id").alias("id"), "text_sha256").distinct(), "dropped")
-    keyed = docs.withColumn("__sha", F.sha2(F.encode(ascii_lower("text"), "utf-8"), 256))
-    left = keyed.join(small(gone), keyed.doc_id.eqNullSafe(gone.id) & (keyed["__sha"] == gone.text_sha256), "left_anti")
-    return left.dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    gone = small(written(dropped.select(F.col("doc_id").alias("id"), "text_sha256").distinct(), "dropped"))
+    sha = free_name(docs, "text_sha")
+    keyed = docs.withColumn(sha, F.sha2(F.encode(ascii_lower("text"), "utf-8"), 256))
+    left = keyed.join(gone, keyed.doc_id.eqNullSafe(gone.id) & (keyed[sha] == gone.text_sha256), "left_anti")
+    return left.dropDuplicates(["doc_id", sha]).drop(sha)
