@@ -2,9 +2,10 @@
 
 A linear classifier after Wang and Manning, "Baselines and Bigrams" (2012): the presence of each hashed character n-gram
 counts as the log ratio of its smoothed rates in toxic and other labelled texts, and a logistic regression over those
-scaled features gives the score. Learning takes at most ``SAMPLE`` labelled rows, chosen by a hash of doc_id; executors
-turn them into counts and indices, so the driver sees arrays whose size doesn't depend on the data. Scoring reads every
-whole text once, in Python tasks over Arrow batches.
+scaled features gives the score. Features are all buckets whose presence tells more of the label than ``EVIDENCE``, however
+many they are. Learning takes at most ``SAMPLE`` labelled rows, chosen by a hash of doc_id; executors turn them into
+counts and indices, so the driver sees arrays whose size doesn't depend on the data: 1 MB a label, and for each row of the
+sample the features it has. Scoring reads every whole text once, in Python tasks over Arrow batches.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from lodestone.llm.common import chunks, written
 SAMPLE = 12_000
 ORDERS = (3, 4, 5)
 BITS = 18
-FEATURES = 1024
-#: What a feature's log-likelihood ratio has to exceed: chance gives one n-gram in 5,000 that much.
+#: What twice a feature's log-likelihood ratio has to exceed: chance gives one n-gram in 5,000 that much.
 EVIDENCE = 14.0
 THRESHOLD = 0.3
+PENALTY = 1e-3
 _TASKS = 12
 
 
@@ -91,15 +92,15 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int, label: str) -> DataFr
     return written(one.repartition(_TASKS, "doc_id"), "training")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression by Adam steps over all rows, at a rate that falls to nothing."""
+def _logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, width: int, y: np.ndarray, penalty: float = PENALTY, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """L2-regularised logistic regression over a sparse matrix, by Adam steps over all rows, at a rate that falls to nothing."""
     share = np.clip(y.mean(), 1 / (len(y) + 2), 1 - 1 / (len(y) + 2))
-    w = np.append(np.zeros(x.shape[1]), np.log(share / (1 - share)))  # the last is the bias
+    w = np.append(np.zeros(width), np.log(share / (1 - share)))  # the last is the bias
     first, second = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, steps + 1):
-        z = x @ w[:-1].astype(np.float32) + w[-1]
+        z = np.bincount(row, value * w[column], minlength=len(y)) + w[-1]
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        slope = np.append(error.astype(np.float32) @ x + penalty * w[:-1], error.sum())
+        slope = np.append(np.bincount(column, value * error[row], minlength=width) + penalty * w[:-1], error.sum())
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         w -= rate * (1 - k / steps) * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -116,8 +117,8 @@ def _evidence(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, label: str = "toxic") -> Model:
     """Learn from the documents that ``labels`` (doc_id, 0 or 1 in ``label``) marks; rows without a label are left out.
 
-    A doc_id with several labels has the largest. Without any labelled row every score is 0.5, with one class alone the
-    scores are near its label.
+    A doc_id with several labels has the largest. Without any labelled row every score is 0.5; with one class alone no
+    n-gram tells anything, and all texts have the same score, near its label.
     """
     sample = _sample(docs, labels, rows, label)
 
@@ -141,12 +142,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, label: str = "to
         counts[r.y] += np.frombuffer(r.counts, np.int32)
         sizes[r.y] += r.n
     if not sizes.sum():
-        return Model(np.full(1 << BITS, -1, np.int64), np.zeros(1), 0.0)
+        return Model(np.full(1 << BITS, -1, np.int64), np.zeros(0), 0.0)
     rates = (counts + 1) / (counts + 1).sum(axis=1, keepdims=True)
     ratio = np.log(rates[1] / rates[0])
     evidence = _evidence(counts, sizes)
-    best = np.lexsort((np.arange(len(evidence)), -evidence))[:FEATURES]
-    best = np.sort(best[evidence[best] > EVIDENCE])
+    best = np.flatnonzero(evidence > EVIDENCE)
     index = np.full(1 << BITS, -1, np.int64)
     index[best] = np.arange(len(best))
 
@@ -161,16 +161,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, label: str = "to
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     columns = lists.flatten().to_numpy(zero_copy_only=False)
     y = table["y"].to_numpy().astype(float)
-    r = ratio[best] if len(best) else np.zeros(1)
-    x = np.zeros((len(y), len(r)), np.float32)  # at most SAMPLE x FEATURES
-    x[np.repeat(np.arange(len(y)), lengths), columns] = r[columns]
-    w, b = _logistic(x, y)
+    r = ratio[best]
+    w, b = _logistic(np.repeat(np.arange(len(y)), lengths), columns, r[columns], len(r), y)
     return Model(index, w * r, b)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row; a null text counts as empty and scores as one without any feature."""
-    handed = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, fixed by BITS and FEATURES
+    handed = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB for the buckets and at most as much again for weights, fixed by BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 18):
