@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -103,6 +104,7 @@ def parse(source: str) -> Page:
     """
     page = Page()
     stack, open_tags = [page.add(-1, "html")], ["html"]
+    there: Counter[str] = Counter()  # how many of each tag are open, but for the first
     run: list[str] = []
     linked, in_link, at = 0, False, 0
 
@@ -115,6 +117,10 @@ def parse(source: str) -> Page:
             run.clear()
         linked = 0
 
+    def close() -> None:
+        there[open_tags.pop()] -= 1
+        stack.pop()
+
     hidden: dict[str, dict[int, int]] = {}
     found = _TOKEN.finditer(source)
     while m := next(found, None):
@@ -143,31 +149,29 @@ def parse(source: str) -> Page:
         flush()
         in_link = False
         if closing:
-            if tag in open_tags[1:]:
+            if there[tag]:
                 while open_tags[-1] != tag:
-                    open_tags.pop()
-                    stack.pop()
-                open_tags.pop()
-                stack.pop()
+                    close()
+                close()
             continue
         if tag in ("html",):
             continue
         if open_tags[-1] == "p":
-            open_tags.pop()
-            stack.pop()
-        if tag in _CLOSES:
+            close()
+        if tag in _CLOSES and any(there[t] for t in _CLOSES[tag]):
             for k in range(len(open_tags) - 1, 0, -1):
                 if open_tags[k] in _SCOPE[tag]:
                     break
                 if open_tags[k] in _CLOSES[tag]:
-                    del open_tags[k:], stack[k:]
+                    while len(stack) > k:
+                        close()
                     break
-        if tag == "body" and "head" in open_tags:
-            k = open_tags.index("head")
-            del open_tags[k:], stack[k:]
-        if len(stack) < 400:  # deeper nesting is not told apart
-            stack.append(page.add(stack[-1], tag, _groups(m["attrs"] or "")))
-            open_tags.append(tag)
+        if tag == "body" and there["head"]:
+            while there["head"]:
+                close()
+        stack.append(page.add(stack[-1], tag, _groups(m["attrs"] or "")))
+        open_tags.append(tag)
+        there[tag] += 1
     if at < len(source):
         run.append(source[at:])
     flush()
@@ -185,7 +189,7 @@ def features(page: Page) -> np.ndarray:
             marks[i] = text.count(".") + text.count(",")
     children, place, alike, depth = [0] * n, [0] * n, {}, [0] * n
     kinds = [_TAG_OF.get(t, 4) for t in page.tag]
-    bad, up = [0] * n, [()] * n
+    bad, up = [0] * n, [0] * n  # up: the tokens of all ancestors, a bit each
     for i in range(1, n):
         p = parent[i]
         place[i] = children[p]
@@ -194,7 +198,7 @@ def features(page: Page) -> np.ndarray:
         alike[key] = alike.get(key, 0) + 1
         depth[i] = depth[p] + 1
         bad[i] = bad[p] + (kinds[p] in _BAD_TAGS)
-        up[i] = up[p] + page.tokens[p] if page.tokens[p] else up[p]
+        up[i] = up[p] | sum(1 << t for t in page.tokens[p])
     for i in range(n - 1, 0, -1):
         p = parent[i]
         chars[p] += chars[i]
@@ -209,8 +213,7 @@ def features(page: Page) -> np.ndarray:
     for i in range(n):
         for t in page.tokens[i]:
             out[i, base + t] = 1
-        for t in up[i]:
-            out[i, base + len(_TOKENS) + t] = 1
+    out[:, base + len(_TOKENS) : base + 2 * len(_TOKENS)] = np.array(up)[:, None] >> np.arange(len(_TOKENS)) & 1
     base += 2 * len(_TOKENS)
     c, a = np.array(chars, np.float32), np.maximum(np.array(parent), 0)
     k, same = np.array(kinds), np.array([alike.get((parent[i], kinds[i]), 1) for i in range(n)], np.float32)
