@@ -3,8 +3,10 @@
 Calls and results are tables keyed by conversation and call identifier and meet in one hash join on both, so a
 conversation of any length is spread by its identifiers. A call may depend on others. Where every dependency points to
 an earlier call, the calls' own order is a topological one and nothing else is done; only conversations with a
-dependency that points forward are sorted by levels, a join for each level. Arguments are checked against schemas with
-the variant type, whose objects also print with sorted keys: that is the canonical JSON. DataFrame functions only.
+dependency that points forward are sorted by levels. In every round, calls whose dependencies all have levels get
+theirs, and a dependency on a call that has just one itself jumps over it, so that a chain of n calls takes log n rounds.
+Arguments are checked against schemas with the variant type, whose objects also print with sorted keys: that is the
+canonical JSON. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -14,9 +16,6 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import small, written
 
-#: Tools up to which their schemas are broadcast.
-BROADCAST_TOOLS = 100_000
-
 
 def canonical(json: Column) -> Column:
     """JSON with sorted keys and no spaces, at every depth; null for what isn't JSON."""
@@ -91,22 +90,33 @@ def problem(arguments: Column, params: Column) -> Column:
 
 
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) by Kahn's levels; calls on a cycle, or behind one, get none.
+    """(conv_id, call_id, level): the longest chain of dependencies below each call; calls on a cycle, or behind one, get none.
 
-    ``edges`` has conv_id, call_id and needs. One round for each level, over what is still open.
+    ``edges`` has conv_id, call_id and needs, both of them calls.
     """
-    out, level = None, 0
-    left = written(calls.select("conv_id", "call_id"), "open")
-    edges = written(edges, "edges")
+    key = ["conv_id", "call_id"]
+    found = None
+    # base: what the level is at least; weight: how many levels a dependency, which may have jumped, stands for
+    left = written(calls.select(*key, F.lit(0).alias("base")).distinct(), "open")
+    edges = written(edges.select(*key, "needs", F.lit(1).alias("weight")).distinct(), "edges")
     while True:
-        blocked = edges.select("conv_id", "call_id").distinct()
-        free = written(left.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "free")
-        out = free if out is None else written(out.unionByName(free), "levels")
+        bound = written(edges.select(*key).distinct(), "bound")
+        free = written(left.join(bound, key, "left_anti").withColumnRenamed("base", "level"), "free")
         if free.isEmpty():
-            return out
-        left = written(left.join(free.drop("level"), ["conv_id", "call_id"], "left_anti"), "open")
-        edges = written(edges.join(free.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti"), "edges")
-        level += 1
+            return free if found is None else found
+        found = free if found is None else written(found.unionByName(free), "levels")
+        below = free.select("conv_id", F.col("call_id").alias("needs"), "level")
+        with_level = written(edges.join(below, ["conv_id", "needs"], "left"), "edges-levels")
+        still = with_level.where("level is null").drop("level")
+        single = still.groupBy(*key).agg(F.count("*").alias("n"), F.min("needs").alias("next"), F.min("weight").alias("more")).where("n = 1")
+        raised = with_level.where("level is not null").groupBy(*key).agg(F.max(F.col("level") + F.col("weight")).alias("raised"))
+        left = written(left.join(bound, key, "left_semi").join(raised, key, "left").select(*key, F.greatest("base", F.coalesce("raised", F.lit(0))).alias("base")), "open")
+        hop = written(single.join(left, key).select("conv_id", F.col("call_id").alias("needs"), "next", "more", F.col("base").alias("over")), "hops")
+        jumped = written(still.join(hop, ["conv_id", "needs"], "left"), "jumped")
+        passed = jumped.where("next is not null").groupBy(*key).agg(F.max(F.col("over") + F.col("weight")).alias("raised"))
+        left = written(left.join(passed, key, "left").select(*key, F.greatest("base", F.coalesce("raised", F.lit(0))).alias("base")), "open")
+        ahead = jumped.select(*key, F.coalesce("next", "needs").alias("needs"), (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight"))
+        edges = written(ahead.groupBy(*key, "needs").agg(F.max("weight").alias("weight")), "edges")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -143,9 +153,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         tagged = full.join(found, ["conv_id", "call_id"], "left").join(forward.withColumn("sorted", F.lit(True)), "conv_id", "left")
         ordered = tagged.withColumn("stage", F.when(F.col("sorted"), F.col("level").cast("long")).otherwise(F.col("turn"))).drop("level", "sorted")
 
-    tools = small(written(schemas, "schemas"), BROADCAST_TOOLS)
+    tools = small(written(schemas, "schemas"))
     checked = ordered.join(tools, "name", "left").withColumn("problem", problem(F.col("arguments"), F.col("params"))).drop("params")
-    both = checked.join(answers, ["conv_id", "call_id"], "full")
+    both = checked.join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "full")
     status = (
         F.when(F.col("idx").isNull(), "orphan").when(F.col("unresolved"), "unresolved").when(F.col("stage").isNull(), "cycle")
         .when(F.col("r").isNull(), "unanswered").when(F.col("r.turn") < F.col("turn"), "early").otherwise("linked")
