@@ -5,11 +5,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm import decontaminate, exactdedup, mixing, neardup, tokens, toxicity
+from lodestone.llm import decontaminate, exactdedup, mixing, neardup, queries, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, rep long"
 ODD = [(1, None), (2, ""), (3, " \t\n "), (4, "One"), (5, "one"), (5, "one"), (None, "one"), (6, "É é É"), (7, "é É é")]
@@ -50,37 +52,75 @@ def corpus(seed, n=120):
     return list(enumerate(out))
 
 
-def test_near_duplicates_match_brute_force(spark):
-    rows = corpus(1) + [(500, None), (501, ""), (502, "a b"), (503, "A  b"), (504, "a b c")]
-    sets = {i: shingles(t) for i, t in rows}
-    parent = {i: i for i in sets}
+def near_groups(rows):
+    """(doc_id, text, set, component, kept) of each row by comparing all pairs, and the rows that keep_first may keep."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-    got = {r["doc_id"]: tuple(r)[1:] for r in neardup.groups(docs(spark, rows)).collect()}
-    assert got == {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
-    left = {r["doc_id"] for r in neardup.keep_first(docs(spark, rows)).collect()}
-    assert left == {i for i in sets if root(i) == i}
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    members = defaultdict(list)
+    for k in range(len(rows)):
+        members[root(k) if sets[k] else -1 - k].append(k)
+    out, kept = [None] * len(rows), []
+    for group in members.values():
+        ids = [rows[k][0] for k in group if rows[k][0] is not None]
+        low = min(ids) if ids else None
+        for k in group:
+            out[k] = (rows[k][0], len(sets[k]), low, rows[k][0] == low)
+        kept.append([rows[k] for k in group if rows[k][0] == low])
+    return out, kept
+
+
+def check_near(spark, rows):
+    want, kept = near_groups(rows)
+    got = [tuple(r) for r in neardup.groups(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    left = [(r["doc_id"], r["text"]) for r in neardup.keep_first(docs(spark, rows)).collect()]
+    # exactly one row of each group, whatever other groups have the same id
+    pool = Counter(left)
+    for group in sorted(kept, key=len):
+        found = [x for x in group if pool[x]]
+        assert found
+        pool[found[0]] -= 1
+    assert not +pool
+
+
+def test_near_duplicates_match_brute_force(spark):
+    check_near(spark, corpus(1) + [(500, None), (501, ""), (502, "a b"), (503, "A  b"), (504, "a b c")])
 
 
 def test_near_duplicates_of_odd_rows(spark):
-    got = sorted((tuple(r) for r in neardup.groups(docs(spark, ODD)).collect()), key=str)
-    assert ((5, 1, 4, False)) in got and (1, 0, 1, True) in got and (None, 1, 4, False) in got and len(got) == len(ODD)
+    a = " ".join(f"a{k}" for k in range(120))
+    longer = " ".join(f"l{k}" for k in range(300))
+    rows = [
+        *ODD, (1, a), (1, longer), (2, a.replace("a60", "x")), (None, a), (None, "unique words of a null id and more"), (None, "other words without any id at all"), (None, "Other words without any id at all"),
+        (3, longer + " end"), (9, longer), (9, longer), (None, longer + " z"),
+    ]
+    check_near(spark, rows)
     assert neardup.groups(docs(spark, [])).count() == 0
+    assert neardup.keep_first(docs(spark, [])).count() == 0
+
+
+def test_near_duplicates_of_a_long_text(spark):
+    text = " ".join(f"w{k % 5000}x{k % 77}" for k in range(200_000))
+    check_near(spark, [(1, text), (2, text + " more"), (3, " ".join(text.split()[:100_000]))])
 
 
 def test_tiles_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(neardup, "TILE", 3)
-    rows = [(k, " ".join([f"x{j}" for j in range(60)] + [f"y{k}"] * 3)) for k in range(25)]
-    assert {r["component_id"] for r in neardup.groups(docs(spark, rows)).collect()} == {0}
+    monkeypatch.setattr(neardup, "TURNS", 1)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    # sizes around the threshold of each other, so that links lie within size classes and across them
+    shared = [f"x{j}" for j in range(200)]
+    check_near(spark, [(k, " ".join(shared[: 60 + 5 * k] + [f"y{k}"] * 3)) for k in range(25)])
 
 
 def test_components_of_a_long_path(spark):
@@ -103,17 +143,42 @@ def test_exact_dedup_matches_brute_force(spark):
 
 
 def test_exact_dedup_of_repeated_and_null_ids(spark):
-    kept = sorted((r["doc_id"], r["text"]) for r in exactdedup.keep_last(docs(spark, [(i, t) for i, t in ODD if i is not None])).collect())
-    assert kept == [(3, " \t\n "), (5, "one"), (6, "É é É"), (7, "é É é"), (2, "")] or kept == sorted([(2, ""), (3, " \t\n "), (5, "one"), (6, "É é É"), (7, "é É é")])
+    rows = [*ODD, (8, "one more"), (8, "other"), (None, "alone"), (None, "alone"), (None, "ALONE")]
+    by = defaultdict(list)
+    for i, t in rows:
+        by[lowered(t)].append(i)
+    top = {t: max((i for i in ids if i is not None), default=None) for t, ids in by.items()}
+    want = sorted(((i, top[lowered(t)], len(by[lowered(t)]), i == top[lowered(t)]) for i, t in rows), key=str)
+    got = exactdedup.dedup(*exactdedup.halves(docs(spark, rows))).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=str) == want
+    # a column with the name that the operator would use itself
+    table = docs(spark, rows).withColumn("text_sha", F.lit("own")).withColumn("TEXT_SHA_", F.lit("too"))
+    left = exactdedup.keep_last(table)
+    assert left.columns == table.columns and {(r["text_sha"], r["TEXT_SHA_"]) for r in left.collect()} == {("own", "too")}
+    kept = [(r["doc_id"], lowered(r["text"])) for r in left.collect()]
+    assert sorted(kept, key=str) == sorted(((i, t) for t, i in top.items()), key=str)
     empty = docs(spark, [])
     assert exactdedup.dedup(empty, empty).count() == 0
     assert exactdedup.dedup(empty, docs(spark, ODD)).count() == len(ODD)
 
 
+def test_filters_have_a_bounded_size_whatever_side_is_larger(spark):
+    """A first delivery against an empty or small snapshot is spread over shards too."""
+    rows = [(k, f"text {k}") for k in range(100)]
+    known = exactdedup.buckets(exactdedup.digests(docs(spark, rows[:2])))
+    seen = []
+    build = exactdedup.build_filters
+    try:
+        exactdedup.build_filters = lambda groups, shards: seen.append(shards) or build(groups, shards)
+        got = exactdedup.dedup(docs(spark, rows[:2]), docs(spark, rows), shard_keys=10)
+        assert got.where("group_size = 2").count() == 4 and got.count() == 102
+    finally:
+        exactdedup.build_filters = build
+    assert seen == [10] and known.count() == 2
+
+
 @pytest.mark.parametrize("n", [1, 2, 50, 3000])
 def test_fuse_filter_has_no_false_negatives(n):
-    import numpy as np
-
     keys = np.random.default_rng(n).integers(0, 2**56, n).astype(np.uint64)
     f = exactdedup.BinaryFuse8.build(keys)
     assert f.holds(keys).all()
@@ -148,6 +213,17 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.contained(docs(spark, ODD), benchmark.where("false")).count() == 0
 
 
+def test_decontamination_of_null_and_repeated_ids(spark):
+    item = "one two three four five six seven eight"
+    benchmark = spark.createDataFrame([(1, item), (1, "quite other words that are an item too"), (None, "this item has got no id at all")], "item_id long, text string")
+    bad = [(None, "x " + item), (5, item.upper() + " y"), (6, "so quite other words that are an item too"), (7, "z this item has got no id at all"), (8, "word " * 50_000 + item)]
+    fine = [(None, "clean text without an id"), (None, None), (5, "clean text of a repeated id"), (5, "clean text of a repeated id"), (6, ""), (9, item[:20])]
+    left = decontaminate.clean(docs(spark, bad + fine), benchmark)
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted(fine, key=str)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained(docs(spark, bad + fine), benchmark).collect()}
+    assert got == {(None, 1), (5, 1), (6, 1), (7, None), (8, 1)}
+
+
 TEXTS = ["", " ", "a", "Hello world, it's the year 2024!", "x   y \n\n z\t", "don't we'll 're", "naïve café ☃ 日本語", "<|endoftext|>a<|endoftext|>", "aaaa" * 30, "a b\x1c c\x85d", "i've'll'd 's", "  lead", "trail  "]
 
 
@@ -168,17 +244,61 @@ def test_prefix_counts_match_the_library(library):
 
 def test_token_counts(spark, library):
     rows = list(enumerate(TEXTS)) + [(100, None), (None, "x"), (1, "again"), (101, "long " * 600)]
-    got = sorted((tuple(r) for r in tokens.count_tokens(docs(spark, rows), public_tokenizers.path("byte_bpe_50k.json")).collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in tokens.count_tokens(docs(spark, rows), public_tokenizers.path("byte_bpe_50k.json")).collect()), key=str)
     count = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
     assert got == sorted(((i, len((t or "").encode()), count(t), count(t) > 512) for i, t in rows), key=str)
 
 
+def test_long_pieces(library):
+    """Pieces around the width that are worked on together, and far beyond."""
+    counter = tokens.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(9)
+    for n in (tokens.WIDE - 2, tokens.WIDE - 1, tokens.WIDE, tokens.WIDE + 1, 99, 100, 101, 700):
+        for letters in ("a", "abc", "aé", "="):
+            text = " " + "".join(r.choice(letters) for _ in range(n))
+            want = [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+            assert counter.prefixes(text).tolist() == want
+    text = "".join(r.choice("ab") for _ in range(5000))
+    got = counter.prefixes(text)
+    for i in (1, 99, 2500, 4999, 5000):
+        assert got[i] == len(library.encode(text[:i], add_special_tokens=False).ids)
+
+
+def test_tokens_that_stay_apart():
+    counter = tokens.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    names = {n: t for t, n in counter.number.items()}
+    r = np.random.default_rng(1)
+    a, b = r.choice(counter.token_numbers, 3000), r.choice(counter.token_numbers, 3000)
+    a[:600], b[:600] = r.integers(0, 700, 600), r.integers(0, 700, 600)
+    b[600:700] = a[600:700]
+    want = [counter.merged(names[x] + names[y]) == [names[x], names[y]] for x, y in zip(a, b, strict=True)]
+    assert counter.stays(a, b).tolist() == want and not all(want)
+
+
+def test_steps_beyond_a_byte():
+    steps = [0, 1, -3, 127, -127, 128, -128, 5000, -70_000, 2]
+    assert tokens.decode_steps(tokens.encode_steps(steps)).tolist() == steps
+
+
+def test_stored_counts_of_the_query(spark, library):
+    """What op2 stores answers for every position of every text, without encoding again."""
+    found = queries.op2_token_counts(spark, "/root/testdata/sf0.001").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(found) == len(texts)
+    for r in found:
+        text, counts = texts[r["doc_id"]], tokens.decode_counts(r["prefix_steps"])
+        assert len(counts) == len(text) + 1 and counts[-1] == r["n_tokens"] == len(library.encode(text, add_special_tokens=False).ids)
+    for r in sorted(found, key=lambda r: r["n_bytes"])[:60]:
+        text, counts = texts[r["doc_id"]], tokens.decode_counts(r["prefix_steps"])
+        assert counts.tolist() == [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+
+
 def test_truncation_from_stored_counts(spark, library):
     text = "Hello world, it's the year 2024 again and again"
-    x = tokens.count_tokens(docs(spark, [(1, text)]), public_tokenizers.path("byte_bpe_50k.json"), stored=True)
-    n, at = x.select(tokens.longest_prefix(5), tokens.prefix_tokens(11)).first()
+    x = tokens.count_tokens(docs(spark, [(1, text)]), public_tokenizers.path("byte_bpe_50k.json"))
+    n, at, beyond = x.select(tokens.longest_prefix(5), tokens.prefix_tokens(11), tokens.prefix_tokens(1000)).first()
     fits = [i for i in range(len(text) + 1) if len(library.encode(text[:i], add_special_tokens=False).ids) <= 5]
-    assert n == max(fits) and at == len(library.encode(text[:11], add_special_tokens=False).ids)
+    assert n == max(fits) and at == len(library.encode(text[:11], add_special_tokens=False).ids) and beyond is None
 
 
 def test_mix_keeps_to_targets(spark):
@@ -222,6 +342,37 @@ def test_pivots_keep_expectations(spark):
     assert max(first) - min(first) <= 1  # the words of a source don't vary, only who is taken
 
 
+def test_heavy_documents_in_a_mix(spark):
+    """Documents that are large parts of their source: the others make up for how they are rounded."""
+    rows = [(k, " ".join(["w"] * 7), "s") for k in range(600)] + [(1000 + k, " ".join(["w"] * (500 + 40 * k)), "s") for k in range(5)] + [(2000, " ".join(["w"] * 900), "t"), (2001, "w", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sums, copies = [], Counter()
+    for seed in range(6):
+        got = mixing.mix(df, seed=seed).collect()
+        assert len(got) == len(rows) and all(x["taken"] <= 2 * x["size"] for x in got)
+        sums.append(sum(x["taken"] for x in got if x["source"] == "s"))
+        target = next(x["target"] for x in got if x["source"] == "s")
+        copies.update({x["doc_id"]: x["copies"] for x in got if x["doc_id"] >= 1000})
+        assert abs(sums[-1] - target) <= 7
+    # some are taken more often than in other runs: they are rounded at random
+    assert len({copies[1000 + k] for k in range(5)}) > 1
+
+
+def test_a_pool_that_cannot_make_up(spark):
+    rows = [(1, " ".join(["w"] * 1000), "s"), (2, "w w", "s"), (3, "w", "s")] + [(10, " ".join(["w"] * 5000), "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in range(4):
+        got = mixing.mix(df, seed=seed).collect()
+        assert len(got) == 4 and all(x["copies"] in (0, 1, 2) for x in got)
+
+
+def test_equal_rows_in_a_mix(spark):
+    rows = [(None, "a b c", "s")] * 30 + [(7, "a b c", "s")] * 30 + [(7, "d e f", "s")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, share=0.5).collect()
+    assert len(got) == 90 and sum(x["taken"] for x in got) == 135
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = random.Random(7)
     plain = ["the", "river", "walk", "stone", "garden", "light", "over", "idle", "class"]
@@ -244,3 +395,51 @@ def test_toxicity_on_held_out_rows(spark):
     nothing = toxicity.classify(docs(spark, ODD), label.where("false")).collect()
     assert {x["score"] for x in nothing} == {0.5}
     assert toxicity.classify(docs(spark, []), label).count() == 0
+    one_class = toxicity.classify(docs(spark, rows), label.where("toxic = 0")).collect()
+    assert len({x["score"] for x in one_class}) == 1 and one_class[0]["score"] < 0.1
+
+
+def test_toxicity_matches_a_naive_version(spark):
+    """Counts, ratios, evidence, chosen buckets and scores, n-gram by n-gram."""
+    r = random.Random(11)
+    rows = [(k, " ".join(r.choice(["red", "Grün", "blue", "sky", "a\tb", "snarl" if k % 3 else "calm"]) for _ in range(r.randrange(0, 14)))) for k in range(90)]
+    rows += [(90, "snarl " * 4000), (91, None)]
+    y = {k: int(k % 3 != 0) for k, _ in rows}
+    label = spark.createDataFrame([(k, 0, v) for k, v in y.items()], "doc_id long, quality int, toxic int")
+    mask = (1 << 32) - 1
+
+    def bucket(gram):
+        h = len(gram)
+        for c in gram:
+            h = ((h ^ ord(c)) * 0x9E3779B1) & mask
+            h ^= h >> 15
+        return ((h * 0x85EBCA6B) & mask) >> (32 - toxicity.BITS)
+
+    def present(text):
+        t = " " + re.sub("[\\x09-\\x0d]", " ", (text or "").lower()) + " "
+        return {bucket(t[i : i + n]) for n in toxicity.ORDERS for i in range(len(t) - n + 1)}
+
+    found = {k: present(t) for k, t in rows}
+    sizes = Counter(y.values())
+    counts = {v: Counter(b for k in found if y[k] == v for b in found[k]) for v in (0, 1)}
+    every = set(counts[0]) | set(counts[1])
+    total = {v: sum(counts[v].values()) + (1 << toxicity.BITS) for v in (0, 1)}
+    ratio = {b: np.log((counts[1][b] + 1) / total[1]) - np.log((counts[0][b] + 1) / total[0]) for b in every}
+
+    def evidence(b):
+        here = counts[0][b] + counts[1][b]
+        if here < 3 or here > 0.98 * len(rows):
+            return 0
+        return 2 * sum(counts[v][b] * np.log(counts[v][b] / (here * sizes[v] / len(rows))) for v in (0, 1) if counts[v][b])
+
+    model = toxicity.fit(docs(spark, rows), label)
+    chosen = sorted(b for b in every if evidence(b) > toxicity.EVIDENCE)
+    assert np.flatnonzero(model.index >= 0).tolist() == chosen and chosen
+    weight = dict(zip(chosen, model.weight, strict=True))
+    naive = {k: 1 / (1 + np.exp(-model.bias - sum(weight.get(b, 0) for b in found[k]))) for k in found}
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(docs(spark, rows), model).collect()}
+    assert got.keys() == naive.keys() and all(abs(got[k] - naive[k]) < 1e-9 for k in got)
+    # the weights are those of the regression: its loss has no slope there
+    error = {k: (naive[k] - y[k]) / len(rows) for k in found}
+    slopes = [sum(error[k] * ratio[b] for k in found if b in found[k]) + toxicity.PENALTY * weight[b] / ratio[b] for b in chosen]
+    assert max(map(abs, slopes)) < 2e-3 and abs(sum(error.values())) < 2e-3
