@@ -30,20 +30,19 @@ def lines(x: Column | str) -> Column:
 def line_count(x: Column | str) -> Column:
     """Number of lines; a newline at the end begins another, and an empty text has none."""
     x = F.coalesce(_col(x), F.lit(""))
-    return F.when(x == "", 0).otherwise(F.size(lines(x)))
+    return F.when(x == "", 0).otherwise(newlines(x) + 1)
 
 
 def code_line_count(x: Column | str, language: Column | str) -> Column:
-    """Lines that are neither blank nor a comment by their first characters."""
-    language = _col(language)
+    """Lines that are neither blank nor a comment by their first characters, counted over the whole text."""
+    x, language = F.coalesce(_col(x), F.lit("")), _col(language)
+    space = JS_SPACE.replace("[", "", 1)[:-1]
 
-    def counts(line: Column) -> Column:
-        t = js_trim(line)
-        slashed = t.startswith("//") | t.startswith("*") | t.startswith("/*")
-        comment = F.when(language.isin(*HASH_LANGUAGES), t.startswith("#")).when(language == "sql", t.startswith("--")).otherwise(slashed)
-        return (t != "") & ~comment
+    def counted(comment: str) -> Column:
+        # the first character of a line that is no space, if no comment begins there
+        return F.regexp_count(x, F.lit(rf"(?<![^\n])[{space}&&[^\n]]*+(?!{comment})[^{space}]"))
 
-    return F.size(F.filter(lines(F.coalesce(_col(x), F.lit(""))), counts))
+    return F.when(language.isin(*HASH_LANGUAGES), counted("#")).when(language == "sql", counted("--")).otherwise(counted(r"//|\*|/\*"))
 
 
 def round1(x: Column) -> Column:

@@ -1,18 +1,20 @@
 """Duplicate blocks of code: equal windows of normalised lines, extended to the longest run all occurrences share.
 
-Windows are hashed and grouped by hash. How far the occurrences of a group agree is found by binary lifting: keys of
-1, 2, 4, ... consecutive windows are compared at all occurrences at once, so a run of n lines takes log n joins. A block
-is reported where no block that begins earlier reaches it. Sorting is by file, grouping by hash; nothing is compared in
-pairs.
+Windows are hashed and grouped by hash. A window whose predecessor begins a group of its own, all occurrences of which go
+on alike, is covered by that group and dropped at once; that leaves about one group for each block. How far the occurrences
+of a group agree is found by binary lifting: keys of 1, 2, 4, ... consecutive windows are compared at all occurrences at
+once, so a run of n lines takes log n joins, and what a level finds is one row a group. A block is reported where no block
+that begins earlier reaches it. Sorting is by file, grouping by hash; nothing is compared in pairs, and groups are joined
+with their occurrences as tables, so that Spark can split those of a hash that very many files share.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import collapse, lines, round1
-from lodestone.sources.tables import written
+from lodestone.sources.tables import small, splittable, spread, written
 
 # Fixed values.
 WINDOW_LINES = 6
@@ -26,7 +28,8 @@ def normalized_lines(files: DataFrame) -> DataFrame:
     """(file_ord, file, idx, line_no, text) of the significant lines of (file_ord, file, content)."""
     tokens = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"(?s)/\*.*?\*/|[^/]+|/"), F.lit(0))
     blanked = F.transform(tokens, lambda t: F.when(F.regexp_like(t, F.lit(r"(?s)\A/\*.*\*/\z")) & (F.length(t) >= 4), F.regexp_replace(t, "[^\n]", " ")).otherwise(t))
-    rows = files.select("file_ord", "file", F.posexplode(lines(F.array_join(blanked, ""))).alias("pos", "line"))
+    text = F.when(F.contains("content", F.lit("/*")), F.array_join(blanked, "")).otherwise(F.coalesce("content", F.lit("")))
+    rows = spread(files).select("file_ord", "file", F.posexplode(lines(text)).alias("pos", "line"))
     text = collapse(F.regexp_replace("line", r"(^|[^:\\])//.*$", "$1"))
     kept = rows.select("file_ord", "file", (F.col("pos") + 1).alias("line_no"), text.alias("text")).where((F.col("text") != "") & ~F.col("text").isin(*TRIVIAL))
     return kept.withColumn("idx", F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1)
@@ -43,11 +46,30 @@ def windows(norm: DataFrame, size: int = WINDOW_LINES, least: int = MIN_CHARS) -
 def repeated(found: DataFrame) -> DataFrame:
     """Windows whose hash occurs more than once, with n and the first occurrence of their group."""
     groups = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("file_ord", "idx")).alias("first")).where("n > 1")
-    return found.join(groups, "hash")
+    return found.join(splittable(groups, found.count(), "groups"), "hash")
 
 
-def extended(dups: DataFrame) -> DataFrame:
-    """(hash, extra): by how many windows the occurrences of each group agree beyond their own."""
+def _agreed(value: str) -> Column:
+    """Of a group's occurrences: all have the value, and the same one."""
+    return F.coalesce((F.min(value) == F.max(value)) & (F.count(value) == F.max("n")), F.lit(False))
+
+
+def candidates(dups: DataFrame) -> DataFrame:
+    """First occurrences (hash, n, file, file_ord, idx) of the groups that no group beginning one line earlier covers."""
+    w = Window.partitionBy("file").orderBy("idx")
+    is_first = (F.col("file_ord") == F.col("first.file_ord")) & (F.col("idx") == F.col("first.idx"))
+    x = dups.withColumn("begins", is_first).withColumns({
+        "next": F.when(F.lead("idx").over(w) == F.col("idx") + 1, F.lead("hash").over(w)),
+        "before": F.when((F.lag("idx").over(w) == F.col("idx") - 1) & F.lag("begins").over(w), F.lag("hash").over(w)),
+    })
+    x = written(x.select("hash", "n", "file", "file_ord", "idx", "begins", "next", "before"), "neighbours")
+    going_on = x.groupBy("hash").agg(_agreed("next").alias("agreed")).where("agreed").select(F.col("hash").alias("before"))
+    firsts = x.where("begins").select("hash", "n", "file", "file_ord", "idx", "before")
+    return firsts.join(small(written(going_on, "going-on")), "before", "left_anti").drop("before")
+
+
+def extended(dups: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(hash, extra) of the groups of ``firsts``: by how many windows their occurrences agree beyond their own."""
     w = Window.partitionBy("file").orderBy("idx")
     longest = dups.withColumn("island", F.col("idx") - F.row_number().over(w)).groupBy("file", "island").count().agg(F.max("count")).first()[0] or 1
     levels = max(0, int(longest).bit_length() - 1)
@@ -58,53 +80,73 @@ def extended(dups: DataFrame) -> DataFrame:
         keys = keys.withColumn(f"key{k + 1}", F.when(both, F.sha1(F.concat(F.col(key), F.lead(key, step).over(w)))))
         key = f"key{k + 1}"
     keys = written(keys, "keys")
-    state = dups.select("hash", "file", "idx", "n", F.lit(0).alias("extra"))
+    extents = written(firsts.select("hash", F.lit(0).alias("extra")), "extents")
+    places = written(dups.select("hash", "file", "idx", "n").join(small(extents.select("hash")), "hash"), "places")
     for k in range(levels, -1, -1):
         at = keys.select("file", F.col("idx").alias("at"), F.col(f"key{k}").alias("key"))
-        probe = state.withColumn("at", F.col("idx") + F.col("extra") + 1).join(at, ["file", "at"], "left")
-        agreed = probe.groupBy("hash").agg(((F.min("key") == F.max("key")) & (F.count("key") == F.max("n"))).alias("agreed"))
-        # one table a level: the next one reads it twice
-        state = state.join(agreed, "hash").withColumn("extra", F.col("extra") + F.when(F.coalesce("agreed", F.lit(False)), 1 << k).otherwise(0)).drop("agreed")
-        state = written(state, f"extent-{k}")
-    return state.groupBy("hash").agg(F.max("extra").cast("int").alias("extra"))
+        probe = places.join(small(extents), "hash").withColumn("at", F.col("idx") + F.col("extra") + 1).join(at, ["file", "at"], "left")
+        found = probe.groupBy("hash").agg(F.max("extra").alias("extra"), _agreed("key").alias("agreed"))
+        extents = written(found.select("hash", (F.col("extra") + F.when(F.col("agreed"), 1 << k).otherwise(0)).cast("int").alias("extra")), f"extents-{k}")
+    return extents
 
 
 def reported(dups: DataFrame) -> DataFrame:
-    """The groups that make a block: hash, n, extra, first."""
-    firsts = dups.where((F.col("file_ord") == F.col("first.file_ord")) & (F.col("idx") == F.col("first.idx"))).join(extended(dups), "hash")
+    """The groups that make a block: hash, n, extra, file, first_idx, file_ord."""
+    firsts = written(candidates(dups), "candidates")
+    firsts = firsts.join(extended(dups, firsts), "hash")
     reach = F.max(F.col("idx") + F.col("extra")).over(Window.partitionBy("file").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
     return firsts.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("reach") < F.col("idx"))).select("hash", "n", "extra", "file", F.col("idx").alias("first_idx"), "file_ord")
 
 
-def blocks(files: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
-    """All duplicate blocks: normalized_lines, occurrence_count, occurrences, snippet, truncated_snippet, and order keys."""
+def search(files: DataFrame, size: int = WINDOW_LINES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored tables: the normalised lines, the repeated windows, and the groups that make a block."""
     norm = written(normalized_lines(files), "lines")
     dups = written(repeated(windows(norm, size)), "repeated")
-    found = written(reported(dups), "blocks")
-    line = norm.select("file", F.col("idx").alias("at"), F.col("line_no").alias("end_line"))
-    start = norm.select("file", "idx", F.col("line_no").alias("start_line"))
-    places = dups.select("hash", "file", "file_ord", "idx").join(found.select("hash", "extra"), "hash")
-    placed = places.withColumn("at", F.col("idx") + size + F.col("extra") - 1).join(line, ["file", "at"]).join(start, ["file", "idx"])
-    occurrences = placed.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("file_ord", "idx", "file", "start_line", "end_line"))).alias("o"))
-    occurrences = occurrences.select("hash", F.transform("o", lambda x: F.struct(x["file"].alias("file"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"))).alias("occurrences"))
-    shown = found.select("hash", "file", F.explode(F.sequence("first_idx", F.col("first_idx") + F.least(size + F.col("extra"), F.lit(SNIPPET_LINES)) - 1)).alias("idx"))
-    snippets = shown.join(norm.select("file", "idx", "text"), ["file", "idx"]).groupBy("hash").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n").alias("snippet"))
-    out = found.join(occurrences, "hash").join(snippets, "hash")
+    return norm, dups, written(reported(dups), "blocks")
+
+
+def _described(norm: DataFrame, found: DataFrame, size: int) -> DataFrame:
     total = size + F.col("extra")
-    return out.select(total.alias("normalized_lines"), F.col("n").alias("occurrence_count"), "occurrences", "snippet", (total > SNIPPET_LINES).alias("truncated_snippet"), "file_ord", "first_idx")
+    shown = found.withColumn("idx", F.explode(F.sequence("first_idx", F.col("first_idx") + F.least(total, F.lit(SNIPPET_LINES)) - 1)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n")  # SNIPPET_LINES lines
+    x = shown.join(norm.select("file", "idx", "text"), ["file", "idx"]).groupBy("hash", "n", "extra", "file", "first_idx", "file_ord").agg(text.alias("snippet"))
+    return x.withColumns({"normalized_lines": total, "truncated_snippet": total > SNIPPET_LINES}).withColumnRenamed("n", "occurrence_count")
+
+
+def blocks(files: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
+    """All duplicate blocks: hash, normalized_lines, occurrence_count, snippet, truncated_snippet, and of the first occurrence
+    file, file_ord, first_idx, start_line and end_line."""
+    norm, _, found = search(files, size)
+    x = _described(norm, found, size)
+    start, end = norm.select("file", F.col("idx").alias("first_idx"), F.col("line_no").alias("start_line")), norm.select("file", F.col("idx").alias("at"), F.col("line_no").alias("end_line"))
+    return x.join(start, ["file", "first_idx"]).withColumn("at", F.col("first_idx") + F.col("normalized_lines") - 1).join(end, ["file", "at"]).drop("at", "extra")
+
+
+def occurrences(norm: DataFrame, dups: DataFrame, found: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
+    """A row for each place of each block: hash, file_ord, file, idx, start_line, end_line."""
+    places = dups.select("hash", "file", "file_ord", "idx").join(small(found.select("hash", "extra")), "hash")
+    start, end = norm.select("file", "idx", F.col("line_no").alias("start_line")), norm.select("file", F.col("idx").alias("at"), F.col("line_no").alias("end_line"))
+    placed = places.withColumn("at", F.col("idx") + size + F.col("extra") - 1).join(end, ["file", "at"]).join(start, ["file", "idx"])
+    return placed.select("hash", "file_ord", "file", "idx", "start_line", "end_line")
 
 
-def top_blocks(files: DataFrame, most: int = MAX_BLOCKS) -> DataFrame:
-    """The blocks of the most repeated lines; ties stay in order of first occurrence."""
-    return blocks(files).orderBy((F.col("normalized_lines") * F.col("occurrence_count")).desc(), "file_ord", "first_idx").limit(most)
+def top_blocks(files: DataFrame, most: int = MAX_BLOCKS, size: int = WINDOW_LINES) -> DataFrame:
+    """The blocks of the most repeated lines, with all their places; ties stay in order of first occurrence.
+
+    Places are looked up for these blocks alone and listed, so this is for the files of one project.
+    """
+    norm, dups, found = search(files, size)
+    top = written(found.orderBy(((size + F.col("extra")) * F.col("n")).desc(), "file_ord", "first_idx").limit(most), "top-blocks")
+    listed = occurrences(norm, dups, top, size).groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("file_ord", "idx", "file", "start_line", "end_line"))).alias("o"))
+    listed = listed.select("hash", F.transform("o", lambda x: F.struct(x["file"].alias("file"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"))).alias("occurrences"))
+    out = _described(norm, top, size).join(listed, "hash").select("normalized_lines", "occurrence_count", "occurrences", "snippet", "truncated_snippet", "file_ord", "first_idx")
+    return out.orderBy((F.col("normalized_lines") * F.col("occurrence_count")).desc(), "file_ord", "first_idx")
 
 
 def percentage(files: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
     """One row: total_blocks, duplicated_lines, normalized_lines and the percentage of lines that blocks cover."""
-    norm = written(normalized_lines(files), "lines")
-    dups = written(repeated(windows(norm, size)), "repeated")
-    found = written(reported(dups), "blocks")
-    covered = dups.join(found.select("hash", "extra"), "hash").select("file", F.explode(F.sequence("idx", F.col("idx") + F.col("extra") + size - 1)).alias("idx")).distinct()
+    norm, dups, found = search(files, size)
+    covered = dups.join(small(found.select("hash", "extra")), "hash").select("file", F.explode(F.sequence("idx", F.col("idx") + F.col("extra") + size - 1)).alias("idx")).distinct()
     counts = norm.agg(F.count("*").alias("normalized_lines")).crossJoin(covered.agg(F.count("*").alias("duplicated_lines"))).crossJoin(found.agg(F.count("*").alias("total_blocks")))  # one row each
     share = F.when(F.col("normalized_lines") > 0, F.col("duplicated_lines") / F.col("normalized_lines") * 100).otherwise(0.0)
     return counts.select("total_blocks", "duplicated_lines", "normalized_lines", round1(share).alias("percentage"))

@@ -6,19 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import clean_identifier, collapse, js_trim, masked
+from lodestone.sources.tables import spread
 
 # Patterns of SQL, words that are no table names, and sizes of lists.
 _HIDDEN = r"--[^\n]*+|/\*.*?\*/|'[^']*+'"
 _NAME = r'[`"\[]?([\w.]+)[`"\]]?'
-_BODY = r"\(((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*)\)"
-CREATE_TABLE = rf"(?i)\bCREATE\s+(?:TEMPORARY\s+|TEMP\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{_NAME}\s*{_BODY}"
+CREATE_TABLE = rf"(?i)\bCREATE\s+(?:TEMPORARY\s+|TEMP\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{_NAME}\s*\("
 _FOREIGN = rf"(?i)FOREIGN\s+KEY\s*\(([^)]*)\)\s*REFERENCES\s+{_NAME}\s*(?:\(([^)]*)\))?"
 ALTER_FOREIGN = rf"(?i)\bALTER\s+TABLE\s+(?:ONLY\s+)?{_NAME}[^;]*?FOREIGN\s+KEY\s*\(([^)]*)\)\s*REFERENCES\s+{_NAME}\s*(?:\(([^)]*)\))?"
 _CONSTRAINT = r"(?i)^(CONSTRAINT|PRIMARY\s|FOREIGN\s|UNIQUE\b|KEY\b|INDEX\b|CHECK\b|FULLTEXT\b|SPATIAL\b)"
 MAX_ISSUES = 100
 NO_TABLES = ("select", "from", "where", "join", "on", "and", "or", "as", "set", "into", "values", "value", "table", "index", "if", "not", "exists", "dual", "order", "group", "by", "limit", "offset", "having", "union", "all", "distinct", "the", "this", "a", "an", "is", "in", "to", "of", "for", "with", "data", "true", "false", "null", "key", "using", "inner", "left", "right", "outer")
-#: How deep parentheses inside CREATE TABLE may nest.
-DEPTH = 3
+HINT = r"(?i)\b(?:SELECT\s[\s\S]{0,300}?\bFROM\b|INSERT\s+INTO\b|UPDATE\s+[`\"\w]+\s+SET\b|DELETE\s+FROM\b|CREATE\s+TABLE\b|(?:INNER|LEFT|RIGHT|FULL|CROSS)\s+JOIN\b)"
+QUERY = r"(?i)\b(?:SELECT\s[\s\S]{0,300}?\bFROM\b|INSERT\s+INTO\b|UPDATE\s+[`\"\w]+\s+SET\b|DELETE\s+FROM\b)"
+_FROM = r"(?i)\b(?:FROM|JOIN)\s+[`\"\[]?([A-Za-z_]\w*)[`\"\]]?(?:\s+(?:AS\s+)?([a-z]\w{0,15}))?"
+_INSERT = r"(?i)\bINSERT\s+(?:IGNORE\s+)?INTO\s+[`\"\[]?([A-Za-z_]\w*)()"
+_UPDATE = r"(?i)\bUPDATE\s+[`\"\[]?([A-Za-z_]\w*)[`\"\]]?\s+SET\b()"
+_DELETE = r"(?i)\bDELETE\s+FROM\s+[`\"\[]?([A-Za-z_]\w*)()"
+_ON = r"(?i)\bON\s+[`\"\[]?([A-Za-z_]\w*)[`\"\]]?\s*\.\s*[`\"\[]?([A-Za-z_]\w*)[`\"\]]?\s*=\s*[`\"\[]?([A-Za-z_]\w*)[`\"\]]?\s*\.\s*[`\"\[]?([A-Za-z_]\w*)"
 
 
 def _nullable(x: Column) -> Column:
@@ -26,12 +31,29 @@ def _nullable(x: Column) -> Column:
 
 
 def _definitions(files: DataFrame) -> DataFrame:
-    """(file, table_ord, table, def_ord, d): the definitions inside CREATE TABLE."""
-    s = files.select("file", masked("content", _HIDDEN).alias("s"))
-    made = s.select("file", F.posexplode(F.regexp_extract_all("s", F.lit(CREATE_TABLE), F.lit(0))).alias("table_ord", "t"))
-    body = F.regexp_extract("t", CREATE_TABLE, 2)
-    parts = F.split(body, r",(?![^()]*(?:\([^()]*\)[^()]*)*\))")
-    return made.select("file", "table_ord", clean_identifier(F.regexp_extract("t", CREATE_TABLE, 1)).alias("table"), F.posexplode(F.transform(parts, collapse)).alias("def_ord", "d"))
+    """(file, table_ord, table, def_ord, d): the definitions inside CREATE TABLE, parentheses nested as deep as they are.
+
+    A statement whose parenthesis is not closed makes no table.
+    """
+    s = spread(files).select("file", masked("content", _HIDDEN).alias("s"))
+    parts = F.regexp_extract_all("s", F.lit(f"(?s){CREATE_TABLE}|[(),]|.[^(),cC]*+"), F.lit(0))
+    x = s.select("file", F.posexplode(parts).alias("pos", "t")).withColumn("head", F.regexp_like("t", F.lit(rf"(?s)\A{CREATE_TABLE}\z")))
+    w = Window.partitionBy("file").orderBy("pos")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumns({"up": ((F.col("t") == "(") | F.col("head")).cast("int"), "down": (F.col("t") == ")").cast("int")})
+    x = x.withColumn("level", F.sum(F.col("up") - F.col("down")).over(w) + F.col("down"))
+    partner = Window.partitionBy("file", (F.col("up") + F.col("down")) > 0, "level").orderBy("pos")
+    x = x.withColumn("end_pos", F.lead("pos").over(partner)).where("not head or end_pos is not null or level > 1")
+    # a head inside another table's body is text of that
+    outer = F.when(F.col("head") & F.col("end_pos").isNotNull(), F.struct("pos", "end_pos", "level", "t"))
+    reach = F.coalesce(F.max(outer["end_pos"]).over(past), F.lit(-1))
+    x = x.withColumn("opens", outer.isNotNull() & (F.col("pos") > reach))
+    x = x.withColumn("o", F.last(F.when(F.col("opens"), outer), ignorenulls=True).over(past)).where((F.col("pos") < F.col("o.end_pos")) | F.col("opens"))
+    x = x.withColumn("table_ord", F.sum(F.col("opens").cast("int")).over(w) - 1).where("not opens")
+    cut = (F.col("t") == ",") & (F.col("level") == F.col("o.level"))
+    x = x.withColumn("def_ord", F.sum(cut.cast("int")).over(Window.partitionBy("file", "table_ord").orderBy("pos"))).where(~cut)
+    d = x.groupBy("file", "table_ord", "def_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda r: r["t"]), "").alias("d"), F.first("o.t").alias("head"))
+    return d.select("file", "table_ord", clean_identifier(F.regexp_extract("head", CREATE_TABLE, 1)).alias("table"), "def_ord", collapse("d").alias("d"))
 
 
 def tables(files: DataFrame) -> DataFrame:
@@ -86,26 +108,26 @@ def counters(files: DataFrame) -> DataFrame:
     return files.select("file", F.size(s).alias("statements"), F.size(F.filter(s, lambda x: x.rlike(r"(?i)\bSELECT\b"))).alias("selects"))
 
 
-HINT = r"(?i)\b(?:SELECT\s[\s\S]{0,300}?\bFROM\b|INSERT\s+INTO\b|UPDATE\s+[`\"\w]+\s+SET\b|DELETE\s+FROM\b|CREATE\s+TABLE\b|(?:INNER|LEFT|RIGHT|FULL|CROSS)\s+JOIN\b)"
-_TARGET = r"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+[`\"\[]?([A-Za-z_][\w.]*)[`\"\]]?(?:\s+(?:AS\s+)?([A-Za-z_]\w*))?"
-_ON = r"(?i)\bON\s+([A-Za-z_]\w*)\.([A-Za-z_]\w*)\s*=\s*([A-Za-z_]\w*)\.([A-Za-z_]\w*)"
-QUERY = r"(?i)\bSELECT\b[\s\S]{1,300}?\bFROM\b|\bINSERT\s+INTO\b|\bUPDATE\s+[\w`\".]+\s+SET\b|\bDELETE\s+FROM\b"
-
-
 def likely_table(x: Column) -> Column:
-    return x.rlike(r"^[A-Za-z_][\w.]*$") & F.length(x).between(2, 40) & ~F.lower(x).isin(*NO_TABLES)
+    return x.rlike(r"^[A-Za-z_]\w*$") & F.length(x).between(2, 40) & ~F.lower(x).isin(*NO_TABLES)
 
 
 def embedded_tables(files: DataFrame) -> DataFrame:
-    """Tables that code names after FROM, JOIN, INTO or UPDATE: name as first seen, and in how many files."""
+    """Tables that code's queries name: name as first seen (reads before writes in a file), and in how many files."""
     seen = _targets(files).where(likely_table(F.col("name")))
     return seen.groupBy(F.lower("name").alias("key")).agg(F.min_by("name", F.struct("file", "nth")).alias("name"), F.count_distinct("file").alias("files"))
 
 
 def _targets(files: DataFrame) -> DataFrame:
+    """(file, nth, name, alias): after FROM and JOIN, then INSERT, UPDATE and DELETE, each in the order of the text."""
     hinted = files.where(F.col("content").rlike(HINT))
-    found = hinted.select("file", F.posexplode(F.regexp_extract_all("content", F.lit(_TARGET), F.lit(0))).alias("nth", "t"))
-    return found.select("file", "nth", F.regexp_extract("t", _TARGET, 1).alias("name"), F.regexp_extract("t", _TARGET, 2).alias("alias"))
+
+    def seen(kind: int, pattern: str) -> Column:
+        part = lambda t, g: F.regexp_extract(t, pattern, g)
+        return F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), lambda t, k: F.struct(F.struct(F.lit(kind).alias("kind"), k.alias("k")).alias("nth"), part(t, 1).alias("name"), part(t, 2).alias("alias")))
+
+    found = [seen(kind, pattern) for kind, pattern in enumerate((_FROM, _INSERT, _UPDATE, _DELETE))]
+    return hinted.select("file", F.explode(F.concat(*found)).alias("t")).select("file", "t.*")
 
 
 def embedded_declared(files: DataFrame) -> DataFrame:
@@ -131,8 +153,9 @@ def embedded_relations(files: DataFrame) -> DataFrame:
 
 
 def query_counts(files: DataFrame) -> DataFrame:
-    n = F.regexp_count("content", F.lit(QUERY))
-    return files.agg(F.sum(n).alias("queries"), F.count_if(n > 0).alias("files_with_sql"))
+    """One row: queries in files that hint at SQL, and how many such files there are."""
+    hinted = files.where(F.col("content").rlike(HINT))
+    return hinted.agg(F.coalesce(F.sum(F.regexp_count("content", F.lit(QUERY))), F.lit(0)).alias("queries"), F.count("*").alias("files_with_sql"))
 
 
 def merged_tables(declared: DataFrame, embedded: DataFrame) -> DataFrame:

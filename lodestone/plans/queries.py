@@ -83,8 +83,7 @@ FROM blk b JOIN norm s ON s.file_ord = b.file_ord AND s.idx = b.idx JOIN norm e
 def dup_blocks(spark: SparkSession, d: str) -> DataFrame:
     """AG-08, W-01 to W-03, SC-12, SC-13: all duplicate blocks of the documents, by their first occurrence."""
     x = duplicates.blocks(_documents(spark, d))
-    first = F.col("occurrences")[0]
-    return x.select("normalized_lines", "occurrence_count", "file_ord", "first_idx", first["start_line"].alias("start_line"), first["end_line"].alias("end_line"), F.substring_index("snippet", "\n", 1).alias("first_line"))
+    return x.select("normalized_lines", "occurrence_count", "file_ord", "first_idx", "start_line", "end_line", F.substring_index("snippet", "\n", 1).alias("first_line"))
 
 
 @query(
@@ -620,6 +619,66 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
 
 
+# --- odd cases of the extractors ----------------------------------------------------------------------------------------
+@query("SELECT 'm' || p_partkey AS file, 'f_' || p_partkey AS name, 2 AS line, 4 AS end_line, 2 AS complexity, 1 AS nesting FROM part")
+def x_hash_lines(spark: SparkSession, d: str) -> DataFrame:
+    """EX-18: in C, # hides a line that it begins, and nothing else."""
+    body = f"'  #define A {{ }} }}' || {_NL} || 'int f_' || p_partkey || '(int a) {{' || {_NL} || 'x = a # b; if (a) {{ y; }}' || {_NL} || '}}'"
+    return extract.brace_functions(_part(spark, d, body), "c").select("file", "name", "line", "end_line", "complexity", "nesting")
+
+
+@query("SELECT 'm' || p_partkey AS file, 'f_' || p_partkey AS name, 2 AS line, 2 AS end_line, 2 AS complexity, 1 AS nesting FROM part")
+def x_php_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """EX-14: in PHP, #[ begins an attribute, any other # a comment."""
+    body = f"'<?php' || {_NL} || '#[Attr] function f_' || p_partkey || '($a) {{ if ($a) {{ }} }}' || {_NL} || '# function no() {{ }}'"
+    return extract.brace_functions(_part(spark, d, body), "php").select("file", "name", "line", "end_line", "complexity", "nesting")
+
+
+@query("SELECT 'm' || p_partkey AS file, 'A' || (p_partkey % 3) || '.g' AS name, 3 AS line, 4 + p_size % 3 AS end_line, 1 + p_size % 3 AS complexity, CASE WHEN p_size % 3 > 0 THEN 1 ELSE 0 END AS nesting FROM part UNION ALL SELECT 'm' || p_partkey, 'A' || (p_partkey % 3) || '.f', 2, 6 + p_size % 3, 2, 1 FROM part")
+def x_nested_functions(spark: SparkSession, d: str) -> DataFrame:
+    """EX-17, EX-18: a function inside another keeps its own decisions."""
+    body = f"'class A' || (p_partkey % 3) || ' {{' || {_NL} || 'fun f(a: Int) {{' || {_NL} || 'fun g(b: Int) {{' || {_NL} || repeat('if (b) {{ }}' || {_NL}, p_size % 3) || '}}' || {_NL} || 'while (a) {{ }}' || {_NL} || '}}' || {_NL} || '}}'"
+    return extract.brace_functions(_part(spark, d, body), "kotlin").select("file", "name", "line", "end_line", "complexity", "nesting")
+
+
+@query("SELECT 'm' || p_partkey AS file, 'A.f' AS name, 2 AS line, 5 + p_size % 4 AS end_line, 2 AS complexity FROM part UNION ALL SELECT 'm' || p_partkey, 'inner', 3, 3 + p_size % 4, 1 + p_size % 4 FROM part")
+def x_python_nested(spark: SparkSession, d: str) -> DataFrame:
+    """EX-10 to EX-13: heads within heads, and lines after the inner one."""
+    body = f"'class A:' || {_NL} || '    def f(self):' || {_NL} || '        def inner(x):' || {_NL} || repeat('            if x: pass' || {_NL}, p_size % 4) || '        if self:' || {_NL} || '            pass' || {_NL}"
+    return extract.python_functions(_part(spark, d, body)).select("file", "name", "line", "end_line", "complexity")
+
+
+_ODD_SQL = "'q(\"SELECT x FROM app.users u JOIN `items` i ON u.`id` = `i`.\"user_id\"\"); r(\"UPDATE t1 WHERE 1\"); s(\"INSERT IGNORE INTO logs' || (p_partkey % 4) || ' VALUES\")'"
+
+
+@query("SELECT name AS key, name, count(*) AS files FROM (SELECT 'app' AS name FROM part UNION ALL SELECT 'items' FROM part UNION ALL SELECT 'logs' || (p_partkey % 4) FROM part) GROUP BY name")
+def x_embedded_odd(spark: SparkSession, d: str) -> DataFrame:
+    """EX-26: a qualified name counts by its first part, UPDATE only with SET, INSERT IGNORE too."""
+    return sqlfacts.embedded_tables(_part(spark, d, _ODD_SQL))
+
+
+@query("""SELECT DISTINCT 'Orders' || (p_partkey % 5) AS "from", 'id' AS from_column, 'items' AS "to", 'order_id' AS to_column FROM part""")
+def x_embedded_quoted(spark: SparkSession, d: str) -> DataFrame:
+    """EX-28: names in join conditions may be quoted."""
+    body = "'q(`SELECT 1 FROM Orders' || (p_partkey % 5) || ' AS oo LEFT JOIN items it ON \"oo\".`id` = [it].\"order_id\"`)'"
+    return sqlfacts.embedded_relations(_part(spark, d, body))
+
+
+@query("SELECT count_if(p_size % 3 = 0) AS queries, count(*) AS files_with_sql FROM part")
+def x_query_hints(spark: SparkSession, d: str) -> DataFrame:
+    """EX-29, AG-15: files that only declare or join have SQL too, but no query."""
+    body = "CASE p_size % 3 WHEN 0 THEN 'x(\"DELETE FROM t\")' WHEN 1 THEN 'x(\"CREATE TABLE t (a INT)\")' ELSE 'x(\" LEFT JOIN t\")' END"
+    return sqlfacts.query_counts(_part(spark, d, body))
+
+
+@query("SELECT 'm' || p_partkey AS file, 't_' || p_partkey AS name, 'b' || (p_partkey % 7) AS second, 'NUMERIC(10,2)' AS type FROM part")
+def x_sql_nested(spark: SparkSession, d: str) -> DataFrame:
+    """EX-22: parentheses inside CREATE TABLE nest as deep as they like; a table that isn't closed is none."""
+    body = "'CREATE TABLE t_' || p_partkey || ' (a INT CHECK (' || repeat('(', 2 + p_partkey % 9) || 'a, 1' || repeat(')', 2 + p_partkey % 9) || ' > 1), b' || (p_partkey % 7) || ' NUMERIC(10, 2)); CREATE TABLE open (x INT, (y'"
+    c = F.col("columns")[1]
+    return sqlfacts.tables(_part(spark, d, body)).select("file", "name", c["name"].alias("second"), c["type"].alias("type"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -1,12 +1,13 @@
 """File tables: project_id, ord, path, language, kind (code, graphql or schema_json), size, content.
 
-A project tree is read with Spark's binaryFile source, whose listing is filtered by path and size before any content is
-read; archives and tables of (path, content) give the same rows.
+A project tree is listed with Spark's binaryFile source; files are chosen by path and size, and only those that are
+accepted, at most the limit of a project, are read. Archives and tables of (path, content) give the same rows.
 """
 
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -83,13 +84,20 @@ def route(listing: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
     return x.withColumn("status", F.when((seen >= max_files) & ~in_ignored_folder("path"), "capped").otherwise(F.col("status"))).withColumn("ord", taken.cast("long"))
 
 
-def scan_tree(spark: SparkSession, root: str, project_id: str = "project") -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, project_id: str = "project", max_files: int = MAX_FILES) -> DataFrame:
     """The accepted files below a folder of any store Spark reads; invalid UTF-8 becomes U+FFFD."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?", ""), f"^{base}/*", "")
-    table = found.select(F.lit(project_id).alias("project_id"), relative.alias("path"), F.col("length").alias("size"), "content")
-    return _decoded(route(table))
+    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", ""), f"^{re.escape(base)}/*", "")
+    listing = found.load(root).select(F.lit(project_id).alias("project_id"), F.col("path").alias("uri"), relative.alias("path"), F.col("length").alias("size"))
+    chosen = route(listing, max_files).where("status = 'accepted'").select("uri", "project_id", "ord", "path", "language", "kind", "size")
+    rows = chosen.collect()  # names of at most max_files files
+    accepted = spark.createDataFrame(rows, chosen.schema)
+    names = [re.sub(r"([\\\[\]{}*?,])", r"\\\1", r["uri"]) for r in rows]
+    read = spark.read.format("binaryFile").option("ignoreCorruptFiles", True)
+    content = (read.load(names) if names else found.load(root).where("false")).select(F.col("path").alias("uri"), "content")
+    both = content.join(F.broadcast(accepted), "uri")
+    return both.select("project_id", "ord", "path", "language", "kind", "size", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def from_table(files: DataFrame) -> DataFrame:

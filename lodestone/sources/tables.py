@@ -1,11 +1,17 @@
-"""Tables written between steps, in the folder that all executors share."""
+"""Tables written between steps, in the folder that all executors share, and joins with them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes up to which the side of a join is broadcast; its rows are measured first, and beyond the bound the join shuffles.
+BROADCAST_BYTES = 16 << 20
+#: Rows up to which all of them may share a key and be joined in one task.
+FEW = 500_000
 
 _own: dict[str, str] = {}
 
@@ -31,3 +37,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def width(df: DataFrame) -> Column:
+    """About the bytes of a row as a broadcast holds it."""
+    sizes = [F.lit(8)]
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16)
+        elif kind in ("array", "map", "struct", "variant"):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0)))
+        else:
+            sizes.append(F.lit(8))
+    return sum(sizes[1:], sizes[0]).cast("long")
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the (already written) table has at most ``limit`` bytes by its rows, otherwise a sort-merge join."""
+    size = df.agg(F.sum(width(df))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df.hint("merge")
+
+
+def splittable(sums: DataFrame, rows: int, name: str) -> DataFrame:
+    """Sums by key that are about to be joined with the ``rows`` rows they sum up.
+
+    Spark splits the rows of a hot key only if the sums come from a table, so they are written, unless the rows are few.
+    """
+    return written(sums, name) if rows > FEW else sums
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """Files dealt by a hash of ``file``, before their contents become many rows: windows over a file need no other shuffle."""
+    return files.repartition("file")
