@@ -1,4 +1,4 @@
-"""Shared helpers: broadcasts of bounded size, ids that don't tell rows apart, and Arrow batches of bounded size."""
+"""Shared helpers: ids that don't tell rows apart, column names that are free, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
@@ -9,12 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.sources.tables import new_path, shared_folder, written  # noqa: F401
+from lodestone.sources.tables import new_path, small, splittable, written  # noqa: F401
 
-#: Bytes up to which the side of a join is broadcast; its rows are measured first, and beyond the bound the join shuffles.
-BROADCAST_BYTES = 16 << 20
-#: Rows up to which all of them may share a key and be joined in one task.
-FEW = 500_000
 #: Bytes of text that a Python task works on at once.
 CHUNK_BYTES = 4 << 20
 
@@ -22,34 +18,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def width(df: DataFrame) -> Column:
-    """About the bytes of a row as a broadcast holds it."""
-    sizes = [F.lit(8)]
-    for f in df.schema.fields:
-        kind = f.dataType.typeName()
-        if kind in ("string", "binary"):
-            sizes.append(F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16)
-        elif kind in ("array", "map", "struct", "variant"):
-            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0)))
-        else:
-            sizes.append(F.lit(8))
-    return sum(sizes[1:], sizes[0]).cast("long")
-
-
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast if the (already written) table has at most ``limit`` bytes by its rows, otherwise a sort-merge join."""
-    size = df.agg(F.sum(width(df))).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df.hint("merge")
-
-
-def splittable(sums: DataFrame, rows: int, name: str) -> DataFrame:
-    """Sums by key that are about to be joined with the ``rows`` rows they sum up.
-
-    Spark splits the rows of a hot key only if the sums come from a table, so they are written, unless the rows are few.
-    """
-    return written(sums, name) if rows > FEW else sums
-
-
 def odd_ids(docs: DataFrame, id_col: str = "doc_id") -> bool:
     """Whether an id is null or stands for several rows, so that ids alone don't tell rows apart."""
     found = docs.groupBy(id_col).count()
