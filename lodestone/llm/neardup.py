@@ -251,7 +251,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     # rows that repeat both id and text have the same set
     sets = written(sets if described.groupBy("doc_id", "print").count().where("count > 1").isEmpty() else sets.dropDuplicates(["rep"]), "sets")
 
-    rows = keyed.count()
+    # of the largest bucket; what is summed up by bucket is large, and stored only where a bucket has to be split
+    rows = keyed.groupBy("key").count().agg(F.max("count")).first()[0] or 0
     # 1. the most alike of the pivots, again as long as that finds links, with other pivots and between components only
     links = roots = None
     for turn in range(TURNS):
