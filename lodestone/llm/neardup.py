@@ -243,8 +243,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     shared = splittable(shared, BANDS * reps.count(), "shared")
     keyed = written(spread.join(shared, "key"), "buckets")
     involved = written(keyed.select("rep").distinct(), "involved")
-    described_reps = written(reps.select("rep", "size", "sketch", "of", "print").join(small(involved), "rep"), "involved")
-    members = written(keyed.join(described_reps.select("rep", "size", "sketch"), "rep"), "members")
+    described_reps = written(reps.select("rep", "size", "sketch", "doc_id", "of", "print").join(small(involved), "rep"), "involved")
+    members = written(keyed.join(described_reps.select("rep", "size", "sketch", "doc_id"), "rep"), "members")
     t = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("its", text_print())
     who = small(described_reps.select("rep", "of", "print"))
     sets = full_sets(t.join(who, t.id.eqNullSafe(who.of) & (t.its == who.print)))
@@ -259,7 +259,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
         now = members if roots is None else members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
         now = now.withColumn("comp", F.col("rep") if roots is None else F.coalesce("root", "rep"))
         who = F.struct("rep", "size", "sketch", "comp")
-        ranks = ["rep", *(F.xxhash64(F.lit(turn * PIVOTS + k), "rep") for k in range(1, PIVOTS))]
+        # the smallest doc_id is a pivot in all of its buckets: an original often comes before its copies
+        ranks = [F.struct(F.col("doc_id").isNull(), "doc_id", "rep"), *(F.xxhash64(F.lit(turn * PIVOTS + k), "rep") for k in range(1, PIVOTS))]
         pivots = splittable(now.groupBy("key").agg(*(F.min_by(who, rank).alias(f"p{k}") for k, rank in enumerate(ranks))), rows, "pivots")
         tried = now.join(pivots, "key").select("rep", who.alias("a"), F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("b"))
         tried = tried.where((F.col("a.comp") != F.col("b.comp")) & _plausible("a", "b", threshold))
