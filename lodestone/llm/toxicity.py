@@ -208,8 +208,13 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFram
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pipeline's stage: documents that the classifier doesn't reject, with all their columns, in one pass."""
+    """The pipeline's stage: documents that the classifier doesn't reject, with all their columns, in one pass.
+
+    Without labels of both classes, or n-grams that tell them apart, all texts have one score; then all documents stay.
+    """
     model = fit(docs, labels.where(~held_out()))
+    if not len(model.weight):
+        return docs
     handed = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

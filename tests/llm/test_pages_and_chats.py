@@ -141,6 +141,25 @@ def test_topological_order_and_cycles(spark):
     assert got[-1, ""]["problem"] == "unknown tool"
 
 
+def test_levels_of_chains_trees_and_cycles(spark):
+    """The longest chain below each call, with a long chain, a random graph and a cycle with calls behind it."""
+    r = random.Random(12)
+    needs = {(1, str(k)): [str(k + 1)] if k < 70 else [] for k in range(71)}
+    needs |= {(2, str(k)): sorted({str(r.randrange(k + 1, 26)) for _ in range(r.randrange(3))}) if k < 25 else [] for k in range(26)}
+    needs |= {(3, "a"): ["b"], (3, "b"): ["c"], (3, "c"): ["a"], (3, "d"): ["a", "e"], (3, "e"): []}
+
+    def level(call, seen=()):
+        if call in seen:
+            return None
+        below = [level((call[0], n), (*seen, call)) for n in needs[call]]
+        return None if None in below else 1 + max(below, default=-1)
+
+    calls = spark.createDataFrame(list(needs), "conv_id long, call_id string")
+    edges = spark.createDataFrame([(*c, n) for c, ns in needs.items() for n in ns], "conv_id long, call_id string, needs string")
+    got = {(x["conv_id"], x["call_id"]): x["level"] for x in chat.levels(calls, edges).collect()}
+    assert got == {c: level(c) for c in needs if level(c) is not None} and len(got) == len(needs) - 4
+
+
 def test_every_turn_is_linked(spark):
     found = queries.op1_chat_formatting(spark, "/root/testdata/sf0.001")
     talk = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").toPandas()

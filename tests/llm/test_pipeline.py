@@ -58,4 +58,6 @@ def test_stages_keep_columns_and_bear_odd_rows(spark):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, FOLDER)
             assert name.startswith("mixing") or out.columns == docs.columns
-            assert out.count() <= docs.count()
+            # nothing here is rejected or in the benchmark: only copies go, and a null text is a copy of an empty one
+            kept = {"exact dedup": 3, "MinHash near-dedup": 4}.get(name, 5) if docs is odd else 0
+            assert out.count() == kept, name
