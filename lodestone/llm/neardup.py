@@ -182,6 +182,18 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(star, "small-star")
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links between the nodes of written components ``roots``, or nodes that aren't in them.
+
+    Only the links between roots are followed, so that a few late links cost little however large the components are.
+    """
+    a, b = (roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in ("a", "b"))
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    upper = components(ends)
+    moved = roots.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return written(moved.select("node", F.coalesce("top", "root").alias("root")).unionByName(upper), "roots")
+
+
 def _rooted(members: DataFrame, roots: DataFrame, rows: int) -> DataFrame:
     """Members of buckets that hold several components, each with its component."""
     x = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
@@ -254,7 +266,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     # of the largest bucket; what is summed up by bucket is large, and stored only where a bucket has to be split
     rows = keyed.groupBy("key").count().agg(F.max("count")).first()[0] or 0
     # 1. the most alike of the pivots, again as long as that finds links, with other pivots and between components only
-    links = roots = None
+    roots = None
     for turn in range(TURNS):
         now = members if roots is None else members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
         now = now.withColumn("comp", F.col("rep") if roots is None else F.coalesce("root", "rep"))
@@ -267,10 +279,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
         best = tried.groupBy("rep").agg(F.max_by("b.rep", F.struct(_agreement("a", "b"), -F.col("b.rep"))).alias("other"))
         pairs = best.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         found = written(confirm(written(pairs, "pivot-pairs"), sets, threshold), "pivot-links")
-        if links is not None and found.isEmpty():
+        if roots is not None and found.isEmpty():
             break
-        links = found if links is None else written(links.union(found), "links")
-        roots = components(links)
+        roots = components(found) if roots is None else merged(roots, found)
 
     # 2. the most alike member of another component, 3. all that is left between components
     rooted = written(_rooted(members, roots, rows), "rooted")
@@ -279,14 +290,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
         ends = across.select("a", "b", "agreement", F.explode(F.array("a", "b")).alias("rep"))
         best = ends.groupBy("rep").agg(F.max_by(F.struct("a", "b"), F.struct("agreement", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         tried = written(best, "pairs")
-        links = written(links.union(confirm(tried, sets, threshold)), "links")
-        roots = components(links)
+        roots = merged(roots, written(confirm(tried, sets, threshold), "best-links"))
         x, y = (roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in ("a", "b"))
         left = across.select("a", "b").join(tried, ["a", "b"], "left_anti").join(x, "a", "left").join(y, "b", "left")
         left = written(left.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "left")
         more = written(confirm(left, sets, threshold), "last-links")
         if not more.isEmpty():
-            roots = components(links.union(more))
+            roots = merged(roots, more)
 
     # components by their smallest doc_id; most sets are alone in theirs
     rooted = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))

@@ -129,6 +129,18 @@ def test_components_of_a_long_path(spark):
     assert got == {k: 0 for k in range(1, 41)} | {101: 100}
 
 
+def test_components_merged_by_later_links(spark):
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    early, late = [(1, 2), (2, 5), (3, 4), (4, 9), (7, 8)], [(5, 9), (6, 7), (10, 11), (11, 12), (6, 7)]
+    whole = {r["node"]: r["root"] for r in neardup.components(table(early + late)).collect()}
+    roots = neardup.merged(neardup.components(table(early)), table(late))
+    assert sorted(tuple(r) for r in roots.collect()) == sorted(whole.items())
+    same = neardup.merged(roots, table([]))
+    assert sorted(tuple(r) for r in same.collect()) == sorted(whole.items())
+    first = neardup.merged(neardup.components(table([])), table(late))
+    assert {r["node"]: r["root"] for r in first.collect()} == {9: 5, 7: 6, 11: 10, 12: 10}
+
+
 def test_exact_dedup_matches_brute_force(spark):
     rows = corpus(2) + [(i, t) for i, t in ODD if i is not None and i != 5] + [(5000, "ONE")]
     rows = [(i * 3 if i < 1000 else i, t) for i, t in rows]
