@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import round1, severity
 
+# Short names of languages.
+LABELS = {
+    "javascript": "JS", "typescript": "TS", "python": "PY", "php": "PHP", "html": "HTML", "css": "CSS", "go": "GO", "rust": "RS", "java": "JAVA",
+    "c": "C", "cpp": "C++", "csharp": "C#", "kotlin": "KT", "swift": "SWIFT", "ruby": "RB", "sql": "SQL",
+}
+
 
 def stat_cards(summary: DataFrame, *keys: str) -> DataFrame:
     """Eight rows for each project: ord, label, value, class. Needs duplication_percentage and cycle_count."""
@@ -24,12 +30,30 @@ def stat_cards(summary: DataFrame, *keys: str) -> DataFrame:
 
 
 def share_card(summary: DataFrame, *keys: str) -> DataFrame:
-    """Six rows for each project: label, value, alarming."""
+    """Six rows for each project: label, value, alarming; what is missing counts as 0."""
     s = {"Files": ("file_count", None), "Functions": ("function_count", None), "Avg complexity": ("avg_complexity", None), "Max complexity": ("max_complexity", 10), "Duplication": ("duplication_percentage", 15), "Dep. cycles": ("cycle_count", 0)}
-    rows = F.array(*(F.struct(F.lit(label).alias("label"), F.col(c).cast("double").alias("value"), (F.col(c) > limit if limit is not None else F.lit(False)).alias("alarming")) for label, (c, limit) in s.items()))
+    rows = F.array(*(F.struct(F.lit(label).alias("label"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value"), (F.coalesce(F.col(c) > limit, F.lit(False)) if limit is not None else F.lit(False)).alias("alarming")) for label, (c, limit) in s.items()))
     return summary.select(*keys, F.explode(rows).alias("c")).select(*keys, "c.*")
 
 
+def badges(summary: DataFrame, *keys: str) -> DataFrame:
+    """A row (label) for each of graphql_detected and knowledge_graph_detected that holds."""
+    said = {"graphql_detected": "GraphQL detected", "knowledge_graph_detected": "Knowledge graph detected"}
+    labels = F.array_compact(F.array(*(F.when(F.col(c), label) for c, label in said.items())))
+    return summary.select(*keys, F.explode(labels).alias("label"))
+
+
+def language_label(language: Column) -> Column:
+    """The short name of a language; of an unknown one its own in capitals, of none an empty one."""
+    names = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
+    return F.coalesce(F.try_element_at(names, language), F.upper(language), F.lit(""))
+
+
+def formatted(number: Column) -> Column:
+    """A number with commas between thousands, and at most three decimals."""
+    return F.regexp_replace(F.regexp_replace(F.format_number(number.cast("double"), 3), r"\.?0+$", ""), r"^-0$", "0")
+
+
 def node_file(node_id: Column, source: Column) -> Column:
     """The file of a graph node, from its id or its source."""
     rest = F.regexp_replace(node_id, "^[a-z]+:", "")

@@ -50,6 +50,12 @@ def duplicate_ids(pages: DataFrame) -> DataFrame:
     return again.withColumn("place", place).where(F.col("place") <= MAX_DUPLICATE_IDS).select("file", "id", "nth")
 
 
+def deprecated_tags(pages: DataFrame, most: int = MAX_DEPRECATED) -> DataFrame:
+    """(file, nth, tag) of deprecated tags in the order of the page, at most 30 a file."""
+    found = tags(pages).where(~F.col("closing") & F.col("tag").isin(*DEPRECATED))
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("pos"))).where(F.col("nth") <= most).select("file", "nth", "tag")
+
+
 def depth(pages: DataFrame) -> DataFrame:
     """(file, max_depth): opened elements less closed ones, at most, void ones aside; for pages that close what they open."""
     step = F.when(F.col("closing"), -1).when(F.col("tag").isin(*VOID) | F.col("attrs").rlike(r"/\s*$"), 0).otherwise(1)
@@ -112,6 +118,12 @@ def style_issues(sheets: DataFrame) -> DataFrame:
     return out
 
 
+def vendor_prefixes(sheets: DataFrame) -> DataFrame:
+    """(file, vendor_prefixes): declarations of properties that belong to one browser; files without any are left out."""
+    hits = F.size(F.filter("declarations", lambda d: F.lower(d).rlike(r"^\s*-(webkit|moz|ms|o)-[^:]*:")))
+    return rules(sheets).groupBy("file").agg(F.sum(hits).alias("vendor_prefixes")).where("vendor_prefixes > 0")
+
+
 def issue_counts(issues: DataFrame, *keys: str) -> DataFrame:
     return issues.groupBy(*keys, "type").agg(F.count("*").alias("issues"))
 

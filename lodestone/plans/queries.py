@@ -679,6 +679,57 @@ def x_sql_nested(spark: SparkSession, d: str) -> DataFrame:
     return sqlfacts.tables(_part(spark, d, body)).select("file", "name", c["name"].alias("second"), c["type"].alias("type"))
 
 
+@query("""WITH p AS (SELECT p_partkey, p_size, ['center', 'font', 'big', 'tt'] AS t FROM part)
+SELECT 'm' || p_partkey AS file, k AS nth, t[(k - 1) % 4 + 1] AS tag FROM p, range(1, 31) r(k) WHERE k <= 4 * (p_size % 10)""")
+def html_deprecated_tags(spark: SparkSession, d: str) -> DataFrame:
+    """EX-33: the list, at most 30 a page; closing tags, other tags and comments don't count."""
+    return markup.deprecated_tags(_part(spark, d, "'<p><!-- <font> -->' || repeat('<center><FONT size=1></font><b><big></b><tt>', p_size % 10)"))
+
+
+@query("SELECT 'm' || p_partkey AS file, 2 * (p_size % 5) + 1 AS vendor_prefixes FROM part WHERE p_size % 3 > 0")
+def css_vendor_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """EX-41: prefixes of properties only, in capitals too; comments, values and variables don't count."""
+    body = "'a { color: -webkit-link; --moz-x: 1; /* -o-x: 1; */ }' || CASE WHEN p_size % 3 > 0 THEN repeat('.b{-webkit-x:1; -MS-y : 2;x:3}', p_size % 5) || '@media print { i { -o-z: 1 } }' ELSE '' END"
+    return markup.vendor_prefixes(_part(spark, d, body))
+
+
+@query("""SELECT o_custkey AS project_id, count_if(k) AS files, coalesce(sum(s) FILTER (k), 0)::BIGINT AS bytes, min_by('r' || (o_orderkey % 3), o_orderkey) FILTER (k) AS root,
+ CASE WHEN count_if(k) = 0 THEN 'empty' WHEN coalesce(sum(s) FILTER (k), 0) > 83886080 THEN 'bytes' END AS problem, count_if(k) > 0 AND coalesce(sum(s) FILTER (k), 0) BETWEEN 15728641 AND 83886080 AS ask
+ FROM (SELECT *, o_orderkey % 5 > 0 AND s <= 5242880 AS k FROM (SELECT *, 16 * CAST(floor(o_totalprice) AS BIGINT) AS s FROM orders)) GROUP BY 1""")
+def folder_uploads(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-11, SRC-14: the orders of a customer are a folder's files."""
+    path = "concat('r', o_orderkey % 3, IF(o_orderkey % 5 = 0, '/dist/x.js', '/distance/x.js')) AS path"
+    return project.folder_uploads(_t(spark, d, "orders").selectExpr("o_custkey AS project_id", "o_orderkey AS ord", path, "16 * CAST(floor(o_totalprice) AS BIGINT) AS size"))
+
+
+_SUMMARY = "count(*) AS file_count, 2 * count(*) AS function_count, count(*) / 4.0 AS avg_complexity, max(o_orderkey % 17) AS max_complexity, 2.5 * count(*) AS duplication_percentage, count(*) % 2 AS cycle_count"
+
+
+@query(f"""WITH s AS (SELECT o_custkey AS project_id, {_SUMMARY} FROM orders GROUP BY 1)
+SELECT project_id, label, value, alarming FROM s, LATERAL (VALUES ('Files', file_count::DOUBLE, false), ('Functions', function_count::DOUBLE, false), ('Avg complexity', avg_complexity::DOUBLE, false), ('Max complexity', max_complexity::DOUBLE, max_complexity > 10),
+ ('Duplication', duplication_percentage::DOUBLE, duplication_percentage > 15), ('Dep. cycles', cycle_count::DOUBLE, cycle_count > 0)) v(label, value, alarming)""")
+def share_card(spark: SparkSession, d: str) -> DataFrame:
+    """SHARE-01: the numbers."""
+    o = _t(spark, d, "orders").withColumnRenamed("o_custkey", "project_id")
+    return cards.share_card(o.groupBy("project_id").agg(*(F.expr(x) for x in _SUMMARY.split(", "))), "project_id")
+
+
+@query("""SELECT o_orderkey AS project_id, 'GraphQL detected' AS label FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT o_orderkey, 'Knowledge graph detected' FROM orders WHERE o_orderkey % 3 = 0""")
+def share_badges(spark: SparkSession, d: str) -> DataFrame:
+    """SHARE-01: the badges."""
+    s = _t(spark, d, "orders").selectExpr("o_orderkey AS project_id", "o_orderkey % 2 = 0 AS graphql_detected", "IF(o_orderkey % 3 = 0, true, null) AS knowledge_graph_detected")
+    return cards.badges(s, "project_id")
+
+
+@query("""SELECT p_partkey AS part, CASE p_size % 4 WHEN 0 THEN 'C++' WHEN 1 THEN 'RS' WHEN 2 THEN 'LUA' ELSE '' END AS label, format('{:,}', 1000 * p_partkey) || CASE WHEN p_size % 2 = 1 THEN '.5' ELSE '' END AS number FROM part""")
+def language_labels(spark: SparkSession, d: str) -> DataFrame:
+    """SC-21, SC-24."""
+    language = F.expr("element_at(array('cpp', 'rust', 'lua', null), p_size % 4 + 1)")
+    number = F.col("p_partkey") * 1000 + F.when(F.col("p_size") % 2 == 1, 0.5).otherwise(0.0)
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("part"), cards.language_label(language).alias("label"), cards.formatted(number).alias("number"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -41,8 +41,12 @@ UPLOAD_SKIPPED = ("node_modules", ".git", "dist", "build", "coverage", "vendor",
 MAX_CODE_BYTES = 1024 * 1024
 MAX_JSON_BYTES = 5 * 1024 * 1024
 MAX_FILES = 5000
+MAX_ARCHIVE_BYTES = 100 * 1024 * 1024
 MAX_ZIP_ENTRIES = 10_000
 MAX_ZIP_BYTES = 300 * 1024 * 1024
+MAX_FOLDER_FILES, MAX_FOLDER_FILE_BYTES, MAX_FOLDER_BYTES = 3000, 5 * 1024 * 1024, 80 * 1024 * 1024
+ASK_FOLDER_FILES, ASK_FOLDER_BYTES = 150, 15 * 1024 * 1024
+FOLDER_SKIPPED = r"(^|/)(node_modules|\.git|dist|build|coverage|vendor|\.next|__pycache__|\.cache)(/|$)"
 
 
 def language(path: Column | str) -> Column:
@@ -100,6 +104,29 @@ def scan_tree(spark: SparkSession, root: str, project_id: str = "project", max_f
     return both.select("project_id", "ord", "path", "language", "kind", "size", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
+def folder_uploads(listing: DataFrame) -> DataFrame:
+    """Whether the folders of a listing (project_id, ord, path, size) may be uploaded: one row a project.
+
+    ``files`` and ``bytes`` are of what is left without skipped folders and files over 5 MiB. ``problem`` is empty if
+    nothing is left, files or bytes for the limit that is passed first in the order of ``ord``, else null; ``ask`` tells
+    that a folder within the limits is large enough to ask first. ``root`` is the first segment of the first file's path.
+    """
+    left = ~F.coalesce(F.regexp_like("path", F.lit(FOLDER_SKIPPED)), F.lit(False)) & ~F.coalesce(F.col("size") > MAX_FOLDER_FILE_BYTES, F.lit(False))
+    so_far = Window.partitionBy("project_id", "left").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = listing.withColumn("left", left).withColumns({"n": F.count("*").over(so_far), "b": F.sum(F.coalesce("size", F.lit(0))).over(so_far)})
+    mine = lambda c: F.when(F.col("left"), F.col(c))
+    over = F.when(F.col("n") > MAX_FOLDER_FILES, "files").when(F.col("b") > MAX_FOLDER_BYTES, "bytes")
+    sums = x.groupBy("project_id").agg(
+        F.count_if("left").alias("files"),
+        F.coalesce(F.sum(F.when(F.col("left"), F.col("size"))), F.lit(0)).alias("bytes"),
+        F.min_by(over, F.when(F.col("left") & over.isNotNull(), F.col("n"))).alias("over"),
+        F.min_by(F.split_part("path", F.lit("/"), F.lit(1)), mine("n")).alias("root"),
+    )
+    problem = F.when(F.col("files") == 0, "empty").otherwise(F.col("over"))
+    ask = problem.isNull() & ((F.col("files") > ASK_FOLDER_FILES) | (F.col("bytes") > ASK_FOLDER_BYTES))
+    return sums.select("project_id", "files", "bytes", "root", problem.alias("problem"), ask.alias("ask"))
+
+
 def from_table(files: DataFrame) -> DataFrame:
     """The same rows from a table of project_id, path and content (string): the folder upload."""
     clean = files.withColumn("path", safe_relative_path("path", UPLOAD_SKIPPED)).where("path is not null")
@@ -107,7 +134,7 @@ def from_table(files: DataFrame) -> DataFrame:
 
 
 def from_zips(spark: SparkSession, path: str) -> DataFrame:
-    """The same rows from ZIP archives, one project each; an archive over the limits gives an error."""
+    """The same rows from ZIP archives, one project each; an archive over the limits gives an error, a large file unread."""
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -120,6 +147,9 @@ def from_zips(spark: SparkSession, path: str) -> DataFrame:
                         yield pd.DataFrame({"project_id": [name], "path": [e.filename], "content": [z.read(e)]})
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    large = found.where(F.col("length") > MAX_ARCHIVE_BYTES).select("path").first()
+    if large:
+        raise ValueError(f"{large['path']}: the archive is over the limits")
     archives = found.select(F.regexp_replace(basename("path"), r"\.zip$", "").alias("project_id"), "content")
     rows = archives.mapInPandas(unpack, "project_id string, path string, content binary")
     clean = rows.withColumn("path", safe_relative_path("path", UPLOAD_SKIPPED)).where("path is not null")

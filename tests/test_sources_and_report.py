@@ -1,6 +1,8 @@
 import json
 import zipfile
 
+import pytest
+
 from lodestone.plans import report
 from lodestone.sources import project
 from lodestone.streaming import projects
@@ -42,6 +44,24 @@ def test_file_limit(spark):
     assert {r["status"]: r["count"] for r in got} == {"accepted": 4, "capped": 2}
 
 
+def test_folder_limits(spark):
+    many = [("many", k, f"r/{k}.js", 1) for k in range(3001)]
+    both = [("both", k, f"r/{k}.js", 5 << 20) for k in range(3001)]
+    rest = [("none", 1, "a/dist/x.js", 1), ("none", 2, "a/y.js", 6 << 20), ("ok", 1, ".git/x", 1), ("ok", 2, "s/y.js", 10), ("ok", 3, "t/y.js", None), ("ask", 1, "s/a", 4 << 20), ("ask", 2, "s/b", 4 << 20), ("ask", 3, "s/c", 4 << 20), ("ask", 4, "s/d", 4 << 20)]
+    got = project.folder_uploads(spark.createDataFrame(many + both + rest, "project_id string, ord long, path string, size long")).collect()
+    assert {r["project_id"]: (r["files"], r["root"], r["problem"], r["ask"]) for r in got} == {
+        "many": (3001, "r", "files", False), "both": (3001, "r", "bytes", False), "none": (0, None, "empty", False), "ok": (2, "s", None, False), "ask": (4, "s", None, True),
+    }
+
+
+def test_archive_limit(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "proj.zip", "w") as z:
+        z.writestr("a.js", "x")
+    monkeypatch.setattr(project, "MAX_ARCHIVE_BYTES", 10)
+    with pytest.raises(ValueError, match="over the limits"):
+        project.from_zips(spark, str(tmp_path))
+
+
 def test_report(spark, tmp_path):
     tree(tmp_path / "proj")
     done = report.analyse(project.scan_tree(spark, str(tmp_path / "proj"), "proj"))
