@@ -156,6 +156,16 @@ def analyse(files: DataFrame) -> Analysis:
     return Analysis(rollup.file_warnings(table), functions, imports, edges, cycles, scored, tables, relations, issues, styles, checks, advice, sections)
 
 
+def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (value) with a graph of bounded size, as the project's is, for ``write.text``; none if it has no nodes."""
+    sort = lambda df, *keys: F.array_sort(F.collect_list(F.struct(*keys, *(c for c in df.columns if c not in keys))))
+    of_nodes = nodes.agg(sort(nodes, "id").alias("nodes"))
+    of_edges = edges.agg(sort(edges, "from", "to", "relation").alias("edges"))
+    links = F.transform("edges", lambda e: F.struct(e["from"].alias("source"), e["to"].alias("target"), e["relation"].alias("relation"), e["confidence"].alias("confidence")))
+    both = of_nodes.crossJoin(of_edges).where(F.size("nodes") > 0)  # one row each
+    return both.select(F.to_json(F.struct("nodes", links.alias("edges")), {"pretty": "true"}).alias("value"))
+
+
 def report(a: Analysis) -> DataFrame:
     """One row with the report: totals, score, ranked files and functions, cycles, advice and the sections. Lists have fixed lengths."""
     listed = lambda df, name: df.agg(F.collect_list(F.struct(*df.columns)).alias(name))

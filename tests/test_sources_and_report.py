@@ -62,6 +62,16 @@ def test_archive_limit(spark, tmp_path, monkeypatch):
         project.from_zips(spark, str(tmp_path))
 
 
+def test_graph_json(spark):
+    nodes = spark.createDataFrame([("file:b", "b", None), ("file:a", "a", "x")], "id string, label string, source string")
+    edges = spark.createDataFrame([("file:b", "file:a", "imports", "EXTRACTED")], "from string, to string, relation string, confidence string")
+    doc = json.loads(report.graph_json(nodes, edges).first()["value"])
+    assert doc["nodes"] == [{"id": "file:a", "label": "a", "source": "x"}, {"id": "file:b", "label": "b"}]
+    assert doc["edges"] == [{"source": "file:b", "target": "file:a", "relation": "imports", "confidence": "EXTRACTED"}]
+    assert json.loads(report.graph_json(nodes, edges.limit(0)).first()["value"])["edges"] == []
+    assert report.graph_json(nodes.limit(0), edges.limit(0)).count() == 0
+
+
 def test_report(spark, tmp_path):
     tree(tmp_path / "proj")
     done = report.analyse(project.scan_tree(spark, str(tmp_path / "proj"), "proj"))
