@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontaminate, exactdedup, htmltext, mixing, neardup, tokens, toxicity, urlfilter, warc
+from lodestone.llm import chat, decontaminate, exactdedup, htmltext, mixing, neardup, periodic, spelling, tokenfile, tokens, toxicity, urlfilter, warc
 
 #: Rules of op5, as (host, path, verdict).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -63,6 +63,20 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.detect(_table(spark, sf_dir, "documents"), tails=True))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfile.write_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_formatting, op2_token_counts, op3_warc, op4_minhash_near_dedup, op5_url_filters, op6_mixing, op7_decontamination, op8_exact_dedup, op9_toxicity, op10_html_extraction, pipeline]
+    found = [op1_chat_formatting, op2_token_counts, op3_warc, op4_minhash_near_dedup, op5_url_filters, op6_mixing, op7_decontamination, op8_exact_dedup, op9_toxicity, op10_html_extraction, op11_spelling_variants, op12_periodic_runs, op13_token_files, pipeline]
     return {f.__name__: f for f in found}
 
 
