@@ -19,10 +19,12 @@ leaves a file that no row names.
 from __future__ import annotations
 
 import itertools
+import operator
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import chunks, new_path, small, written
+from lodestone.llm.tokens import _byte_chars as byte_chars
 
 #: The id that ends each document.
 END = 0
@@ -77,23 +80,43 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        plain = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None and self.library.pre_tokenizer.use_regex and not self.library.pre_tokenizer.add_prefix_space
-        self.whole = re.compile("|".join([_BEYOND.pattern, *map(re.escape, special)]) if plain else "")
+        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.plain = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None and self.library.pre_tokenizer.use_regex and not self.library.pre_tokenizer.add_prefix_space
+        #: The character that stands for each byte in the vocabulary; a newline stays, it never is in a piece of other characters.
+        self.chars = {b: c for c, b in byte_chars().items() if b != 10}
         self.known: dict[str, bytes] = {}
 
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _cuttable(self, text: str) -> bool:
+        if not self.plain or any(s in text for s in self.special):
+            return False
+        try:
+            text.encode("latin-1")  # the quickest way to see that no character is beyond
+        except UnicodeEncodeError:
+            return not _BEYOND.search(text)
+        return True
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces: those of white space as texts, the others by the library's model, which gets bytes as characters."""
+        self.known.update((x, self._ids(x).tobytes()) for x in pieces if x.isspace())
+        words = [x for x in pieces if not x.isspace()]
+        spelt = "\n".join([x.encode().decode("latin-1") for x in words]).translate(self.chars).split("\n")
+        model, code = self.library.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
+        self.known.update((x, array(code, [t.id for t in model(y)]).tobytes()) for x, y in zip(words, spelt, strict=bool(words)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.whole.search(x) else _PIECES.findall(x) for x in texts]
-        new = list(set(itertools.chain.from_iterable(filter(None, cut))) - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
-            new = list(set(itertools.chain.from_iterable(filter(None, cut))))
-        self.known.update(zip(new, self._packed(new), strict=True))
-        odd = iter(self._packed([x for x, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        return [next(odd) if pieces is None else b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        cut = [_PIECES.findall(x) if self._cuttable(x) else None for x in texts]
+        ids = [None if pieces is None else list(map(self.known.get, pieces, itertools.repeat(b""))) for pieces in cut]
+        missing = [() if x is None else list(itertools.compress(range(len(x)), map(operator.not_, x))) for x in ids]
+        self._learn(list({pieces[i] for pieces, places in zip(cut, missing, strict=True) for i in places}))
+        for pieces, x, places in zip(cut, ids, missing, strict=True):
+            for i in places:
+                x[i] = self.known[pieces[i]]
+        return [self._ids(text).tobytes() if x is None else b"".join(x) for text, x in zip(texts, ids, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -175,7 +198,7 @@ class Table:
 
     def __post_init__(self):
         size = int(self.ids.max()) + 1 if len(self.ids) else 0
-        self.by_id, self.start = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.by_id, self.start = np.zeros(size, np.uint32), np.zeros(size, np.uint32)
         self.by_id[self.ids] = self.freq
         self.start[self.ids] = np.concatenate([[0], np.cumsum(self.freq)[:-1]]) if size else []
         self._slots = None
@@ -230,7 +253,7 @@ def encode_block(ids: np.ndarray, starts: list[tuple[int | None, int, int]], fir
     lanes = max(1, min(lanes, n // 64))
     segment = max(1, segment // lanes) * lanes
     scale, most = np.uint64(table.scale), np.uint64(63 - table.scale)
-    freq, start = table.by_id[ids], table.start[ids]
+    freq, start = table.by_id[ids].astype(np.uint64), table.start[ids].astype(np.uint64)
     state = np.full(lanes, _LOW)
     words, sizes, marks = [], [], {}
     for begin in range((n - 1) // lanes * lanes, -1, -lanes):
@@ -288,7 +311,9 @@ class Block:
                 slot = x & mask
                 found = t.slots[slot]
                 out[i : i + self.lanes] = found
-                x = t.by_id[found] * (x >> scale) + slot - t.start[found]
+                x >>= scale
+                x *= t.by_id[found]
+                x += slot - t.start[found]
                 short = np.flatnonzero(x < _LOW)
                 x[short] = x[short] << np.uint64(32) | self.words[word : word + len(short)]
                 word += len(short)
