@@ -106,17 +106,19 @@ class Encoder:
         model, code = self.library.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
         self.known.update((x, array(code, [t.id for t in model(y)]).tobytes()) for x, y in zip(words, spelt, strict=bool(words)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [_PIECES.findall(x) if self._cuttable(x) else None for x in texts]
-        ids = [None if pieces is None else list(map(self.known.get, pieces, itertools.repeat(b""))) for pieces in cut]
-        missing = [() if x is None else list(itertools.compress(range(len(x)), map(operator.not_, x))) for x in ids]
-        self._learn(list({pieces[i] for pieces, places in zip(cut, missing, strict=True) for i in places}))
-        for pieces, x, places in zip(cut, ids, missing, strict=True):
-            for i in places:
-                x[i] = self.known[pieces[i]]
-        return [self._ids(text).tobytes() if x is None else b"".join(x) for text, x in zip(texts, ids, strict=True)]
+    def encode(self, text: str) -> bytes:
+        if not self._cuttable(text):
+            return self._ids(text).tobytes()
+        pieces = _PIECES.findall(text)
+        ids = list(map(self.known.get, pieces, itertools.repeat(b"")))
+        missing = list(itertools.compress(range(len(ids)), map(operator.not_, ids)))
+        if missing:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            self._learn(list({pieces[i] for i in missing}))
+            for i in missing:
+                ids[i] = self.known[pieces[i]]
+        return b"".join(ids)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -146,7 +148,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         e, nth = encoder(path), 0
         last = np.array([end], e.kind).tobytes()
         for batch in chunks(batches, "text"):
-            ids = [x + last for x in e.encode(batch.column("text").to_pylist())]
+            ids = [e.encode(x) + last for x in batch.column("text").to_pylist()]
             n = pa.array([len(x) // e.kind.itemsize for x in ids], pa.int64())
             rows = pa.array(range(nth, nth + len(ids)), pa.int64())
             nth += len(ids)
@@ -457,9 +459,11 @@ def read_files(index: DataFrame, folder: str, task: int = TASK) -> DataFrame:
                     place = block.first + min(block.n, skip + len(found))
                     if place < end:
                         load(after)
-                data = memoryview(np.concatenate(parts).astype("<u4").tobytes())
-                texts = [bytes(data[4 * (p - begin) : 4 * (p - begin + k)]) for _, p, k in wanted]
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(wanted), pa.string()), pa.array([p for _, p, _ in wanted], pa.int64()), pa.array([d for d, _, _ in wanted], pa.int64()), pa.array(texts, pa.binary())], ["file", "first", "doc_id", "ids"])
+                # the documents follow each other, so their ids are one buffer
+                ends = np.cumsum([0, *(4 * k for _, _, k in wanted)], dtype=np.int32)
+                data = np.concatenate(parts).astype("<u4")[: end - begin]
+                column = pa.Array.from_buffers(pa.binary(), len(wanted), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(wanted), pa.string()), pa.array([p for _, p, _ in wanted], pa.int64()), pa.array([d for d, _, _ in wanted], pa.int64()), column], ["file", "first", "doc_id", "ids"])
         if opened is not None:
             opened.close()
 
