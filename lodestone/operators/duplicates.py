@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import collapse, lines, round1
+from lodestone.operators.scope import first_rows, keys, scoped, side_by_side
 from lodestone.sources.tables import small, splittable, spread, written
 
 # Fixed values.
@@ -40,7 +41,9 @@ def windows(norm: DataFrame, size: int = WINDOW_LINES, least: int = MIN_CHARS) -
     w = Window.partitionBy("file").orderBy("idx")
     following = [F.lead("text", k).over(w) for k in range(size)]
     joined = norm.select("file_ord", "file", "idx", F.concat_ws("\n", *following).alias("run"), following[-1].alias("last"))
-    return joined.where(F.col("last").isNotNull() & (F.length("run") >= least)).select("file_ord", "file", "idx", F.sha1("run").alias("hash"))
+    found = scoped(joined.where(F.col("last").isNotNull() & (F.length("run") >= least)))
+    # what is equal in two projects is none of either's duplicates
+    return found.select("file_ord", "file", "idx", F.concat_ws("/", *keys(found), F.sha1("run")).alias("hash"))
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -130,23 +133,34 @@ def occurrences(norm: DataFrame, dups: DataFrame, found: DataFrame, size: int =
     return placed.select("hash", "file_ord", "file", "idx", "start_line", "end_line")
 
 
+Search = tuple[DataFrame, DataFrame, DataFrame]
+
+
 def top_blocks(files: DataFrame, most: int = MAX_BLOCKS, size: int = WINDOW_LINES) -> DataFrame:
-    """The blocks of the most repeated lines, with all their places; ties stay in order of first occurrence.
+    """The blocks of the most repeated lines, of each project, with all their places; ties stay in order of first occurrence."""
+    return top_of(search(files, size), most, size)
+
 
-    Places are looked up for these blocks alone and listed, so this is for the files of one project.
-    """
-    norm, dups, found = search(files, size)
-    top = written(found.orderBy(((size + F.col("extra")) * F.col("n")).desc(), "file_ord", "first_idx").limit(most), "top-blocks")
+def top_of(searched: Search, most: int = MAX_BLOCKS, size: int = WINDOW_LINES) -> DataFrame:
+    """``top_blocks`` of stored tables. Places are looked up for these blocks alone and listed; ``rank`` orders them."""
+    norm, dups, found = searched
+    top = written(first_rows(scoped(found), most, ((size + F.col("extra")) * F.col("n")).desc(), "file_ord", "first_idx"), "top-blocks")
     listed = occurrences(norm, dups, top, size).groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("file_ord", "idx", "file", "start_line", "end_line"))).alias("o"))
     listed = listed.select("hash", F.transform("o", lambda x: F.struct(x["file"].alias("file"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"))).alias("occurrences"))
-    out = _described(norm, top, size).join(listed, "hash").select("normalized_lines", "occurrence_count", "occurrences", "snippet", "truncated_snippet", "file_ord", "first_idx")
-    return out.orderBy((F.col("normalized_lines") * F.col("occurrence_count")).desc(), "file_ord", "first_idx")
+    out = _described(norm, top, size).join(listed, "hash").join(top.select("hash", "rank", *keys(top)), "hash")
+    return out.select(*keys(top), "normalized_lines", "occurrence_count", "occurrences", "snippet", "truncated_snippet", "file_ord", "first_idx", "rank").orderBy("rank")
 
 
 def percentage(files: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
-    """One row: total_blocks, duplicated_lines, normalized_lines and the percentage of lines that blocks cover."""
-    norm, dups, found = search(files, size)
-    covered = dups.join(small(found.select("hash", "extra")), "hash").select("file", F.explode(F.sequence("idx", F.col("idx") + F.col("extra") + size - 1)).alias("idx")).distinct()
-    counts = norm.agg(F.count("*").alias("normalized_lines")).crossJoin(covered.agg(F.count("*").alias("duplicated_lines"))).crossJoin(found.agg(F.count("*").alias("total_blocks")))  # one row each
+    """One row a project: total_blocks, duplicated_lines, normalized_lines and the percentage of lines that blocks cover."""
+    return percentage_of(search(files, size), size)
+
+
+def percentage_of(searched: Search, size: int = WINDOW_LINES) -> DataFrame:
+    norm, dups, found = (scoped(x) for x in searched)
+    own = keys(norm)
+    covered = dups.join(small(found.select("hash", "extra")), "hash").select(*own, "file", F.explode(F.sequence("idx", F.col("idx") + F.col("extra") + size - 1)).alias("idx")).distinct()
+    counted = lambda df, name: df.groupBy(*own).agg(F.count("*").alias(name))
+    counts = side_by_side(counted(norm, "normalized_lines"), counted(covered, "duplicated_lines"), counted(found, "total_blocks")).na.fill(0)
     share = F.when(F.col("normalized_lines") > 0, F.col("duplicated_lines") / F.col("normalized_lines") * 100).otherwise(0.0)
-    return counts.select("total_blocks", "duplicated_lines", "normalized_lines", round1(share).alias("percentage"))
+    return counts.select(*own, "total_blocks", "duplicated_lines", "normalized_lines", round1(share).alias("percentage"))

@@ -59,6 +59,14 @@ def _parameters(inside: Column) -> Column:
     return F.when(js_trim(flat) == "", 0).otherwise(F.size(F.filter(F.split(flat, ","), lambda p: js_trim(p) != "")))
 
 
+def _python_parameters(inside: Column) -> Column:
+    """Parts between commas outside brackets, up to the header's first closing parenthesis: one left open hides the rest."""
+    flat = inside
+    for _ in range(3):
+        flat = F.regexp_replace(flat, r"\[[^\[\]{}]*\]|\{[^\[\]{}]*\}", "")
+    return F.when(js_trim(inside) == "", 0).otherwise(1 + F.regexp_count(F.regexp_replace(flat, r"(?s)[(\[{\]}].*$", ""), F.lit(",")))
+
+
 def brace_functions(files: DataFrame, language: str) -> DataFrame:
     """Functions of files (file, content) in one of ``LANGUAGES`` or ``SCRIPTS``: file, name, line, end_line, lines, params, complexity, nesting.
 
@@ -228,10 +236,10 @@ def python_functions(files: DataFrame) -> DataFrame:
     x = x.where(is_def | plain).withColumn("start", F.when(is_def, F.col("line")).otherwise(F.col("o.line")))
     own = F.max(F.when(is_def, F.struct("def", "s", "indent", "unit", "end", F.col("o.cls").alias("prefix"))))
     sums = x.groupBy("file", "start").agg(own.alias("f"), F.sum(F.when(plain, F.regexp_count("s", F.lit(_PY_WORDS)))).alias("decisions"), F.max(F.when(plain, F.col("indent"))).alias("deepest"))
-    inner = F.regexp_extract("f.s", r"\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", 1)
+    inner = F.regexp_extract("f.s", r"\(([^)]*)\)", 1)
     name = F.when(F.col("f.prefix").isNotNull(), F.concat("f.prefix", F.lit("."), "f.def")).otherwise(F.col("f.def"))
     depth = F.floor((F.coalesce("deepest", "f.indent") - F.col("f.indent")) / F.coalesce("f.unit", F.lit(4)) + 0.5)
-    return sums.select("file", name.alias("name"), F.col("start").alias("line"), F.col("f.end").alias("end_line"), (F.col("f.end") - F.col("start") + 1).alias("lines"), _parameters(inner).alias("params"), (1 + F.coalesce("decisions", F.lit(0))).alias("complexity"), F.greatest(depth, F.lit(0)).cast("int").alias("nesting"), F.lit("python").alias("language"))
+    return sums.select("file", name.alias("name"), F.col("start").alias("line"), F.col("f.end").alias("end_line"), (F.col("f.end") - F.col("start") + 1).alias("lines"), _python_parameters(inner).alias("params"), (1 + F.coalesce("decisions", F.lit(0))).alias("complexity"), F.greatest(depth, F.lit(0)).cast("int").alias("nesting"), F.lit("python").alias("language"))
 
 
 def imports(files: DataFrame) -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import basename, dirname, normalize_path, package_root, top_folder
+from lodestone.operators.scope import first_rows, keys, side_by_side
+from lodestone.sources.tables import written
 
+#: Edges that one task floods with labels.
+BLOCK = 1_000_000
 # What an import may leave out, and sizes of graphs.
 ENDINGS = ("", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", "/index.js", "/index.jsx", "/index.ts", "/index.tsx", "/index.mjs", "/index.cjs")
 MAX_NODES, MAX_CYCLES, MAX_EXTERNAL = 400, 50, 50
@@ -37,126 +43,205 @@ def dependency_edges(resolved: DataFrame) -> DataFrame:
 
 
 def external_packages(resolved: DataFrame, most: int | None = MAX_EXTERNAL) -> DataFrame:
-    """Packages by number of import statements."""
+    """Packages of each project by number of import statements; of equals the one imported first."""
     outside = resolved.where((F.col("target").isNull() | (F.col("target") == F.col("file"))) & ~F.col("source").startswith("."))
-    counts = outside.groupBy(package_root("source").alias("name")).agg(F.count("*").alias("imports")).orderBy(F.desc("imports"), "name")
-    return counts.limit(most) if most else counts
+    counts = outside.groupBy(*keys(outside), package_root("source").alias("name")).agg(F.count("*").alias("imports"), F.min(F.struct("file_ord", "imp_ord")).alias("at"))
+    return first_rows(counts, most or 1 << 30, F.desc("imports"), "at", "name").drop("at")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """(node, degree, out_degree); a loop counts twice."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("from").alias("node"), F.lit(1).alias("out")), F.struct(F.col("to").alias("node"), F.lit(0).alias("out")))).alias("e"))
-    return ends.groupBy("e.node").agg(F.count("*").alias("degree"), F.sum("e.out").alias("out_degree"))
+    """(node, degree, out_degree) of each project; a loop counts twice."""
+    ends = edges.select(*keys(edges), F.explode(F.array(F.struct(F.col("from").alias("node"), F.lit(1).alias("out")), F.struct(F.col("to").alias("node"), F.lit(0).alias("out")))).alias("e"))
+    return ends.groupBy(*keys(edges), F.col("e.node").alias("node")).agg(F.count("*").alias("degree"), F.sum("e.out").alias("out_degree"))
+
+
+def _flood(frame: pd.DataFrame) -> pd.DataFrame:
+    """Labels that edges (a, b) of one block make smaller: the smallest label first goes wherever its edges lead."""
+    nodes, place = np.unique(frame[["a", "b"]].to_numpy().T.ravel(), return_inverse=True)
+    a, b = place[: len(frame)], place[len(frame) :]
+    label = np.full(len(nodes), np.iinfo(np.int64).max)
+    np.minimum.at(label, a, frame["la"].to_numpy())
+    np.minimum.at(label, b, frame["lb"].to_numpy())
+    order = np.argsort(a, kind="stable")
+    bounds, after = np.searchsorted(a[order], np.arange(len(nodes) + 1)).tolist(), b[order].tolist()
+    known, out = label.tolist(), [None] * len(nodes)
+    for root in np.argsort(label, kind="stable").tolist():
+        if out[root] is not None:
+            continue
+        least, todo = known[root], [root]
+        out[root] = least
+        while todo:
+            node = todo.pop()
+            for other in after[bounds[node] : bounds[node + 1]]:
+                if out[other] is None:
+                    out[other] = least
+                    todo.append(other)
+    found = np.array(out, np.int64)
+    less = found < label
+    return pd.DataFrame({"node": nodes[less], "label": found[less]})
+
+
+def least_labels(edges: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node, label): the least label of all nodes from which edges (a, b) lead to a node, its own included.
+
+    Edges are dealt to blocks of about ``block`` by a hash. A block is flooded by one task, and what blocks have found is
+    exchanged by joins until nothing changes: one round for a graph of a single block, and at most as many as the graph
+    is wide for a larger one.
+    """
+    blocks = -(-edges.count() // block) or 1
+    while True:
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+        dealt = edges.join(of("a"), "a").join(of("b"), "b").withColumn("block", F.pmod(F.xxhash64("a", "b"), F.lit(blocks)))
+        found = written(dealt.groupBy("block").applyInPandas(_flood, "node long, label long"), "labels")
+        if found.isEmpty():
+            return labels
+        labels = written(labels.unionByName(found).groupBy("node").agg(F.min("label").alias("label")), "labels")
+        if blocks == 1:
+            return labels
+
+
+def parts(edges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(project_id, node, part) of the nodes of all strongly connected parts of more than one node; ``part`` is a number.
+
+    Nodes of a part are reached from the same nodes and reach the same nodes. So edges whose ends differ in the least node
+    that leads to them, or in the least one they lead to, lie in no part and are cut, until none is. Nodes are numbered by
+    a shuffle, which makes that few rounds.
+    """
+    ends = edges.where(F.col("from") != F.col("to")).select("project_id", "from", "to")
+    names = ends.select("project_id", F.explode(F.array("from", "to")).alias("node")).distinct()
+    ids = written(names.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    of = lambda name, end: ids.select("project_id", F.col("node").alias(name), F.col("id").alias(end))
+    left = written(ends.join(of("from", "a"), ["project_id", "from"]).join(of("to", "b"), ["project_id", "to"]).select("a", "b").distinct(), "edges")
+    labels, rest = ids.select(F.col("id").alias("node"), F.col("id").alias("label")), left.count()
+    while rest:
+        before = rest
+        for x, y in (("a", "b"), ("b", "a")):
+            own = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+            labels = least_labels(left.select(F.col(x).alias("a"), F.col(y).alias("b")), written(own, "labels"), block)
+            at = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))  # noqa: E731, B023
+            left = written(left.join(at("a"), "a").join(at("b"), "b").where("la = lb").select("a", "b"), "edges")
+        rest = left.count()
+        if rest == before:
+            break
+    inside = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return labels.join(inside, "node").select(F.col("node").alias("id"), F.col("label").alias("part")).join(ids, "id").select("project_id", "node", "part")
 
 
-def cycles(edges: DataFrame, most: int = MAX_CYCLES) -> DataFrame:
-    """(project_id, cycle_ord, path): one closed path for each back edge of a depth-first walk in import order.
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(project_id, node) of all nodes that lie on any cycle, whatever order a walk takes."""
+    return parts(edges).select("project_id", "node")
 
-    What a walk finds depends on its order, so each project is walked by one task; a project is at most 5,000 files.
-    """
+
+def _walk(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The depth-first walk of one part from its entry: its cycles and the edges by which it leaves the part, by time."""
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        after: dict[str, list[str]] = {}
-        for a, b in frame.sort_values("nth")[["from", "to"]].itertuples(index=False):
-            after.setdefault(a, []).append(b)
+        after: dict[str, list[tuple[str, bool]]] = {}
+        for a, b, inner in frame.sort_values(["from", "nth"])[["from", "to", "inner"]].itertuples(index=False):
+            after.setdefault(a, []).append((b, inner))
+        root = frame["entry"].iloc[0]
         done: set[str] = set()
         seen: set[tuple[str, ...]] = set()
-        found: list[list[str]] = []
-        for root in after:
-            if root in done:
+        out: list[tuple[int, str | None, str | None]] = []
+        path, place, todo, time, found = [root], {root: 0}, [iter(after[root])], 0, 0
+        while todo:
+            step = next(todo[-1], None)
+            if step is None:
+                todo.pop()
+                last = path.pop()
+                del place[last]
+                done.add(last)
                 continue
-            path, place, todo = [root], {root: 0}, [iter(after[root])]
-            while todo:
-                node = next(todo[-1], None)
-                if node is None:
-                    todo.pop()
-                    last = path.pop()
-                    del place[last]
-                    done.add(last)
-                elif node in place:
-                    ring = path[place[node] :]
-                    key = tuple(sorted(ring))
-                    if len(found) < most and key not in seen:
-                        seen.add(key)
-                        found.append([*ring, node])
-                elif node not in done:
-                    place[node] = len(path)
-                    path.append(node)
-                    todo.append(iter(after.get(node, ())))
-        paths = ["\0".join(ring) for ring in found] or [None]
-        return pd.DataFrame({"project_id": [frame["project_id"].iloc[0]] * len(paths), "cycle_ord": list(range(len(paths))), "path": paths})
-
-    nth = F.struct(F.col("at.file_ord"), F.col("at.imp_ord"))
-    ranked = edges.select("project_id", "from", "to", F.row_number().over(Window.partitionBy("project_id").orderBy(nth, "to")).alias("nth"))
-    found = ranked.groupBy("project_id").applyInPandas(walk, "project_id string, cycle_ord int, path string")
-    return found.where("path is not null").withColumn("path", F.split("path", "\0"))
-
-
-def cyclic_files(found: DataFrame) -> DataFrame:
-    return found.select("project_id", F.explode("path").alias("file")).distinct()
-
-
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """(project_id, node) of all nodes that lie on any cycle, whatever order a walk takes.
+            node, inner = step
+            time += 1
+            if not inner:
+                out.append((time, node, None))
+            elif node in place:
+                ring = path[place[node] :]
+                key = tuple(sorted(ring))
+                if found < most and key not in seen:
+                    seen.add(key)
+                    found += 1
+                    out.append((time, None, "\0".join([*ring, node])))
+            elif node not in done:
+                place[node] = len(path)
+                path.append(node)
+                todo.append(iter(after.get(node, ())))
+        times, targets, rings = zip(*out, strict=True)
+        return pd.DataFrame({"project_id": frame["project_id"].iloc[0], "part": frame["part"].iloc[0], "time": times, "to": targets, "path": rings})
+
+    return walk
+
+
+def cycles(edges: DataFrame, most: int = MAX_CYCLES, block: int = BLOCK) -> DataFrame:
+    """(project_id, cycle_ord, path): one closed path for each back edge of a depth-first walk in import order.
 
-    Two walks over a project's edges, forward and backward, give its strongly connected parts; as with ``cycles``, one
-    task has one project.
+    Every cycle lies in one strongly connected part, and what the walk does inside a part depends only on the node at which
+    it enters. So only parts are walked, each by one task. Which node comes first, and when, tells the least path to it
+    from a file in file order, compared step by step: parts are taken in the order of their dependencies, all that wait for
+    none at once, and hand their path, with the time of the step, to those they lead to.
     """
+    own = Window.partitionBy("project_id", "from").orderBy("at.file_ord", "at.imp_ord", "to")
+    e = written(edges.where(F.col("from") != F.col("to")).select("project_id", "from", "to", F.col("at.file_ord").cast("long").alias("ord"), F.row_number().over(own).cast("long").alias("nth")), "edges")
+    cyclic = written(parts(edges, block), "parts")
+    of = lambda name, to: cyclic.select("project_id", F.col("node").alias(name), F.col("part").alias(to))
+    # a file that is in no part is one by its name
+    key = lambda c, part: F.coalesce(F.col(part).cast("string"), F.concat(F.lit("/"), c))
+    tagged = e.join(of("from", "p"), ["project_id", "from"], "left").join(of("to", "q"), ["project_id", "to"], "left")
+    tagged = written(tagged.select("project_id", "from", "to", "ord", "nth", key("from", "p").alias("part"), key("to", "q").alias("next"), F.col("p").isNotNull().alias("walked")).withColumn("inner", F.col("part") == F.col("next")), "edges")
+    # only files that lead to a part tell how it is entered
+    between = tagged.where("not inner").select("project_id", "part", "next").distinct()
+    useful = written(cyclic.select("project_id", F.col("part").cast("string").alias("part")).distinct(), "useful")
+    fresh = useful
+    while True:
+        fresh = written(between.join(fresh.withColumnRenamed("part", "next"), ["project_id", "next"]).select("project_id", "part").distinct().join(useful, ["project_id", "part"], "left_anti"), "useful")
+        if fresh.isEmpty():
+            break
+        useful = written(useful.unionByName(fresh), "useful")
+    steps = written(tagged.join(useful, ["project_id", "part"], "left_semi").join(useful.withColumnRenamed("part", "next"), ["project_id", "next"], "left_semi"), "steps")
+    ways = written(steps.groupBy("project_id", "part", "from").agg(F.array(F.min("ord")).alias("way")).select("project_id", "part", "way", F.col("from").alias("entry")), "ways")
+    waiting, found = steps.where("not inner").select("project_id", "part", "next").distinct(), None
+    while True:
+        ready = ways.join(waiting.select("project_id", F.col("next").alias("part")), ["project_id", "part"], "left_anti").groupBy("project_id", "part").agg(F.min(F.struct("way", "entry")).alias("w"))
+        ready = written(ready.select("project_id", "part", "w.way", "w.entry"), "ready")
+        if ready.isEmpty():
+            break
+        here = steps.join(ready, ["project_id", "part"])
+        walks = here.where("walked").groupBy("project_id", "part").applyInPandas(_walk(most), "project_id string, part string, time long, to string, path string")
+        events = written(walks.unionByName(here.where("not walked").select("project_id", "part", F.col("nth").alias("time"), "to", F.lit(None).cast("string").alias("path"))).join(ready.select("project_id", "part", "way"), ["project_id", "part"]), "events")
+        events = events.withColumn("way", F.concat("way", F.array("time")))
+        rings = events.where("path is not null").select("project_id", "way", "path")
+        found = rings if found is None else found.unionByName(rings)
+        target = steps.select("project_id", F.col("part").alias("at"), "to", "next").distinct()
+        more = events.where("to is not null").withColumnRenamed("part", "at").join(target, ["project_id", "at", "to"]).select("project_id", F.col("next").alias("part"), "way", F.col("to").alias("entry"))
+        ways = written(ways.join(ready, ["project_id", "part"], "left_anti").unionByName(more), "ways")
+        waiting = written(waiting.join(ready, ["project_id", "part"], "left_anti"), "waiting")
+    if found is None:
+        return e.sparkSession.createDataFrame([], "project_id string, cycle_ord int, path array<string>")
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy("way"))  # of at most ``most`` cycles of each part
+    return found.withColumn("cycle_ord", place - 1).where(F.col("cycle_ord") < most).select("project_id", "cycle_ord", F.split("path", "\0").alias("path"))
 
-    def parts(frame: pd.DataFrame) -> pd.DataFrame:
-        after: dict[str, list[str]] = {}
-        before: dict[str, list[str]] = {}
-        for a, b in frame[["from", "to"]].itertuples(index=False):
-            after.setdefault(a, []).append(b)
-            before.setdefault(b, []).append(a)
-        left: list[str] = []  # nodes in the order in which the forward walk leaves them
-        met: set[str] = set()
-        for root in after:
-            if root in met:
-                continue
-            met.add(root)
-            todo = [(root, iter(after[root]))]
-            while todo:
-                node, following = todo[-1]
-                step = next((x for x in following if x not in met), None)
-                if step is None:
-                    left.append(node)
-                    todo.pop()
-                else:
-                    met.add(step)
-                    todo.append((step, iter(after.get(step, ()))))
-        found: list[str] = []
-        taken: set[str] = set()
-        for root in reversed(left):
-            if root in taken:
-                continue
-            taken.add(root)
-            part = [root]
-            for node in part:
-                fresh = [x for x in before.get(node, ()) if x not in taken]
-                taken.update(fresh)
-                part.extend(dict.fromkeys(fresh))
-            if len(part) > 1:
-                found.extend(part)
-        nodes = found or [None]
-        return pd.DataFrame({"project_id": [frame["project_id"].iloc[0]] * len(nodes), "node": nodes})
 
-    return edges.select("project_id", "from", "to").groupBy("project_id").applyInPandas(parts, "project_id string, node string").where("node is not null")
+def cyclic_files(found: DataFrame) -> DataFrame:
+    return found.select("project_id", F.explode("path").alias("file")).distinct()
 
 
 def dependency_nodes(edges: DataFrame, cyclic: DataFrame, most: int = MAX_NODES) -> DataFrame:
-    """Files that have edges: id, folder, in_cycle, degree, out_degree; over the limit, cyclic and well-connected first."""
-    c = cyclic.select(F.col("file").alias("node"), F.lit(True).alias("c")).distinct()
-    x = degrees(edges).join(c, "node", "left").withColumn("in_cycle", F.coalesce("c", F.lit(False)))
+    """Files that have edges: id, folder, in_cycle, degree, out_degree, rank; over the limit of a project, cyclic and
+    well-connected ones come first."""
+    own = [k for k in keys(edges) if k in cyclic.columns]
+    c = cyclic.select(*own, F.col("file").alias("node"), F.lit(True).alias("c")).distinct()
+    x = degrees(edges).join(c, [*own, "node"], "left").withColumn("in_cycle", F.coalesce("c", F.lit(False)))
     folder = F.when(dirname("node") == "", ".").otherwise(dirname("node"))
-    top = x.orderBy(F.desc("in_cycle"), F.desc("degree"), "node").limit(most)
-    return top.select(F.col("node").alias("id"), folder.alias("folder"), "in_cycle", "degree", "out_degree")
+    top = first_rows(x, most, F.desc("in_cycle"), F.desc("degree"), "node")
+    return top.select(*keys(edges), F.col("node").alias("id"), folder.alias("folder"), "in_cycle", "degree", "out_degree", "rank")
 
 
 def edges_between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose two ends are among the nodes."""
-    ids = nodes.select("id")
-    return edges.join(ids.withColumnRenamed("id", "from"), "from", "left_semi").join(ids.withColumnRenamed("id", "to"), "to", "left_semi")
+    """Edges whose two ends are among the nodes, of the same project if they have one."""
+    own = keys(nodes)
+    ids = nodes.select(*own, "id")
+    return edges.join(ids.withColumnRenamed("id", "from"), [*own, "from"], "left_semi").join(ids.withColumnRenamed("id", "to"), [*own, "to"], "left_semi")
 
 
 def neighbours(edges: DataFrame, node: str) -> DataFrame:
@@ -182,87 +267,123 @@ def confidence(x: Column) -> Column:
 
 def graph_of_json(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the JSON files (path, content) that hold a graph, whatever its members are called."""
-    v = files.select("path", F.try_parse_json("content").alias("v")).where(F.try_variant_get("v", "$.__schema", "string").isNull())
+    own = keys(files)
+    v = files.select(*own, "path", F.try_parse_json("content").alias("v")).where(F.try_variant_get("v", "$.__schema", "string").isNull() & F.try_variant_get("v", "$.data.__schema", "string").isNull())
     lists = lambda names: F.coalesce(*(F.try_variant_get("v", f"$.{n}", "array<variant>") for n in names))
-    raw = v.select("path", F.posexplode(lists(("nodes", "graph.nodes"))).alias("ord", "n"))
+    raw = v.select(*own, "path", F.posexplode(lists(("nodes", "graph.nodes"))).alias("ord", "n"))
     n = F.col("n")
+    alone = F.when(F.schema_of_variant(n) == "STRING", F.try_variant_get(n, "$", "string"))  # a node may be just its id
     nodes = raw.select(
-        "path", "ord", _first(n, ("id", "name", "label")).alias("id"), _first(n, ("label", "name", "id")).alias("label"), _first(n, ("type", "kind", "category"), True).alias("type"),
+        *own, "path", "ord", F.coalesce(alone, _first(n, ("id", "name", "label"))).alias("id"), F.coalesce(alone, _first(n, ("label", "name", "id"))).alias("label"), _first(n, ("type", "kind", "category"), True).alias("type"),
         F.coalesce(*(F.to_json(F.try_variant_get(n, f"$.{k}", "variant")) for k in ("community", "group", "cluster"))).alias("community"), _first(n, ("source", "file", "path", "location"), True).alias("source"),
         F.coalesce(F.try_variant_get(n, "$.degree", "double"), F.lit(0.0)).alias("given_degree"),
     ).where("id is not null")
-    nodes = nodes.withColumn("k", F.row_number().over(Window.partitionBy("path", "id").orderBy("ord"))).where("k = 1").drop("k")
+    nodes = nodes.withColumn("k", F.row_number().over(Window.partitionBy(*own, "path", "id").orderBy("ord"))).where("k = 1").drop("k")
     e = F.col("e")
-    edges = v.select("path", F.posexplode(lists(("edges", "links", "graph.edges"))).alias("ord", "e")).select(
-        "path", "ord", _first(e, ("source", "from")).alias("from"), _first(e, ("target", "to")).alias("to"),
+    edges = v.select(*own, "path", F.posexplode(lists(("edges", "links", "graph.edges"))).alias("ord", "e")).select(
+        *own, "path", "ord", _first(e, ("source", "from")).alias("from"), _first(e, ("target", "to")).alias("to"),
         _first(e, ("relation", "relationship", "label", "type"), True).alias("relation"), confidence(_first(e, ("confidence", "tag", "status"), True)).alias("confidence"),
     )
-    ids = nodes.select("path", "id").persist()
-    valid = edges.join(ids.withColumnRenamed("id", "from"), ["path", "from"], "left_semi").join(ids.withColumnRenamed("id", "to"), ["path", "to"], "left_semi")
+    return normalized(nodes, edges)
+
+
+def normalized(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A graph by its path, from whichever source: edges between its nodes only, and nodes with their degrees.
+
+    ``nodes``: path, ord, id, label, type, community, source and given_degree; ``edges``: path, ord, from, to, relation,
+    confidence; both with project_id where there are several projects.
+    """
+    own = [*keys(nodes), "path"]
+    ids = nodes.select(*own, "id")
+    valid = edges.join(ids.withColumnRenamed("id", "from"), [*own, "from"], "left_semi").join(ids.withColumnRenamed("id", "to"), [*own, "to"], "left_semi")
     return nodes, valid
 
 
 def with_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes with degree: the given one if any node of the graph gives a positive one, else the number of edge ends."""
-    given = nodes.groupBy("path").agg((F.max("given_degree") > 0).alias("given"))
-    counted = edges.select("path", F.explode(F.array("from", "to")).alias("id")).groupBy("path", "id").agg(F.count("*").alias("ends"))
-    x = nodes.join(given, "path").join(counted, ["path", "id"], "left")
+    own = [*keys(nodes), "path"]
+    given = nodes.groupBy(*own).agg((F.max("given_degree") > 0).alias("given"))
+    counted = edges.select(*own, F.explode(F.array("from", "to")).alias("id")).groupBy(*own, "id").agg(F.count("*").alias("ends"))
+    x = nodes.join(given, own).join(counted, [*own, "id"], "left")
     return x.withColumn("degree", F.when(F.col("given"), F.col("given_degree")).otherwise(F.coalesce("ends", F.lit(0))).cast("double")).drop("given", "ends", "given_degree")
 
 
 def largest_graph(nodes: DataFrame) -> DataFrame:
     """The path of the graph with most nodes; the first by path of equals."""
-    return nodes.groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(1).select("path")
+    return first_rows(nodes.groupBy(*keys(nodes), "path").agg(F.count("*").alias("n")), 1, F.desc("n"), "path").select(*keys(nodes), "path")
 
 
 def god_nodes(nodes: DataFrame, most: int = KG_GOD_NODES) -> DataFrame:
-    return nodes.orderBy(F.desc("degree"), "ord").limit(most).select("label", "type", "degree", "source")
+    return first_rows(nodes, most, F.desc("degree"), "ord").select(*keys(nodes), "label", "type", "degree", "source", "rank")
 
 
 def relation_counts(edges: DataFrame, most: int = KG_RELATIONS) -> DataFrame:
-    return edges.where("relation is not null and relation != ''").groupBy(F.col("relation").alias("name")).agg(F.count("*").alias("total")).orderBy(F.desc("total"), "name").limit(most)
+    named = edges.where("relation is not null and relation != ''")
+    counts = named.groupBy(*keys(edges), F.col("relation").alias("name")).agg(F.count("*").alias("total"), F.min("ord").alias("ord"))
+    return first_rows(counts, most, F.desc("total"), "ord", "name").drop("ord")
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    a = nodes.agg(F.count("*").alias("node_count"), F.count_distinct("community").alias("community_count"))
+    own = keys(nodes)
+    a = nodes.groupBy(*own).agg(F.count("*").alias("node_count"), F.count_distinct("community").alias("community_count"))
     tags = [F.count_if(F.col("confidence") == c).alias(c.lower()) for c in ("EXTRACTED", "INFERRED", "AMBIGUOUS")]
-    return a.crossJoin(edges.agg(F.count("*").alias("edge_count"), *tags, F.count_if(F.col("confidence").isNull()).alias("untagged")))  # one row each
+    return side_by_side(a, edges.groupBy(*own).agg(F.count("*").alias("edge_count"), *tags, F.count_if(F.col("confidence").isNull()).alias("untagged"))).na.fill(0)
 
 
 def capped(nodes: DataFrame, edges: DataFrame, most_nodes: int = KG_NODES, most_edges: int = KG_EDGES) -> tuple[DataFrame, DataFrame]:
-    """The best-connected nodes, and the first edges between them."""
-    top = nodes.orderBy(F.desc("degree"), "ord").limit(most_nodes).persist()
-    return top, edges_between(edges, top).orderBy("ord").limit(most_edges)
+    """The best-connected nodes, in the graph's order, and the first edges between them."""
+    top = written(first_rows(nodes, most_nodes, F.desc("degree"), "ord").drop("rank"), "top-nodes")
+    return top, first_rows(edges_between(edges, top), most_edges, "ord").drop("rank")
 
 
 def project_graph(files: DataFrame, functions: DataFrame, imports: DataFrame, tables: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The graph of a project's files, classes, functions and tables.
+    """The graph of a project's files, classes, functions and tables, as ``normalized`` takes it.
 
-    ``files``: path, rank; ``functions``: file, name, line, complexity, lines; ``imports``: from, to; ``tables``: name,
-    file, rank; ``relations``: from, to, file. Every list is cut to a fixed length, so the graph is small.
+    ``files``: path, rank; ``functions``: file, name, line, complexity, lines, rank (by complexity and lines); ``imports``:
+    from, to, at; ``tables``: name, file, rank; ``relations``: from, to, file, rank; all with project_id. Every list but
+    relations is cut to a fixed length for each project. Nodes and edges stand in the order in which a project's lists
+    name them; a later node of an id that is taken is none, and the edges stop at a fixed number.
     """
+    own = keys(files)
+    at = lambda *parts: F.array(*(p.cast("long") for p in parts)).alias("at")
+
+    def node(df: DataFrame, place: Column, ident: Column, label: Column, kind: str, community: Column, source: Column) -> DataFrame:
+        return df.select(*own, place, ident.alias("id"), label.alias("label"), F.lit(kind).alias("type"), community.alias("community"), source.alias("source"))
+
+    def edge(df: DataFrame, place: Column, a: Column, b: Column, relation: str) -> DataFrame:
+        return df.select(*own, place, a.alias("from"), b.alias("to"), F.lit(relation).alias("relation"))
+
     f = files.where(F.col("rank") <= AUTO_FILES)
-    file_nodes = f.select(F.concat(F.lit("file:"), "path").alias("id"), basename("path").alias("label"), F.lit("file").alias("type"), top_folder("path").alias("community"), F.col("path").alias("source"))
-    top = functions.orderBy(F.desc("complexity"), F.desc("lines"), "file", "line", "name").limit(AUTO_FUNCTIONS).join(f.select(F.col("path").alias("file")), "file", "left_semi")
+    named = lambda kind, name: F.concat(F.lit(f"{kind}:"), name)
+    path, name = F.col("path"), F.col("name")
+    file_nodes = node(f, at(F.lit(0), F.col("rank"), F.lit(0)), named("file", path), basename("path"), "file", top_folder("path"), path)
+    imported = first_rows(edges_between(imports, f.select(*own, path.alias("id"))), AUTO_EDGES, "at")
+    import_edges = edge(imported, at(F.lit(1), F.col("rank"), F.lit(0)), named("file", F.col("from")), named("file", F.col("to")), "imports")
+    top = functions.where(F.col("rank") <= AUTO_FUNCTIONS).join(f.select(*own, path.alias("file")), [*own, "file"], "left_semi")
     dot = F.instr("name", ".")
-    owned = (dot > 1) & ~F.col("name").startswith("(") & ~F.col("name").startswith("<")
-    top = top.withColumn("cls", F.when(owned, F.substring_index("name", ".", 1))).persist()
-    file_id, class_id = F.concat(F.lit("file:"), "file"), F.concat(F.lit("class:"), "file", F.lit(":"), "cls")
-    classes = top.where("cls is not null").groupBy("file", "cls").agg(F.max("complexity").alias("c")).orderBy(F.desc("c"), "file", "cls").limit(AUTO_CLASSES).persist()
-    class_nodes = classes.select(class_id.alias("id"), F.col("cls").alias("label"), F.lit("class").alias("type"), top_folder("file").alias("community"), F.col("file").alias("source"))
+    owned = (dot > 1) & ~name.startswith("(") & ~name.startswith("<")
+    top = top.withColumn("cls", F.when(owned, F.substring_index("name", ".", 1)))
+    classes = first_rows(top.where("cls is not null").groupBy(*own, "file", "cls").agg(F.min("rank").alias("first")), AUTO_CLASSES, "first").drop("rank")
+    file, class_id = F.col("file"), F.concat(F.lit("class:"), "file", F.lit(":"), "cls")
+    class_nodes = node(classes, at(F.lit(2), F.col("first"), F.lit(0)), class_id, F.col("cls"), "class", top_folder("file"), file)
+    class_edges = edge(classes, at(F.lit(2), F.col("first"), F.lit(0)), named("file", file), class_id, "declares")
     fn_id = F.concat(F.lit("fn:"), "file", F.lit("#"), "name", F.lit("@"), F.col("line").cast("string"))
-    short = F.when(dot > 1, F.expr("substring(name, instr(name, '.') + 1)")).otherwise(F.col("name"))
-    fn_nodes = top.select(fn_id.alias("id"), short.alias("label"), F.lit("function").alias("type"), top_folder("file").alias("community"), F.concat("file", F.lit(":"), F.col("line").cast("string")).alias("source"))
+    short = F.when(dot > 1, F.expr("substring(name, instr(name, '.') + 1)")).otherwise(name)
+    fn_nodes = node(top, at(F.lit(2), F.col("rank"), F.lit(1)), fn_id, short, "function", top_folder("file"), F.concat("file", F.lit(":"), F.col("line").cast("string")))
+    parented = top.join(classes.select(*own, "file", "cls", F.lit(True).alias("has")), [*own, "file", "cls"], "left")
+    fn_edges = edge(parented, at(F.lit(2), F.col("rank"), F.lit(1)), F.when(F.col("has"), class_id).otherwise(named("file", file)), fn_id, "defines")
     t = tables.where(F.col("rank") <= AUTO_TABLES)
-    ends = relations.select(F.explode(F.array("to", "from")).alias("name"), "file")
-    table_nodes = t.select("name", "file").unionByName(ends).select(F.concat(F.lit("table:"), "name").alias("id"), F.col("name").alias("label"), F.lit("table").alias("type"), F.lit("database").alias("community"), F.col("file").alias("source"))
-    nodes = file_nodes.unionByName(class_nodes).unionByName(fn_nodes).unionByName(table_nodes)
-    nodes = nodes.groupBy("id").agg(F.min_by(F.struct("label", "type", "community", "source"), "source").alias("n")).select("id", "n.*")
-    edge = lambda df, a, b, relation: df.select(a.alias("from"), b.alias("to"), F.lit(relation).alias("relation"))
-    kept = classes.select("file", "cls", F.lit(True).alias("has"))
-    parent = F.when(F.col("has"), class_id).otherwise(file_id)
-    edges = edge(imports, F.concat(F.lit("file:"), "from"), F.concat(F.lit("file:"), "to"), "imports")
-    edges = edges.unionByName(edge(classes, file_id, class_id, "declares")).unionByName(edge(top.join(kept, ["file", "cls"], "left"), parent, fn_id, "defines"))
-    edges = edges.unionByName(edge(t, F.concat(F.lit("file:"), "file"), F.concat(F.lit("table:"), "name"), "defines")).unionByName(edge(relations, F.concat(F.lit("table:"), "from"), F.concat(F.lit("table:"), "to"), "references"))
-    valid = edges_between(edges.distinct(), nodes.select("id"))
-    return nodes, valid.orderBy("relation", "from", "to").limit(AUTO_EDGES).withColumn("confidence", F.lit("EXTRACTED"))
+    table_nodes = node(t, at(F.lit(3), F.col("rank"), F.lit(0)), named("table", name), name, "table", F.lit("database"), file)
+    table_edges = edge(t, at(F.lit(3), F.col("rank"), F.lit(0)), named("file", file), named("table", name), "defines")
+    ends = relations.select(*own, "rank", "file", F.posexplode(F.array("to", "from")).alias("k", "name"))
+    end_nodes = node(ends, at(F.lit(4), F.col("rank"), F.col("k")), named("table", name), name, "table", F.lit("database"), file)
+    relation_edges = edge(relations, at(F.lit(4), F.col("rank"), F.lit(0)), named("table", F.col("from")), named("table", F.col("to")), "references")
+    every = file_nodes.unionByName(class_nodes).unionByName(fn_nodes).unionByName(table_nodes).unionByName(end_nodes)
+    nodes = every.groupBy(*own, "id").agg(F.min(F.struct("at", "label", "type", "community", "source")).alias("n")).select(*own, "id", "n.*")
+    nodes = written(first_rows(nodes, 1 << 30, "at"), "graph-nodes").withColumn("ord", F.col("rank") - 1)
+    links = import_edges.unionByName(class_edges).unionByName(fn_edges).unionByName(table_edges).unionByName(relation_edges)
+    links = edges_between(links.groupBy(*own, "from", "to", "relation").agg(F.min("at").alias("at")), nodes)
+    links = written(first_rows(links, AUTO_EDGES, "at"), "graph-edges").withColumn("ord", F.col("rank") - 1)
+    where = F.lit("auto-generated from code structure").alias("path")
+    shown = nodes.select(*own, where, "ord", "id", "label", "type", F.col("community"), "source", F.lit(0.0).alias("given_degree"))
+    return normalized(shown, links.select(*own, where, "ord", "from", "to", "relation", F.lit("EXTRACTED").alias("confidence")))

@@ -447,18 +447,48 @@ def _measure(text: str) -> list[tuple]:
     return [(name, line, s.last[end], params, complexity[k], deepest[k]) for k, (end, name, line, params) in sorted(found.items())]
 
 
-def functions(files: DataFrame, language: str) -> DataFrame:
-    """Functions of files (file, content), with the columns of ``extract.brace_functions``; one not closed is left out."""
+#: Calls that one file's statements and expressions may nest; a file beyond is an error, not a lost worker.
+MAX_CALLS = 20_000
+
+
+def read(files: DataFrame) -> DataFrame:
+    """Functions of files (file, content), and one row with ``error`` for each file that can't be read, or whose brackets
+    don't match: file, name, line, end_line, params, complexity, nesting, error. Other files' rows don't depend on it."""
     kind = files.schema["file"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(1 << 22)  # statements nest as deep as a file has them
+        sys.setrecursionlimit(MAX_CALLS)
         for batch in batches:
-            rows = [(k, *r) for k, x in enumerate(batch.column("content").to_pylist()) for r in _measure(x or "")]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            types = (pa.string(), *[pa.int64()] * 5)
+            rows = []
+            for k, text in enumerate(batch.column("content").to_pylist()):
+                try:
+                    found, fault = _measure(text or ""), _unmatched(text or "")
+                except Exception as e:  # noqa: BLE001  # one file must not take the others along
+                    found, fault = [], f"Analyzer error: {'nested too deep' if isinstance(e, RecursionError) else e}"
+                rows += [(k, *r, None) for r in found]
+                rows += [(k, *[None] * 6, fault)] if fault else []
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            types = (pa.string(), *[pa.int64()] * 5, pa.string())
             file = batch.column("file").take(pa.array(columns[0], pa.int64()))
-            yield pa.RecordBatch.from_arrays([file, *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=True))], ["file", "name", "line", "end_line", "params", "complexity", "nesting"])
+            yield pa.RecordBatch.from_arrays([file, *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=True))], ["file", "name", "line", "end_line", "params", "complexity", "nesting", "error"])
 
-    found = files.select("file", "content").mapInArrow(run, f"file {kind}, name string, line long, end_line long, params long, complexity long, nesting long")
-    return found.select("file", "name", "line", "end_line", (F.col("end_line") - F.col("line") + 1).alias("lines"), F.col("params").cast("int").alias("params"), "complexity", "nesting", F.lit(language).alias("language"))
+    return files.select("file", "content").mapInArrow(run, f"file {kind}, name string, line long, end_line long, params long, complexity long, nesting long, error string")
+
+
+def _unmatched(text: str) -> str | None:
+    """The first bracket without a partner."""
+    s = _Source(text)
+    for k, t in enumerate(s.t):
+        if s.kind[k] == "p" and (t in _OPEN or t in _CLOSE) and s.mate[k] < 0:
+            return f"Unexpected token, no partner for {t} (line {s.line[k]})"
+    return None
+
+
+def shaped(found: DataFrame, language: str) -> DataFrame:
+    """Functions of ``read`` with the columns of ``extract.brace_functions``."""
+    return found.where("error is null").select("file", "name", "line", "end_line", (F.col("end_line") - F.col("line") + 1).alias("lines"), F.col("params").cast("int").alias("params"), "complexity", "nesting", F.lit(language).alias("language"))
+
+
+def functions(files: DataFrame, language: str) -> DataFrame:
+    """Functions of files (file, content), with the columns of ``extract.brace_functions``; one not closed is left out."""
+    return shaped(read(files), language)

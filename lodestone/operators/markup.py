@@ -1,127 +1,244 @@
-"""Issues of HTML pages and style sheets."""
+"""Issues of HTML pages and style sheets.
+
+A page or sheet is cut into pieces that follow each other without a gap, so the line of a piece is one more than the
+newlines of the pieces before it, and facts about it need windows over the pieces of one file, which is at most 1 MiB.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import collapse, masked, newlines
+from lodestone.functions.text import collapse, js_trim, masked, newlines
 
 # Fixed values.
-DEPRECATED = ("center", "font", "marquee", "blink", "big", "strike", "tt", "frame", "frameset", "noframes", "applet", "basefont", "dir", "acronym")
+DEPRECATED = ("font", "center", "marquee", "blink", "big", "strike", "tt", "frame", "frameset", "acronym", "applet", "basefont", "dir", "isindex")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
-MAX_DUPLICATE_IDS, MAX_DEPRECATED, MAX_STYLE_ISSUES = 20, 30, 120
-_TAG = r"<(/?)([A-Za-z][A-Za-z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
+MAX_DUPLICATE_IDS, MAX_DEPRECATED, MAX_STYLE_ISSUES, MAX_LINES = 20, 30, 120, 20
+_TAG = r"(?i)<(/)?([a-z][a-z0-9-]*)((?:\s[^<>]*)?)/?>"
+_RAW = r"<(script|style)((?:\s[^<>]*)?)(?<!/)>(.*?)(?:</\1\s*>|\z)"
+_ALT, _HANDLER, _STYLE, _LANG, _SRC = r"(?i)\balt\s*=", r"(?i)\son\w+\s*=", r"(?i)\bstyle\s*=", r"(?i)\blang\s*=", r"(?i)\bsrc\s*="
+_VIEWPORT, _ID = r"(?i)name\s*=\s*[\"']viewport[\"']", r"(?i)\bid\s*=\s*[\"']([^\"']+)[\"']"
+
+
+def pieces(pages: DataFrame) -> DataFrame:
+    """(file, pos, line, t, raw) of (file, content): comments, scripts and styles as a whole (raw), tags, and text between.
+
+    A script or style without an end tag takes the rest of the page, one that closes itself is a tag. A file without
+    content has one row without a piece.
+    """
+    whole = rf"(?is)<!--.*?-->|{_RAW}|</?[a-z][a-z0-9-]*(?:\s[^<>]*)?/?>|.[^<]*+"
+    found = pages.select("file", F.posexplode_outer(F.regexp_extract_all("content", F.lit(whole), F.lit(0))).alias("pos", "t"))
+    before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    line = F.coalesce(F.sum(newlines(F.col("t"))).over(before), F.lit(0)) + 1
+    return found.withColumns({"line": line, "raw": F.regexp_like("t", F.lit(rf"(?is)\A{_RAW}\z"))})
 
 
 def tags(pages: DataFrame) -> DataFrame:
-    """(file, pos, closing, tag, attrs) of every tag outside comments, scripts and styles of (file, content)."""
-    clean = F.regexp_replace("content", r"(?is)<!--.*?-->", " ")
-    clean = F.regexp_replace(clean, r"(?is)(<(script|style)\b[^>]*>).*?</\2\s*>", " ")
-    found = pages.select("file", F.posexplode(F.regexp_extract_all(clean, F.lit(_TAG), F.lit(0))).alias("pos", "t"))
+    """(file, pos, line, closing, tag, attrs, closed) of every tag outside comments, scripts and styles; closed: by itself.
+
+    A file without tags has one row without a tag.
+    """
     part = lambda k: F.regexp_extract("t", _TAG, k)
-    return found.select("file", "pos", (part(1) == "/").alias("closing"), F.lower(part(2)).alias("tag"), part(3).alias("attrs"))
+    own = F.regexp_like("t", F.lit(_TAG.replace("(?i)", r"(?i)\A") + r"\z")) & ~F.col("raw")
+    x = pieces(pages).where(own | (F.coalesce(F.col("pos"), F.lit(0)) == 0))
+    of = lambda c: F.when(own, c)
+    return x.select("file", "pos", "line", of(part(1) == "/").alias("closing"), of(F.lower(part(2))).alias("tag"), of(part(3)).alias("attrs"), of(F.col("t").endswith("/>")).alias("closed"))
 
 
 def page_checks(pages: DataFrame) -> DataFrame:
-    """A row for each page with what it misses or holds too much of; document checks only where there is an <html> tag."""
-    t = tags(pages).where("not closing")
-    a = F.col("attrs")
-    counts = t.groupBy("file").agg(
-        F.count("*").alias("tag_count"),
-        F.count_if((F.col("tag") == "img") & ~a.rlike(r"(?i)\balt\s*=")).alias("missing_alt"),
-        F.sum(F.regexp_count("attrs", F.lit(r"(?i)\son\w+\s*="))).alias("inline_handlers"),
-        F.count_if(a.rlike(r"(?i)\bstyle\s*=")).alias("inline_styles"),
-        F.count_if(F.col("tag").isin(*DEPRECATED)).alias("deprecated_tags"),
-        F.bool_or(F.col("tag") == "html").alias("has_html"),
-        F.bool_or((F.col("tag") == "html") & a.rlike(r"(?i)\blang\s*=")).alias("has_lang"),
-        F.bool_or((F.col("tag") == "meta") & a.rlike(r"(?i)name\s*=\s*[\"']?viewport")).alias("has_viewport"),
-        F.bool_or(F.col("tag") == "title").alias("has_title"),
+    """A row for each page with what it misses or holds too much of; document checks only where there is an <html> tag.
+
+    max_depth is that of open elements (see ``deepest``), the lists hold the lines of the first tags of their kind.
+    """
+    a, tag, opens = F.col("attrs"), F.col("tag"), ~F.col("closing")
+    no_alt, handler = opens & (tag == "img") & ~a.rlike(_ALT), opens & a.rlike(_HANDLER)
+    lines = lambda found: F.slice(F.transform(F.array_sort(F.collect_list(F.when(found, F.struct("pos", "line")))), lambda x: x["line"]), 1, MAX_LINES)
+    any_of = lambda found: F.coalesce(F.bool_or(found), F.lit(False))
+    step = F.when(F.col("closing"), F.concat(F.lit("/"), tag)).when(~tag.isin(*VOID) & ~F.col("closed"), tag)
+    counts = tags(pages).groupBy("file").agg(
+        F.count("tag").alias("tag_count"),
+        F.count_if(no_alt).alias("missing_alt"),
+        F.count_if(handler).alias("inline_handlers"),
+        F.count_if(opens & a.rlike(_STYLE)).alias("inline_styles"),
+        F.count_if(opens & tag.isin(*DEPRECATED)).alias("deprecated_tags"),
+        lines(no_alt).alias("missing_alt_lines"),
+        lines(handler).alias("inline_handler_lines"),
+        any_of(opens & (tag == "html")).alias("has_html"),
+        any_of(opens & (tag == "html") & a.rlike(_LANG)).alias("has_lang"),
+        any_of((tag == "meta") & a.rlike(_VIEWPORT)).alias("has_viewport"),
+        any_of(opens & (tag == "title")).alias("has_title"),
+        F.transform(F.array_sort(F.collect_list(F.when(step.isNotNull(), F.struct("pos", step.alias("step"))))), lambda x: x["step"]).alias("steps"),
     )
     miss = {f"missing_{k}": F.col("has_html") & ~F.col(f"has_{k}") for k in ("lang", "viewport", "title")}
-    return counts.withColumns(miss | {"deprecated_tags": F.least("deprecated_tags", F.lit(MAX_DEPRECATED))}).drop("has_html", "has_lang", "has_viewport", "has_title")
+    more = {"deprecated_tags": F.least("deprecated_tags", F.lit(MAX_DEPRECATED)), "max_depth": deepest("steps")}
+    return counts.withColumns(miss | more).drop("has_html", "has_lang", "has_viewport", "has_title", "steps")
 
 
-def duplicate_ids(pages: DataFrame) -> DataFrame:
-    """(file, id, nth) of each repetition of an id, at most 20 a file."""
-    ids = tags(pages).where("not closing").select("file", "pos", F.nullif(F.regexp_extract("attrs", r"(?i)\bid\s*=\s*[\"']([^\"']+)[\"']", 1), F.lit("")).alias("id")).where("id is not null")
-    again = ids.withColumn("nth", F.row_number().over(Window.partitionBy("file", "id").orderBy("pos"))).where("nth > 1")
-    place = F.row_number().over(Window.partitionBy("file").orderBy("pos"))
-    return again.withColumn("place", place).where(F.col("place") <= MAX_DUPLICATE_IDS).select("file", "id", "nth")
+def deepest(steps: Column | str) -> Column:
+    """How many elements are open at most, by a page's tags in order, those that close with a slash in front.
 
+    A closing tag takes away the last open element of its name and all that are inside it; one without such an element
+    nothing.
+    """
 
-def deprecated_tags(pages: DataFrame, most: int = MAX_DEPRECATED) -> DataFrame:
-    """(file, nth, tag) of deprecated tags in the order of the page, at most 30 a file."""
-    found = tags(pages).where(~F.col("closing") & F.col("tag").isin(*DEPRECATED))
-    return found.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("pos"))).where(F.col("nth") <= most).select("file", "nth", "tag")
+    @F.pandas_udf("int")
+    def walk(pages: pd.Series) -> pd.Series:
+        out = []
+        for names in pages:
+            opened: list[str] = []
+            places: dict[str, list[int]] = {}
+            most = 0
+            for name in names:
+                if name[0] != "/":
+                    places.setdefault(name, []).append(len(opened))
+                    opened.append(name)
+                    most = max(most, len(opened))
+                elif places.get(name[1:]):
+                    at = places[name[1:]][-1]
+                    for inner in opened[at:]:
+                        places[inner].pop()
+                    del opened[at:]
+            out.append(most)
+        return pd.Series(out, dtype="int32")
+
+    return walk(steps)
 
 
 def depth(pages: DataFrame) -> DataFrame:
-    """(file, max_depth): opened elements less closed ones, at most, void ones aside; for pages that close what they open."""
-    step = F.when(F.col("closing"), -1).when(F.col("tag").isin(*VOID) | F.col("attrs").rlike(r"/\s*$"), 0).otherwise(1)
-    now = F.sum(step).over(Window.partitionBy("file").orderBy("pos"))
-    return tags(pages).withColumn("d", now).groupBy("file").agg(F.greatest(F.max("d"), F.lit(0)).alias("max_depth"))
+    """(file, max_depth)."""
+    return page_checks(pages).select("file", "max_depth")
 
 
-def inline_code(pages: DataFrame) -> DataFrame:
-    """(file, ord, line, language, content) of scripts without a source, and of styles; line is where the tag begins.
+def _repeated_ids(pages: DataFrame) -> DataFrame:
+    ids = tags(pages).where(~F.col("closing")).select("file", "pos", "line", F.nullif(F.regexp_extract("attrs", _ID, 1), F.lit("")).alias("id")).where("id is not null")
+    same = Window.partitionBy("file", "id").orderBy("pos")
+    again = ids.withColumns({"nth": F.row_number().over(same), "lines": F.array(F.first("line").over(same), "line").cast("array<int>")}).where("nth > 1")
+    return again.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("pos"))).where(F.col("place") <= MAX_DUPLICATE_IDS)
 
-    One without an end tag takes the rest of the page, one that closes itself holds nothing.
-    """
-    pattern = r"<(script|style)\b([^>]*)(?<!/)>(.*?)(?:</\1\s*>|\z)"
-    tokens = F.regexp_extract_all("content", F.lit(rf"(?is)<!--.*?-->|{pattern}|.[^<]*+"), F.lit(0))
-    found = pages.select("file", F.posexplode(tokens).alias("ord", "t"))
-    before = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("line", F.coalesce(F.sum(newlines(F.col("t"))).over(before), F.lit(0)) + 1).where(F.regexp_like("t", F.lit(r"(?is)\A<(script|style)\b[^>]*(?<!/)>")))
-    part = lambda k: F.regexp_extract("t", rf"(?is)^{pattern}$", k)
-    x = found.select("file", "ord", "line", F.when(F.lower(part(1)) == "style", "css").otherwise("javascript").alias("language"), part(2).alias("attrs"), part(3).alias("content"))
-    return x.where((F.col("language") == "css") | ~F.col("attrs").rlike(r"(?i)\bsrc\s*=")).drop("attrs")
+
+def duplicate_ids(pages: DataFrame) -> DataFrame:
+    """(file, id, nth, lines) of each repetition of an id, at most 20 a file; lines are those of the first one and of this."""
+    return _repeated_ids(pages).select("file", "id", "nth", "lines")
+
+
+def deprecated_tags(pages: DataFrame, most: int = MAX_DEPRECATED) -> DataFrame:
+    """(file, nth, tag, line) of deprecated tags in the order of the page, at most 30 a file."""
+    found = tags(pages).where(~F.col("closing") & F.col("tag").isin(*DEPRECATED))
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("pos"))).where(F.col("nth") <= most).select("file", "nth", "tag", "line")
+
+
+def page_issues(pages: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """(file, ord, type, line, what, lines): missing alts, duplicate ids, deprecated tags, handlers and what the document
+    misses, in this order and as many of each as the page's own lists hold."""
+    c = page_checks(pages) if checks is None else checks
+    none, no_lines = F.lit(None).cast("string"), F.lit(None).cast("array<int>")
+    row = lambda df, kind, nth, name, line, what=none, lines=no_lines: df.select("file", F.struct(F.lit(kind).alias("kind"), nth.cast("int").alias("nth")).alias("ord"), name.alias("type"), line.cast("int").alias("line"), what.alias("what"), lines.cast("array<int>").alias("lines"))
+    nth, line = F.col("nth"), F.col("line")
+    listed = lambda column: c.select("file", F.posexplode(column).alias("nth", "line"))
+    missing = F.array_compact(F.array(*(F.when(F.col(f"missing_{k}"), f"missing-{k}") for k in ("lang", "viewport", "title"))))
+    document = c.select("file", F.posexplode(missing).alias("nth", "type"))
+    out = row(listed("missing_alt_lines"), 0, nth, F.lit("missing-alt"), line)
+    out = out.unionByName(row(_repeated_ids(pages), 1, F.col("place"), F.lit("duplicate-id"), F.lit(None), F.col("id"), F.col("lines")))
+    out = out.unionByName(row(deprecated_tags(pages), 2, nth, F.lit("deprecated-tag"), line, F.col("tag")))
+    out = out.unionByName(row(listed("inline_handler_lines"), 3, nth, F.lit("inline-handler"), line))
+    return out.unionByName(row(document, 4, nth, F.col("type"), F.lit(1)))
+
+
+def inline_code(pages: DataFrame) -> DataFrame:
+    """(file, ord, line, language, content) of scripts without a source, and of styles; line is where the tag begins."""
+    part = lambda k: F.regexp_extract("t", rf"(?is)\A{_RAW}\z", k)
+    found = pieces(pages).where("raw")
+    x = found.select("file", F.col("pos").alias("ord"), "line", F.when(F.lower(part(1)) == "style", "css").otherwise("javascript").alias("language"), part(2).alias("attrs"), part(3).alias("content"))
+    return x.where((F.col("language") == "css") | ~F.col("attrs").rlike(_SRC)).drop("attrs")
 
 
 # --- style sheets ------------------------------------------------------------------------------------------------------
 
+# Fixed values.
+_IDS, _CLASSES, _TYPES = r"#[A-Za-z_-][\w-]*", r"\.[A-Za-z_-][\w-]*|\[[^\]]+\]|:[a-zA-Z-]+(?:\([^)]*\))?", r"(?:^|[\s>+~])[a-zA-Z][a-zA-Z0-9]*"
+_UNIVERSAL, _CHAIN, _IMPORTANT, _VENDOR = r"(\s|>)\*|^\*\s", r"\s*[>+~]\s*|\s+", r"(?i)!\s*important", r"^-(webkit|moz|ms|o)-"
+SPECIFIC, LONG_CHAIN, HIGH_Z = 100, 4, 1000
+
 
-def rules(sheets: DataFrame) -> DataFrame:
-    """(file, rule_ord, selectors, declarations) of the innermost blocks of (file, content); at-rules are no rules."""
+def blocks(sheets: DataFrame) -> DataFrame:
+    """(file, pos, line, end, text, level, block) of the pieces of (file, content), each up to its {, } or ; (its end).
+
+    ``level`` is how many blocks are open around the piece, with the one that it opens. ``block`` is the innermost of them:
+    pos, line, selector and whether it is a rule, as at-rules are none. A closing brace too many closes nothing.
+    ``line`` is that of the character behind the piece before.
+    """
     clean = masked("content", r"/\*.*?\*/")
-    found = sheets.select("file", F.posexplode(F.regexp_extract_all(clean, F.lit(r"[^{};]*\{[^{}]*\}"), F.lit(0))).alias("rule_ord", "r"))
-    x = found.select("file", "rule_ord", collapse(F.regexp_extract("r", r"^([^{]*)\{", 1)).alias("selectors"), F.regexp_extract("r", r"\{([^}]*)\}", 1).alias("body"))
-    return x.where("selectors != '' and not selectors like '@%'").withColumn("declarations", F.filter(F.transform(F.split("body", ";"), collapse), lambda d: d.contains(":"))).drop("body")
+    x = sheets.select("file", F.posexplode(F.regexp_extract_all(clean, F.lit(r"(?s)[^{};]*[{};]"), F.lit(0))).alias("pos", "t"))
+    w = Window.partitionBy("file").orderBy("pos")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    end = F.right("t", F.lit(1))
+    x = x.withColumns({"end": end, "text": js_trim(F.expr("left(t, char_length(t) - 1)")), "line": F.coalesce(F.sum(newlines(F.col("t"))).over(past), F.lit(0)).cast("int") + 1, "sum": F.sum(F.when(end == "{", 1).when(end == "}", -1).otherwise(0)).over(w)})
+    # what is open: the sum, less what braces too many have taken from it
+    open_after = F.col("sum") - F.least(F.lit(0), F.min("sum").over(w))
+    x = x.withColumn("after", open_after)
+    x = x.withColumn("level", F.when(F.col("end") == "{", F.col("after")).otherwise(F.coalesce(F.lag("after").over(w), F.lit(0))))
+    own = F.when(F.col("end") == "{", F.struct("pos", "line", F.col("text").alias("selector"), ((F.col("text") != "") & ~F.col("text").startswith("@")).alias("rule")))
+    block = F.last(own, ignorenulls=True).over(Window.partitionBy("file", "level").orderBy("pos"))
+    return x.withColumn("block", F.when(F.col("level") > 0, block)).select("file", "pos", "line", "end", "text", "level", "block")
 
 
-def specificity(selector):
-    ids = F.regexp_count(selector, F.lit(r"#[\w-]+"))
-    classes = F.regexp_count(selector, F.lit(r"\.[\w-]+|\[[^\]]*\]|(?<!:):(?!:)[\w-]+"))
-    types = F.regexp_count(selector, F.lit(r"(?:^|[\s>+~])[A-Za-z][\w-]*"))
-    return 100 * ids + 10 * classes + types
+def specificity(selector: Column) -> Column:
+    return 100 * F.regexp_count(selector, F.lit(_IDS)) + 10 * F.regexp_count(selector, F.lit(_CLASSES)) + F.regexp_count(selector, F.lit(_TYPES))
+
+
+def _declarations(parts: DataFrame) -> DataFrame:
+    """Pieces that may be a declaration, with property, value and whether they count as one of a rule."""
+    colon = F.instr("text", ":")
+    x = parts.where("end != '{'").withColumn("counts", (colon > 1) & F.coalesce(F.col("block.rule"), F.lit(False)))
+    return x.withColumns({"property": F.when(F.col("counts"), F.lower(js_trim(F.substring_index("text", ":", 1)))), "value": F.when(F.col("counts"), js_trim(F.expr("substring(text, instr(text, ':') + 1)")))})
 
 
 def style_issues(sheets: DataFrame) -> DataFrame:
-    """(file, rule_ord, type, what): duplicate-selector, high-specificity, universal-selector, long-selector, important, duplicate-property, z-index and empty-rule."""
-    r = rules(sheets).persist()
-    s = r.select("file", "rule_ord", F.posexplode(F.transform(F.split("selectors", ","), collapse)).alias("k", "what")).where("what != ''")
-    again = s.withColumn("nth", F.row_number().over(Window.partitionBy("file", "what").orderBy("rule_ord", "k"))).where("nth > 1")
-    chain = F.size(F.filter(F.split("what", r"[\s>+~]+"), lambda p: p != ""))
-    issue = lambda df, kind, what="what": df.select("file", "rule_ord", F.lit(kind).alias("type"), F.col(what).alias("what"))
-    d = r.select("file", "rule_ord", F.posexplode("declarations").alias("k", "d"))
-    d = d.withColumns({"what": F.lower(F.trim(F.substring_index("d", ":", 1))), "value": F.trim(F.expr("substring(d, instr(d, ':') + 1)"))})
-    twice = d.withColumn("nth", F.row_number().over(Window.partitionBy("file", "rule_ord", "what").orderBy("k"))).where("nth > 1")
-    z = d.where("what = 'z-index'").where(F.abs(F.regexp_extract("value", r"^(-?\d+)", 1).try_cast("long")) >= 1000)
-    parts = [
-        issue(again, "duplicate-selector"), issue(s.where(specificity(F.col("what")) >= 100), "high-specificity"), issue(s.where(F.col("what").rlike(r"(\s|>)\*|^\*\s")), "universal-selector"),
-        issue(s.where(chain > 4), "long-selector"), issue(d.where(F.lower("d").contains("!important")), "important"), issue(twice, "duplicate-property"), issue(z, "z-index"),
-        issue(r.where(F.size("declarations") == 0), "empty-rule", "selectors"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(file, ord, type, what, line, first_line, number) in the order of the sheet.
+
+    Types: duplicate-selector (first_line is where it stood first), high-specificity (number), universal-selector,
+    long-selector (number of parts), important, duplicate-property, z-index (number) and empty-rule.
+    """
+    parts = blocks(sheets)
+    none = F.lit(None).cast("int")
+
+    def issue(rank: int, when: Column, kind: str, what: Column, line: Column, first: Column = none, number: Column = none) -> Column:
+        fields = {"rank": F.lit(rank), "type": F.lit(kind), "what": what, "line": line.cast("int"), "first_line": first.cast("int"), "number": number.cast("int")}
+        return F.when(when, F.struct(*(c.alias(k) for k, c in fields.items())))
+
+    names = F.filter(F.transform(F.split("block.selector", ","), collapse), lambda p: p != "")
+    s = parts.where("end = '{' and block.rule").select("file", "pos", "line", F.posexplode(names).alias("k", "what"))
+    same = Window.partitionBy("file", "what").orderBy("pos", "k")
+    s = s.withColumns({"first": F.first("line").over(same), "nth": F.row_number().over(same), "weight": specificity(F.col("what")), "chain": F.size(F.filter(F.split("what", _CHAIN), lambda p: p != ""))})
+    w, line = F.col("what"), F.col("line")
+    of_selectors = s.select("file", "pos", "k", F.explode(F.array_compact(F.array(
+        issue(0, F.col("nth") > 1, "duplicate-selector", w, line, F.col("first")), issue(1, F.col("weight") >= SPECIFIC, "high-specificity", w, line, number=F.col("weight")),
+        issue(2, w.rlike(_UNIVERSAL), "universal-selector", w, line), issue(3, F.col("chain") > LONG_CHAIN, "long-selector", w, line, number=F.col("chain")),
+    ))).alias("i"))
+    d = _declarations(parts)
+    in_block = Window.partitionBy("file", "block.pos")
+    d = d.withColumns({"twice": F.row_number().over(Window.partitionBy("file", "block.pos", "property").orderBy("pos")) > 1, "declared": F.count_if("counts").over(in_block)})
+    z = F.regexp_extract("value", r"^([+-]?\d+)", 1).try_cast("long")
+    empty = (F.col("end") == "}") & F.coalesce(F.col("block.rule"), F.lit(False)) & (F.col("declared") == 0)
+    of_declarations = d.select("file", "pos", F.lit(0).alias("k"), F.explode(F.array_compact(F.array(
+        issue(0, F.col("text").rlike(_IMPORTANT), "important", F.col("text"), line), issue(1, F.col("counts") & (F.col("property") != "") & F.col("twice"), "duplicate-property", F.col("property"), line),
+        issue(2, F.col("counts") & (F.col("property") == "z-index") & (F.abs(z) >= HIGH_Z), "z-index", F.col("value"), line, number=z), issue(3, empty, "empty-rule", F.col("block.selector"), F.col("block.line")),
+    ))).alias("i"))
+    return of_selectors.unionByName(of_declarations).select("file", F.struct("pos", "k", "i.rank").alias("ord"), "i.type", "i.what", "i.line", "i.first_line", "i.number")
+
+
+def style_facts(sheets: DataFrame) -> DataFrame:
+    """(file, rule_count, max_nesting, vendor_prefixes); files without a piece are left out."""
+    parts = blocks(sheets)
+    vendor = F.when(F.col("end") != "{", (F.instr("text", ":") > 1) & F.coalesce(F.col("block.rule"), F.lit(False)) & F.lower("text").rlike(_VENDOR))
+    return parts.groupBy("file").agg(F.count_if((F.col("end") == "{") & F.col("block.rule")).alias("rule_count"), F.coalesce(F.max(F.when(F.col("end") == "{", F.col("level"))), F.lit(0)).cast("int").alias("max_nesting"), F.count_if(vendor).alias("vendor_prefixes"))
 
 
 def vendor_prefixes(sheets: DataFrame) -> DataFrame:
     """(file, vendor_prefixes): declarations of properties that belong to one browser; files without any are left out."""
-    hits = F.size(F.filter("declarations", lambda d: F.lower(d).rlike(r"^\s*-(webkit|moz|ms|o)-[^:]*:")))
-    return rules(sheets).groupBy("file").agg(F.sum(hits).alias("vendor_prefixes")).where("vendor_prefixes > 0")
+    return style_facts(sheets).select("file", "vendor_prefixes").where("vendor_prefixes > 0")
 
 
 def issue_counts(issues: DataFrame, *keys: str) -> DataFrame:
@@ -129,5 +246,5 @@ def issue_counts(issues: DataFrame, *keys: str) -> DataFrame:
 
 
 def first_issues(issues: DataFrame, most: int = MAX_STYLE_ISSUES) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("file").orderBy("rule_ord", "type", "what"))
-    return issues.withColumn("place", place).where(F.col("place") <= most).drop("place")
+    """The first issues of each file, in its order."""
+    return issues.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("ord"))).where(F.col("place") <= most).drop("place")

@@ -2,14 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import clamp, plural, round0, round1
+from lodestone.operators.scope import first_rows, keys
 
 # Limits beyond which a thing counts, and sizes of lists.
 COMPLEXITY, FUNCTION_LINES, FILE_LINES, NESTING = 10, 50, 300, 4
 TOP_FUNCTIONS = 500
+DOM_DEPTH = 15
+#: What is said about a file, in this order: the fact, the number it has to exceed, the text for one and for more.
+WARNINGS = (
+    ("lines", FILE_LINES, "File is {n} lines (limit 300)", "File is {n} lines (limit 300)"),
+    ("risky_functions", 0, "{n} high-complexity function (CC > 10)", "{n} high-complexity functions (CC > 10)"),
+    ("long_functions", 0, "{n} long function (> 50 lines)", "{n} long functions (> 50 lines)"),
+    ("deep_functions", 0, "{n} deeply nested function (depth > 4)", "{n} deeply nested functions (depth > 4)"),
+    ("max_depth", DOM_DEPTH, "DOM nesting depth {n} (limit 15)", "DOM nesting depth {n} (limit 15)"),
+    ("missing_alt", 0, "{n} <img> tag missing alt text", "{n} <img> tags missing alt text"),
+    ("duplicate_ids", 0, "{n} duplicate id attribute", "{n} duplicate id attributes"),
+    ("deprecated_tags", 0, "{n} deprecated tag", "{n} deprecated tags"),
+    ("inline_handlers", 0, "{n} inline event handler (onclick=...)", "{n} inline event handlers (onclick=...)"),
+    ("inline_styles", 3, "{n} inline style attributes", "{n} inline style attributes"),
+    ("missing_lang", 0, "<html> missing lang attribute", ""),
+    ("missing_viewport", 0, "Missing viewport meta tag", ""),
+    ("missing_title", 0, "Missing <title>", ""),
+    ("duplicate-selector", 0, "{n} duplicate selector", "{n} duplicate selectors"),
+    ("important", 0, "{n} !important declaration", "{n} !important declarations"),
+    ("high-specificity", 0, "{n} high-specificity selector", "{n} high-specificity selectors"),
+    ("duplicate-property", 0, "{n} duplicate property", "{n} duplicate propertys"),
+    ("empty-rule", 0, "{n} empty rule", "{n} empty rules"),
+    ("universal-selector", 0, "{n} universal (*) selector", "{n} universal (*) selectors"),
+    ("long-selector", 0, "{n} overly long selector", "{n} overly long selectors"),
+    ("z-index", 0, "{n} extreme z-index value", "{n} extreme z-index values"),
+    ("sql_tables", 0, "Defines {n} table", "Defines {n} tables"),
+    ("sql_issues", 0, "{n} SQL issue (SELECT *, missing WHERE, ...)", "{n} SQL issues (SELECT *, missing WHERE, ...)"),
+    ("in_cycle", 0, "Part of a circular dependency", ""),
+)
 BUCKETS = (("1-2", 1, 2), ("3-5", 3, 5), ("6-10", 6, 10), ("11-20", 11, 20), ("21+", 21, 1 << 30))
 #: Key, label and weight of each component of the score.
 COMPONENTS = (("complexity", "Complexity", 0.3), ("duplication", "Duplication", 0.25), ("size", "Size", 0.2), ("dependencies", "Dependencies", 0.15), ("nesting", "Nesting", 0.1))
@@ -38,20 +67,29 @@ def file_rollup(files: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def file_warnings(rollup: DataFrame) -> DataFrame:
-    """The texts about each file, in their fixed order."""
-    said = F.array(
-        F.when(F.col("is_long_file"), F.concat(F.lit("Long file ("), F.col("lines").cast("string"), F.lit(" lines)"))),
-        F.when(F.col("risky_functions") > 0, plural(F.col("risky_functions"), "high-complexity function", "high-complexity functions")),
-        F.when(F.col("long_functions") > 0, plural(F.col("long_functions"), "long function", "long functions")),
-        F.when(F.col("max_nesting") > NESTING, F.concat(F.lit("Deep nesting (level "), F.col("max_nesting").cast("string"), F.lit(")"))),
-        F.when(F.coalesce(F.col("in_cycle"), F.lit(False)), F.lit("Part of a circular dependency")) if "in_cycle" in rollup.columns else F.lit(None).cast("string"),
-    )
-    return rollup.withColumn("warnings", F.array_compact(said))
+    """Adds the texts about each file in the order of ``WARNINGS``; a fact is a column, or one of ``facts``, a map, if there is one."""
+
+    def fact(name: str) -> Column:
+        found = F.col(name).cast("long") if name in rollup.columns else F.try_element_at("facts", F.lit(name)) if "facts" in rollup.columns else F.lit(None)
+        return F.coalesce(found, F.lit(0))
+
+    said = [F.when(fact(name) > limit, F.replace(F.when(fact(name) == 1, one).otherwise(more), F.lit("{n}"), fact(name).cast("string"))) for name, limit, one, more in WARNINGS]
+    return rollup.withColumn("warnings", F.array_compact(F.array(*said)))
+
+
+def facts_by_file(*counted: DataFrame) -> DataFrame:
+    """(file, facts): a map of the facts of each file, from tables (file, fact, n)."""
+    every = counted[0]
+    for more in counted[1:]:
+        every = every.unionByName(more)
+    sums = every.groupBy("file", "fact").agg(F.sum(F.col("n").cast("long")).alias("n"))
+    return sums.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("fact", "n"))).alias("facts"))  # of the two dozen facts of WARNINGS
 
 
 def mark_cyclic(rollup: DataFrame, cyclic: DataFrame) -> DataFrame:
-    c = cyclic.select(F.col("file").alias("path"), F.lit(True).alias("in_cycle")).distinct()
-    return rollup.join(c, "path", "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
+    own = [k for k in keys(rollup) if k in cyclic.columns]
+    c = cyclic.select(*own, F.col("file").alias("path"), F.lit(True).alias("in_cycle")).distinct()
+    return rollup.join(c, [*own, "path"], "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
 
 
 def languages(files: DataFrame) -> DataFrame:
@@ -63,13 +101,16 @@ def histogram(functions: DataFrame) -> DataFrame:
     spark = functions.sparkSession
     table = F.broadcast(spark.createDataFrame([(k, *b) for k, b in enumerate(BUCKETS)], "bucket_ord int, bucket string, low int, high int"))  # five rows
     place = F.array_max(F.array(*(F.when(F.col("complexity") >= low, k) for k, (_, low, _) in enumerate(BUCKETS))))
-    counts = functions.select(place.alias("bucket_ord")).where("bucket_ord is not null").groupBy("bucket_ord").agg(F.count("*").alias("functions"))
-    return table.join(counts, "bucket_ord", "left").select("bucket_ord", "bucket", F.coalesce("functions", F.lit(0)).alias("functions"))
+    own = keys(functions)
+    counts = functions.select(*own, place.alias("bucket_ord")).where("bucket_ord is not null").groupBy(*own, "bucket_ord").agg(F.count("*").alias("functions"))
+    if own:  # a project without functions has no rows
+        table = counts.select(*own).distinct().crossJoin(table)  # by five rows
+    return table.join(counts, [*own, "bucket_ord"], "left").select(*own, "bucket_ord", "bucket", F.coalesce("functions", F.lit(0)).alias("functions"))
 
 
 def top_functions(functions: DataFrame, most: int = TOP_FUNCTIONS, *ties: str) -> DataFrame:
     flags = {"risky": F.col("complexity") > COMPLEXITY, "long": F.col("lines") > FUNCTION_LINES, "deep": F.col("nesting") > NESTING}
-    return functions.orderBy(F.desc("complexity"), F.desc("lines"), *ties).limit(most).withColumns(flags)
+    return first_rows(functions, most, F.desc("complexity"), F.desc("lines"), *ties).withColumns(flags)
 
 
 def ranked_files(rollup: DataFrame, *ties: str) -> DataFrame:

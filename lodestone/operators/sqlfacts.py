@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import clean_identifier, collapse, js_trim, masked
+from lodestone.functions.text import clean_identifier, collapse, js_trim, masked, newlines
+from lodestone.operators.scope import first_rows, keys, scoped
 from lodestone.sources.tables import spread
 
 # Patterns of SQL, words that are no table names, and sizes of lists.
@@ -16,6 +17,8 @@ _FOREIGN = rf"(?i)FOREIGN\s+KEY\s*\(([^)]*)\)\s*REFERENCES\s+{_NAME}\s*(?:\(([^)
 ALTER_FOREIGN = rf"(?i)\bALTER\s+TABLE\s+(?:ONLY\s+)?{_NAME}[^;]*?FOREIGN\s+KEY\s*\(([^)]*)\)\s*REFERENCES\s+{_NAME}\s*(?:\(([^)]*)\))?"
 _CONSTRAINT = r"(?i)^(CONSTRAINT|PRIMARY\s|FOREIGN\s|UNIQUE\b|KEY\b|INDEX\b|CHECK\b|FULLTEXT\b|SPATIAL\b)"
 MAX_ISSUES = 100
+MAX_TABLES, MAX_COLUMNS, MAX_RELATIONS = 200, 40, 500
+MAX_CODE_TABLES, MAX_CODE_RELATIONS = 150, 300
 NO_TABLES = ("select", "from", "where", "join", "on", "and", "or", "as", "set", "into", "values", "value", "table", "index", "if", "not", "exists", "dual", "order", "group", "by", "limit", "offset", "having", "union", "all", "distinct", "the", "this", "a", "an", "is", "in", "to", "of", "for", "with", "data", "true", "false", "null", "key", "using", "inner", "left", "right", "outer")
 HINT = r"(?i)\b(?:SELECT\s[\s\S]{0,300}?\bFROM\b|INSERT\s+INTO\b|UPDATE\s+[`\"\w]+\s+SET\b|DELETE\s+FROM\b|CREATE\s+TABLE\b|(?:INNER|LEFT|RIGHT|FULL|CROSS)\s+JOIN\b)"
 QUERY = r"(?i)\b(?:SELECT\s[\s\S]{0,300}?\bFROM\b|INSERT\s+INTO\b|UPDATE\s+[`\"\w]+\s+SET\b|DELETE\s+FROM\b)"
@@ -31,7 +34,7 @@ def _nullable(x: Column) -> Column:
 
 
 def _definitions(files: DataFrame) -> DataFrame:
-    """(file, table_ord, table, def_ord, d): the definitions inside CREATE TABLE, parentheses nested as deep as they are.
+    """(file, table_ord, line, table, def_ord, d): the definitions inside CREATE TABLE, parentheses nested as deep as they are.
 
     A statement whose parenthesis is not closed makes no table.
     """
@@ -40,50 +43,55 @@ def _definitions(files: DataFrame) -> DataFrame:
     x = s.select("file", F.posexplode(parts).alias("pos", "t")).withColumn("head", F.regexp_like("t", F.lit(rf"(?s)\A{CREATE_TABLE}\z")))
     w = Window.partitionBy("file").orderBy("pos")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumns({"up": ((F.col("t") == "(") | F.col("head")).cast("int"), "down": (F.col("t") == ")").cast("int")})
+    x = x.withColumns({"up": ((F.col("t") == "(") | F.col("head")).cast("int"), "down": (F.col("t") == ")").cast("int"), "line": F.coalesce(F.sum(newlines(F.col("t"))).over(past), F.lit(0)).cast("int") + 1})
     x = x.withColumn("level", F.sum(F.col("up") - F.col("down")).over(w) + F.col("down"))
     partner = Window.partitionBy("file", (F.col("up") + F.col("down")) > 0, "level").orderBy("pos")
     x = x.withColumn("end_pos", F.lead("pos").over(partner)).where("not head or end_pos is not null or level > 1")
     # a head inside another table's body is text of that
-    outer = F.when(F.col("head") & F.col("end_pos").isNotNull(), F.struct("pos", "end_pos", "level", "t"))
+    outer = F.when(F.col("head") & F.col("end_pos").isNotNull(), F.struct("pos", "end_pos", "level", "t", "line"))
     reach = F.coalesce(F.max(outer["end_pos"]).over(past), F.lit(-1))
     x = x.withColumn("opens", outer.isNotNull() & (F.col("pos") > reach))
     x = x.withColumn("o", F.last(F.when(F.col("opens"), outer), ignorenulls=True).over(past)).where((F.col("pos") < F.col("o.end_pos")) | F.col("opens"))
     x = x.withColumn("table_ord", F.sum(F.col("opens").cast("int")).over(w) - 1).where("not opens")
     cut = (F.col("t") == ",") & (F.col("level") == F.col("o.level"))
     x = x.withColumn("def_ord", F.sum(cut.cast("int")).over(Window.partitionBy("file", "table_ord").orderBy("pos"))).where(~cut)
-    d = x.groupBy("file", "table_ord", "def_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda r: r["t"]), "").alias("d"), F.first("o.t").alias("head"))
-    return d.select("file", "table_ord", clean_identifier(F.regexp_extract("head", CREATE_TABLE, 1)).alias("table"), "def_ord", collapse("d").alias("d"))
+    d = x.groupBy("file", "table_ord", "def_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda r: r["t"]), "").alias("d"), F.first("o.t").alias("head"), F.first("o.line").alias("line"))
+    return d.select("file", "table_ord", "line", clean_identifier(F.regexp_extract("head", CREATE_TABLE, 1)).alias("table"), "def_ord", collapse("d").alias("d"))
 
 
 def tables(files: DataFrame) -> DataFrame:
-    """(file, table_ord, name, columns): columns are structs of name, type and primary_key."""
+    """(file, table_ord, name, line, columns): columns are structs of name, type and primary_key."""
     d = _definitions(files)
     shape = r"^[`\"\[]?(\w+)[`\"\]]?\s+([A-Za-z]+(?:\s*\([^)]*\))?)"
     is_column = ~F.col("d").rlike(_CONSTRAINT) & F.col("d").rlike(shape)
     column = F.struct("def_ord", F.regexp_extract("d", shape, 1).alias("name"), F.regexp_replace(F.upper(F.regexp_extract("d", shape, 2)), r"\s+", "").alias("type"), F.col("d").rlike(r"(?i)PRIMARY\s+KEY").alias("primary_key"))
-    listed = d.groupBy("file", "table_ord", "table").agg(F.array_sort(F.collect_list(F.when(is_column, column))).alias("c"))
-    return listed.select("file", "table_ord", F.col("table").alias("name"), F.transform("c", lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type"), c["primary_key"].alias("primary_key"))).alias("columns"))
+    listed = d.groupBy("file", "table_ord", "table", "line").agg(F.array_sort(F.collect_list(F.when(is_column, column))).alias("c"))
+    return listed.select("file", "table_ord", F.col("table").alias("name"), "line", F.transform("c", lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type"), c["primary_key"].alias("primary_key"))).alias("columns"))
 
 
 def relations(files: DataFrame) -> DataFrame:
-    """Foreign keys: file, from, from_column, to, to_column (null if not named); of composite keys the first column."""
+    """Foreign keys: file, at, from, from_column, to, to_column (null if not named); of composite keys the first column.
+
+    ``at`` orders those of a file: by table and definition, then those that ALTER TABLE adds.
+    """
+    place = F.struct(F.lit(0).alias("kind"), F.col("table_ord").cast("int").alias("table"), F.col("def_ord").cast("int").alias("nth")).alias("at")
     d = _definitions(files)
     constraint = d.where(F.col("d").rlike(_CONSTRAINT) & F.col("d").rlike(_FOREIGN))
-    by_table = constraint.select("file", F.col("table").alias("from"), clean_identifier(F.regexp_extract("d", _FOREIGN, 1)).alias("from_column"), clean_identifier(F.regexp_extract("d", _FOREIGN, 2)).alias("to"), _nullable(F.regexp_extract("d", _FOREIGN, 3)).alias("to_column"))
+    by_table = constraint.select("file", place, F.col("table").alias("from"), clean_identifier(F.regexp_extract("d", _FOREIGN, 1)).alias("from_column"), clean_identifier(F.regexp_extract("d", _FOREIGN, 2)).alias("to"), _nullable(F.regexp_extract("d", _FOREIGN, 3)).alias("to_column"))
     inline = rf"(?i)\bREFERENCES\s+{_NAME}\s*(?:\(([^)]*)\))?"
     column = r"^[`\"\[]?(\w+)[`\"\]]?\s+[A-Za-z]+"
     own = d.where(~F.col("d").rlike(_CONSTRAINT) & F.col("d").rlike(inline) & F.col("d").rlike(column))
-    by_column = own.select("file", F.col("table").alias("from"), F.regexp_extract("d", column, 1).alias("from_column"), clean_identifier(F.regexp_extract("d", inline, 1)).alias("to"), _nullable(F.regexp_extract("d", inline, 2)).alias("to_column"))
+    by_column = own.select("file", place, F.col("table").alias("from"), F.regexp_extract("d", column, 1).alias("from_column"), clean_identifier(F.regexp_extract("d", inline, 1)).alias("to"), _nullable(F.regexp_extract("d", inline, 2)).alias("to_column"))
     s = files.select("file", masked("content", _HIDDEN).alias("s"))
-    altered = s.select("file", F.explode(F.regexp_extract_all("s", F.lit(ALTER_FOREIGN), F.lit(0))).alias("t"))
+    altered = s.select("file", F.posexplode(F.regexp_extract_all("s", F.lit(ALTER_FOREIGN), F.lit(0))).alias("nth", "t"))
     part = lambda k: F.regexp_extract("t", ALTER_FOREIGN, k)
-    by_alter = altered.select("file", clean_identifier(part(1)).alias("from"), clean_identifier(part(2)).alias("from_column"), clean_identifier(part(3)).alias("to"), _nullable(part(4)).alias("to_column"))
+    last = F.struct(F.lit(1).alias("kind"), F.lit(0).alias("table"), "nth").alias("at")
+    by_alter = altered.select("file", last, clean_identifier(part(1)).alias("from"), clean_identifier(part(2)).alias("from_column"), clean_identifier(part(3)).alias("to"), _nullable(part(4)).alias("to_column"))
     return by_table.unionByName(by_column).unionByName(by_alter)
 
 
 def issues(files: DataFrame, most: int = MAX_ISSUES) -> DataFrame:
-    """Doubtful statements, at most ``most`` a file: file, line, type, table, joins."""
+    """Doubtful statements, at most ``most`` a file: file, line, type, table, joins, place (their order)."""
     s = files.select("file", F.posexplode(F.split(masked("content", _HIDDEN), ";")).alias("nth", "statement"))
     before = F.sum(F.length("statement") - F.length(F.replace("statement", F.lit("\n")))).over(Window.partitionBy("file").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
     lead = F.regexp_extract("statement", r"^(\s*)", 1)
@@ -99,7 +107,7 @@ def issues(files: DataFrame, most: int = MAX_ISSUES) -> DataFrame:
     ]
     listed = s.select("file", "nth", "line", F.explode(F.array_compact(F.array(*found))).alias("i"))
     place = F.row_number().over(Window.partitionBy("file").orderBy("nth", "i.k"))
-    return listed.withColumn("place", place).where(F.col("place") <= most).select("file", "line", "i.type", "i.table", "i.joins")
+    return listed.withColumn("place", place).where(F.col("place") <= most).select("file", "line", "i.type", "i.table", "i.joins", "place")
 
 
 def counters(files: DataFrame) -> DataFrame:
@@ -113,49 +121,111 @@ def likely_table(x: Column) -> Column:
 
 
 def embedded_tables(files: DataFrame) -> DataFrame:
-    """Tables that code's queries name: name as first seen (reads before writes in a file), and in how many files."""
-    seen = _targets(files).where(likely_table(F.col("name")))
-    return seen.groupBy(F.lower("name").alias("key")).agg(F.min_by("name", F.struct("file", "nth")).alias("name"), F.count_distinct("file").alias("files"))
+    """Tables that code's queries name: name as first seen (reads before writes in a file), in how many files, and where first."""
+    seen = scoped(_targets(files).where(likely_table(F.col("name"))))
+    return seen.groupBy(*keys(seen), F.lower("name").alias("key")).agg(F.min_by("name", F.struct("file", "nth")).alias("name"), F.count_distinct("file").alias("files"), F.min(F.struct("file", "nth", "line")).alias("at"))
 
 
 def _targets(files: DataFrame) -> DataFrame:
-    """(file, nth, name, alias): after FROM and JOIN, then INSERT, UPDATE and DELETE, each in the order of the text."""
+    """(file, nth, name, alias, line): after FROM and JOIN, then INSERT, UPDATE and DELETE, each in the order of the text.
+
+    The text is split at what a pattern matches, so the line of a match is one more than the newlines before it.
+    """
     hinted = files.where(F.col("content").rlike(HINT))
 
     def seen(kind: int, pattern: str) -> Column:
         part = lambda t, g: F.regexp_extract(t, pattern, g)
-        return F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), lambda t, k: F.struct(F.struct(F.lit(kind).alias("kind"), k.alias("k")).alias("nth"), part(t, 1).alias("name"), part(t, 2).alias("alias")))
+        matches, between = F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), F.split("content", pattern, -1)
+        gap = lambda t, k: F.struct(newlines(F.get(between, k)).alias("before"), newlines(t).alias("inside"))
+        return F.transform(matches, lambda t, k: F.struct(F.struct(F.lit(kind).alias("kind"), k.alias("k")).alias("nth"), part(t, 1).alias("name"), part(t, 2).alias("alias"), gap(t, k).alias("gap")))
 
     found = [seen(kind, pattern) for kind, pattern in enumerate((_FROM, _INSERT, _UPDATE, _DELETE))]
-    return hinted.select("file", F.explode(F.concat(*found)).alias("t")).select("file", "t.*")
+    x = hinted.select("file", F.explode(F.concat(*found)).alias("t")).select("file", "t.*")
+    w = Window.partitionBy("file", "nth.kind").orderBy("nth.k")
+    line = 1 + F.sum("gap.before").over(w) + F.coalesce(F.sum("gap.inside").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return x.select("file", "nth", "name", "alias", line.cast("int").alias("line"))
+
+
+def quoted(files: DataFrame) -> DataFrame:
+    """Code with SQL in it whose single quotes are double ones, so that masking SQL strings leaves the statements."""
+    return files.where(F.col("content").rlike(HINT)).select("file", F.replace("content", F.lit("'"), F.lit('"')).alias("content"))
 
 
 def embedded_declared(files: DataFrame) -> DataFrame:
     """Tables that CREATE TABLE statements inside code declare, each once by its name's first declaration."""
-    hinted = files.where(F.col("content").rlike(HINT)).select("file", F.replace("content", F.lit("'"), F.lit('"')).alias("content"))
-    t = tables(hinted)
-    first = t.groupBy(F.lower("name").alias("key")).agg(F.min_by(F.struct("name", "file", "columns"), F.struct("file", "table_ord")).alias("t"))
-    return first.select("t.*")
+    t = scoped(tables(quoted(files)))
+    first = t.groupBy(*keys(t), F.lower("name").alias("key")).agg(F.min_by(F.struct("name", "file", "columns", "line", "table_ord"), F.struct("file", "table_ord")).alias("t"))
+    return first.select(*keys(t), "t.*")
 
 
-def embedded_relations(files: DataFrame) -> DataFrame:
-    """Relations that join conditions show, aliases resolved within their file, the last one of a name; no self-joins."""
+def _joined(files: DataFrame) -> DataFrame:
+    """(file, at, from, from_column, to, to_column) that join conditions show, aliases resolved within their file, the last
+    one of a name; no self-joins."""
     t = _targets(files).where(likely_table(F.col("name")))
     named = t.select("file", "nth", F.lower("name").alias("alias"), "name").unionByName(t.where(likely_table(F.col("alias"))).select("file", "nth", F.lower("alias").alias("alias"), "name"))
     alias = named.groupBy("file", "alias").agg(F.max_by("name", "nth").alias("name"))
-    on = files.where(F.col("content").rlike(HINT)).select("file", F.explode(F.regexp_extract_all("content", F.lit(_ON), F.lit(0))).alias("t"))
+    on = files.where(F.col("content").rlike(HINT)).select("file", F.posexplode(F.regexp_extract_all("content", F.lit(_ON), F.lit(0))).alias("nth", "t"))
     part = lambda k: F.regexp_extract("t", _ON, k)
-    on = on.select("file", F.lower(part(1)).alias("a"), part(2).alias("from_column"), F.lower(part(3)).alias("b"), part(4).alias("to_column"))
+    last = F.struct(F.lit(2).alias("kind"), F.lit(0).alias("table"), "nth").alias("at")
+    on = on.select("file", last, part(1).alias("l"), part(3).alias("r"), F.lower(part(1)).alias("a"), part(2).alias("from_column"), F.lower(part(3)).alias("b"), part(4).alias("to_column"))
     a, b = alias.select("file", F.col("alias").alias("a"), F.col("name").alias("x")), alias.select("file", F.col("alias").alias("b"), F.col("name").alias("y"))
-    both = on.join(a, ["file", "a"], "left").join(b, ["file", "b"], "left").withColumns({"from": F.coalesce("x", "a"), "to": F.coalesce("y", "b")})
+    both = on.join(a, ["file", "a"], "left").join(b, ["file", "b"], "left").withColumns({"from": F.coalesce("x", "l"), "to": F.coalesce("y", "r")})
     both = both.where(likely_table(F.col("from")) & likely_table(F.col("to")) & (F.lower("from") != F.lower("to")))
-    return distinct_relations(both.select("file", "from", "from_column", "to", "to_column"))
+    return both.select("file", "at", "from", "from_column", "to", "to_column")
+
+
+def embedded_relations(files: DataFrame) -> DataFrame:
+    """Relations that join conditions in code show (see ``_joined``), each once."""
+    return distinct_relations(_joined(files).drop("at"))
+
+
+def code_schema(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables and relations of SQL inside code, each once, the first 150 and 300 of a project in order of appearance.
+
+    Tables: name, file, line, columns, inferred, rank; those that code declares come before those that it only uses.
+    Relations: from, from_column, to, to_column, file, inferred, rank.
+    """
+    declared = embedded_declared(files).withColumn("at", F.struct(F.lit(0).alias("kind"), "file", F.struct(F.lit(0).alias("kind"), F.col("table_ord").cast("int").alias("k")).alias("nth")))
+    used, own = embedded_tables(files), keys(declared)
+    used = used.withColumn("key", F.lower("name")).join(declared.select(*own, F.lower("name").alias("key")), [*own, "key"], "left_anti")
+    used = used.select(*own, "name", F.col("at.file").alias("file"), "at.line", F.struct(F.lit(1).alias("kind"), F.col("at.file").alias("file"), F.col("at.nth").alias("nth")).alias("at"))
+    none = F.array().cast(declared.schema["columns"].dataType)
+    both = declared.select(*own, "name", "file", "line", "at", "columns", F.lit(False).alias("inferred")).unionByName(used.withColumns({"columns": none, "inferred": F.lit(True)}))
+    found = scoped(relations(quoted(files)).withColumn("inferred", F.lit(False)).unionByName(_joined(files).withColumn("inferred", F.lit(True))))
+    first = found.groupBy(*keys(found), _relation_key().alias("key")).agg(F.min(F.struct("file", "at", "from", "from_column", "to", "to_column", "inferred")).alias("r")).select(*keys(found), "r.*")
+    return first_rows(both, MAX_CODE_TABLES, "at").drop("at"), first_rows(first, MAX_CODE_RELATIONS, "file", "at").drop("at")
+
+
+def schema(sql: DataFrame, code: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables and relations of SQL files and, where they don't name them, of SQL inside code, in order of appearance.
+
+    Tables: name, file, line, columns, from_code, inferred, rank. Relations: from, from_column, to, to_column, file,
+    inferred, from_code, rank. Nothing is cut here but what ``code_schema`` cuts.
+    """
+    declared, links = scoped(tables(sql)), scoped(relations(sql))
+    more, joined = code_schema(code)
+    own = keys(declared)
+    known = declared.select(*own, F.lower("name").alias("key")).distinct()
+    more = more.withColumn("key", F.lower("name")).join(known, [*own, "key"], "left_anti")
+    shape = lambda df, place, *columns: df.select(*own, *columns, place.alias("place"))
+    place = lambda kind, file, k: F.struct(F.lit(kind).alias("kind"), file.alias("file"), k.cast("int").alias("k"))
+    nowhere = F.lit(None).cast(declared.schema["file"].dataType)
+    one = shape(declared.withColumns({"from_code": F.lit(False), "inferred": F.lit(False)}), place(0, F.col("file"), F.col("table_ord")), "name", "file", "line", "columns", "from_code", "inferred")
+    two = shape(more.withColumn("from_code", F.lit(True)), place(1, nowhere, F.col("rank")), "name", "file", "line", "columns", "from_code", "inferred")
+    all_tables = first_rows(one.unionByName(two), 1 << 30, "place").drop("place")
+    seen = links.select(*own, _relation_key().alias("key")).distinct()
+    joined = joined.withColumn("key", _relation_key()).join(seen, [*own, "key"], "left_anti")
+    names = ("from", "from_column", "to", "to_column", "file", "inferred", "from_code")
+    within = lambda kind, file, table, k: F.struct(F.lit(kind).alias("kind"), file.alias("file"), table.alias("table"), k.cast("int").alias("k"))
+    first = shape(links.withColumns({"inferred": F.lit(False), "from_code": F.lit(False)}), within(0, F.col("file"), F.struct("at.kind", "at.table"), F.col("at.nth")), *names)
+    second = shape(joined.withColumn("from_code", F.lit(True)), within(1, nowhere, F.struct(F.lit(0).alias("kind"), F.lit(0).alias("table")), F.col("rank")), *names)
+    return all_tables, first_rows(first.unionByName(second), 1 << 30, "place").drop("place")
 
 
 def query_counts(files: DataFrame) -> DataFrame:
-    """One row: queries in files that hint at SQL, and how many such files there are."""
-    hinted = files.where(F.col("content").rlike(HINT))
-    return hinted.agg(F.coalesce(F.sum(F.regexp_count("content", F.lit(QUERY))), F.lit(0)).alias("queries"), F.count("*").alias("files_with_sql"))
+    """One row (a project): queries in files that hint at SQL, and how many such files there are."""
+    hinted = scoped(files.where(F.col("content").rlike(HINT)))
+    return hinted.groupBy(*keys(hinted)).agg(F.coalesce(F.sum(F.regexp_count("content", F.lit(QUERY))), F.lit(0)).alias("queries"), F.count("*").alias("files_with_sql"))
 
 
 def merged_tables(declared: DataFrame, embedded: DataFrame) -> DataFrame:
@@ -165,10 +235,13 @@ def merged_tables(declared: DataFrame, embedded: DataFrame) -> DataFrame:
     return declared.select("name", F.lit(False).alias("inferred")).unionByName(one)
 
 
+def _relation_key() -> Column:
+    return F.lower(F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in ("from", "from_column", "to", "to_column"))))
+
+
 def distinct_relations(found: DataFrame) -> DataFrame:
     """Relations that differ in more than case; a missing column equals an empty one."""
-    key = F.lower(F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in ("from", "from_column", "to", "to_column"))))
-    return found.groupBy(key.alias("key")).agg(F.min(F.struct("from", "from_column", "to", "to_column")).alias("r")).select("r.*")
+    return found.groupBy(_relation_key().alias("key")).agg(F.min(F.struct("from", "from_column", "to", "to_column")).alias("r")).select("r.*")
 
 
 def external_tables(declared: DataFrame, found: DataFrame) -> DataFrame:

@@ -6,14 +6,17 @@ their columns are written out as source text whose metrics are known by arithmet
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import advisor, cards, duplicates, extract, graphql, graphs, markup, rollup, sqlfacts
+from lodestone.operators import advisor, cards, duplicates, extract, graphql, graphs, javascript, markup, rollup, scope, sqlfacts
+from lodestone.plans import report
 from lodestone.sources import project
+from lodestone.sources.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,7 +150,7 @@ def complexity_histogram(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SQL_FUNCTIONS} SELECT *, complexity > 10 AS risky, lines > 50 AS long, nesting > 4 AS deep FROM functions ORDER BY complexity DESC, lines DESC, file, line, name, tie LIMIT 500")
 def top_functions(spark: SparkSession, d: str) -> DataFrame:
     """TK-01."""
-    return rollup.top_functions(_functions(spark, d), rollup.TOP_FUNCTIONS, "file", "line", "name", "tie")
+    return rollup.top_functions(_functions(spark, d), rollup.TOP_FUNCTIONS, "file", "line", "name", "tie").drop("rank")
 
 
 @query(
@@ -162,9 +165,9 @@ def file_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_SQL_FUNCTIONS}, {_SQL_FILES}, {_SQL_SUMS}, r AS (SELECT path, lines, coalesce(risky_functions, 0) AS risky, coalesce(long_functions, 0) AS longs, coalesce(max_nesting, 0) AS nest FROM files LEFT JOIN sums ON path = file)
-SELECT path, concat_ws('; ', CASE WHEN lines > 300 THEN 'Long file (' || lines || ' lines)' END, CASE WHEN risky = 1 THEN '1 high-complexity function' WHEN risky > 0 THEN risky || ' high-complexity functions' END,
- CASE WHEN longs = 1 THEN '1 long function' WHEN longs > 0 THEN longs || ' long functions' END, CASE WHEN nest > 4 THEN 'Deep nesting (level ' || nest || ')' END) AS warnings FROM r"""
+    f"""WITH {_SQL_FUNCTIONS}, {_SQL_FILES}, {_SQL_SUMS}, r AS (SELECT path, lines, coalesce(risky_functions, 0) AS risky, coalesce(long_functions, 0) AS longs, coalesce(deep_functions, 0) AS deep FROM files LEFT JOIN sums ON path = file)
+SELECT path, concat_ws('; ', CASE WHEN lines > 300 THEN 'File is ' || lines || ' lines (limit 300)' END, CASE WHEN risky > 0 THEN risky || ' high-complexity function' || CASE WHEN risky > 1 THEN 's' ELSE '' END || ' (CC > 10)' END,
+ CASE WHEN longs > 0 THEN longs || ' long function' || CASE WHEN longs > 1 THEN 's' ELSE '' END || ' (> 50 lines)' END, CASE WHEN deep > 0 THEN deep || ' deeply nested function' || CASE WHEN deep > 1 THEN 's' ELSE '' END || ' (depth > 4)' END) AS warnings FROM r"""
 )
 def file_warnings(spark: SparkSession, d: str) -> DataFrame:
     """SC-05, SC-16."""
@@ -198,17 +201,71 @@ def health_score(spark: SparkSession, d: str) -> DataFrame:
     return rollup.score(stats).select("project", *(f"{k}_score" for k, _, _ in rollup.COMPONENTS), "total", "grade")
 
 
+_RULE = "SELECT project, {rank} AS worst, {ord} AS ord, '{rule}' AS rule, {severity} AS severity, {title} AS title, {body} AS body FROM x WHERE {when}"
+
+
+def _rules() -> str:
+    """SQL of the rules over one row a project: as the texts stand, with facts in place of braces."""
+    rows = []
+    for k, (rule, severity, when, title, body) in enumerate(advisor.RULES[:-1]):
+        text = lambda t: re.sub(r"\{([\w.]+)\}", lambda m: f"' || regexp_replace(CAST({m[1]} AS VARCHAR), '[.]0$', '') || '", "'" + t.replace("'", "''") + "'")
+        high = severity in advisor.SEVERITIES
+        how = f"'{severity}'" if high else "CASE WHEN duplication_percentage > 10 THEN 'high' ELSE 'medium' END"
+        rank = str(advisor.SEVERITIES.index(severity)) if high else "CASE WHEN duplication_percentage > 10 THEN 0 ELSE 1 END"
+        rows.append(_RULE.format(rank=rank, ord=k, rule=rule, severity=how, title=text(title), body=text(body), when=when))
+    return " UNION ALL ".join(rows)
+
+
+_SQL_TYPES = "list_element(['missing-alt', 'deprecated-tag', 'inline-handler', 'duplicate-id', 'missing-title'], CAST(s_suppkey % 5 AS INT) + 1)"
+_SQL_STYLES = "list_element(['important', 'duplicate-property', 'duplicate-selector', 'z-index', 'empty-rule', 'long-selector'], CAST(c_custkey % 6 AS INT) + 1)"
+_SQL_STATEMENTS = "list_element(['delete-no-where', 'select-star', 'many-joins'], CAST(s_suppkey % 3 AS INT) + 1)"
+
+
+def _said(table: str, texts: dict[str, str], total: str) -> str:
+    parts = ", ".join(f"CASE WHEN count_if(type = '{k}') > 0 THEN count_if(type = '{k}') || ' {v}' END" for k, v in texts.items())
+    return f"SELECT project, coalesce(nullif(concat_ws(', ', {parts}), ''), CAST(any_value({total}) AS VARCHAR)) AS said, any_value({total}) AS total FROM {table} GROUP BY project"
+
+
 @query(
-    f"""WITH {_SQL_FUNCTIONS}, {_SQL_FILES}, w AS (
-SELECT 'complexity' AS rule, 'high' AS severity, 1 AS rank, count(*) AS n FROM functions WHERE complexity > 10 UNION ALL SELECT 'long-function', 'medium', 2, count(*) FROM functions WHERE lines > 50
-UNION ALL SELECT 'nesting', 'medium', 2, count(*) FROM functions WHERE nesting > 4 UNION ALL SELECT 'long-file', 'medium', 2, count(*) FROM files WHERE lines > 300
-UNION ALL SELECT 'duplication', 'high', 1, 7 UNION ALL SELECT 'cycles', 'high', 1, 1 UNION ALL SELECT 'select-star', 'low', 3, 2)
-SELECT rank, rule, severity FROM w WHERE n > 0"""
+    f"""WITH {_SQL_FUNCTIONS}, {_SQL_FILES}, p AS (SELECT files.*, c_nationkey AS project FROM files JOIN customer ON o_custkey = c_custkey),
+fp AS (SELECT f.*, project FROM functions f JOIN p ON f.file = p.path), top AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY complexity DESC, lines DESC, file, line, name, tie) AS rank FROM fp QUALIFY rank <= 500),
+sums AS (SELECT project, count_if(complexity > 10) AS risky_functions, count_if(lines > 50) AS long_functions, count_if(nesting > 4) AS deep_functions FROM fp GROUP BY project),
+w AS (SELECT project, arg_max({{'name': name, 'file': file, 'complexity': complexity}}, (complexity, -rank)) FILTER (complexity > 10) AS complex, arg_max({{'name': name, 'file': file, 'lines': lines}}, (lines, -rank)) FILTER (lines > 50) AS longest,
+ arg_max({{'name': name, 'file': file, 'nesting': nesting}}, (nesting, -rank)) FILTER (nesting > 4) AS deepest FROM top GROUP BY project),
+big AS (SELECT project, count_if(lines > 300) AS long_file_count, arg_max({{'path': path, 'lines': lines}}, (lines, -path)) FILTER (lines > 300) AS largest FROM p GROUP BY project),
+mk AS (SELECT *, count(*) OVER (PARTITION BY project) AS n FROM (SELECT s_nationkey AS project, s_suppkey AS k, {_SQL_TYPES} AS type FROM supplier) QUALIFY row_number() OVER (PARTITION BY project ORDER BY k) <= 200),
+st AS (SELECT *, count(*) OVER (PARTITION BY project) AS n FROM (SELECT c_nationkey AS project, c_custkey AS k, {_SQL_STYLES} AS type FROM customer) QUALIFY row_number() OVER (PARTITION BY project ORDER BY k) <= 200),
+sq AS (SELECT s_nationkey AS project, {_SQL_STATEMENTS} AS type, 'q' || s_suppkey || '.sql' AS file, s_suppkey % 50 + 1 AS line, s_suppkey AS k FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) <= 100),
+d AS (SELECT project, count_if(type = 'delete-no-where') AS dangerous_sql, count_if(type = 'select-star') AS select_stars, arg_min({{'file': file, 'line': line}}, k) FILTER (type = 'delete-no-where') AS danger FROM sq GROUP BY project),
+m2 AS ({_said("mk", {"missing-alt": "image(s) without alt text", "deprecated-tag": "deprecated tag(s)", "inline-handler": "inline event handler(s)", "duplicate-id": "duplicate id(s)"}, "n")}),
+s2 AS ({_said("st", {"important": "!important", "duplicate-property": "duplicate propertie(s)", "duplicate-selector": "duplicate selector(s)", "z-index": "extreme z-index value(s)"}, "n")}),
+b AS (SELECT s_nationkey AS project, least(count(*), 100) AS duplicate_blocks FROM supplier GROUP BY 1),
+x AS (SELECT n_nationkey AS project, sums.* EXCLUDE (project), complex, longest, deepest, long_file_count, largest, (n_nationkey % 9) * 1.5::DOUBLE AS duplication_percentage, coalesce(duplicate_blocks, 0) AS duplicate_blocks, n_nationkey % 3 AS cycle_count, 'a' || n_nationkey || ' → b → a' || n_nationkey AS chain,
+ coalesce(m2.total, 0) AS markup_issue_count, m2.said AS markup_parts, coalesce(s2.total, 0) AS style_issue_count, s2.said AS style_parts, coalesce(dangerous_sql, 0) AS dangerous_sql, coalesce(select_stars, 0) AS select_stars, danger, n_nationkey % 2 AS parse_error_count,
+ 10 AS complexity_limit, 50 AS function_limit, 300 AS file_limit FROM nation JOIN sums ON sums.project = n_nationkey JOIN w ON w.project = n_nationkey JOIN big ON big.project = n_nationkey
+ LEFT JOIN m2 ON m2.project = n_nationkey LEFT JOIN s2 ON s2.project = n_nationkey LEFT JOIN d ON d.project = n_nationkey LEFT JOIN b ON b.project = n_nationkey), said AS ({_rules()})
+SELECT project AS project_id, row_number() OVER (PARTITION BY project ORDER BY worst, ord) AS rank, rule, severity, title, body FROM said QUALIFY rank <= 10"""
 )
 def advice(spark: SparkSession, d: str) -> DataFrame:
-    """AD-01 to AD-03."""
-    facts = spark.range(1).selectExpr("12.5D AS duplication_percentage", "7 AS duplicate_blocks", "1 AS cycles", "0 AS markup_issues", "0 AS style_issues", "0 AS dangerous_sql", "2 AS select_stars", "0 AS parse_errors")
-    return advisor.advise(_functions(spark, d).drop("tie", "line"), _files(spark, d).select("path", "lines"), facts).select("rank", "rule", "severity")
+    """AD-01 to AD-03: nations as projects; the rules read lists cut to 500 functions and 200 issues, their counts don't."""
+    owner = _t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("project_id"))
+    files = _files(spark, d).join(owner, "o_custkey").withColumn("is_long_file", F.col("lines") > rollup.FILE_LINES)
+    functions = _functions(spark, d).join(files.select(F.col("path").alias("file"), "project_id"), "file")
+    project = F.col("project_id")
+    suppliers, customers = _t(spark, d, "supplier").withColumnRenamed("s_nationkey", "project_id"), _t(spark, d, "customer").withColumnRenamed("c_nationkey", "project_id")
+    typed = lambda rows, key, names: rows.select("project_id", key, F.get(F.array(*map(F.lit, names)), (F.col(key) % len(names)).cast("int")).alias("type"))
+    markup_list = typed(suppliers, "s_suppkey", ("missing-alt", "deprecated-tag", "inline-handler", "duplicate-id", "missing-title"))
+    style_list = typed(customers, "c_custkey", ("important", "duplicate-property", "duplicate-selector", "z-index", "empty-rule", "long-selector"))
+    sql_list = typed(suppliers, "s_suppkey", ("delete-no-where", "select-star", "many-joins")).withColumns({"file": F.concat(F.lit("q"), "s_suppkey", F.lit(".sql")), "line": F.col("s_suppkey") % 50 + 1})
+    totals = lambda rows, name: rows.groupBy("project_id").agg(F.count("*").alias(name))
+    stats = scope.side_by_side(rollup.summary(files, functions, "project_id"), totals(markup_list, "markup_issue_count"), totals(style_list, "style_issue_count")).na.fill(0)
+    stats = stats.withColumns({"duplication_percentage": (project % 9) * 1.5, "cycle_count": project % 3, "parse_error_count": project % 2})
+    node = F.concat(F.lit("a"), project.cast("string"))
+    cycles = stats.where("cycle_count > 0").select("project_id", F.array(node, F.lit("b"), node).alias("path"), F.lit(1).alias("rank"))
+    blocks = scope.first_rows(suppliers.select("project_id", "s_suppkey"), 100, "s_suppkey")
+    ranked = rollup.top_functions(functions, rollup.TOP_FUNCTIONS, "file", "line", "name", "tie")
+    known = advisor.facts(stats, ranked, scope.first_rows(files, 1 << 30, "path"), scope.first_rows(markup_list, 200, "s_suppkey"), scope.first_rows(style_list, 200, "c_custkey"), scope.first_rows(sql_list, 100, "s_suppkey"), blocks, cycles)
+    return advisor.advise(known)
 
 
 # --- graphs -----------------------------------------------------------------------------------------------------------
@@ -244,7 +301,7 @@ def dep_edges(spark: SparkSession, d: str) -> DataFrame:
 def dep_external(spark: SparkSession, d: str) -> DataFrame:
     """AG-06, TK-06, SC-08."""
     imports, files = _imports(spark, d)
-    return graphs.external_packages(graphs.resolve_imports(imports, files))
+    return graphs.external_packages(graphs.resolve_imports(imports, files)).select("name", "imports")
 
 
 @query(
@@ -255,8 +312,9 @@ SELECT node AS id, regexp_replace(node, '/[^/]*$', '') AS folder, degree, out_de
 def dep_nodes(spark: SparkSession, d: str) -> DataFrame:
     """AG-07, GR-03, GR-04, TK-05: degrees and cyclic files."""
     imports, files = _imports(spark, d)
-    edges = graphs.dependency_edges(graphs.resolve_imports(imports, files)).persist()
-    return graphs.dependency_nodes(edges, graphs.on_cycles(edges).select(F.col("node").alias("file")))
+    edges = written(graphs.dependency_edges(graphs.resolve_imports(imports, files)), "edges")
+    cyclic = graphs.on_cycles(edges).select("project_id", F.col("node").alias("file"))
+    return graphs.dependency_nodes(edges, cyclic).select("id", "folder", "in_cycle", "degree", "out_degree")
 
 
 @query()
@@ -292,7 +350,7 @@ def kg_nodes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SQL_KG} SELECT relation AS name, count(*) AS total FROM e WHERE relation IS NOT NULL GROUP BY relation ORDER BY total DESC, name LIMIT 12")
 def kg_relations(spark: SparkSession, d: str) -> DataFrame:
     """AG-10."""
-    return graphs.relation_counts(_kg(spark, d)[1])
+    return graphs.relation_counts(_kg(spark, d)[1]).select("name", "total")
 
 
 @query(f"WITH {_SQL_KG} SELECT (SELECT count(*) FROM nation) AS node_count, (SELECT count(DISTINCT n_regionkey) FROM nation) AS community_count, count(*) AS edge_count, count_if(confidence = 'EXTRACTED') AS extracted, 0::BIGINT AS inferred, 0::BIGINT AS ambiguous, count_if(confidence IS NULL) AS untagged FROM e")
@@ -356,13 +414,13 @@ def x_sql_tables(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT 'm' || p_partkey AS file, 't_' || p_partkey AS "from", 'u_id' AS from_column, 'u' AS "to", 'id' AS to_column FROM part UNION ALL SELECT 'm' || p_partkey, 't_' || p_partkey, 'name', 'v', 'label' FROM part""")
 def x_sql_relations(spark: SparkSession, d: str) -> DataFrame:
     """EX-23."""
-    return sqlfacts.relations(_part(spark, d, _SQL_FILE))
+    return sqlfacts.relations(_part(spark, d, _SQL_FILE)).drop("at")
 
 
 @query("""SELECT 'm' || p_partkey AS file, 3 AS line, 'select-star' AS type, NULL AS "table", NULL AS joins FROM part UNION ALL SELECT 'm' || p_partkey, 4, CASE WHEN p_size % 2 = 0 THEN 'delete-no-where' ELSE 'update-no-where' END, CASE WHEN p_size % 2 = 0 THEN 't_' || p_size ELSE 'a' END, NULL FROM part UNION ALL SELECT 'm' || p_partkey, 5, 'many-joins', NULL, 4 FROM part""")
 def x_sql_issues(spark: SparkSession, d: str) -> DataFrame:
     """EX-24, TK-10."""
-    return sqlfacts.issues(_part(spark, d, _SQL_FILE))
+    return sqlfacts.issues(_part(spark, d, _SQL_FILE)).drop("place")
 
 
 _SQL_CODE = "'q(\"SELECT oo.x FROM Orders' || (p_partkey % 5) || ' oo JOIN items AS it ON oo.id = it.order_id WHERE 1\")'"
@@ -371,7 +429,7 @@ _SQL_CODE = "'q(\"SELECT oo.x FROM Orders' || (p_partkey % 5) || ' oo JOIN items
 @query("SELECT lower(name) AS key, name, count(*) AS files FROM (SELECT 'Orders' || (p_partkey % 5) AS name FROM part UNION ALL SELECT 'items' FROM part) GROUP BY name")
 def x_embedded_tables(spark: SparkSession, d: str) -> DataFrame:
     """EX-26, SC-11, AG-17."""
-    return sqlfacts.embedded_tables(_part(spark, d, _SQL_CODE))
+    return sqlfacts.embedded_tables(_part(spark, d, _SQL_CODE)).drop("at")
 
 
 @query("""SELECT DISTINCT 'Orders' || (p_partkey % 5) AS "from", 'id' AS from_column, 'items' AS "to", 'order_id' AS to_column FROM part""")
@@ -393,15 +451,53 @@ def sql_table_merge(spark: SparkSession, d: str) -> DataFrame:
     return sqlfacts.merged_tables(p.select(F.col("p_brand").alias("name")).distinct(), p.select(F.col("p_type").alias("name")).unionByName(p.select(F.upper("p_brand").alias("name"))))
 
 
-@query(
-    r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)(<(script|style)\b[^>]*>).*?</(script|style)\s*>', ' ', 'g') AS h FROM pages),
-t AS (SELECT page_id, unnest(regexp_extract_all(h, '<[A-Za-z][^>]*>')) AS t FROM p)
-SELECT page_id AS file, count(*) AS tag_count, count_if(regexp_matches(t, '(?i)^<img\b') AND NOT regexp_matches(t, '(?i)\balt\s*=')) AS missing_alt, 0::BIGINT AS inline_handlers, 0::BIGINT AS inline_styles, 0::BIGINT AS deprecated_tags,
- NOT bool_or(regexp_matches(t, '(?i)^<html\b.*\blang\s*=')) AS missing_lang, true AS missing_viewport, NOT bool_or(regexp_matches(t, '(?i)^<title\b')) AS missing_title FROM t GROUP BY page_id"""
-)
+def _tags(pages: str) -> str:
+    """SQL: tags (file, i, t, name, closing, line) of ``pages`` (file, h); comments, scripts and styles keep their newlines only."""
+    return rf"""pg AS ({pages}),
+raw AS (SELECT file, unnest(regexp_extract_all(h, '(?is)<!--.*?-->|<(?:script|style)(?:\s(?:[^<>]*[^<>/])?)?>.*?</(?:script|style)\s*>|</?[a-z][a-z0-9-]*(?:\s[^<>]*)?/?>|[^<]+|<')) AS t, generate_subscripts(regexp_extract_all(h, '(?is)<!--.*?-->|<(?:script|style)(?:\s(?:[^<>]*[^<>/])?)?>.*?</(?:script|style)\s*>|</?[a-z][a-z0-9-]*(?:\s[^<>]*)?/?>|[^<]+|<'), 1) AS i FROM pg),
+lined AS (SELECT *, 1 + coalesce(sum(length(t) - length(replace(t, chr(10), ''))) OVER (PARTITION BY file ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS line FROM raw),
+tags AS (SELECT *, lower(regexp_extract(t, '^</?([A-Za-z0-9-]+)', 1)) AS name, starts_with(t, '</') AS closing FROM lined WHERE regexp_full_match(t, '(?i)</?[a-z][a-z0-9-]*(?:\s[^<>]*)?/?>')),
+stk AS (SELECT file, list_reduce(list({{'s': [CASE WHEN closing THEN '/' || name ELSE name END], 'm': 0}} ORDER BY i), lambda a, x:
+   CASE WHEN NOT starts_with(x.s[1], '/') THEN {{'s': list_append(a.s, x.s[1]), 'm': greatest(a.m, len(a.s) + 1)}}
+        WHEN list_contains(a.s, substr(x.s[1], 2)) THEN {{'s': a.s[1:len(a.s) - list_position(list_reverse(a.s), substr(x.s[1], 2))], 'm': a.m}} ELSE a END, {{'s': []::VARCHAR[], 'm': 0}}).m AS max_depth
+   FROM tags WHERE closing OR (name NOT IN ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'param', 'source', 'track', 'wbr') AND NOT ends_with(t, '/>')) GROUP BY file)"""
+
+
+_SQL_CHECKS = r"""SELECT file, count(*) AS tag_count, count_if(NOT closing AND name = 'img' AND NOT regexp_matches(t, '(?i)\balt\s*=')) AS missing_alt, count_if(NOT closing AND regexp_matches(t, '(?i)\son\w+\s*=')) AS inline_handlers,
+ count_if(NOT closing AND regexp_matches(t, '(?i)\bstyle\s*=')) AS inline_styles, least(30, count_if(NOT closing AND name IN ('font', 'center', 'marquee', 'blink', 'big', 'strike', 'tt', 'frame', 'frameset', 'acronym', 'applet', 'basefont', 'dir', 'isindex'))) AS deprecated_tags,
+ coalesce(array_to_string((list(line ORDER BY i) FILTER (NOT closing AND name = 'img' AND NOT regexp_matches(t, '(?i)\balt\s*=')))[1:20], ','), '') AS missing_alt_lines, coalesce(array_to_string((list(line ORDER BY i) FILTER (NOT closing AND regexp_matches(t, '(?i)\son\w+\s*=')))[1:20], ','), '') AS inline_handler_lines,
+ bool_or(NOT closing AND name = 'html') AND NOT bool_or(NOT closing AND name = 'html' AND regexp_matches(t, '(?i)\blang\s*=')) AS missing_lang, bool_or(NOT closing AND name = 'html') AND NOT bool_or(name = 'meta' AND regexp_matches(t, '(?i)name\s*=\s*["'']viewport["'']')) AS missing_viewport,
+ bool_or(NOT closing AND name = 'html') AND NOT bool_or(NOT closing AND name = 'title') AS missing_title, coalesce(max(max_depth), 0) AS max_depth FROM tags LEFT JOIN stk USING (file) GROUP BY file"""
+
+
+def _checked(pages: DataFrame) -> DataFrame:
+    return markup.page_checks(pages).withColumns({c: F.array_join(c, ",") for c in ("missing_alt_lines", "inline_handler_lines")})
+
+
+@query(f"WITH {_tags('SELECT page_id AS file, html AS h FROM pages')} {_SQL_CHECKS}")
 def html_checks(spark: SparkSession, d: str) -> DataFrame:
     """EX-30, EX-31, EX-33 to EX-35."""
-    return markup.page_checks(_t(spark, d, "pages").select(F.col("page_id").alias("file"), F.col("html").alias("content")))
+    return _checked(_t(spark, d, "pages").select(F.col("page_id").alias("file"), F.col("html").alias("content")))
+
+
+_ODD_PAGE = """CASE WHEN p_partkey % 3 > 0 THEN '<html' || CASE WHEN p_partkey % 2 = 0 THEN ' LANG="x">' ELSE '>' END ELSE '<div>' END || chr(10) || CASE p_partkey % 4 WHEN 0 THEN '<meta name=viewport>' WHEN 1 THEN '<META NAME = ''viewport''>' ELSE '<title a="1"/>' END
+ || repeat('<div><p>' || chr(10), p_size % 9) || '</div><b><i></b></i></u>' || repeat('<img src="a"><IMG alt=""><a onclick="x" onblur="y">' || chr(10), p_size % 30) || '<!-- <div><div> -->' || '<script>' || chr(10) || '"<p><p>"</script>' || '<font style=1><isindex></font><center/>' || repeat('<ul><li>', p_partkey % 11) || '</section>' || p_name || '<br><div/>'"""
+
+
+@query(f"WITH {_tags(f"SELECT 'm' || p_partkey AS file, {_ODD_PAGE} AS h FROM part")} {_SQL_CHECKS}")
+def html_odd(spark: SparkSession, d: str) -> DataFrame:
+    """EX-30, EX-31, EX-33 to EX-35: several handlers on a tag, viewports without quotes, unclosed, crossing and stray tags."""
+    return _checked(_part(spark, d, _ODD_PAGE))
+
+
+@query("""SELECT 'm' || p_partkey AS file, greatest(1 + 2 * (p_size % 7), 3) + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 2 * (p_size % 7) END AS max_depth,
+ CASE WHEN greatest(1 + 2 * (p_size % 7), 3) + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 2 * (p_size % 7) END > 15 THEN 'DOM nesting depth ' || (1 + 4 * (p_size % 7)) || ' (limit 15)' END AS warning FROM part""")
+def html_depth(spark: SparkSession, d: str) -> DataFrame:
+    """EX-30, SC-06: what is open at most; a closing tag takes unclosed ones inside it away, a stray one nothing."""
+    k = "p_size % 7"
+    body = f"'<main>' || repeat('<div><p>', {k}) || CASE WHEN p_partkey % 2 = 0 THEN '</main><main>' ELSE '' END || repeat('<b><i></u>', CASE WHEN p_partkey % 2 = 0 THEN least({k}, 1) ELSE {k} END) || '</main></main>' || repeat('<s><b></s>', 9) || '<s><b><i>'"
+    x = rollup.file_warnings(markup.depth(_part(spark, d, body)))
+    return x.select("file", "max_depth", F.get("warnings", F.lit(0)).alias("warning"))
 
 
 @query(r"""SELECT page_id AS file, 'css' AS language, 'p{margin:0}' AS content FROM pages UNION ALL SELECT page_id, 'javascript', regexp_extract(html, '(?s)<script>(.*?)</script>', 1) FROM pages""")
@@ -410,10 +506,11 @@ def html_inline_code(spark: SparkSession, d: str) -> DataFrame:
     return markup.inline_code(_t(spark, d, "pages").select(F.col("page_id").alias("file"), F.col("html").alias("content"))).select("file", "language", "content")
 
 
-@query("SELECT 'm' || p_partkey AS file, k AS nth, 'a' AS id FROM part, range(2, 8) r(k) WHERE k <= p_size % 7 + 1")
+@query("""SELECT 'm' || p_partkey AS file, k AS nth, 'a' AS id, '2,' || (k + 1) AS lines FROM part, range(2, 25) r(k) WHERE k <= least(p_size % 27 + 1, 21)""")
 def html_duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
-    """EX-32, W-05."""
-    return markup.duplicate_ids(_part(spark, d, "'<p id=\"b\">' || repeat('<i id=\"a\"></i>', p_size % 7 + 1)"))
+    """EX-32, EX-45, W-05: lines of the first and of the present one; at most 20 a page."""
+    body = "'<p id=\"b\">' || repeat(chr(10) || '<i ID = ''a''></i>', p_size % 27 + 1)"
+    return markup.duplicate_ids(_part(spark, d, body)).withColumn("lines", F.array_join("lines", ","))
 
 
 _CSS = "repeat('.a { color: red; }', p_size % 5 + 1) || '/* .a {} */ #x #y > * { z-index: 5000; Margin: 0; margin: 1px !important }' || 'a b c d e { }'"
@@ -428,6 +525,25 @@ def css_issues(spark: SparkSession, d: str) -> DataFrame:
     return markup.issue_counts(markup.style_issues(_part(spark, d, _CSS)), "file")
 
 
+@query("""WITH p AS (SELECT 'm' || p_partkey AS file, p_size % 4 AS k FROM part), v AS (
+ SELECT file, 0 AS n, 'duplicate-selector' AS type, '.a' AS what, 1 + j AS line, 1 AS first_line, NULL::INT AS number FROM p, range(0, 4) r(j) WHERE j < k
+ UNION ALL SELECT file, 1, 'high-specificity', '#x #y > *', 1 + k, NULL, 200 FROM p UNION ALL SELECT file, 2, 'universal-selector', '#x #y > *', 1 + k, NULL, NULL FROM p
+ UNION ALL SELECT file, 3, 'z-index', '-5000 !important', 3 + k, NULL, -5000 FROM p UNION ALL SELECT file, 4, 'important', 'z-index: -5000 !important', 3 + k, NULL, NULL FROM p
+ UNION ALL SELECT file, 5, 'duplicate-property', 'margin', 3 + k, NULL, NULL FROM p UNION ALL SELECT file, 6, 'long-selector', 'a b c d e', 4 + k, NULL, 5 FROM p UNION ALL SELECT file, 7, 'empty-rule', 'a b' || chr(10) || 'c d e', 4 + k, NULL, NULL FROM p
+ UNION ALL SELECT file, 8, 'important', 'color : red ! IMPORTANT', 7 + k, NULL, NULL FROM p)
+SELECT file, type, what, line, first_line, number FROM v""")
+def css_issue_lines(spark: SparkSession, d: str) -> DataFrame:
+    """EX-37 to EX-42, EX-45: each issue with its line, that of the character behind the piece before it."""
+    body = f"'.a{{x:1}}' || {_NL} || repeat('.a {{ color: red }}' || {_NL}, p_size % 4) || '/* .a {{' || {_NL} || '}} */ #x #y > * {{ z-index: -5000 !important;margin: 0;' || {_NL} || 'MARGIN : 1px }}' || {_NL} || 'a b' || {_NL} || 'c d e {{ }} }} @media print {{' || {_NL} || 'b::after {{ color : red ! IMPORTANT }} }}'"
+    return markup.style_issues(_part(spark, d, body)).drop("ord")
+
+
+@query("SELECT 'm' || p_partkey AS file, 2 + p_size % 4 AS rule_count, 3 AS max_nesting, 1 AS vendor_prefixes FROM part")
+def css_facts(spark: SparkSession, d: str) -> DataFrame:
+    """EX-37, EX-41: rules, how deep blocks nest, and prefixes of browsers; at-rules are blocks but no rules."""
+    return markup.style_facts(_part(spark, d, "'} @supports (a) { @media b { .x { -webkit-a: 1; -o-b } } } ' || repeat('i{-x-webkit-y:1}', p_size % 4) || ' @font-face { -moz-c: 1 } p{}'"))
+
+
 _SDL = "'type T_' || p_partkey || ' implements Node { ' || repeat('', 0) || array_join(transform(sequence(1, p_size), i -> 'f' || i || ': [T_' || (p_partkey % 10) || '!]!'), ' ') || ' } # type No { a: Int }' || chr(10) || 'extend type Query { t' || p_partkey || '(id: ID): T_' || p_partkey || ' }'"
 
 
@@ -560,7 +676,7 @@ def kg_god_nodes(spark: SparkSession, d: str) -> DataFrame:
     """GR-07, TK-07."""
     nodes, edges = _kg(spark, d)
     x = graphs.with_degrees(nodes, edges).withColumn("ord", F.substring("id", 2, 9).cast("int"))
-    return graphs.god_nodes(x).drop("source")
+    return graphs.god_nodes(x).drop("source", "rank")
 
 
 @query(f"""WITH {_SQL_KG}, d AS (SELECT k, count(*) AS n FROM (SELECT f AS k FROM e UNION ALL SELECT t FROM e) GROUP BY k), top AS (SELECT n_nationkey AS k FROM nation LEFT JOIN d ON k = n_nationkey ORDER BY coalesce(n, 0) DESC, n_nationkey LIMIT 10)
@@ -654,7 +770,7 @@ _ODD_SQL = "'q(\"SELECT x FROM app.users u JOIN `items` i ON u.`id` = `i`.\"user
 @query("SELECT name AS key, name, count(*) AS files FROM (SELECT 'app' AS name FROM part UNION ALL SELECT 'items' FROM part UNION ALL SELECT 'logs' || (p_partkey % 4) FROM part) GROUP BY name")
 def x_embedded_odd(spark: SparkSession, d: str) -> DataFrame:
     """EX-26: a qualified name counts by its first part, UPDATE only with SET, INSERT IGNORE too."""
-    return sqlfacts.embedded_tables(_part(spark, d, _ODD_SQL))
+    return sqlfacts.embedded_tables(_part(spark, d, _ODD_SQL)).drop("at")
 
 
 @query("""SELECT DISTINCT 'Orders' || (p_partkey % 5) AS "from", 'id' AS from_column, 'items' AS "to", 'order_id' AS to_column FROM part""")
@@ -680,7 +796,7 @@ def x_sql_nested(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size, ['center', 'font', 'big', 'tt'] AS t FROM part)
-SELECT 'm' || p_partkey AS file, k AS nth, t[(k - 1) % 4 + 1] AS tag FROM p, range(1, 31) r(k) WHERE k <= 4 * (p_size % 10)""")
+SELECT 'm' || p_partkey AS file, k AS nth, t[(k - 1) % 4 + 1] AS tag, 1 AS line FROM p, range(1, 31) r(k) WHERE k <= 4 * (p_size % 10)""")
 def html_deprecated_tags(spark: SparkSession, d: str) -> DataFrame:
     """EX-33: the list, at most 30 a page; closing tags, other tags and comments don't count."""
     return markup.deprecated_tags(_part(spark, d, "'<p><!-- <font> -->' || repeat('<center><FONT size=1></font><b><big></b><tt>', p_size % 10)"))
@@ -730,6 +846,191 @@ def language_labels(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "part").select(F.col("p_partkey").alias("part"), cards.language_label(language).alias("label"), cards.formatted(number).alias("number"))
 
 
+# --- the report, its lists and their limits --------------------------------------------------------------------------------
+_K, _S = "p_partkey", "p_size"
+_EXT = "list_element(['.py', '.js', '.css', '.html', '.sql', '.graphql', '.py'], CAST(p_partkey % 7 AS INT) + 1)"
+
+
+def _project(spark: SparkSession, d: str) -> DataFrame:
+    """Brands as projects, parts as their files: by p_partkey % 7 Python, JavaScript, CSS, HTML, SQL, GraphQL and Python with SQL."""
+    nl = "chr(10)"
+    content = f"""CASE {_K} % 7 WHEN 0 THEN 'def f_' || {_K} || '(a, b):' || {nl} || repeat('    if a:' || {nl} || '        b = 1' || {nl}, {_S} % 13) || '    return b'
+ WHEN 1 THEN 'import x from "lib' || {_S} % 3 || '/y";' || {nl} || 'function g(a) {{ return a ? 1 : 2; }}' || {nl} || CASE WHEN {_K} % 14 = 8 THEN '}}' ELSE '' END WHEN 2 THEN repeat('.a {{ color: red; }}' || {nl}, {_S} % 4 + 1)
+ WHEN 3 THEN '<html>' || {nl} || '<img>' || {nl} || '</html>' WHEN 4 THEN 'CREATE TABLE t_' || {_K} || ' (id INT REFERENCES u(id));' || {nl} || 'SELECT * FROM t_' || {_K} || ';'
+ WHEN 5 THEN 'type Query {{ f_' || {_K} || ': Int }}' ELSE 'q = "SELECT a FROM tbl_' || {_S} % 5 || '"' END"""
+    parts = _t(spark, d, "part")
+    ext = "element_at(array('.py', '.js', '.css', '.html', '.sql', '.graphql', '.py'), CAST(p_partkey % 7 AS INT) + 1)"
+    rows = parts.selectExpr("p_brand AS project_id", f"{_K} AS ord", f"'f' || {_K} || {ext} AS path", f"{content} AS content")
+    return rows.withColumns({"kind": project.kind("path"), "language": project.language("path")})
+
+
+_SQL_LINES = "CASE k % 7 WHEN 0 THEN 2 + 2 * (s % 13) WHEN 1 THEN 3 WHEN 2 THEN s % 4 + 2 WHEN 3 THEN 3 WHEN 4 THEN 2 ELSE 1 END"
+_SQL_PROJECT = f"""f AS (SELECT p_brand AS project_id, p_partkey AS k, p_size AS s, 'f' || p_partkey || {_EXT} AS path FROM part),
+c AS (SELECT *, list_element(['python', 'javascript', 'css', 'html', 'sql', NULL, 'python'], CAST(k % 7 AS INT) + 1) AS language, {_SQL_LINES} AS lines, {_SQL_LINES} - CASE WHEN k % 7 = 2 OR (k % 7 = 1 AND k % 14 <> 8) THEN 1 ELSE 0 END AS code_lines,
+ CASE k % 7 WHEN 0 THEN 1 + s % 13 WHEN 1 THEN 2 END AS complexity FROM f WHERE k % 7 <> 5)"""
+
+
+@query(
+    f"""WITH {_SQL_PROJECT},
+l AS (SELECT project_id, string_agg(language || ' ' || n || ' ' || lines, ', ' ORDER BY lines DESC, first) AS language_breakdown FROM (SELECT project_id, language, count(*) AS n, sum(lines) AS lines, min(k) AS first FROM c GROUP BY ALL) GROUP BY project_id),
+a AS (SELECT project_id, count(*) AS file_count, sum(lines) AS total_lines, sum(code_lines) AS code_lines, count(complexity) AS function_count, floor(coalesce(avg(complexity), 0) * 10 + 0.5) / 10 AS avg_complexity, coalesce(max(complexity), 0) AS max_complexity, coalesce(count_if(complexity > 10), 0) AS risky_functions,
+ count_if(k % 14 = 8) AS parse_error_count, coalesce(sum(s % 4) FILTER (k % 7 = 2), 0) AS style_issue_count, 4 * count_if(k % 7 = 3) AS markup_issue_count, count_if(k % 7 = 4) AS sql_issue_count,
+ count_if(k % 7 = 4) + count(DISTINCT s % 5) FILTER (k % 7 = 6) AS sql_table_count, count_if(k % 7 = 4) AS sql_relation_count FROM c GROUP BY project_id),
+g AS (SELECT DISTINCT p_brand AS project_id FROM part WHERE p_partkey % 7 = 5)
+SELECT a.project_id, file_count, total_lines, code_lines, function_count, avg_complexity, max_complexity, risky_functions, 0 AS long_functions, 0 AS long_file_count, 0 AS deep_functions, 0 AS duplication_percentage, 0 AS cycle_count, parse_error_count,
+ g.project_id IS NOT NULL AS graphql_detected, false AS knowledge_graph_detected, language_breakdown, style_issue_count, markup_issue_count, sql_table_count, sql_relation_count, sql_issue_count,
+ CASE WHEN file_count + function_count + sql_table_count + least(sql_issue_count, 1) >= 3 THEN file_count + function_count + sql_table_count + least(sql_issue_count, 1) ELSE 0 END AS project_graph_node_count
+FROM a JOIN l USING (project_id) LEFT JOIN g USING (project_id)"""
+)
+def report_summary(spark: SparkSession, d: str) -> DataFrame:
+    """AG-02, AG-05, SNK-01, EX-01: the 22 numbers of each of many projects analysed at once."""
+    x = report.analyse(_project(spark, d)).summary
+    languages = F.array_join(F.transform("language_breakdown", lambda l: F.concat_ws(" ", l["language"], l["file_count"].cast("string"), l["lines"].cast("string"))), ", ")
+    return x.withColumns({"language_breakdown": languages, "avg_complexity": text.round1(F.col("avg_complexity"))}).select("project_id", *report.SUMMARY)
+
+
+@query(f"WITH {_SQL_PROJECT} SELECT project_id, path AS file, 'Unexpected token, no partner for }} (line 3)' AS message, row_number() OVER (PARTITION BY project_id ORDER BY k) AS rank FROM c WHERE k % 14 = 8 QUALIFY rank <= 50")
+def parse_errors(spark: SparkSession, d: str) -> DataFrame:
+    """EX-01, SC-17, TK-10: a row for each file that can't be read, the first 50 of a project; the others' facts stay."""
+    named = _project(spark, d).where("language = 'javascript'").select("project_id", F.struct("project_id", F.col("ord").cast("long").alias("ord"), "path").alias("file"), "content")
+    found = scope.scoped(javascript.read(named).where("error is not null").select("file", F.col("error").alias("message")))
+    return report.flat(scope.first_rows(found, report.MAX_ERRORS, "file")).select("project_id", "file", "message", "rank")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 2 AS project_id, row_number() OVER (PARTITION BY p_partkey % 2 ORDER BY p_partkey) AS rank FROM part)
+SELECT project_id, 't_' || k AS name, 'f' || k AS file, 3 AS line, 45 AS column_count, 40 AS listed, 'c40' AS last FROM p WHERE rank <= 200""")
+def sql_table_limits(spark: SparkSession, d: str) -> DataFrame:
+    """TK-09: 200 tables of a project and 40 columns of a table, as they stand."""
+    columns = "array_join(transform(sequence(1, 45), i -> 'c' || i || ' INT'), ', ')"
+    x = _sources(spark, d, f"chr(10) || '-- x' || chr(10) || 'CREATE TABLE t_' || p_partkey || ' (' || {columns} || ')'")
+    tables = report.flat(sqlfacts.schema(x, x.limit(0))[0].where(F.col("rank") <= sqlfacts.MAX_TABLES))
+    cut = F.slice("columns", 1, sqlfacts.MAX_COLUMNS)
+    return tables.select("project_id", "name", "file", "line", F.size("columns").alias("column_count"), F.size(cut).alias("listed"), F.element_at(cut, -1)["name"].alias("last"))
+
+
+def _sources(spark: SparkSession, d: str, content: str) -> DataFrame:
+    """Two projects, by whether p_partkey is odd, with a file for each part."""
+    parts = _t(spark, d, "part").selectExpr("p_partkey % 2 AS project_id", "p_partkey AS ord", "'f' || p_partkey AS path", f"{content} AS content")
+    return parts.select(F.struct("project_id", "ord", "path").alias("file"), "content")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 2 AS project_id FROM part), t AS (SELECT project_id, 'a_' || k AS name, k, 0 AS i, 1 AS line, true AS inferred FROM p UNION ALL SELECT project_id, 'b_' || k, k, 1, 2, true FROM p UNION ALL SELECT project_id, 'd_' || k, k, -1, 3, false FROM p WHERE k % 5 = 0)
+SELECT 'table' AS what, project_id, name, 'f' || k AS file, line, inferred, row_number() OVER (PARTITION BY project_id ORDER BY inferred, k, i) AS rank FROM t QUALIFY rank <= 150
+UNION ALL SELECT 'relation', project_id, 'a_' || k || '.x' || r || ' b_' || k || '.y', 'f' || k, NULL, true, row_number() OVER (PARTITION BY project_id ORDER BY k, r) AS rank FROM p, range(0, 4) v(r) QUALIFY rank <= 300""")
+def code_schema_limits(spark: SparkSession, d: str) -> DataFrame:
+    """TK-09: of SQL inside code, 150 tables and 300 relations of a project, declared tables before those only used."""
+    joins = "array_join(transform(sequence(0, 3), r -> ' OR ON a_' || p_partkey || '.x' || r || ' = b_' || p_partkey || '.y'), '')"
+    body = f"'q(\"SELECT 1 FROM a_' || p_partkey || ' x' || chr(10) || ' JOIN b_' || p_partkey || ' ON 1=1' || {joins} || '\")' || CASE WHEN p_partkey % 5 = 0 THEN chr(10) || 'r(''CREATE TABLE d_' || p_partkey || ' (i INT)'')' ELSE '' END"
+    tables, links = sqlfacts.code_schema(_sources(spark, d, body))
+    name = F.concat("from", F.lit("."), "from_column", F.lit(" "), "to", F.lit("."), "to_column")
+    x = tables.select(F.lit("table").alias("what"), "project_id", "name", "file", "line", "inferred", "rank").unionByName(links.select(F.lit("relation").alias("what"), "project_id", name.alias("name"), "file", F.lit(None).cast("int").alias("line"), "inferred", "rank"))
+    return x.withColumn("file", F.col("file.path"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 2 AS project_id, p_size AS s FROM part), i AS (SELECT project_id, 'f' || k AS file, k, n, CASE WHEN n < 130 THEN 'important' ELSE 'duplicate-selector' END AS type FROM p, range(0, 125) r(n) WHERE n < s * 3)
+SELECT project_id, file, type, greatest(1, n) AS line, row_number() OVER (PARTITION BY project_id ORDER BY k, n) AS rank FROM i WHERE n < 120 QUALIFY rank <= 200""")
+def style_limits(spark: SparkSession, d: str) -> DataFrame:
+    """TK-10: 120 style issues of a file, of those 200 of a project, in their order."""
+    sheets = _sources(spark, d, "'a{' || array_join(transform(sequence(1, least(p_size * 3, 125)), i -> 'p' || i || ':1 !important;'), chr(10)) || '}'")
+    none = sheets.limit(0).withColumns({"ord": F.lit(0), "line": F.lit(0), "language": F.lit("css")})
+    found = scope.first_rows(report.style_rows(sheets, none).where("capped"), report.MAX_STYLE, "place")
+    return found.select("project_id", "file", "type", "line", "rank")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 2 AS project_id, p_size AS s FROM part), i AS (SELECT project_id, k, 0 AS kind, n, 'missing-alt' AS type, n + 1 AS line FROM p, range(0, 60) r(n) WHERE n < least(s, 20)
+ UNION ALL SELECT project_id, k, 2, n, 'deprecated-tag', n + 1 FROM p, range(0, 60) r(n) WHERE n < least(s, 30) UNION ALL SELECT project_id, k, 3, n, 'inline-handler', n + 1 FROM p, range(0, 60) r(n) WHERE n < least(s, 20))
+SELECT project_id, 'f' || k AS file, type, line, row_number() OVER (PARTITION BY project_id ORDER BY k, kind, n) AS rank FROM i QUALIFY rank <= 200""")
+def markup_limits(spark: SparkSession, d: str) -> DataFrame:
+    """TK-10: 20 missing alts, 30 deprecated tags and 20 handlers of a page, 200 issues of a project, in their order."""
+    pages = _sources(spark, d, "repeat('<img><font onclick=x>' || chr(10), p_size)")
+    return report.flat(scope.first_rows(scope.scoped(markup.page_issues(pages)), report.MAX_MARKUP, "file", "ord")).select("project_id", "file", "type", "line", "rank")
+
+
+@query("""SELECT p_partkey % 2 AS project_id, 'T_' || p_partkey AS name, 2 * p_size AS field_count, least(60, 2 * p_size) AS listed, 'f' || (100 - least(60, 2 * p_size)) AS last, 2 * p_size > 20 AS too_large FROM part""")
+def gql_type_limits(spark: SparkSession, d: str) -> DataFrame:
+    """TK-11: the first 60 fields of a type as declared, whatever their names."""
+    r = graphql.registry(_sources(spark, d, "'type T_' || p_partkey || ' { ' || array_join(transform(sequence(1, 2 * p_size), i -> 'f' || (100 - i) || ': Int'), ' ') || ' }'"), _sources(spark, d, "''"))
+    return graphql.ranked_types(r).select("project_id", "name", "field_count", F.size("fields").alias("listed"), F.element_at("fields", -1)["name"].alias("last"), "too_large")
+
+
+_SQL_MERGED = """p AS (SELECT p_partkey AS k, p_partkey % 2 AS project_id, p_size AS s FROM part)"""
+
+
+def _registry(spark: SparkSession, d: str) -> graphql.Registry:
+    """Types U (a union) and E (an enum) of each part in SDL, and again, with other members, in introspection results."""
+    sdl = _sources(spark, d, "'union U' || p_partkey || ' = A' || p_partkey || ' | B type A' || p_partkey || ' { e: E' || p_partkey || ' } enum E' || p_partkey || ' { X Y } type Query { u' || p_partkey || ': [U' || p_partkey || '] }'")
+    body = """'{"__schema":{"queryType":{"name":"Root"},"types":[{"kind":"UNION","name":"U' || p_partkey || '","possibleTypes":[{"name":"C' || p_partkey || '"},{"name":"A' || p_partkey || '"}]},{"kind":"ENUM","name":"E' || p_partkey || '","enumValues":[{"name":"Y"},{"name":"Z"}]},
+ {"kind":"OBJECT","name":"C' || p_partkey || '","fields":[{"name":"a","args":[{"name":"x"}],"type":{"kind":"NON_NULL","ofType":{"kind":"LIST","ofType":{"kind":"OBJECT","name":"A' || p_partkey || '"}}}}]},{"kind":"OTHER","name":"B","fields":null},{"kind":"SCALAR","name":"ID"}]}}'"""
+    shifted = lambda x: x.withColumn("file", F.struct("file.project_id", (F.col("file.ord") + 10_000_000).alias("ord"), F.concat("file.path", F.lit(".json")).alias("path")))
+    return graphql.registry(sdl, shifted(_sources(spark, d, f"CASE WHEN p_size % 3 > 0 THEN {body} ELSE '{{}}' END")))
+
+
+@query(f"""WITH {_SQL_MERGED} SELECT 'member' AS what, project_id, 'U' || k AS type, m AS name FROM p, LATERAL (SELECT unnest(CASE WHEN s % 3 > 0 THEN ['C' || k, 'A' || k] ELSE ['A' || k, 'B'] END) AS m)
+UNION ALL SELECT 'field', project_id, 'E' || k, v FROM p, LATERAL (SELECT unnest(CASE WHEN s % 3 > 0 THEN ['X', 'Y', 'Z'] ELSE ['X', 'Y'] END) AS v) UNION ALL SELECT 'field', project_id, 'C' || k, 'a' FROM p WHERE s % 3 > 0
+UNION ALL SELECT 'field', project_id, 'A' || k, 'e' FROM p UNION ALL SELECT 'field', project_id, 'Query', 'u' || k FROM p
+UNION ALL SELECT 'source', project_id, 'U' || k, 'f' || k || CASE WHEN s % 3 > 0 THEN ',f' || k || '.json' ELSE '' END FROM p UNION ALL SELECT DISTINCT 'root', project_id, 'Query', CASE WHEN bool_or(s % 3 > 0) OVER (PARTITION BY project_id) THEN 'Root' ELSE 'Query' END FROM p""")
+def gql_merged(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-16, GQ-07, GQ-08: introspection results and SDL as one schema, with possible types, enum values and sources."""
+    r = _registry(spark, d)
+    row = lambda df, what, type, name: df.select(F.lit(what).alias("what"), "project_id", type.alias("type"), name.alias("name"))
+    c = F.col
+    files = F.array_join(F.transform("source_files", lambda f: f["path"]), ",")
+    return row(r.members, "member", c("type"), c("member")).unionByName(row(r.fields, "field", c("type"), c("name"))).unionByName(row(r.types.where("name like 'U%'"), "source", c("name"), files)).unionByName(row(r.roots, "root", c("root"), c("name")))
+
+
+@query(f"""WITH {_SQL_MERGED} SELECT project_id, 'A' || k AS "from", 'E' || k AS "to" FROM p UNION ALL SELECT project_id, 'Query', 'U' || k FROM p UNION ALL SELECT project_id, 'U' || k, 'A' || k FROM p
+UNION ALL SELECT project_id, 'U' || k, 'C' || k FROM p WHERE s % 3 > 0 UNION ALL SELECT project_id, 'C' || k, 'A' || k FROM p WHERE s % 3 > 0 UNION ALL SELECT project_id, 'U' || k, 'B' FROM (SELECT *, bool_or(s % 3 > 0) OVER (PARTITION BY project_id) AS b FROM p) WHERE s % 3 = 0 AND b""")
+def gql_edges(spark: SparkSession, d: str) -> DataFrame:
+    """GQ-14, J-09: types that lead to types, each pair once."""
+    return graphql.all_relations(_registry(spark, d)).select("project_id", "from", "to").distinct()
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 2 AS project_id, p_size % 3 AS s, row_number() OVER (PARTITION BY p_partkey % 2 ORDER BY p_partkey) AS r FROM part WHERE p_partkey % 50 < 2 OR p_partkey <= 40)
+SELECT project_id, (7 + k % 5) AS normalized_lines, 2 AS occurrence_count, 'f' || k || ':1-' || (7 + k % 5) || ',f' || k || ':' || (9 + k % 5) || '-' || (15 + 2 * (k % 5)) AS places, rank FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY 7 + k % 5 DESC, k) AS rank FROM p) WHERE rank <= 100""")
+def top_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """TK-04: the blocks of each project with most repeated lines, and their places; equal code of two projects is no block."""
+    block = "array_join(transform(sequence(1, 7 + p_partkey % 5), i -> 'some rather long statement ' || i || ' of part ' || (p_partkey div 2)), chr(10))"
+    files = _sources(spark, d, f"{block} || chr(10) || 'between ' || p_partkey || chr(10) || {block}").where("file.ord % 50 < 2 OR file.ord <= 40")
+    x = duplicates.top_blocks(files.withColumn("file_ord", F.struct("file.project_id", "file.ord")))
+    places = F.array_join(F.transform("occurrences", lambda o: F.concat(o["file"]["path"], F.lit(":"), o["start_line"].cast("string"), F.lit("-"), o["end_line"].cast("string"))), ",")
+    return x.select("project_id", "normalized_lines", "occurrence_count", places.alias("places"), "rank")
+
+
+_SQL_AUTO = """f AS (SELECT p_brand AS project_id, p_partkey AS k, p_size AS s, 'd' || (p_partkey % 3) || '/m' || p_partkey AS path, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank FROM part)"""
+
+
+@query(f"""WITH {_SQL_AUTO}, n AS (SELECT project_id, 'file:' || path AS id, 'm' || k AS label, 'file' AS type, 'd' || (k % 3) AS community FROM f UNION ALL SELECT project_id, 'class:' || path || ':C' || (s % 2), 'C' || (s % 2), 'class', 'd' || (k % 3) FROM f
+ UNION ALL SELECT project_id, 'fn:' || path || '#C' || (s % 2) || '.f@1', 'f', 'function', 'd' || (k % 3) FROM f UNION ALL SELECT DISTINCT project_id, 'table:t' || (s % 4), 't' || (s % 4), 'table', 'database' FROM f UNION ALL SELECT DISTINCT project_id, 'table:t9', 't9', 'table', 'database' FROM f),
+e AS (SELECT project_id, 'file:' || path AS a, 'file:' || lead(path) OVER (PARTITION BY project_id ORDER BY k) AS b FROM f UNION ALL SELECT project_id, 'file:' || path, 'class:' || path || ':C' || (s % 2) FROM f UNION ALL SELECT project_id, 'class:' || path || ':C' || (s % 2), 'fn:' || path || '#C' || (s % 2) || '.f@1' FROM f
+ UNION ALL SELECT project_id, 'file:' || min_by(path, k), 'table:t' || (s % 4) FROM f GROUP BY project_id, s % 4 UNION ALL SELECT DISTINCT project_id, 'table:t' || (s % 4), 'table:t9' FROM f),
+d AS (SELECT project_id, id, count(*) AS degree FROM (SELECT project_id, a AS id FROM e WHERE b IS NOT NULL UNION ALL SELECT project_id, b FROM e WHERE b IS NOT NULL) GROUP BY ALL)
+SELECT project_id, id, label, type, community, coalesce(degree, 0)::DOUBLE AS degree FROM n LEFT JOIN d USING (project_id, id)""")
+def project_graph(spark: SparkSession, d: str) -> DataFrame:
+    """GR-05, GR-06, GR-08, J-14, TK-08: the graph of each brand's files, classes, functions and tables, with degrees."""
+    parts = _t(spark, d, "part").selectExpr("p_brand AS project_id", "p_partkey AS k", "p_size AS s", "'d' || (p_partkey % 3) || '/m' || p_partkey AS path")
+    files = scope.first_rows(parts, 1 << 30, "k")
+    functions = files.select("project_id", F.col("path").alias("file"), F.concat(F.lit("C"), (F.col("s") % 2).cast("string"), F.lit(".f")).alias("name"), F.lit(1).alias("line"), F.lit(1).alias("complexity"), F.lit(1).alias("lines"), "rank")
+    after = files.select("project_id", (F.col("rank") - 1).alias("rank"), F.col("path").alias("to"))
+    imports = files.select("project_id", "rank", F.col("path").alias("from")).join(after, ["project_id", "rank"]).select("project_id", "from", "to", F.struct(F.col("rank").alias("file_ord"), F.lit(0).alias("imp_ord")).alias("at"))
+    t = F.concat(F.lit("t"), (F.col("s") % 4).cast("string"))
+    tables = scope.first_rows(files.groupBy("project_id", t.alias("name")).agg(F.min_by("path", "k").alias("file"), F.min("k").alias("k")), 1 << 30, "k")
+    links = tables.select("project_id", F.col("name").alias("from"), F.lit("t9").alias("to"), "file", "rank")
+    nodes, edges = graphs.project_graph(files.select("project_id", "path", "rank"), functions, imports, tables, links)
+    return graphs.with_degrees(nodes, edges).select("project_id", "id", "label", "type", "community", "degree")
+
+
+@query(f"""WITH s AS (SELECT o_custkey AS project_id, {_SUMMARY}, sum(o_orderkey % 100) AS total_lines, count_if(o_orderkey % 4 = 0) AS risky_functions, count_if(o_orderkey % 8 = 0) AS long_file_count FROM orders GROUP BY 1)
+SELECT project_id, ord, label, value, class FROM s, LATERAL (VALUES (0, 'Files analyzed', file_count::DOUBLE, NULL), (1, 'Total lines', total_lines::DOUBLE, NULL), (2, 'Functions', function_count::DOUBLE, NULL),
+ (3, 'Avg complexity', floor(avg_complexity * 10 + 0.5)::DOUBLE / 10, CASE WHEN floor(avg_complexity * 10 + 0.5) / 10 > 10 THEN 'bad' WHEN floor(avg_complexity * 10 + 0.5) / 10 > 5 THEN 'warn' ELSE 'good' END), (4, 'High-risk functions', risky_functions::DOUBLE, CASE WHEN risky_functions > 0 THEN 'bad' ELSE 'good' END),
+ (5, 'Duplicated code', duplication_percentage::DOUBLE, CASE WHEN duplication_percentage > 10 THEN 'bad' WHEN duplication_percentage > 3 THEN 'warn' ELSE 'good' END), (6, 'Circular deps', cycle_count::DOUBLE, CASE WHEN cycle_count > 0 THEN 'bad' ELSE 'good' END),
+ (7, 'Long files (>300)', long_file_count::DOUBLE, CASE WHEN long_file_count > 0 THEN 'warn' ELSE 'good' END)) v(ord, label, value, class)""")
+def stat_cards(spark: SparkSession, d: str) -> DataFrame:
+    """UI-01."""
+    o = _t(spark, d, "orders").withColumnRenamed("o_custkey", "project_id")
+    more = [F.sum(F.col("o_orderkey") % 100).alias("total_lines"), F.count_if(F.col("o_orderkey") % 4 == 0).alias("risky_functions"), F.count_if(F.col("o_orderkey") % 8 == 0).alias("long_file_count")]
+    return cards.stat_cards(o.groupBy("project_id").agg(*(F.expr(x) for x in _SUMMARY.split(", ")), *more), "project_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

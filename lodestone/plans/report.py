@@ -1,42 +1,62 @@
-"""The whole analysis of a file table, and its report as one JSON document a project."""
+"""The whole analysis of the file tables of any number of projects, and a report of each as one JSON document.
+
+A file is a struct of project_id, ord and path (see ``operators.scope``), so that every table knows its project and sorts in
+the order in which a project's files were taken. Lists are cut to their lengths by project, in the order of appearance or
+of their ranking; nothing is sorted or cut across projects, so a project's report is the same alone and among others.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import code_line_count, line_count, round1
-from lodestone.operators import advisor, duplicates, extract, graphql, graphs, markup, rollup, sqlfacts
+from lodestone.operators import advisor, duplicates, extract, graphql, graphs, javascript, markup, rollup, sqlfacts
+from lodestone.operators.scope import first_rows, keys, scoped, side_by_side
 from lodestone.sources.tables import written
 
+# Lengths of the report's lists.
+MAX_STYLE, MAX_MARKUP, MAX_ERRORS = 200, 200, 50
+#: What the report's summary holds, in its order.
+SUMMARY = (
+    "file_count", "total_lines", "code_lines", "function_count", "avg_complexity", "max_complexity", "risky_functions", "long_functions", "long_file_count", "deep_functions", "duplication_percentage",
+    "cycle_count", "parse_error_count", "graphql_detected", "knowledge_graph_detected", "language_breakdown", "style_issue_count", "markup_issue_count", "sql_table_count", "sql_relation_count", "sql_issue_count", "project_graph_node_count",
+)
+
 
 @dataclass
 class Analysis:
+    """Tables of all projects, each with project_id. ``sections`` are the report's lists by their names, with their rank."""
+
     files: DataFrame
     functions: DataFrame
     imports: DataFrame
     edges: DataFrame
     cycles: DataFrame
+    errors: DataFrame
     summary: DataFrame
-    sql_tables: DataFrame
-    sql_relations: DataFrame
-    sql_issues: DataFrame
-    style_issues: DataFrame
-    page_checks: DataFrame
     advice: DataFrame
-    #: Further lists of the report by their names, each of bounded length.
     sections: dict[str, DataFrame] = field(default_factory=dict)
 
 
-def all_functions(code: DataFrame) -> DataFrame:
-    """Functions of (file, language, content), every language by its own extractor."""
+def read_functions(code: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Functions of (file, language, content), every language by its own extractor, and errors (file, message).
+
+    A script that can't be read is a row of the errors; what other files hold doesn't depend on it.
+    """
     found = extract.python_functions(code.where("language = 'python'"))
     found = found.unionByName(extract.ruby_functions(code.where("language = 'ruby'")))
-    for name in (*extract.LANGUAGES, *extract.SCRIPTS):
+    for name in extract.LANGUAGES:
         found = found.unionByName(extract.brace_functions(code.where(F.col("language") == name), name))
-    return found
+    errors = None
+    for name in extract.SCRIPTS:
+        read = written(javascript.read(code.where(F.col("language") == name)), "scripts")
+        found = found.unionByName(javascript.shaped(read, name))
+        some = read.where("error is not null").select("file", F.substring_index("error", "\n", 1).alias("message"))
+        errors = some if errors is None else errors.unionByName(some)
+    return found, errors
 
 
 def inline_functions(inline: DataFrame) -> DataFrame:
@@ -47,138 +67,174 @@ def inline_functions(inline: DataFrame) -> DataFrame:
     return found.withColumns({"name": F.concat(F.lit("<script> "), "name"), "line": F.col("line") + shift, "end_line": F.col("end_line") + shift, "file": F.col("file.file")})
 
 
-def graphql_sections(sdl: DataFrame, schemas: DataFrame, scripts: DataFrame, code: DataFrame) -> dict[str, DataFrame]:
-    """GraphQL types and issues from SDL files, templates that define something, and introspection results.
+def flat(df: DataFrame) -> DataFrame:
+    """With the file's path in place of the struct."""
+    return scoped(df).withColumn("file", F.col("file.path"))
+
 
-    All lists are empty unless there is a type, and a root or a field.
+def style_rows(sheets: DataFrame, inline: DataFrame) -> DataFrame:
+    """(project_id, file, source, type, what, line, first_line, number, place, capped): issues of style sheets and of styles
+    inside pages; capped tells those within the limit of their sheet, ``place`` orders them."""
+    block = lambda x, nth, line: x.select(F.struct("file", nth.cast("int").alias("nth"), line.cast("int").alias("line")).alias("file"), "content")
+    styled = block(sheets, F.lit(-1), F.lit(0)).unionByName(block(inline.where("language = 'css'"), F.col("ord"), F.col("line")))
+    found = written(markup.style_issues(styled), "styles")
+    nth = found.withColumn("place", F.struct("file", "ord"))
+    kept = markup.first_issues(found).select("file", "ord", F.lit(True).alias("capped"))
+    x = nth.join(kept, ["file", "ord"], "left").withColumns({"source": F.col("file.file"), "inline": F.col("file.nth") >= 0, "line": F.col("line") + F.col("file.line")})
+    label = F.concat(F.col("source.path"), F.when(F.col("inline"), " (inline <style>)").otherwise(""))
+    return x.select(F.col("source.project_id").alias("project_id"), label.alias("file"), F.col("source"), "inline", "type", "what", "line", "first_line", "number", "place", F.coalesce("capped", F.lit(False)).alias("capped"))
+
+
+def graphql_sections(files: DataFrame, scripts: DataFrame, code: DataFrame) -> dict[str, DataFrame]:
+    """Types, relations and issues of SDL files, templates that define something, and introspection results.
+
+    All are empty for a project without a type, or without a root and any field.
     """
+    source = lambda kind, nth: F.struct(F.col("file.project_id").alias("project_id"), F.lit(kind).alias("kind"), F.col("file.ord").alias("ord"), nth.cast("int").alias("nth"), F.col("file.path").alias("path")).alias("file")
     defines = F.col("content").rlike(r"\b(type|interface|input|enum|union|scalar|schema)\s+[A-Za-z_{]")
-    sources = sdl.unionByName(extract.graphql_templates(scripts).where(defines).select("file", "content")).persist()
-    types, fields = graphql.types(sources).select("name", "kind"), graphql.fields(sources).select("type", "name", "base_type", "is_list")
-    more_types, more_fields = graphql.introspected(schemas)
-    known = types.unionByName(more_types.join(types, "name", "left_anti").groupBy("name").agg(F.min("kind").alias("kind")))
-    fields = fields.unionByName(more_fields.join(fields, ["type", "name"], "left_anti").dropDuplicates(["type", "name"]))
-    given = graphql.roots(sources)
-    roots = given.unionByName(known.where(F.col("name").isin(*graphql.ROOTS)).select(F.col("name").alias("root"), "name").join(given, "root", "left_anti"))
-    present = F.broadcast(known.agg((F.count("*") > 0).alias("a")).crossJoin(roots.select("name").unionByName(fields.select("name")).agg((F.count("*") > 0).alias("b"))).where("a and b").select())  # one row at most
-    known, fields, roots = (written(x.crossJoin(present), "graphql") for x in (known, fields, roots))
-    counts = fields.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("field_count"), F.slice(F.array_sort(F.collect_list(F.struct("name", "base_type", "is_list"))), 1, 60).alias("fields"))
-    ranked = known.join(counts, "name", "left").join(roots, "name", "left").select("name", "kind", "root", F.coalesce("field_count", F.lit(0)).alias("field_count"), "fields")
-    links = graphql.relations(fields, known)
+    sdl = files.where("kind = 'graphql'").select(source(0, F.lit(0)), "content")
+    sdl = written(sdl.unionByName(extract.graphql_templates(scripts).where(defines).select(source(1, F.col("tpl_ord")), "content")), "sdl")
+    r = graphql.registry(sdl, files.where("kind = 'schema_json'").select(source(2, F.lit(0)), "content"))
+    r = graphql.Registry(*(written(x, "graphql") for x in (r.types, r.fields, r.members, r.interfaces, r.roots, r.sources)))
+    present = written(graphql.present(r), "graphql")
+    r = graphql.Registry(*(x.join(present, "project_id", "left_semi") for x in (r.types, r.fields, r.members, r.interfaces, r.roots, r.sources)))
+    links = written(graphql.all_relations(r), "graphql")
+    kinds = F.element_at(F.array(F.lit("SDL file"), F.lit("gql template"), F.lit("introspection JSON")), F.col("file.kind") + 1)
+    ranked = graphql.ranked_types(r).withColumn("source_files", F.array_distinct(F.transform("source_files", lambda f: f["path"])))
     return {
-        "graphql_types": ranked.orderBy(F.col("root").isNull(), F.desc("field_count"), "name"),
-        "graphql_statistics": graphql.statistics(known, roots),
+        "graphql_sources": first_rows(r.sources.select("project_id", "file", kinds.alias("kind")), 1 << 30, "file").withColumn("file", F.col("file.path")),
+        "graphql_types": ranked,
+        "graphql_statistics": graphql.statistics(r.types, r.roots),
+        "graphql_operations": graphql.operations(r),
         "graphql_relations": links,
-        "graphql_edges": links.select("from", "to").distinct(),
-        "graphql_n_plus_one": graphql.n_plus_one(fields, known, roots),
-        "graphql_oversized": graphql.oversized(fields, known, roots),
-        "graphql_missing_resolvers": graphql.missing_resolvers(fields, roots, graphql.resolver_keys(code)),
-        "graphql_data_loader": code.where(extract.uses_data_loader("content")).select("file").limit(1),
+        "graphql_edges": links.select("project_id", "from", "to").distinct(),
+        "graphql_n_plus_one": graphql.n_plus_one(r.fields, r.types, r.roots),
+        "graphql_oversized": graphql.oversized(r.fields, r.types, r.roots),
+        "graphql_missing_resolvers": graphql.missing_resolvers(r.fields, r.roots, graphql.resolver_keys(code)),
+        "graphql_data_loader": scoped(code.where(extract.uses_data_loader("content"))).select("project_id").distinct(),
     }
 
 
-def graph_sections(nodes: DataFrame, edges: DataFrame, prefix: str) -> dict[str, DataFrame]:
-    """The largest of some graphs (see graphs.graph_of_json): its numbers, nodes and edges, most connected nodes and relations."""
+def graph_sections(nodes: DataFrame, edges: DataFrame, prefix: str, least: int = 1) -> dict[str, DataFrame]:
+    """The largest of each project's graphs (see graphs.normalized), if it has ``least`` nodes: its numbers, nodes and edges,
+    most connected nodes and relations."""
     nodes = written(nodes, "graph")
-    largest = F.broadcast(graphs.largest_graph(nodes))  # one row
-    edges = written(edges.join(largest, "path", "left_semi"), "graph")
-    nodes = written(graphs.with_degrees(nodes.join(largest, "path", "left_semi"), edges), "graph")
+    enough = nodes.groupBy("project_id", "path").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("project_id", "path")
+    largest = written(graphs.largest_graph(nodes.join(enough, ["project_id", "path"], "left_semi")), "graph")
+    edges = written(edges.join(largest, ["project_id", "path"], "left_semi"), "graph")
+    nodes = written(graphs.with_degrees(nodes.join(largest, ["project_id", "path"], "left_semi"), edges), "graph")
     top, between = graphs.capped(nodes, edges)
-    return {f"{prefix}_stats": graphs.graph_stats(nodes, edges).where("node_count > 0"), f"{prefix}_nodes": top, f"{prefix}_edges": between, f"{prefix}_god_nodes": graphs.god_nodes(nodes), f"{prefix}_relations": graphs.relation_counts(edges)}
+    return {f"{prefix}_stats": graphs.graph_stats(nodes, edges), f"{prefix}_nodes": top.withColumn("rank", F.col("ord")), f"{prefix}_edges": between.withColumn("rank", F.col("ord")), f"{prefix}_god_nodes": graphs.god_nodes(nodes), f"{prefix}_relations": graphs.relation_counts(edges)}
 
 
-def sql_sections(tables: DataFrame, relations: DataFrame, issues: DataFrame, code: DataFrame) -> dict[str, DataFrame]:
-    """Tables and relations of SQL files and of SQL inside other code, each once; what SQL files name comes first."""
-    code = code.where("language != 'sql'").select("file", "content")
-    inside = written(sqlfacts.embedded_declared(code), "declared")
-    declared = tables.select("name", "file", "columns").unionByName(inside.join(tables.select(F.lower("name").alias("k")).distinct(), F.lower("name") == F.col("k"), "left_anti").select("name", "file", "columns"))
-    inferred = sqlfacts.merged_tables(declared.select("name"), sqlfacts.embedded_tables(code)).where("inferred").select("name", F.lit(None).cast("string").alias("file"), F.lit(None).cast(declared.schema["columns"].dataType).alias("columns"), "inferred")
-    every = declared.withColumn("inferred", F.lit(False)).unionByName(inferred)
-    keys = ["from", "from_column", "to", "to_column"]
-    links = sqlfacts.distinct_relations(relations.select(*keys).unionByName(sqlfacts.relations(code.select("file", F.replace("content", F.lit("'"), F.lit('"')).alias("content")).where(F.col("content").rlike(sqlfacts.HINT))).select(*keys)).unionByName(sqlfacts.embedded_relations(code).select(*keys)))
-    return {"sql_tables": every.orderBy("inferred", "file", "name").limit(200), "sql_relations": links.orderBy(*keys).limit(500), "sql_issues": issues.orderBy("file", "line").limit(100), "sql_queries": sqlfacts.query_counts(code)}
+def _melted(checks: DataFrame) -> DataFrame:
+    names = ("max_depth", "missing_alt", "deprecated_tags", "inline_handlers", "inline_styles", "missing_lang", "missing_viewport", "missing_title")
+    return checks.select("file", F.explode(F.array(*(F.struct(F.lit(n).alias("fact"), F.col(n).cast("long").alias("n")) for n in names))).alias("f")).select("file", "f.*")
 
 
 def analyse(files: DataFrame) -> Analysis:
-    """Analyse one project's file table (see sources.project); facts are written to tables, as many sections read them."""
-    files = files.persist()
-    code = files.where("kind = 'code'").select(F.col("path").alias("file"), F.col("ord").alias("file_ord"), "language", "content")
-    pages, sheets = code.where("language = 'html'"), code.where("language = 'css'")
+    """Analyse file tables (see sources.project); facts are written to tables, as many sections read them."""
+    named = F.struct("project_id", F.col("ord").cast("long").alias("ord"), "path").alias("file")
+    files = written(files.select(named, "project_id", "kind", "language", "content"), "files")
+    code = files.where("kind = 'code'")
+    scripts, pages, sheets, sql = (code.where(F.col("language").isin(*x)) for x in (extract.SCRIPTS, ("html",), ("css",), ("sql",)))
     inline = written(markup.inline_code(pages), "inline")
-    functions = written(all_functions(code).unionByName(inline_functions(inline)), "functions")
-    described = files.where("kind = 'code'").select("project_id", "path", "language", line_count("content").alias("lines"), code_line_count("content", "language").alias("code_lines"))
-    scripts = code.where(F.col("language").isin("javascript", "typescript"))
-    imports = extract.imports(scripts).join(files.select("project_id", F.col("path").alias("file"), F.col("ord").alias("file_ord")), "file")
-    resolved = written(graphs.resolve_imports(imports, files.select("project_id", "path")), "imports")
+    found, faults = read_functions(code)
+    functions = written(scoped(found.unionByName(inline_functions(inline))), "functions")
+    errors = written(scoped(faults), "errors")
+    described = code.select(F.col("file").alias("path"), "language", line_count("content").alias("lines"), code_line_count("content", "language").alias("code_lines"))
+
+    imports = extract.imports(scripts).select("file.project_id", F.col("file.path").alias("file"), F.col("file.ord").alias("file_ord"), "imp_ord", "source")
+    resolved = written(graphs.resolve_imports(imports, scripts.select("project_id", F.col("file.path").alias("path"))), "imports")
     edges = written(graphs.dependency_edges(resolved), "edges")
-    cycles = written(graphs.cycles(edges), "cycles")
-    table = written(rollup.mark_cyclic(rollup.file_rollup(described, functions), graphs.cyclic_files(cycles)), "files")
-    sql = code.where("language = 'sql'").select("file", "content")
-    issues = written(sqlfacts.issues(sql), "issues")
-    place = lambda x, nth: x.select(F.struct("file", nth.alias("nth")).alias("file"), "content")
-    styled = place(sheets, F.lit(-1)).unionByName(place(inline.where("language = 'css'"), F.col("ord")))
-    checks, styles = markup.page_checks(pages).persist(), written(markup.style_issues(styled).withColumn("file", F.col("file.file")), "styles")
-    share = duplicates.percentage(code.select("file", "file_ord", "content"))
-    totals = rollup.summary(table, functions)
-    bad = checks.select(F.expr("missing_alt + deprecated_tags + inline_handlers + cast(missing_lang as int) + cast(missing_viewport as int) + cast(missing_title as int)").alias("n"))
-    facts = share.select(F.col("percentage").alias("duplication_percentage"), F.col("total_blocks").alias("duplicate_blocks"))
-    one_row = [
-        cycles.agg(F.count("*").alias("cycles")),
-        bad.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("markup_issues")),
-        styles.agg(F.count("*").alias("style_issues")),
-        issues.agg(F.count_if(F.col("type").isin("delete-no-where", "update-no-where")).alias("dangerous_sql"), F.count_if(F.col("type") == "select-star").alias("select_stars")),
-    ]
-    for more in one_row:
-        facts = facts.crossJoin(more)  # one row each
-    facts = written(facts.withColumn("parse_errors", F.lit(0)), "facts")
-    scored = rollup.score(totals.crossJoin(facts.withColumn("cycle_count", F.col("cycles"))))  # one row each
-    advice = advisor.advise(functions.select("file", "name", "complexity", "lines", "nesting"), table.select("path", "lines"), facts)
-    tables, relations = written(sqlfacts.tables(sql), "tables"), written(sqlfacts.relations(sql), "relations")
-    schemas = files.where("kind = 'schema_json'").select("path", "content").persist()
+    cycles = written(graphs.cycles(edges), "cycles").withColumn("rank", F.col("cycle_ord") + 1)
+    cyclic = graphs.cyclic_files(cycles)
+
+    checks = written(markup.page_checks(pages), "checks")
+    page_issues = written(scoped(markup.page_issues(pages, checks)), "page-issues")
+    styles = written(style_rows(sheets, inline), "styles")
+    sql_issues = written(scoped(sqlfacts.issues(sql)), "sql-issues")
+    sql_tables, sql_relations = (written(x, "schema") for x in sqlfacts.schema(sql, code.where("language != 'sql'")))
+    counted = lambda df, fact, file="file": df.groupBy(F.col(file).alias("file"), F.lit(fact).alias("fact")).agg(F.count("*").alias("n"))
+    facts = rollup.facts_by_file(
+        _melted(checks), counted(page_issues.where("type = 'duplicate-id'"), "duplicate_ids"), styles.where("not inline").groupBy(F.col("source").alias("file"), F.col("type").alias("fact")).agg(F.count("*").alias("n")),
+        counted(sql_tables.where("not from_code"), "sql_tables"), counted(sql_issues, "sql_issues"),
+    )
+    table = rollup.file_rollup(described, functions).join(facts.withColumnRenamed("file", "path"), "path", "left")
+    table = table.withColumns({"project_id": F.col("path.project_id"), "ord": F.col("path.ord")}).withColumn("path", F.col("path.path"))
+    messages = errors.select("project_id", F.col("file.path").alias("path"), F.col("message").alias("parse_error"))
+    table = rollup.file_warnings(rollup.mark_cyclic(table, cyclic)).drop("facts").join(messages, ["project_id", "path"], "left")
+    table = written(first_rows(table, 1 << 30, F.desc("risky_functions"), F.desc("max_complexity"), F.desc("lines"), "ord"), "files")
+
+    searched = duplicates.search(code.select(F.struct("file.project_id", "file.ord").alias("file_ord"), "file", "content"))
+    blocks = written(duplicates.top_of(searched), "top-blocks")
+    ranked = written(first_rows(functions, rollup.TOP_FUNCTIONS, F.desc("complexity"), F.desc("lines"), "file", "line", "name"), "top-functions")
+    ranked = flat(ranked).withColumns({"risky": F.col("complexity") > rollup.COMPLEXITY, "long": F.col("lines") > rollup.FUNCTION_LINES, "deep": F.col("nesting") > rollup.NESTING})
+    path = F.transform("occurrences", lambda o: o.withField("file", o["file"]["path"]))
+
+    style_list = first_rows(styles.where("capped"), MAX_STYLE, "place").select("project_id", "file", "type", "what", "line", "first_line", "number", "rank")
+    markup_list = flat(first_rows(page_issues, MAX_MARKUP, "file", "ord")).drop("ord")
+    issue_list = flat(first_rows(sql_issues, sqlfacts.MAX_ISSUES, "file", "place")).drop("place")
+    error_list = flat(first_rows(errors, MAX_ERRORS, "file"))
+    auto = graphs.project_graph(table.select("project_id", "path", "rank"), ranked, edges, flat(sql_tables), flat(sql_relations))
     sections = {
-        "style_issues": markup.first_issues(styles),
-        "page_checks": checks,
-        "duplicate_ids": markup.duplicate_ids(pages),
-        "duplicate_blocks": duplicates.top_blocks(code.select("file", "file_ord", "content")),
+        "files": table,
+        "functions": ranked,
+        "histogram": rollup.histogram(functions).withColumn("rank", F.col("bucket_ord")),
+        "style_issues": style_list,
+        "markup_issues": markup_list,
+        "parse_errors": error_list,
+        "cycles": cycles,
+        "duplicate_blocks": blocks.withColumn("occurrences", path).drop("file_ord", "first_idx"),
         "packages": graphs.external_packages(resolved),
-        "dependency_nodes": graphs.dependency_nodes(edges, graphs.cyclic_files(cycles)),
-        **graphql_sections(files.where("kind = 'graphql'").select(F.col("path").alias("file"), "content"), schemas.withColumnRenamed("path", "file"), scripts, code),
-        **sql_sections(tables, relations, issues, code),
-        **graph_sections(*graphs.graph_of_json(schemas), "knowledge"),
+        "dependency_nodes": graphs.dependency_nodes(edges, cyclic),
+        "sql_tables": flat(sql_tables.where(F.col("rank") <= sqlfacts.MAX_TABLES)).withColumns({"column_count": F.size("columns"), "columns": F.slice("columns", 1, sqlfacts.MAX_COLUMNS)}),
+        "sql_relations": flat(sql_relations.where(F.col("rank") <= sqlfacts.MAX_RELATIONS)),
+        "sql_issues": issue_list,
+        "sql_queries": sqlfacts.query_counts(code.where("language != 'sql'")),
+        **graphql_sections(files, scripts, code),
+        **graph_sections(*graphs.graph_of_json(files.where("kind = 'schema_json'").select("project_id", F.col("file.path").alias("path"), "content")), "knowledge"),
+        **graph_sections(*auto, "project", least=3),
     }
-    order = Window.orderBy(F.desc("risky_functions"), F.desc("max_complexity"), F.desc("lines"), "path")
-    ranked = table.orderBy(F.desc("risky_functions"), F.desc("max_complexity"), F.desc("lines"), "path").limit(graphs.AUTO_FILES).withColumn("rank", F.row_number().over(order))
-    of_tables = written(sections["sql_tables"], "tables").withColumn("rank", F.row_number().over(Window.orderBy("inferred", "file", "name")))
-    ends = written(sections["sql_relations"], "relations").withColumn("file", F.lit("sql"))
-    nodes, links = (written(x, "graph") for x in graphs.project_graph(ranked.select("path", "rank"), functions, edges, of_tables.select("name", "file", "rank"), ends))
-    enough = F.broadcast(nodes.agg(F.count("*").alias("n")).where("n >= 3").select())  # one row at most
-    sections |= {"project_nodes": nodes.crossJoin(enough), "project_edges": links.crossJoin(enough)}
-    return Analysis(rollup.file_warnings(table), functions, imports, edges, cycles, scored, tables, relations, issues, styles, checks, advice, sections)
+    count = lambda df, name: df.groupBy("project_id").agg(F.count("*").alias(name))
+    seen = lambda df, name: df.select("project_id").distinct().withColumn(name, F.lit(True))
+    languages = table.groupBy("project_id", "language").agg(F.count("*").alias("file_count"), F.sum("lines").alias("lines"), F.min("ord").alias("ord"))
+    languages = languages.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("lines")).alias("by"), "ord", "language", "file_count", "lines"))).alias("l"))  # of the 16 languages
+    languages = languages.select("project_id", F.transform("l", lambda x: x.dropFields("by", "ord")).alias("language_breakdown"))
+    projects = files.select("project_id").distinct()
+    totals = side_by_side(
+        projects, rollup.summary(table, functions, "project_id"), duplicates.percentage_of(searched).select("project_id", F.col("percentage").alias("duplication_percentage")), count(cycles, "cycle_count"), count(errors, "parse_error_count"),
+        seen(sections["graphql_types"], "graphql_detected"), seen(sections["knowledge_nodes"], "knowledge_graph_detected"), languages, count(styles.where("capped"), "style_issue_count"), count(page_issues, "markup_issue_count"),
+        count(sql_tables, "sql_table_count"), count(sql_relations, "sql_relation_count"), count(sql_issues, "sql_issue_count"), sections["project_stats"].select("project_id", F.col("node_count").alias("project_graph_node_count")),
+    ).na.fill(0).na.fill(False).withColumnRenamed("total_code_lines", "code_lines")
+    summary = written(rollup.score(totals), "summary")
+    known = advisor.facts(summary.withColumn("avg_complexity", round1(F.col("avg_complexity"))), ranked, table.select("project_id", "path", "lines", "rank"), markup_list, style_list, issue_list, blocks, cycles)
+    return Analysis(table, functions, resolved, edges, cycles, errors, summary, advisor.advise(known), sections)
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row (value) with a graph of bounded size, as the project's is, for ``write.text``; none if it has no nodes."""
-    sort = lambda df, *keys: F.array_sort(F.collect_list(F.struct(*keys, *(c for c in df.columns if c not in keys))))
-    of_nodes = nodes.agg(sort(nodes, "id").alias("nodes"))
-    of_edges = edges.agg(sort(edges, "from", "to", "relation").alias("edges"))
+    """A row (value) for each project, or one, with a graph of bounded size, as a project's is, for ``write.text``; none if
+    it has no nodes."""
+    own = keys(nodes)
+    sort = lambda df, *names: df.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct(*names, *(c for c in df.columns if c not in (*names, *own, "rank", "path"))))).alias("found"))
+    of_nodes, of_edges = sort(nodes, "id").withColumnRenamed("found", "nodes"), sort(edges, "from", "to", "relation").withColumnRenamed("found", "edges")
     links = F.transform("edges", lambda e: F.struct(e["from"].alias("source"), e["to"].alias("target"), e["relation"].alias("relation"), e["confidence"].alias("confidence")))
-    both = of_nodes.crossJoin(of_edges).where(F.size("nodes") > 0)  # one row each
-    return both.select(F.to_json(F.struct("nodes", links.alias("edges")), {"pretty": "true"}).alias("value"))
+    both = side_by_side(of_nodes, of_edges).where(F.size("nodes") > 0)
+    return both.select(*own, F.to_json(F.struct("nodes", F.coalesce(links, F.array()).alias("edges")), {"pretty": "true"}).alias("value"))
+
+
+def _listed(df: DataFrame, name: str) -> DataFrame:
+    """A list for each project, in the order of its rank where it has one; lists have fixed lengths, or are of one schema."""
+    columns = [c for c in df.columns if c not in ("project_id", "rank")]
+    order: Column = F.col("rank") if "rank" in df.columns else F.lit(0)
+    rows = F.array_sort(F.collect_list(F.struct(order.alias("rank"), F.struct(*columns).alias("row") if columns else F.struct(F.lit(True).alias("found")).alias("row"))))
+    return df.groupBy("project_id").agg(F.transform(rows, lambda r: r["row"]).alias(name))
 
 
 def report(a: Analysis) -> DataFrame:
-    """One row with the report: totals, score, ranked files and functions, cycles, advice and the sections. Lists have fixed lengths."""
-    listed = lambda df, name: df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
-    parts = [
-        a.summary.select(F.struct("total", "grade", "components").alias("score"), F.struct("file_count", "function_count", "total_lines", "total_code_lines", "risky_functions", "long_functions", "deep_functions", round1(F.col("avg_complexity")).alias("avg_complexity")).alias("summary")),
-        listed(rollup.ranked_files(a.files, "path").limit(5000), "files"),
-        listed(rollup.top_functions(a.functions, rollup.TOP_FUNCTIONS, "file", "line"), "functions"),
-        listed(rollup.histogram(a.functions), "histogram"),
-        listed(a.cycles.select("path"), "cycles"),
-        listed(a.advice, "advice"),
-        *(written(listed(df, name), "section") for name, df in a.sections.items()),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # one row each
-    return out.select(F.to_json(F.struct(*out.columns)).alias("report"))
+    """One row a project (project_id, report): summary, score and all sections; a section without rows is an empty list."""
+    base = a.summary.select("project_id", F.struct("total", "grade", "components").alias("score"), F.struct(*(round1(F.col(c)).alias(c) if c == "avg_complexity" else F.col(c) for c in SUMMARY)).alias("summary"))
+    lists = {"advice": a.advice, **a.sections}
+    out = side_by_side(base, *(written(_listed(df, name), "section") for name, df in lists.items()))
+    empty = {name: F.coalesce(name, F.array().cast(out.schema[name].dataType)) for name in lists}
+    return out.withColumns(empty).select("project_id", F.to_json(F.struct("score", "summary", *lists)).alias("report"))

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import basename, extension, safe_relative_path
+from lodestone.operators.scope import first_rows
+from lodestone.sources.tables import small, written
 
 # Extensions by language, ignored folders, and limits.
 LANGUAGES = {
@@ -70,22 +72,32 @@ def in_ignored_folder(path: Column | str) -> Column:
     return F.exists(folders, lambda s: s.isin(*IGNORED_FOLDERS) | s.startswith("."))
 
 
+def walk_key(path: Column | str) -> Column:
+    """Sorts the paths of a tree as a walk with a stack meets them: a folder's files by name, then its folders, the last first."""
+    parts = F.split(F.col(path) if isinstance(path, str) else path, "/")
+    # names by their bytes, those of folders turned round and closed by what is larger than any of them
+    folder = lambda name: F.concat(F.lit("1"), F.translate(F.hex(F.encode(name, "utf-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    return F.transform(parts, lambda name, k: F.when(k == F.size(parts) - 1, F.concat(F.lit("0"), F.hex(F.encode(name, "utf-8")))).otherwise(folder(name)))
+
+
 def route(listing: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
     """Decide for every file (project_id, path, size) what becomes of it: status accepted, skipped, capped or ignored.
 
-    Skipped files are counted by the report: minified ones and those over their size limit. Files behind the limit of
-    accepted files, in path order, are capped and count as skipped too. The rest is ignored.
+    Skipped files are counted by the report: minified ones and those over their size limit. Files that a walk meets behind
+    a project's last accepted one, if it has as many as it may, are capped and count as skipped too. The rest is ignored.
+    ``ord`` is the place of an accepted file in the walk; only as many files of a project as it may have are ranked.
     """
     k, name = kind("path"), F.lower(basename("path"))
     limit = F.when(k == "schema_json", MAX_JSON_BYTES).otherwise(MAX_CODE_BYTES)
     minified = name.rlike(r"\.(min|bundle)\.(js|cjs|mjs|css)$")
     first = F.when(in_ignored_folder("path"), "ignored").when(minified, "skipped").when(k.isNull(), "ignored").when(F.col("size") > limit, "skipped").otherwise("accepted")
-    x = listing.withColumns({"kind": k, "language": language("path"), "status": first})
-    # a project is bounded by the limit in practice: one window a project
-    w = Window.partitionBy("project_id").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = F.sum((F.col("status") == "accepted").cast("int")).over(w)
-    seen = taken - (F.col("status") == "accepted").cast("int")
-    return x.withColumn("status", F.when((seen >= max_files) & ~in_ignored_folder("path"), "capped").otherwise(F.col("status"))).withColumn("ord", taken.cast("long"))
+    x = listing.withColumns({"kind": k, "language": language("path"), "status": first, "walk": walk_key("path")})
+    ranked = first_rows(x.select("project_id", "path", "status", "walk").where("status = 'accepted'"), max_files, "walk")
+    ends = written(ranked.where(F.col("rank") == max_files).select("project_id", F.col("walk").alias("end")), "walk-ends")  # a row for each project that is full
+    beyond = F.coalesce(F.col("walk") > F.col("end"), F.lit(False))
+    places = ranked.select("project_id", "path", F.col("rank").cast("long").alias("ord")).distinct()
+    out = x.join(small(ends), "project_id", "left").withColumn("status", F.when(beyond & ~in_ignored_folder("path"), "capped").otherwise(F.col("status")))
+    return out.join(places, ["project_id", "path"], "left").drop("walk", "end")
 
 
 def scan_tree(spark: SparkSession, root: str, project_id: str = "project", max_files: int = MAX_FILES) -> DataFrame:
@@ -133,29 +145,58 @@ def from_table(files: DataFrame) -> DataFrame:
     return _decoded(route(clean.withColumn("size", F.octet_length("content")).withColumn("content", F.encode("content", "utf-8"))))
 
 
-def from_zips(spark: SparkSession, path: str) -> DataFrame:
-    """The same rows from ZIP archives, one project each; an archive over the limits gives an error, a large file unread."""
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, length, content) of the ZIP archives at a path."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    return found.select(F.regexp_replace(basename("path"), r"\.zip$", "").alias("project_id"), "length", "content")
+
+
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    """(project_id, path, content, error): the files of each archive, or one row that says why it has none.
+
+    Archives over the limit of bytes aren't read at all.
+    """
+    entries, most = MAX_ZIP_ENTRIES, MAX_ZIP_BYTES
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def row(name: str, path: str | None, content: bytes | None, error: str | None) -> pd.DataFrame:
+            return pd.DataFrame({"project_id": [name], "path": [path], "content": [content], "error": [error]})
+
         for frame in frames:
             for name, data in zip(frame["project_id"], frame["content"], strict=True):
-                entries = [e for e in zipfile.ZipFile(io.BytesIO(data)).infolist() if not e.is_dir()]
-                if len(entries) > MAX_ZIP_ENTRIES or sum(e.file_size for e in entries) > MAX_ZIP_BYTES:
-                    raise ValueError(f"{name}: the archive is over the limits")
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for e in entries:
-                        yield pd.DataFrame({"project_id": [name], "path": [e.filename], "content": [z.read(e)]})
+                try:
+                    z = zipfile.ZipFile(io.BytesIO(data))
+                    found = [e for e in z.infolist() if not e.is_dir()]
+                    if len(found) > entries or sum(e.file_size for e in found) > most:
+                        yield row(name, None, None, "the archive is over the limits")
+                        continue
+                    bad = z.testzip()
+                except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError) as e:
+                    yield row(name, None, None, f"the archive can't be read: {e}")
+                    continue
+                if bad is not None:
+                    yield row(name, None, None, f"the archive can't be read: {bad}")
+                    continue
+                for e in found:
+                    yield row(name, e.filename, z.read(e), None)
+
+    small_enough = _archives(spark, path).where(F.col("length") <= MAX_ARCHIVE_BYTES).select("project_id", "content")
+    return small_enough.mapInPandas(unpack, "project_id string, path string, content binary, error string")
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    large = found.where(F.col("length") > MAX_ARCHIVE_BYTES).select("path").first()
-    if large:
-        raise ValueError(f"{large['path']}: the archive is over the limits")
-    archives = found.select(F.regexp_replace(basename("path"), r"\.zip$", "").alias("project_id"), "content")
-    rows = archives.mapInPandas(unpack, "project_id string, path string, content binary")
+
+def from_zips(spark: SparkSession, path: str) -> DataFrame:
+    """The same rows from ZIP archives, one project each; what can't be read is left to ``zip_errors``."""
+    rows = _entries(spark, path).where("error is null").drop("error")
     clean = rows.withColumn("path", safe_relative_path("path", UPLOAD_SKIPPED)).where("path is not null")
     return _decoded(route(clean.withColumn("size", F.octet_length("content"))))
 
 
+def zip_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(project_id, message) of the archives that are over the limits or can't be read; the others load all the same."""
+    large = _archives(spark, path).where(F.col("length") > MAX_ARCHIVE_BYTES).select("project_id", F.lit("the archive is over the limits").alias("message"))
+    return large.unionByName(_entries(spark, path).where("error is not null").select("project_id", F.col("error").alias("message")))
+
+
 def _decoded(routed: DataFrame) -> DataFrame:
     kept = routed.where("status = 'accepted'")
     return kept.select("project_id", "ord", "path", "language", "kind", "size", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))

@@ -3,7 +3,7 @@
 import random
 
 from lodestone.functions import text
-from lodestone.operators import duplicates, extract, graphql, graphs, markup, rollup, sqlfacts
+from lodestone.operators import advisor, duplicates, extract, graphql, graphs, javascript, markup, rollup, sqlfacts
 from pyspark.sql import functions as F
 
 
@@ -136,6 +136,28 @@ def test_imports_resolve_in_order(spark):
     assert got == {"./x": "a/x.js", "./y": "a/y/index.ts", "../a/m": "a/m.js", "./gone": None, "react": None, "@s/p/q": None, "./x.ts": "a/x.ts"}
 
 
+def test_python_parameters_end_at_the_first_parenthesis(spark):
+    rows = {"def f(a=(1,2), b=3): pass": 1, "def f(a=[1, 2], b={1: 2, 3: 4}, *c): pass": 3, "def f( ): pass": 0, "def f(a, b=g(), c=1): pass": 2, "def f(a,): pass": 2}
+    got = {r["file"]: r["params"] for r in extract.python_functions(table(spark, [(k, k) for k in rows])).collect()}
+    assert got == rows
+
+
+def test_depth_handlers_and_viewport(spark):
+    pages = {"a": "<div>" + "<div><p>a</div>" * 10 + "</div>", "b": "<a onclick=1 onblur=2><a ONFOCUS='x'>", "c": "<html><meta name=viewport><title/>", "d": "<b><i></b></i><u>", "e": "", "f": None, "g": "text only", "h": "<x><y><z></x></z></y></x>", "i": "<script>" + "<p>" * 30}
+    got = {r["file"]: r for r in markup.page_checks(table(spark, list(pages.items()))).collect()}
+    assert {k: r["max_depth"] for k, r in got.items()} == {"a": 3, "b": 2, "c": 1, "d": 2, "e": 0, "f": 0, "g": 0, "h": 3, "i": 0}
+    assert got["b"]["inline_handlers"] == 2 and got["c"]["missing_viewport"] and not got["c"]["missing_title"]
+    assert [got[k]["tag_count"] for k in "adegi"] == [32, 5, 0, 0, 0]
+
+
+def test_scripts_that_cannot_be_read_are_rows(spark):
+    deep = "if (a) " * 30_000 + "b();"
+    files = table(spark, [("ok", "function f(a) { return a && 1; }"), ("deep", deep), ("open", "function g() {\n  h(1;\n}"), ("null", None)])
+    read = {(r["file"], r["name"], (r["error"] or "")[:15]) for r in javascript.read(files).collect()}
+    assert ("ok", "f", "") in read and ("open", None, "Unexpected toke") in read and {f for f, _, e in read if e} <= {"deep", "open"}
+    assert {r["file"] for r in extract.brace_functions(files, "javascript").collect()} >= {"ok"}
+
+
 def test_cycles_of_two_projects(spark):
     rows = [("p", "a", "b", 0), ("p", "b", "c", 1), ("p", "c", "a", 2), ("p", "c", "d", 3), ("q", "a", "b", 0)]
     edges = spark.createDataFrame([(p, a, b, (k, 0)) for p, a, b, k in rows], "project_id string, from string, to string, at struct<file_ord:long,imp_ord:int>")
@@ -143,6 +165,88 @@ def test_cycles_of_two_projects(spark):
     assert {(r["project_id"], r["node"]) for r in graphs.on_cycles(edges).collect()} == {("p", "a"), ("p", "b"), ("p", "c")}
 
 
+def walked_in_one_piece(edges, most=50):
+    """Cycles of one project by a walk over the whole graph, files in file order and edges in import order."""
+    after, order = {}, {}
+    for a, b, at in sorted(edges, key=lambda e: e[2]):
+        after.setdefault(a, []).append(b)
+    gray, black, seen, found = [], set(), set(), []
+
+    def visit(node):
+        gray.append(node)
+        for other in after.get(node, []):
+            if other in gray:
+                ring = gray[gray.index(other) :]
+                if len(found) < most and frozenset(ring) not in seen:
+                    seen.add(frozenset(ring))
+                    found.append([*ring, other])
+            elif other not in black:
+                visit(other)
+        gray.pop()
+        black.add(node)
+
+    for node in after:
+        if node not in black:
+            visit(node)
+    return found
+
+
+def random_graph(r, nodes, edges):
+    """Edges with the place of their import; files come in a shuffled order."""
+    names = [f"f{k:02}" for k in range(nodes)]
+    r.shuffle(names)
+    pairs = {(r.randrange(nodes), r.randrange(nodes)) for _ in range(edges)}
+    return [(names[a], names[b], (a, k)) for k, (a, b) in enumerate(sorted(pairs, key=lambda _: r.random())) if a != b]
+
+
+def test_cycles_and_parts_of_random_graphs(spark):
+    """Sparse and dense graphs as projects of one run, against a walk over each; blocks of few edges exchange labels."""
+    r = random.Random(11)
+    projects = {f"p{k}": random_graph(r, n, m) for k, (n, m) in enumerate([(5, 8), (8, 10), (12, 16), (12, 30), (20, 24), (20, 27), (30, 36), (30, 40), (40, 46), (25, 90)])}
+    edges = spark.createDataFrame([(p, a, b, at) for p, x in projects.items() for a, b, at in x], "project_id string, from string, to string, at struct<file_ord:long,imp_ord:int>")
+    want = {p: walked_in_one_piece(x) for p, x in projects.items()}
+    assert sum(len({n for c in x for n in c}) > 0 for x in want.values()) > 5
+    got = {}
+    for row in graphs.cycles(edges, block=7).orderBy("project_id", "cycle_ord").collect():
+        got.setdefault(row.project_id, []).append(row.path)
+    assert got == {p: x for p, x in want.items() if x}
+    few = {}
+    for row in graphs.cycles(edges, most=2).orderBy("project_id", "cycle_ord").collect():
+        few.setdefault(row.project_id, []).append(row.path)
+    assert few == {p: walked_in_one_piece(x, 2) for p, x in projects.items() if want[p]}
+
+    def reach(x):
+        after = {}
+        for a, b, _ in x:
+            after.setdefault(a, set()).add(b)
+        out = {}
+        for a in after:
+            met, todo = set(), [a]
+            while todo:
+                for b in after.get(todo.pop(), ()):
+                    if b not in met:
+                        met.add(b)
+                        todo.append(b)
+            out[a] = met
+        return out
+
+    groups = {}
+    for row in graphs.parts(edges, block=7).collect():
+        groups.setdefault((row.project_id, row.part), set()).add(row.node)
+    naive = set()
+    for p, x in projects.items():
+        to = reach(x)
+        naive |= {(p, frozenset(b for b in to if b in to[a] and a in to[b])) for a in to if a in to[a]}
+    assert {(p, frozenset(g)) for (p, _), g in groups.items()} == naive
+
+
+def test_no_edges_no_cycles(spark):
+    none = spark.createDataFrame([], "project_id string, from string, to string, at struct<file_ord:long,imp_ord:int>")
+    assert graphs.cycles(none).count() == 0 and graphs.on_cycles(none).count() == 0
+    line = spark.createDataFrame([("p", "a", "b", (0, 0)), ("p", "b", "c", (1, 0)), ("p", "c", "c", (2, 0))], none.schema)
+    assert graphs.cycles(line).count() == 0 and graphs.on_cycles(line).count() == 0
+
+
 def test_graph_json_with_given_degrees_and_aliases(spark):
     files = spark.createDataFrame([("g.json", '{"nodes":[{"name":"a","degree":3},{"id":"b","kind":"x"},{"id":"a"}],"edges":[{"from":"a","to":"b","status":"Inferred?"},{"source":"a","target":"zz"}]}'), ("i.json", '{"__schema":{}, "nodes":[{"id":"q"}]}'), ("bad.json", "{")], "path string, content string")
     nodes, edges = graphs.graph_of_json(files)
@@ -151,14 +255,15 @@ def test_graph_json_with_given_degrees_and_aliases(spark):
 
 
 def test_project_graph(spark):
-    files = spark.createDataFrame([("s/a.js", 1)], "path string, rank int")
-    functions = spark.createDataFrame([("s/a.js", "K.m", 3, 5, 9), ("s/a.js", "(x.y)", 1, 2, 2), ("gone.js", "f", 1, 1, 1)], "file string, name string, line int, complexity int, lines int")
-    imports = spark.createDataFrame([], "from string, to string")
-    tables = spark.createDataFrame([("t", "s/a.js", 1)], "name string, file string, rank int")
-    relations = spark.createDataFrame([("t", "u", "s/a.js")], "from string, to string, file string")
+    files = spark.createDataFrame([("p", "s/a.js", 1), ("q", "s/a.js", 1)], "project_id string, path string, rank int")
+    functions = spark.createDataFrame([("p", "s/a.js", "K.m", 3, 5, 9, 1), ("p", "s/a.js", "(x.y)", 1, 2, 2, 2), ("p", "gone.js", "f", 1, 1, 1, 3)], "project_id string, file string, name string, line int, complexity int, lines int, rank int")
+    imports = spark.createDataFrame([], "project_id string, from string, to string, at struct<file_ord:long,imp_ord:int>")
+    tables = spark.createDataFrame([("p", "t", "s/a.js", 1)], "project_id string, name string, file string, rank int")
+    relations = spark.createDataFrame([("p", "t", "u", "s/a.js", 1)], "project_id string, from string, to string, file string, rank int")
     nodes, edges = graphs.project_graph(files, functions, imports, tables, relations)
-    assert {r["id"] for r in nodes.collect()} == {"file:s/a.js", "class:s/a.js:K", "fn:s/a.js#K.m@3", "fn:s/a.js#(x.y)@1", "table:t", "table:u"}
-    assert {(r["from"], r["relation"]) for r in edges.collect()} == {("file:s/a.js", "declares"), ("class:s/a.js:K", "defines"), ("file:s/a.js", "defines"), ("table:t", "references")}
+    assert [r["id"] for r in nodes.where("project_id = 'p'").orderBy("ord").collect()] == ["file:s/a.js", "class:s/a.js:K", "fn:s/a.js#K.m@3", "fn:s/a.js#(x.y)@1", "table:t", "table:u"]
+    assert [r["id"] for r in nodes.where("project_id = 'q'").collect()] == ["file:s/a.js"]
+    assert [(r["from"], r["relation"]) for r in edges.orderBy("ord").collect()] == [("file:s/a.js", "declares"), ("class:s/a.js:K", "defines"), ("file:s/a.js", "defines"), ("file:s/a.js", "defines"), ("table:t", "references")]
 
 
 def test_sql_quirks(spark):
@@ -166,7 +271,7 @@ def test_sql_quirks(spark):
     f = table(spark, [("s", source)])
     columns = sqlfacts.tables(f).first()["columns"]
     assert [(c["name"], c["type"]) for c in columns] == [("x", "INT"), ("y", "DOUBLE")]
-    assert {tuple(r)[1:] for r in sqlfacts.relations(f).collect()} == {("a", "x", "b", None), ("a", "z", "c", "id")}
+    assert {tuple(r)[1:] for r in sqlfacts.relations(f).drop("at").collect()} == {("a", "x", "b", None), ("a", "z", "c", "id")}
     assert sqlfacts.issues(f).count() == 0
 
 
@@ -186,7 +291,7 @@ def test_html_and_css_quirks(spark):
     r = markup.page_checks(page).first()
     assert (r["missing_alt"], r["inline_handlers"], r["deprecated_tags"], r["missing_lang"], r["missing_title"]) == (1, 1, 1, True, True)
     css = table(spark, [("c", "@media x { .a { color: red } } .a, #b.c { color: red; color: blue !important }")])
-    assert {(r["type"], r["what"]) for r in markup.style_issues(css).collect()} == {("duplicate-selector", ".a"), ("high-specificity", "#b.c"), ("important", "color"), ("duplicate-property", "color")}
+    assert {(r["type"], r["what"]) for r in markup.style_issues(css).collect()} == {("duplicate-selector", ".a"), ("high-specificity", "#b.c"), ("important", "color: blue !important"), ("duplicate-property", "color")}
 
 
 def test_score_without_functions(spark):
@@ -205,3 +310,12 @@ def test_ruby_quirks(spark):
 def test_php_outside_its_tags(spark):
     f = functions_of(spark, "php", "function no() { }\n<?php\nclass A { function f($a, $b) { if ($a) { } } }\n?>\nfunction no2() { }")
     assert set(f) == {"A.f"} and f["A.f"]["line"] == 3 and f["A.f"]["params"] == 2 and f["A.f"]["complexity"] == 2
+
+
+def test_all_is_well(spark):
+    names = ("risky_functions", "long_functions", "deep_functions", "long_file_count", "duplicate_blocks", "cycle_count", "markup_issue_count", "style_issue_count", "dangerous_sql", "select_stars", "parse_error_count", "complexity_limit", "function_limit", "file_limit")
+    row = ", ".join(f"0 AS {n}" for n in names) + ", 0D AS duplication_percentage, '' AS markup_parts, '' AS style_parts, '' AS chain"
+    worst = "cast(null AS struct<name: string, file: string, complexity: int, lines: int, nesting: int, path: string, line: int>)"
+    known = spark.sql(f"SELECT {row}, " + ", ".join(f"{worst} AS {n}" for n in ("complex", "longest", "deepest", "largest", "danger")))
+    assert [(r["rank"], r["rule"], r["severity"]) for r in advisor.advise(known).collect()] == [(1, "all-clear", "success")]
+    assert [(r["rule"], r["title"]) for r in advisor.advise(known.withColumn("cycle_count", F.lit(2))).collect()] == [("cycles", "Break circular dependencies (2 cycle(s))")]

@@ -54,12 +54,44 @@ def test_folder_limits(spark):
     }
 
 
-def test_archive_limit(spark, tmp_path, monkeypatch):
-    with zipfile.ZipFile(tmp_path / "proj.zip", "w") as z:
-        z.writestr("a.js", "x")
-    monkeypatch.setattr(project, "MAX_ARCHIVE_BYTES", 10)
-    with pytest.raises(ValueError, match="over the limits"):
-        project.from_zips(spark, str(tmp_path))
+def test_archives_that_cannot_be_read_are_rows(spark, tmp_path, monkeypatch):
+    for name, count in (("good", 1), ("many", 5)):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            for k in range(count):
+                z.writestr(f"a{k}.js", "x" * (9000 if name == "large" else 1))
+    with zipfile.ZipFile(tmp_path / "large.zip", "w") as z:
+        z.writestr("a.js", "x" * 9000)
+    (tmp_path / "broken.zip").write_bytes(b"no archive")
+    monkeypatch.setattr(project, "MAX_ARCHIVE_BYTES", 2000)
+    monkeypatch.setattr(project, "MAX_ZIP_ENTRIES", 3)
+    assert [(r["project_id"], r["path"]) for r in project.from_zips(spark, str(tmp_path)).collect()] == [("good", "a0.js")]
+    errors = {r["project_id"]: r["message"] for r in project.zip_errors(spark, str(tmp_path)).collect()}
+    assert set(errors) == {"many", "large", "broken"} and errors["many"] == errors["large"] == "the archive is over the limits"
+
+
+def walked(paths):
+    """Files of a tree as a walk with a stack meets them; a folder is listed by name."""
+    out, stack = [], [""]
+    while stack:
+        folder = stack.pop()
+        names = sorted({p[len(folder) :].split("/")[0] for p in paths if p.startswith(folder)}, key=lambda n: n.encode())
+        for name in names:
+            if folder + name in paths:
+                out.append(folder + name)
+            else:
+                stack.append(f"{folder}{name}/")
+    return out
+
+
+def test_files_stand_in_the_order_of_the_walk(spark):
+    paths = ["b.js", "a/z.js", "a/b/c.js", "a/bc/d.js", "a/b-/d.js", "é/x.js", "ab/y.js", "Z.js", "ab/node_modules/n.js", "a/b/c/d.js", "zz/1.js", "zz/10.js", "zz/2.js", "zz/ü.js", "zz/a/a.js"]
+    listing = spark.createDataFrame([("p", p, 1) for p in paths] + [("q", "x.js", 1)], "project_id string, path string, size long")
+    order = [p for p in walked(set(paths)) if "node_modules" not in p]
+    for most in (100, 5, len(order)):
+        got = project.route(listing, max_files=most).where("project_id = 'p'").collect()
+        assert [r["path"] for r in sorted((r for r in got if r["status"] == "accepted"), key=lambda r: r["ord"])] == order[:most]
+        assert {r["path"] for r in got if r["status"] == "capped"} == set(order[most:])
+        assert [r["path"] for r in got if r["status"] == "ignored"] == ["ab/node_modules/n.js"]
 
 
 def test_graph_json(spark):
@@ -94,13 +126,29 @@ def test_report_has_all_sections(spark):
     doc = json.loads(report.report(report.analyse(project.from_table(rows))).first()["report"])
     names = lambda section, key="name": {x.get(key) for x in doc[section]}
     assert [(f["name"], f["file"], f["line"], f["complexity"]) for f in doc["functions"]] == [("<script> f", "p.html", 5, 2)]
-    assert ("p.html", "empty-rule") in {(x["file"], x["type"]) for x in doc["style_issues"]} and names("duplicate_ids", "id") == {"x"}
+    assert ("p.html (inline <style>)", "empty-rule", 3) in {(x["file"], x["type"], x["line"]) for x in doc["style_issues"]}
+    assert [(x["what"], x["lines"]) for x in doc["markup_issues"] if x["type"] == "duplicate-id"] == [("x", [2, 3])]
+    assert {s["file"]: s["kind"] for s in doc["graphql_sources"]} == {"s.graphql": "SDL file", "t.js": "gql template", "schema.json": "introspection JSON"}
     assert names("graphql_types") == {"Query", "A", "T", "Z"} and names("graphql_n_plus_one", "type") == {"A", "Z"}
     assert names("sql_tables") == {"t", "orders", "items"} and names("sql_relations", "from") == {"orders"} and doc["sql_queries"][0]["queries"] == 1
     assert len(doc["duplicate_blocks"]) == 1 and names("packages") == {"lib"} and names("dependency_nodes", "id") == {"a.js", "b.js"}
     assert names("knowledge_nodes", "id") == {"n", "m"} and names("knowledge_relations") == {"r"} and "table:orders" in names("project_nodes", "id") and doc["project_edges"]
 
 
+def test_two_projects_are_two_reports(spark):
+    """Equal paths and contents in two projects, one of which has more: each report is that of the project alone."""
+    block = "\n".join(f"export const value{k} = 'a rather long line of text {k}';" for k in range(9))
+    one = {"src/a.js": f"import b from './b';\nimport r from 'react';\n{block}\nfunction f(a) {{ if (a) {{ return a; }} }}", "src/b.js": f"import a from './a';\n{block}", "p.html": "<html><img><p style=a></html>", "c.css": ".a { x: 1 } .a { }", "s.sql": "CREATE TABLE t (id INT REFERENCES u(id)); DELETE FROM t;", "q.graphql": "type Query { a: [A] } type A { q: Query }", "bad.js": "f(("}
+    two = one | {"src/c.js": block, "s2.sql": "SELECT * FROM v", "r.py": "def g(a, b):\n    return a or b\n", "graph.json": json.dumps({"nodes": ["n", {"id": "m"}], "links": [{"source": "m", "target": "m"}]})}
+    rows = [("one", p, c) for p, c in one.items()] + [("two", p, c) for p, c in two.items()]
+    files = spark.createDataFrame(rows, "project_id string, path string, content string")
+    both = {r["project_id"]: json.loads(r["report"]) for r in report.report(report.analyse(project.from_table(files))).collect()}
+    assert both["one"]["summary"]["cycle_count"] == 1 and both["one"]["parse_errors"][0]["file"] == "bad.js" and both["two"]["summary"]["knowledge_graph_detected"]
+    assert len(both["one"]["duplicate_blocks"]) == 1 and both["one"]["duplicate_blocks"][0]["occurrence_count"] == 2 and both["two"]["duplicate_blocks"][0]["occurrence_count"] == 3
+    alone = report.report(report.analyse(project.from_table(files.where("project_id = 'two'")))).collect()
+    assert [(r["project_id"], json.loads(r["report"])) for r in alone] == [("two", both["two"])]
+
+
 def test_stream(spark, tmp_path):
     rows = [("p", "a.py", "x\ny", "2024-01-01 00:00:01"), ("p", "b.py", "x", "2024-01-01 00:00:02"), ("p", "c.png", "x", "2024-01-01 00:00:03")]
     df = spark.createDataFrame(rows, "project_id string, path string, content string, arrived string").selectExpr("project_id", "path", "content", "CAST(arrived AS timestamp) AS arrived")
