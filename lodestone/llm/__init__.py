@@ -2,21 +2,3 @@
 
 Nothing outside this subpackage imports it, so it can be removed without touching the rest of the library.
 """
-
-import os
-from pathlib import Path
-
-from pyspark import SparkContext
-
-
-def _tell_workers() -> None:
-    """Let Python workers find the package where the driver has it, if it is not installed for them otherwise."""
-    root = str(Path(__file__).resolve().parents[2])
-    context = SparkContext._active_spark_context
-    for environment in (os.environ, *([context.environment] if context else [])):
-        known = environment.get("PYTHONPATH", "")
-        if root not in known.split(os.pathsep):
-            environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
-
-
-_tell_workers()
