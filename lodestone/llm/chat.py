@@ -1,10 +1,9 @@
 """Chat formatting: tool calls linked with their results, ordered, validated and written as canonical JSON.
 
 Calls and results are tables keyed by conversation and call identifier and meet in one hash join on both, so a
-conversation of any length is spread by its identifiers. A call may depend on others. Where every dependency points to
-an earlier call, the calls' own order is a topological one and nothing else is done; only conversations with a
-dependency that points forward are sorted by levels. In every round, calls whose dependencies all have levels get
-theirs, and a dependency on a call that has just one itself jumps over it, so that a chain of n calls takes log n rounds.
+conversation of any length is spread by its identifiers. A call may depend on others; its stage is the longest chain of
+dependencies below it. In every round, calls whose dependencies all have levels get theirs, and a dependency on a call
+that has just one itself jumps over it, so that a chain of n calls takes log n rounds.
 Arguments are checked against schemas with the variant type, whose objects also print with sorted keys: that is the
 canonical JSON. DataFrame functions only.
 """
@@ -125,8 +124,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     ``calls``: conv_id, call_id, turn, idx, name, arguments (JSON), depends_on (ids of the same conversation);
     ``results``: conv_id, call_id, turn, content; ``schemas``: see ``schema_table``. Columns beyond those are not read.
 
-    Returns conv_id, call_id, turn, stage (calls sorted by conv_id, stage, turn, idx are in topological order), idx,
-    name, status, problem (what the schema finds wrong, null if nothing), n_results and json. Status is linked;
+    Returns conv_id, call_id, turn, stage (the longest chain of dependencies below the call, those aside that the
+    conversation lacks; null on a cycle, behind one and for orphans; calls sorted by conv_id, stage, turn, idx are in
+    topological order), idx, name, status, problem (what the schema finds wrong, null if nothing), n_results and json. Status is linked;
     unanswered (no result); orphan (a result without a call; turn, idx and name are null); early (its result stands before
     it); unresolved (it depends on an id that the conversation lacks) or cycle, the last two before the others. Of calls
     or results that repeat an id the first by turn counts, of equal ones the one with the smaller text. A null id is an id
@@ -138,20 +138,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     answers = results.select(conv, call, F.struct(turn, "content").alias("r")).groupBy("conv_id", "call_id").agg(F.min("r").alias("r"), F.count("*").alias("n_results"))
     flat = written(first.select("conv_id", "call_id", "c.*"), "calls")
 
-    # dependencies: does each exist, and stand earlier?
-    needs = flat.select("conv_id", "call_id", "turn", "idx", F.explode(F.array_distinct("depends_on")).alias("needs"))
-    there = flat.select("conv_id", F.col("call_id").alias("needs"), F.struct("turn", "idx").alias("at"))
+    needs = flat.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("needs"))
+    there = flat.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("there"))
     edges = written(needs.join(there, ["conv_id", "needs"], "left"), "needs")
-    unresolved = edges.where("at is null").select("conv_id", "call_id").distinct().withColumn("unresolved", F.lit(True))
-    forward = written(edges.where(F.col("at") >= F.struct("turn", "idx")).select("conv_id").distinct(), "forward")
-    full = flat.join(unresolved, ["conv_id", "call_id"], "left")
-    if forward.isEmpty():
-        ordered = full.withColumn("stage", F.col("turn"))
-    else:
-        odd = flat.join(forward, "conv_id", "left_semi")
-        found = levels(odd, edges.where("at is not null").join(forward, "conv_id", "left_semi").select("conv_id", "call_id", "needs"))
-        tagged = full.join(found, ["conv_id", "call_id"], "left").join(forward.withColumn("sorted", F.lit(True)), "conv_id", "left")
-        ordered = tagged.withColumn("stage", F.when(F.col("sorted"), F.col("level").cast("long")).otherwise(F.col("turn"))).drop("level", "sorted")
+    unresolved = edges.where("there is null").select("conv_id", "call_id").distinct().withColumn("unresolved", F.lit(True))
+    found = levels(flat, edges.where("there").select("conv_id", "call_id", "needs"))
+    ordered = flat.join(unresolved, ["conv_id", "call_id"], "left").join(found.withColumn("stage", F.col("level").cast("long")).drop("level"), ["conv_id", "call_id"], "left")
 
     tools = small(written(schemas, "schemas"))
     checked = ordered.join(tools, "name", "left").withColumn("problem", problem(F.col("arguments"), F.col("params"))).drop("params")

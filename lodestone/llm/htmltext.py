@@ -1,9 +1,10 @@
 """Main text of HTML pages: gradient-boosted trees over DOM nodes, decoded so that nodes agree with their ancestors.
 
 A page becomes a tree of block elements, whose runs of text are leaves. Every node has features of its tag, its attribute
-tokens and its ancestors', depth, density of text and links in its subtree, and its siblings. Boosted trees, trained on
-generated pages whose layout is random and whose labels are therefore known, give each node the log-odds that it
-holds main text. Decoding picks the set of nodes with the largest sum of log-odds in which every node's parent is
+tokens and its ancestors', depth, density of text and links in its subtree, its siblings, how often its attributes repeat,
+and where it stands to the element that holds most running text. Boosted trees, trained on generated pages whose layout is
+random and whose labels are therefore known, give each node the log-odds that it holds main text. Most generated pages use
+names that no list has, so that structure has to tell; words of the list (``_TOKENS``) only help where a page uses them. Decoding picks the set of nodes with the largest sum of log-odds in which every node's parent is
 picked too; so nothing is kept under a dropped menu, and no ancestor of kept text is dropped.
 
 Spark partitions the pages; a task parses and scores an Arrow batch at a time.
@@ -54,7 +55,9 @@ _TOKENS = [
 _TAG_OF = {t: k for k, group in enumerate(_TAGS) for t in group}
 _TOKEN_OF = {t: k for k, group in enumerate(_TOKENS) for t in group}
 _BAD_TAGS = {5, 6, 7, 8, 9, 13}
-N_FEATURES = len(_TAGS) + 2 * len(_TOKENS) + 13
+N_FEATURES = len(_TAGS) + 2 * len(_TOKENS) + 25
+#: Places of the tags whose text runs on: text, paragraphs, headings, and lists, tables and figures.
+_RUNNING = {0, 1, 2} | {_TAG_OF[t] for t in ("ul", "table", "dl", "figure") if t in _TAG_OF}
 
 
 @dataclass
@@ -64,22 +67,25 @@ class Page:
     parent: list[int] = field(default_factory=list)
     tag: list[str] = field(default_factory=list)
     tokens: list[tuple[int, ...]] = field(default_factory=list)
+    names: list[str] = field(default_factory=list)  # class, id and role as they stand
     text: list[str | None] = field(default_factory=list)
     links: list[int] = field(default_factory=list)
 
-    def add(self, parent: int, tag: str, tokens: tuple[int, ...] = (), text: str | None = None, links: int = 0) -> int:
+    def add(self, parent: int, tag: str, tokens: tuple[int, ...] = (), text: str | None = None, links: int = 0, names: str = "") -> int:
         self.parent.append(parent)
         self.tag.append(tag)
         self.tokens.append(tokens)
+        self.names.append(names)
         self.text.append(text)
         self.links.append(links)
         return len(self.tag) - 1
 
 
 @lru_cache(4096)
-def _groups(attrs: str) -> tuple[int, ...]:
-    words = (w for m in _ATTR.findall(attrs) for w in _SPLIT.split("".join(m).lower()))
-    return tuple(sorted({_TOKEN_OF[w] for w in words if w in _TOKEN_OF}))
+def _groups(attrs: str) -> tuple[tuple[int, ...], str]:
+    """The groups of ``_TOKENS`` that an element's names have words of, and the names."""
+    names = " ".join("".join(m) for m in _ATTR.findall(attrs))
+    return tuple(sorted({_TOKEN_OF[w] for w in _SPLIT.split(names.lower()) if w in _TOKEN_OF})), names
 
 
 def _ends(source: str, tag: str) -> dict[int, int]:
@@ -169,7 +175,8 @@ def parse(source: str) -> Page:
         if tag == "body" and there["head"]:
             while there["head"]:
                 close()
-        stack.append(page.add(stack[-1], tag, _groups(m["attrs"] or "")))
+        groups, names = _groups(m["attrs"] or "")
+        stack.append(page.add(stack[-1], tag, groups, names=names))
         open_tags.append(tag)
         there[tag] += 1
     if at < len(source):
@@ -219,17 +226,67 @@ def features(page: Page) -> np.ndarray:
     k, same = np.array(kinds), np.array([alike.get((parent[i], kinds[i]), 1) for i in range(n)], np.float32)
     total = max(float(c[0]), 1.0)
     size = np.array(children, np.float32)
+    more = _around(page, kinds, chars, links, depth)
     out[:, base:] = np.stack(
         [
             np.array(depth), np.log1p(c), np.array(links) / np.maximum(c, 1), np.array(marks) / np.maximum(c, 1),
             c / np.array(nodes), c / total, c / np.maximum(c[a], 1), size, np.array(place) / np.maximum(size[a], 1),
-            same, np.array(bad), k[a], np.log1p(c / np.maximum(np.array(leaves), 1)),
+            same, np.array(bad), k[a], np.log1p(c / np.maximum(np.array(leaves), 1)), *more,
         ],
         axis=1,
     )
     return out
 
 
+def _around(page: Page, kinds: list[int], chars: list[int], links: list[int], depth: list[int]) -> list[np.ndarray]:
+    """Features of repetition, and of where nodes stand to the page's main holder of running text.
+
+    That holder has the most characters, links aside, in children whose text runs on, those of its own children counting
+    half. No word of an attribute is looked at, only whether there are any and how often they repeat.
+    """
+    n, parent = len(page.tag), page.parent
+    named = [bool(x) for x in page.names]
+    alike = Counter((parent[i], page.tag[i], page.names[i]) for i in range(1, n) if named[i])
+    everywhere = Counter((page.tag[i], page.names[i]) for i in range(1, n) if named[i])
+    own = [0.0] * n
+    for i in range(1, n):
+        if kinds[i] in _RUNNING:
+            own[parent[i]] += chars[i] - links[i]
+    score = list(own)
+    for i in range(1, n):
+        score[parent[i]] += own[i] / 2
+    holder = max(range(n), key=lambda i: (score[i], -i))
+    inside, repeated, above, between, titled, before = [False] * n, [0] * n, [0] * n, [0] * n, [False] * n, [0] * n
+    seen = 0
+    for i in range(n):
+        before[i] = seen
+        if page.text[i] is not None:
+            seen += chars[i]
+        if i == 0:
+            inside[0] = holder == 0
+            continue
+        p = parent[i]
+        repeated[i] = alike[parent[i], page.tag[i], page.names[i]] if named[i] else 0
+        above[i] = max(above[p], repeated[i])
+        inside[i] = inside[p] or i == holder
+        # named elements between the holder and this one, itself included, paragraphs and items aside
+        between[i] = between[p] + (named[i] and kinds[i] not in _RUNNING) if inside[p] else 0
+    for i in range(n - 1, 0, -1):
+        titled[i] = titled[i] or page.tag[i] == "h1"
+        titled[parent[i]] = titled[parent[i]] or titled[i]
+    over = [False] * n
+    i = holder
+    while i >= 0:
+        over[i] = True
+        i = parent[i]
+    last = before[holder] + chars[holder]
+    place = [0 if over[i] or inside[i] else -1 if before[i] < last and before[i] <= before[holder] else 1 for i in range(n)]
+    total, held = max(chars[0], 1), max(score[holder], 1.0)
+    many = [everywhere[page.tag[i], page.names[i]] if named[i] else 0 for i in range(n)]
+    columns = [named, repeated, above, many, inside, over, place, between, [depth[i] - depth[holder] if inside[i] else -9 for i in range(n)], [b / total for b in before], titled, [x / held for x in score]]
+    return [np.array(x, np.float32) for x in columns]
+
+
 @dataclass
 class Boosted:
     """Trees of a fixed depth as arrays: at level l, node j of a tree splits feature[t, 2^l - 1 + j] at cut."""
@@ -252,7 +309,7 @@ class Boosted:
         return z
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 4, rate: float = 0.3, bins: int = 24) -> Boosted:
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 5, rate: float = 0.25, bins: int = 24) -> Boosted:
     """Gradient-boosted trees for 0/1 labels, by second-order gains over quantile bins."""
     n, width = x.shape
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(width)]
@@ -302,10 +359,22 @@ _MARK = "\ue000"
 
 
 class _Maker:
-    """Pages with random layouts and known main text: the training data, made by rule from a seed."""
+    """Pages with random layouts and known main text: the training data, made by rule from a seed.
+
+    ``strange`` is the share of pages whose names are made up, letters and all, for that page.
+    """
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, strange: float = 0.7):
         self.r = np.random.default_rng(seed)
+        self.strange = strange
+        self.start()
+
+    def start(self) -> None:
+        """Choose how the next page names things, writes its paragraphs and shows its comments."""
+        self.made_up: dict[str, str] | None = {} if self.chance(self.strange) else None
+        self.paragraph = f' class="{self.name("text")}"' if self.chance(0.2) else ""
+        self.item = self.pick(["div", "li", "article", "section"])
+        self.by = int(self.r.integers(3))
 
     def chance(self, p: float) -> bool:
         return self.r.random() < p
@@ -313,6 +382,14 @@ class _Maker:
     def pick(self, items: list):
         return items[int(self.r.integers(len(items)))]
 
+    def name(self, known: str) -> str:
+        if self.made_up is None:
+            return known
+        if known not in self.made_up:
+            letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+            self.made_up[known] = "q" + "".join(self.pick(list(letters)) for _ in range(int(self.r.integers(3, 10))))
+        return self.made_up[known]
+
     def words(self, low: int, high: int) -> str:
         n = int(self.r.integers(low, high + 1))
         out = ["".join(self.pick(["an", "to", "re", "li", "so", "mu", "ek", "du", "ir"]) for _ in range(int(self.r.integers(1, 4)))) for _ in range(n)]
@@ -322,12 +399,22 @@ class _Maker:
         return f'<a href="/{self.pick(["a", "b"])}">{self.words(1, 3)}</a>'
 
     def wrapped(self, tag: str, names: list[str], body: str, p: float = 0.7) -> str:
-        attr = f' {self.pick(["class", "class", "id"])}="{self.pick(names)}"' if self.chance(p) else ""
+        attr = f' {self.pick(["class", "class", "id"])}="{self.name(self.pick(names))}"' if self.chance(p) else ""
         return f"<{tag}{attr}>{body}</{tag}>"
 
     def list_of_links(self) -> str:
         return "<ul>" + "".join(f"<li>{self.link()}</li>" for _ in range(int(self.r.integers(2, 9)))) + "</ul>"
 
+    def comments(self) -> str:
+        """What readers say: items alike, each with a name, a time or an answer link, and some paragraphs."""
+        items = ""
+        for _ in range(int(self.r.integers(1, 9))):
+            who = ["", f"<span>{self.words(1, 2)}</span> ", f"<div>{self.link()} {self.words(1, 3)}</div>"][self.by]
+            items += f'<{self.item} class="{self.name("comment")}">{who}' + "".join(f"<p>{self.words(3, 60)}</p>" for _ in range(int(self.r.integers(1, 3)))) + (self.link() if self.by else "") + f"</{self.item}>"
+        items = f"<ul>{items}</ul>" if self.item == "li" else items
+        heading = f"<h{self.pick([2, 3])}>{self.words(1, 3)}</h3>" if self.chance(0.5) else ""
+        return self.wrapped(self.pick(["div", "section"]), ["comments", "comment-list", "disqus", "reader-comments"], heading + items, 1)
+
     def junk(self) -> str:
         kind = int(self.r.integers(10))
         prose = "".join(f"<p>{self.words(3, 40)}</p>" for _ in range(int(self.r.integers(1, 3))))
@@ -341,7 +428,7 @@ class _Maker:
         if kind == 3:
             return self.wrapped("form", ["newsletter", "search", "login"], f"<label>{self.words(1, 4)}</label><button>{self.words(1, 2)}</button>{self.pick(['', prose])}", 0.5)
         if kind == 4:
-            return self.wrapped(self.pick(["div", "section"]), ["comments", "comment-list", "disqus", "reader-comments"], "".join(self.wrapped("div", ["comment"], prose) for _ in range(int(self.r.integers(1, 5)))), 1)
+            return self.comments()
         if kind == 5:
             return self.wrapped("div", ["cookie-notice", "notice", "consent", "alert", "popup"], self.pick([loose, prose]), 1)
         if kind == 6:
@@ -359,7 +446,7 @@ class _Maker:
             text += f" {self.link()} " + self.words(2, 12)
         mark = lambda x: f"<main-text>{x}</main-text>"
         if kind < 7:
-            return f"<p>{self.pick(['', '<b>'])}{mark(text)}{self.pick(['</p>', '</p>', '<br>'])}"
+            return f"<p{self.paragraph}>{self.pick(['', '<b>'])}{mark(text)}{self.pick(['</p>', '</p>', '<br>'])}"
         if kind == 7:
             return f"<h2>{mark(self.words(2, 8))}</h2>"
         if kind == 8:
@@ -371,9 +458,16 @@ class _Maker:
         return f"<div>{mark(text)}</div>"
 
     def page(self) -> str:
-        body = f"<h1>{'<main-text>' + self.words(2, 12) + '</main-text>'}</h1>" if self.chance(0.85) else ""
+        self.start()
+        title = f"<h1>{'<main-text>' + self.words(2, 12) + '</main-text>'}</h1>" if self.chance(0.85) else ""
+        if title and self.chance(0.2):  # the article's own header is its title's
+            title = f"<header>{title}</header>"
+        body = ""
         for _ in range(int(self.r.integers(1, 9))):
             body += self.junk() if self.chance(0.08) else self.block()
+        if self.chance(0.15):
+            body = "".join(f"<section><h2>{'<main-text>' + self.words(1, 6) + '</main-text>'}</h2>{self.block()}{self.block()}</section>" for _ in range(int(self.r.integers(2, 5))))
+        body = title + body
         kind = int(self.r.integers(6))
         if kind < 3:
             main = self.wrapped("article", ["post", "entry", "article"], body, 0.3)
@@ -384,7 +478,7 @@ class _Maker:
         if self.chance(0.25):
             main = self.wrapped("div", ["wrapper", "container", "page"], main)
         top = "".join(self.junk() for _ in range(int(self.r.integers(0, 4))))
-        end = "".join(self.junk() for _ in range(int(self.r.integers(0, 4))))
+        end = "".join(self.junk() for _ in range(int(self.r.integers(0, 4)))) + (self.comments() if self.chance(0.2) else "")
         head = f"<head><title>{self.words(2, 12)}</title></head>" if self.chance(0.9) else ""
         return f"<!DOCTYPE html><html>{head}<body>{top}{main}{end}</body></html>"
 
@@ -402,7 +496,7 @@ def labelled(source: str) -> tuple[Page, np.ndarray]:
     return page, y
 
 
-def train(pages: int = 400, seed: int = 5) -> Boosted:
+def train(pages: int = 600, seed: int = 5) -> Boosted:
     maker = _Maker(seed)
     made = [labelled(maker.page()) for _ in range(pages)]
     return boost(np.concatenate([features(p) for p, _ in made]), np.concatenate([y for _, y in made]))
