@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, new_path, written
+from lodestone.llm.common import chunks, new_path, small, written
 
 LEAST = 100
 #: Bytes of an archive after which a task begins another.
@@ -79,11 +79,12 @@ def payload(html: Column) -> Column:
 def repeats(pages: DataFrame) -> DataFrame:
     """(page_id, digest, refers_to) of the pages that revisit another's payload; ``pages`` has page_id and html.
 
-    Digests are summed up before the shuffle, so a payload that a third of all pages share is one row for each task.
+    Digests are summed up before the shuffle, so a payload that a third of all pages share is one row for each task. The
+    sums are a table before they meet the pages, so that Spark can split the pages of such a payload.
     """
     hashed = written(pages.select("page_id", F.sha2(F.encode(payload(F.col("html")), "utf-8"), 256).alias("digest"), F.octet_length(payload(F.col("html"))).alias("n")).where(f"n >= {LEAST}"), "payloads")
     first = hashed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to != last").select("digest", "refers_to")
-    return hashed.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    return hashed.join(small(written(first, "first-pages")), "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll: int = ROLL) -> DataFrame:

@@ -30,6 +30,15 @@ def test_archives_round_trip(spark):
     assert warc.archive_and_read(pages(spark, [])).count() == 0
 
 
+def test_the_sums_of_a_hot_payload_are_a_table(spark):
+    """So that the pages of a payload that very many share can be split: no aggregate stands between them and their join."""
+    source = pages(spark, [(k, "u", LONG if k % 3 else LONG + str(k)) for k in range(300)]).select("page_id", "html")
+    found = warc.repeats(source)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "first-pages" not in plan.split("Join")[0] and "Aggregate" not in plan[plan.index("Join") :]
+    assert found.count() == 199
+
+
 def test_selected_records_and_small_archives(spark):
     rows = [(k, f"http://h/{k}", LONG + str(k)) for k in range(60)]
     folder = tempfile.mkdtemp(prefix="spark-")
