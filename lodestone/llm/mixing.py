@@ -153,6 +153,28 @@ def _first_block(rows: DataFrame, pool: DataFrame, seed: int) -> DataFrame:
     return x.select("part", F.concat(F.col("f.done"), F.array(_settled(a, last))).alias("done"), down.alias("down"), up.alias("up"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Tell rows of one part, id, nth and size apart: all but one get another nth.
+
+    They are numbered in each file's part and then across parts, so that no task has all of a thousand million equal rows.
+    Equal rows are interchangeable: whichever gets which number, the result has the same rows.
+    """
+    key = ["part", "id", "nth", "size"]
+    dealt = written(rows.withColumn("task", F.spark_partition_id()), "equal-rows")
+    hashed = dealt.withColumn("key", F.xxhash64(*key))
+    within = F.row_number().over(Window.partitionBy("key", *key, "task").orderBy("size"))
+    counts = hashed.groupBy("key", *key, "task").count()  # a row for each task at most
+    before = F.sum("count").over(Window.partitionBy("key", *key).orderBy("task")) - F.col("count")
+    places = small(written(counts.select(*key, "task", before.alias("before")).where("before > 0"), "equal-places")).alias("b")
+    n = hashed.withColumn("within", within).drop("key").alias("a")
+    same = F.lit(True)
+    for c in (*key, "task"):
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    again = F.col("a.within") + F.coalesce("b.before", F.lit(0))
+    x = n.join(places, same, "left")
+    return x.select(*(F.when(again > 1, F.xxhash64("a.nth", again)).otherwise(F.col("a.nth")).alias("nth") if c == "nth" else F.col(f"a.{c}") for c in rows.columns))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
     """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken.
 
@@ -172,9 +194,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     settled = (F.col("p") < EPS) | (F.col("size") == 0)
     rows = x.where(~settled).select("part", "id", "nth", "size", "p", (F.col("size") * HEAVY > F.col("source_size")).alias("heavy"))
     if not rows.groupBy("part", "id", "nth").count().where("count > 1").isEmpty():
-        # equal rows are interchangeable, so numbering them needs no order among them
-        again = F.row_number().over(Window.partitionBy("part", "id", "nth", "size").orderBy("size"))
-        rows = rows.withColumn("nth", F.when(again > 1, F.xxhash64("nth", again)).otherwise(F.col("nth")))
+        rows = _numbered(rows)
     rows = written(rows, "open")
     done = x.where(settled).select("part", "size", "id", F.lit(0.0).alias("more"))
 

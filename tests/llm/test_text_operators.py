@@ -455,3 +455,17 @@ def test_toxicity_matches_a_naive_version(spark):
     error = {k: (naive[k] - y[k]) / len(rows) for k in found}
     slopes = [sum(error[k] * ratio[b] for k in found if b in found[k]) + toxicity.PENALTY * weight[b] / ratio[b] for b in chosen]
     assert max(map(abs, slopes)) < 2e-3 and abs(sum(error.values())) < 2e-3
+
+
+def test_mixing_equal_rows_of_many_tasks(spark):
+    """One text that very many rows with one id, or none, share: all are rounded, none twice, and reruns agree."""
+    rows = [(None, "one two three")] * 120 + [(5, "four five")] * 60 + [(k, f"w{k} x y z") for k in range(20)]
+    table = docs(spark, rows).repartition(7).withColumn("source", F.lit("s"))
+    got = mixing.mix(table).select("doc_id", "size", "target", "copies", "taken")
+    first = sorted(map(str, got.collect()))
+    assert len(first) == len(rows) and first == sorted(map(str, mixing.mix(table).select(*got.columns).collect()))
+    taken = sum(r["taken"] for r in got.collect())
+    assert abs(taken - got.first()["target"]) <= 4
+    open_rows = table.select(F.lit("s").alias("part"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("nth"), F.lit(3).alias("size"), F.lit(0.5).alias("p"), F.lit(False).alias("heavy"))
+    numbered = mixing._numbered(open_rows)
+    assert numbered.count() == len(rows) == numbered.select("id", "nth").distinct().count()
