@@ -56,7 +56,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def _flood(frame: pd.DataFrame) -> pd.DataFrame:
-    """Labels that edges (a, b) of one block make smaller: the smallest label first goes wherever its edges lead."""
+    """Labels of the nodes of one block of edges (a, b): the smallest label first goes wherever its edges lead."""
     nodes, place = np.unique(frame[["a", "b"]].to_numpy().T.ravel(), return_inverse=True)
     a, b = place[: len(frame)], place[len(frame) :]
     label = np.full(len(nodes), np.iinfo(np.int64).max)
@@ -77,27 +77,28 @@ def _flood(frame: pd.DataFrame) -> pd.DataFrame:
                     out[other] = least
                     todo.append(other)
     found = np.array(out, np.int64)
-    less = found < label
-    return pd.DataFrame({"node": nodes[less], "label": found[less]})
+    return pd.DataFrame({"node": nodes, "label": found, "less": found < label})
 
 
-def least_labels(edges: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(node, label): the least label of all nodes from which edges (a, b) lead to a node, its own included.
+def least_labels(edges: DataFrame, rows: int, block: int = BLOCK) -> DataFrame:
+    """(node, label): the least node of all from which edges (a, b), ``rows`` of them, lead to a node, itself included.
 
     Edges are dealt to blocks of about ``block`` by a hash. A block is flooded by one task, and what blocks have found is
     exchanged by joins until nothing changes: one round for a graph of a single block, and at most as many as the graph
     is wide for a larger one.
     """
-    blocks = -(-edges.count() // block) or 1
+    blocks = -(-rows // block) or 1
+    labelled = edges.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb"))
     while True:
-        of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
-        dealt = edges.join(of("a"), "a").join(of("b"), "b").withColumn("block", F.pmod(F.xxhash64("a", "b"), F.lit(blocks)))
-        found = written(dealt.groupBy("block").applyInPandas(_flood, "node long, label long"), "labels")
-        if found.isEmpty():
-            return labels
-        labels = written(labels.unionByName(found).groupBy("node").agg(F.min("label").alias("label")), "labels")
+        dealt = labelled.withColumn("block", F.pmod(F.xxhash64("a", "b"), F.lit(blocks)))
+        found = written(dealt.groupBy("block").applyInPandas(_flood, "node long, label long, less boolean"), "labels")
         if blocks == 1:
-            return labels
+            return found.select("node", "label")
+        labels = written(found.groupBy("node").agg(F.min("label").alias("label"), F.bool_or("less").alias("less")), "labels")
+        if labels.where("less").isEmpty():
+            return labels.select("node", "label")
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))  # noqa: E731, B023
+        labelled = edges.join(of("a"), "a").join(of("b"), "b")
 
 
 def parts(edges: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -112,12 +113,12 @@ def parts(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     ids = written(names.withColumn("id", F.monotonically_increasing_id()), "nodes")
     of = lambda name, end: ids.select("project_id", F.col("node").alias(name), F.col("id").alias(end))
     left = written(ends.join(of("from", "a"), ["project_id", "from"]).join(of("to", "b"), ["project_id", "to"]).select("a", "b").distinct(), "edges")
-    labels, rest = ids.select(F.col("id").alias("node"), F.col("id").alias("label")), left.count()
+    rest = left.count()
+    labels = ids.select(F.col("id").alias("node"), F.col("id").alias("label"))
     while rest:
         before = rest
         for x, y in (("a", "b"), ("b", "a")):
-            own = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
-            labels = least_labels(left.select(F.col(x).alias("a"), F.col(y).alias("b")), written(own, "labels"), block)
+            labels = least_labels(left.select(F.col(x).alias("a"), F.col(y).alias("b")), rest, block)
             at = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))  # noqa: E731, B023
             left = written(left.join(at("a"), "a").join(at("b"), "b").where("la = lb").select("a", "b"), "edges")
         rest = left.count()

@@ -8,8 +8,9 @@ of their ranking; nothing is sorted or cut across projects, so a project's repor
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import code_line_count, line_count, round1
@@ -223,18 +224,24 @@ def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select(*own, F.to_json(F.struct("nodes", F.coalesce(links, F.array()).alias("edges")), {"pretty": "true"}).alias("value"))
 
 
-def _listed(df: DataFrame, name: str) -> DataFrame:
-    """A list for each project, in the order of its rank where it has one; lists have fixed lengths, or are of one schema."""
+def _rows(df: DataFrame, name: str) -> DataFrame:
+    """The rows of a list as JSON, with what orders them: their rank, where they have one."""
     columns = [c for c in df.columns if c not in ("project_id", "rank")]
-    order: Column = F.col("rank") if "rank" in df.columns else F.lit(0)
-    rows = F.array_sort(F.collect_list(F.struct(order.alias("rank"), F.struct(*columns).alias("row") if columns else F.struct(F.lit(True).alias("found")).alias("row"))))
-    return df.groupBy("project_id").agg(F.transform(rows, lambda r: r["row"]).alias(name))
+    rank = F.col("rank").cast("long") if "rank" in df.columns else F.lit(0).cast("long")
+    return df.select("project_id", F.lit(name).alias("name"), rank.alias("rank"), F.to_json(F.struct(*columns) if columns else F.struct(F.lit(True).alias("found"))).alias("row"))
 
 
 def report(a: Analysis) -> DataFrame:
-    """One row a project (project_id, report): summary, score and all sections; a section without rows is an empty list."""
-    base = a.summary.select("project_id", F.struct("total", "grade", "components").alias("score"), F.struct(*(round1(F.col(c)).alias(c) if c == "avg_complexity" else F.col(c) for c in SUMMARY)).alias("summary"))
+    """One row a project (project_id, report): summary, score and all sections; a section without rows is an empty list.
+
+    All lists are one table of JSON rows, put together once; each has a fixed length, or is as long as one schema.
+    """
     lists = {"advice": a.advice, **a.sections}
-    out = side_by_side(base, *(written(_listed(df, name), "section") for name, df in lists.items()))
-    empty = {name: F.coalesce(name, F.array().cast(out.schema[name].dataType)) for name in lists}
-    return out.withColumns(empty).select("project_id", F.to_json(F.struct("score", "summary", *lists)).alias("report"))
+    rows = reduce(DataFrame.unionByName, (_rows(df, name) for name, df in lists.items()))
+    joined = rows.groupBy("project_id", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "row"))), lambda r: r["row"]), ",").alias("rows"))
+    found = joined.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "rows"))).alias("lists"))
+    score, summary = F.struct("total", "grade", "components"), F.struct(*(round1(F.col(c)).alias(c) if c == "avg_complexity" else F.col(c) for c in SUMMARY))
+    parts = [F.lit('{"score":'), F.to_json(score), F.lit(',"summary":'), F.to_json(summary)]
+    for name in lists:
+        parts += [F.lit(f',"{name}":['), F.coalesce(F.try_element_at("lists", F.lit(name)), F.lit("")), F.lit("]")]
+    return side_by_side(a.summary, found).select("project_id", F.concat(*parts, F.lit("}")).alias("report"))
