@@ -72,19 +72,29 @@ def candidates(dups: DataFrame) -> DataFrame:
 
 
 def extended(dups: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(hash, extra) of the groups of ``firsts``: by how many windows their occurrences agree beyond their own."""
+    """(hash, extra) of the groups of ``firsts``: by how many windows their occurrences agree beyond their own.
+
+    Consecutive repeated windows make an island, which no run leaves. So a group can't agree beyond what the shortest of
+    its islands holds behind it, and only islands in which such a group occurs are looked at.
+    """
     w = Window.partitionBy("file").orderBy("idx")
-    longest = dups.withColumn("island", F.col("idx") - F.row_number().over(w)).groupBy("file", "island").count().agg(F.max("count")).first()[0] or 1
-    levels = max(0, int(longest).bit_length() - 1)
-    keys, key = dups.select("file", "idx", F.col("hash").alias("key0")), "key0"
+    island = Window.partitionBy("file", "island")
+    on_land = dups.select("hash", "file", "idx", "n").withColumn("island", F.col("idx") - F.row_number().over(w)).withColumn("room", F.max("idx").over(island) - F.col("idx"))
+    wanted = small(written(firsts.select("hash", F.lit(True).alias("wanted")), "wanted"))
+    held = on_land.join(wanted, "hash", "left").withColumn("held", F.coalesce(F.bool_or("wanted").over(island), F.lit(False))).where("held")
+    held = written(held.select("hash", "file", "idx", "n", "island", "room", F.coalesce("wanted", F.lit(False)).alias("wanted")), "islands")
+    places = held.where("wanted").select("hash", "file", "idx", "n")
+    longest = held.where("wanted").groupBy("hash").agg(F.min("room").alias("room")).agg(F.max("room")).first()[0] or 0
+    extents = written(firsts.select("hash", F.lit(0).alias("extra")), "extents")
+    if not longest:
+        return extents
+    levels = int(longest).bit_length() - 1
+    keys, key, run = held.select("file", "island", "idx", F.col("hash").alias("key0")), "key0", Window.partitionBy("file", "island").orderBy("idx")
     for k in range(levels):
         step = 1 << k
-        both = (F.lead("idx", step).over(w) == F.col("idx") + step) & F.lead(key, step).over(w).isNotNull()
-        keys = keys.withColumn(f"key{k + 1}", F.when(both, F.sha1(F.concat(F.col(key), F.lead(key, step).over(w)))))
+        keys = keys.withColumn(f"key{k + 1}", F.sha1(F.concat(F.col(key), F.lead(key, step).over(run))))  # null where the island ends
         key = f"key{k + 1}"
-    keys = written(keys, "keys")
-    extents = written(firsts.select("hash", F.lit(0).alias("extra")), "extents")
-    places = written(dups.select("hash", "file", "idx", "n").join(small(extents.select("hash")), "hash"), "places")
+    keys = written(keys.drop("island"), "keys")
     for k in range(levels, -1, -1):
         at = keys.select("file", F.col("idx").alias("at"), F.col(f"key{k}").alias("key"))
         probe = places.join(small(extents), "hash").withColumn("at", F.col("idx") + F.col("extra") + 1).join(at, ["file", "at"], "left")

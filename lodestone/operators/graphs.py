@@ -15,6 +15,8 @@ from lodestone.sources.tables import written
 
 #: Edges that one task floods with labels.
 BLOCK = 1_000_000
+#: Orders of the nodes by which labels are compared at once.
+ORDERS = 8
 # What an import may leave out, and sizes of graphs.
 ENDINGS = ("", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", "/index.js", "/index.jsx", "/index.ts", "/index.tsx", "/index.mjs", "/index.cjs")
 MAX_NODES, MAX_CYCLES, MAX_EXTERNAL = 400, 50, 50
@@ -56,45 +58,51 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def _flood(frame: pd.DataFrame) -> pd.DataFrame:
-    """Labels of the nodes of one block of edges (a, b): the smallest label first goes wherever its edges lead."""
+    """Labels of the nodes of one block of edges (a, b), in each of several orders: the smallest label first goes wherever
+    its edges lead."""
     nodes, place = np.unique(frame[["a", "b"]].to_numpy().T.ravel(), return_inverse=True)
     a, b = place[: len(frame)], place[len(frame) :]
-    label = np.full(len(nodes), np.iinfo(np.int64).max)
-    np.minimum.at(label, a, frame["la"].to_numpy())
-    np.minimum.at(label, b, frame["lb"].to_numpy())
+    given = np.full((len(nodes), ORDERS), np.iinfo(np.int64).max)
+    np.minimum.at(given, a, np.stack(frame["la"]))
+    np.minimum.at(given, b, np.stack(frame["lb"]))
     order = np.argsort(a, kind="stable")
     bounds, after = np.searchsorted(a[order], np.arange(len(nodes) + 1)).tolist(), b[order].tolist()
-    known, out = label.tolist(), [None] * len(nodes)
-    for root in np.argsort(label, kind="stable").tolist():
-        if out[root] is not None:
-            continue
-        least, todo = known[root], [root]
-        out[root] = least
-        while todo:
-            node = todo.pop()
-            for other in after[bounds[node] : bounds[node + 1]]:
-                if out[other] is None:
-                    out[other] = least
-                    todo.append(other)
-    found = np.array(out, np.int64)
-    return pd.DataFrame({"node": nodes, "label": found, "less": found < label})
+    found = np.empty_like(given)
+    for k in range(ORDERS):
+        known, out = given[:, k].tolist(), [None] * len(nodes)
+        for root in np.argsort(given[:, k], kind="stable").tolist():
+            if out[root] is not None:
+                continue
+            least, todo = known[root], [root]
+            out[root] = least
+            while todo:
+                node = todo.pop()
+                for other in after[bounds[node] : bounds[node + 1]]:
+                    if out[other] is None:
+                        out[other] = least
+                        todo.append(other)
+        found[:, k] = out
+    return pd.DataFrame({"node": nodes, "label": list(found), "less": (found < given).any(axis=1)})
 
 
 def least_labels(edges: DataFrame, rows: int, block: int = BLOCK) -> DataFrame:
-    """(node, label): the least node of all from which edges (a, b), ``rows`` of them, lead to a node, itself included.
+    """(node, label): the least nodes, in each of ``ORDERS`` orders, of all from which edges (a, b), ``rows`` of them, lead to
+    a node, itself included. The first order is that of the nodes' numbers, the others are those of hashes.
 
     Edges are dealt to blocks of about ``block`` by a hash. A block is flooded by one task, and what blocks have found is
     exchanged by joins until nothing changes: one round for a graph of a single block, and at most as many as the graph
     is wide for a larger one.
     """
     blocks = -(-rows // block) or 1
-    labelled = edges.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb"))
+    own = lambda end: F.array(F.col(end), *(F.xxhash64(end, F.lit(k)) for k in range(1, ORDERS)))
+    labelled = edges.select("a", "b", own("a").alias("la"), own("b").alias("lb"))
     while True:
         dealt = labelled.withColumn("block", F.pmod(F.xxhash64("a", "b"), F.lit(blocks)))
-        found = written(dealt.groupBy("block").applyInPandas(_flood, "node long, label long, less boolean"), "labels")
+        found = written(dealt.groupBy("block").applyInPandas(_flood, "node long, label array<long>, less boolean"), "labels")
         if blocks == 1:
             return found.select("node", "label")
-        labels = written(found.groupBy("node").agg(F.min("label").alias("label"), F.bool_or("less").alias("less")), "labels")
+        least = F.array(*(F.min(F.col("label")[k]) for k in range(ORDERS)))
+        labels = written(found.groupBy("node").agg(least.alias("label"), F.bool_or("less").alias("less")), "labels")
         if labels.where("less").isEmpty():
             return labels.select("node", "label")
         of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))  # noqa: E731, B023
@@ -104,9 +112,9 @@ def least_labels(edges: DataFrame, rows: int, block: int = BLOCK) -> DataFrame:
 def parts(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """(project_id, node, part) of the nodes of all strongly connected parts of more than one node; ``part`` is a number.
 
-    Nodes of a part are reached from the same nodes and reach the same nodes. So edges whose ends differ in the least node
-    that leads to them, or in the least one they lead to, lie in no part and are cut, until none is. Nodes are numbered by
-    a shuffle, which makes that few rounds.
+    Nodes of a part are reached from the same nodes and reach the same nodes. So edges whose ends differ in a least node
+    that leads to them, or in one they lead to, lie in no part and are cut, until none is. Several orders of the nodes at
+    once make that few rounds.
     """
     ends = edges.where(F.col("from") != F.col("to")).select("project_id", "from", "to")
     names = ends.select("project_id", F.explode(F.array("from", "to")).alias("node")).distinct()
@@ -114,18 +122,18 @@ def parts(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     of = lambda name, end: ids.select("project_id", F.col("node").alias(name), F.col("id").alias(end))
     left = written(ends.join(of("from", "a"), ["project_id", "from"]).join(of("to", "b"), ["project_id", "to"]).select("a", "b").distinct(), "edges")
     rest = left.count()
-    labels = ids.select(F.col("id").alias("node"), F.col("id").alias("label"))
+    labels = ids.select(F.col("id").alias("node"), F.array("id").alias("label"))
     while rest:
         before = rest
         for x, y in (("a", "b"), ("b", "a")):
             labels = least_labels(left.select(F.col(x).alias("a"), F.col(y).alias("b")), rest, block)
             at = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))  # noqa: E731, B023
             left = written(left.join(at("a"), "a").join(at("b"), "b").where("la = lb").select("a", "b"), "edges")
-        rest = left.count()
+            rest = left.count()
         if rest == before:
             break
     inside = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return labels.join(inside, "node").select(F.col("node").alias("id"), F.col("label").alias("part")).join(ids, "id").select("project_id", "node", "part")
+    return labels.join(inside, "node").select(F.col("node").alias("id"), F.col("label")[0].alias("part")).join(ids, "id").select("project_id", "node", "part")
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
