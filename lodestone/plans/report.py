@@ -133,8 +133,12 @@ def _melted(checks: DataFrame) -> DataFrame:
     return checks.select("file", F.explode(F.array(*(F.struct(F.lit(n).alias("fact"), F.col(n).cast("long").alias("n")) for n in names))).alias("f")).select("file", "f.*")
 
 
-def analyse(files: DataFrame) -> Analysis:
-    """Analyse file tables (see sources.project); facts are written to tables, as many sections read them."""
+def analyse(files: DataFrame, whole_graph: bool = False) -> Analysis:
+    """Analyse file tables (see sources.project); facts are written to tables, as many sections read them.
+
+    The project graph is made of the first files, functions, classes, tables and edges, or of all with ``whole_graph``; its
+    lists of nodes and edges have a fixed length either way.
+    """
     named = F.struct("project_id", F.col("ord").cast("long").alias("ord"), "path").alias("file")
     files = written(files.select(named, "project_id", "kind", "language", "content"), "files")
     code = files.where("kind = 'code'")
@@ -169,7 +173,8 @@ def analyse(files: DataFrame) -> Analysis:
 
     searched = duplicates.search(code.select(F.struct("file.project_id", "file.ord").alias("file_ord"), "file", "content"))
     blocks = written(duplicates.top_of(searched), "top-blocks")
-    ranked = written(first_rows(functions, rollup.TOP_FUNCTIONS, F.desc("complexity"), F.desc("lines"), "file", "line", "name"), "top-functions")
+    by_rank = lambda most: first_rows(functions, most, F.desc("complexity"), F.desc("lines"), "file", "line", "name")
+    ranked = written(by_rank(rollup.TOP_FUNCTIONS), "top-functions")
     ranked = flat(ranked).withColumns({"risky": F.col("complexity") > rollup.COMPLEXITY, "long": F.col("lines") > rollup.FUNCTION_LINES, "deep": F.col("nesting") > rollup.NESTING})
     path = F.transform("occurrences", lambda o: o.withField("file", o["file"]["path"]))
 
@@ -177,7 +182,7 @@ def analyse(files: DataFrame) -> Analysis:
     markup_list = flat(first_rows(page_issues, MAX_MARKUP, "file", "ord")).drop("ord")
     issue_list = flat(first_rows(sql_issues, sqlfacts.MAX_ISSUES, "file", "place")).drop("place")
     error_list = flat(first_rows(errors, MAX_ERRORS, "file"))
-    auto = graphs.project_graph(table.select("project_id", "path", "rank"), ranked, edges, flat(sql_tables), flat(sql_relations))
+    auto = graphs.project_graph(table.select("project_id", "path", "rank"), flat(by_rank(1 << 30)) if whole_graph else ranked, edges, flat(sql_tables), flat(sql_relations), whole_graph)
     sections = {
         "files": table,
         "functions": ranked,
