@@ -245,6 +245,6 @@ def issue_counts(issues: DataFrame, *keys: str) -> DataFrame:
     return issues.groupBy(*keys, "type").agg(F.count("*").alias("issues"))
 
 
-def first_issues(issues: DataFrame, most: int = MAX_STYLE_ISSUES) -> DataFrame:
-    """The first issues of each file, in its order."""
-    return issues.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("ord"))).where(F.col("place") <= most).drop("place")
+def listed(issues: DataFrame, most: int = MAX_STYLE_ISSUES) -> DataFrame:
+    """The issues with ``capped``: whether one is among the first of its file, in its order."""
+    return issues.withColumn("capped", F.row_number().over(Window.partitionBy("file").orderBy("ord")) <= most)

@@ -78,12 +78,10 @@ def style_rows(sheets: DataFrame, inline: DataFrame) -> DataFrame:
     inside pages; capped tells those within the limit of their sheet, ``place`` orders them."""
     block = lambda x, nth, line: x.select(F.struct("file", nth.cast("int").alias("nth"), line.cast("int").alias("line")).alias("file"), "content")
     styled = block(sheets, F.lit(-1), F.lit(0)).unionByName(block(inline.where("language = 'css'"), F.col("ord"), F.col("line")))
-    found = written(markup.style_issues(styled), "styles")
-    nth = found.withColumn("place", F.struct("file", "ord"))
-    kept = markup.first_issues(found).select("file", "ord", F.lit(True).alias("capped"))
-    x = nth.join(kept, ["file", "ord"], "left").withColumns({"source": F.col("file.file"), "inline": F.col("file.nth") >= 0, "line": F.col("line") + F.col("file.line")})
+    found = markup.listed(written(markup.style_issues(styled), "styles"))
+    x = found.withColumn("place", F.struct("file", "ord")).withColumns({"source": F.col("file.file"), "inline": F.col("file.nth") >= 0, "line": F.col("line") + F.col("file.line")})
     label = F.concat(F.col("source.path"), F.when(F.col("inline"), " (inline <style>)").otherwise(""))
-    return x.select(F.col("source.project_id").alias("project_id"), label.alias("file"), F.col("source"), "inline", "type", "what", "line", "first_line", "number", "place", F.coalesce("capped", F.lit(False)).alias("capped"))
+    return x.select(F.col("source.project_id").alias("project_id"), label.alias("file"), F.col("source"), "inline", "type", "what", "line", "first_line", "number", "place", "capped")
 
 
 def graphql_sections(files: DataFrame, scripts: DataFrame, code: DataFrame) -> dict[str, DataFrame]:
