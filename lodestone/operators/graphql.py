@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.scope import first_rows, keys, scoped, side_by_side
+from lodestone.sources.tables import small, spread, written
 
 # Fixed values.
 BUILT_IN = ("String", "Int", "Float", "Boolean", "ID")
@@ -34,7 +35,7 @@ def base_type(x: Column) -> Column:
 
 def definitions(sources: DataFrame) -> DataFrame:
     """(file, ord, kind, name, head, body) of the types in (file, content)."""
-    found = sources.select("file", F.posexplode(F.regexp_extract_all(stripped(F.col("content")), F.lit(_TYPE), F.lit(0))).alias("ord", "t"))
+    found = spread(sources).select("file", F.posexplode(F.regexp_extract_all(stripped(F.col("content")), F.lit(_TYPE), F.lit(0))).alias("ord", "t"))
     part = lambda k: F.regexp_extract("t", _TYPE, k)
     return found.select("file", "ord", part(1).alias("kind"), part(2).alias("name"), part(3).alias("head"), part(4).alias("body"))
 
@@ -53,7 +54,8 @@ def _merged_types(found: DataFrame) -> DataFrame:
 def _others(sources: DataFrame) -> DataFrame:
     """Unions and scalars, with the same columns."""
     s = stripped(F.col("content"))
-    named = lambda pattern, kind: sources.select("file", F.posexplode(F.regexp_extract_all(s, F.lit(pattern), F.lit(1))).alias("ord", "name")).select("file", "ord", F.lit(kind).alias("kind"), "name")
+    dealt = spread(sources)
+    named = lambda pattern, kind: dealt.select("file", F.posexplode(F.regexp_extract_all(s, F.lit(pattern), F.lit(1))).alias("ord", "name")).select("file", "ord", F.lit(kind).alias("kind"), "name")
     return named(r"\bunion\s+([A-Za-z_]\w*)\s*=", "union").unionByName(named(r"\bscalar\s+([A-Za-z_]\w*)", "scalar"))
 
 
@@ -93,7 +95,7 @@ def implemented(sources: DataFrame) -> DataFrame:
 
 
 def union_members(sources: DataFrame) -> DataFrame:
-    u = scoped(sources)
+    u = scoped(spread(sources))
     u = u.select(*keys(u), F.explode(F.regexp_extract_all(stripped(F.col("content")), F.lit(_UNION), F.lit(0))).alias("t"))
     members = F.transform(F.split(F.regexp_extract("t", _UNION, 2), r"\|"), lambda m: F.trim(m))
     return u.select(*keys(u), F.regexp_extract("t", _UNION, 1).alias("type"), F.explode(members).alias("member")).distinct()
@@ -107,7 +109,7 @@ def roots(sources: DataFrame) -> DataFrame:
 def _roots(sources: DataFrame) -> DataFrame:
     block = F.regexp_extract(stripped(F.col("content")), _SCHEMA, 1)
     named = F.array(*(F.struct(F.lit(r).alias("root"), F.regexp_extract(block, rf"\b{r.lower()}\s*:\s*([A-Za-z_]\w*)", 1).alias("name")) for r in ROOTS))
-    return sources.select("file", F.explode(named).alias("r")).select("file", "r.*").where("name != ''")
+    return spread(sources).select("file", F.explode(named).alias("r")).select("file", "r.*").where("name != ''")
 
 
 def _merged_roots(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -121,7 +123,7 @@ def _merged_roots(found: DataFrame, known: DataFrame) -> DataFrame:
 
 def _schemas(files: DataFrame) -> DataFrame:
     """(file, s): the __schema of introspection results (file, content) that list types."""
-    v = files.select("file", F.try_parse_json("content").alias("v"))
+    v = spread(files).select("file", F.try_parse_json("content").alias("v"))
     s = v.select("file", F.coalesce(F.try_variant_get("v", "$.data.__schema", "variant"), F.try_variant_get("v", "$.__schema", "variant")).alias("s"))
     return s.where(F.try_variant_get("s", "$.types", "array<variant>").isNotNull())
 
@@ -193,11 +195,18 @@ def registry(sdl: DataFrame, schemas: DataFrame) -> Registry:
     return Registry(known, found, members, implemented(sdl), _merged_roots(_roots(sdl).unionByName(named), known), sources)
 
 
+def _led_to(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(base_type) of the known types that a field leads to, stored: a schema of many types may lead to few of them, very often."""
+    own = keys(found)
+    used = found.select(*own, "base_type").distinct()
+    return small(written(known.select(*own, F.col("name").alias("base_type")).join(used.hint("merge"), [*own, "base_type"], "left_semi"), "targets"))
+
+
 def relations(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Fields whose type is a known one that is no scalar: from, field, to, is_list."""
+    """Fields whose type is a known one that is no scalar: from, field, to, is_list. ``found`` is read twice: give a table."""
     own = keys(found)
-    targets = known.where("kind != 'scalar'").select(*own, F.col("name").alias("base_type"))
-    hits = found.where(~F.col("base_type").isin(*BUILT_IN)).join(targets, [*own, "base_type"])
+    asked = found.where(~F.col("base_type").isin(*BUILT_IN))
+    hits = asked.join(_led_to(asked, known.where("kind != 'scalar'")), [*own, "base_type"])
     return hits.select(*own, F.col("type").alias("from"), F.col("name").alias("field"), F.col("base_type").alias("to"), "is_list")
 
 
@@ -207,7 +216,7 @@ def all_relations(r: Registry) -> DataFrame:
     names = r.types.select(*own, F.col("name").alias("to"))
     more = r.members.select(*own, F.col("type").alias("from"), F.lit("(union member)").alias("field"), F.col("member").alias("to"))
     more = more.unionByName(r.interfaces.select(*own, F.col("type").alias("from"), F.lit("(implements)").alias("field"), F.col("interface").alias("to")))
-    return relations(r.fields, r.types).unionByName(more.join(names, [*own, "to"], "left_semi").select(*own, "from", "field", "to", F.lit(False).alias("is_list")))
+    return relations(r.fields, r.types).unionByName(more.join(names.hint("merge"), [*own, "to"], "left_semi").select(*own, "from", "field", "to", F.lit(False).alias("is_list")))
 
 
 def ranked_types(r: Registry, most: int = MAX_LISTED_FIELDS) -> DataFrame:
@@ -219,26 +228,26 @@ def ranked_types(r: Registry, most: int = MAX_LISTED_FIELDS) -> DataFrame:
     field = F.struct("at", "name", F.col("raw_type").alias("type"), "base_type", "is_list")
     counts = r.fields.groupBy(*own, F.col("type").alias("name")).agg(F.count("*").alias("field_count"), F.slice(F.array_sort(F.collect_list(field)), 1, most).alias("fields"))  # of one type
     fields = F.transform(F.coalesce("fields", F.array().cast(counts.schema["fields"].dataType)), lambda f: f.dropFields("at"))
-    x = r.types.join(counts, [*own, "name"], "left").join(r.roots.groupBy(*own, "name").agg(F.min("root").alias("root")), [*own, "name"], "left")
+    x = r.types.join(counts.hint("merge"), [*own, "name"], "left").join(r.roots.groupBy(*own, "name").agg(F.min("root").alias("root")), [*own, "name"], "left")
     x = x.withColumns({"field_count": F.coalesce("field_count", F.lit(0)), "fields": fields})
     x = x.withColumn("too_large", F.col("root").isNull() & (F.col("kind") != "enum") & (F.col("field_count") > MAX_FIELDS))
     return first_rows(x, 1 << 30, F.col("root").isNull(), F.desc("field_count"), "at").select(*own, "name", "kind", "root", "too_large", "field_count", "fields", "source_files", "rank")
 
 
 def n_plus_one(found: DataFrame, known: DataFrame, root_names: DataFrame) -> DataFrame:
-    """List fields of object types, roots aside, that lead to object types."""
+    """List fields of object types, roots aside, that lead to object types. ``found`` is read twice: give a table."""
     own_keys = keys(found)
-    objects = known.where("kind in ('type', 'interface')")
+    objects = written(known.where("kind in ('type', 'interface')").select(*own_keys, "name"), "objects")
     own = objects.join(root_names.select(*own_keys, "name"), [*own_keys, "name"], "left_anti").select(*own_keys, F.col("name").alias("type"))
-    to = objects.select(*own_keys, F.col("name").alias("base_type"))
-    hits = found.where("is_list").join(own, [*own_keys, "type"]).join(to, [*own_keys, "base_type"])
+    lists = found.where("is_list")
+    hits = lists.join(_led_to(lists, objects), [*own_keys, "base_type"]).join(small(written(own, "owners")), [*own_keys, "type"])
     return hits.select(*own_keys, "type", F.col("name").alias("field"), F.col("base_type").alias("target"))
 
 
 def oversized(found: DataFrame, known: DataFrame, root_names: DataFrame) -> DataFrame:
     own = keys(found)
     counts = found.groupBy(*own, "type").agg(F.count("*").alias("field_count")).where(F.col("field_count") > MAX_FIELDS)
-    return counts.join(known.where("kind != 'enum'").select(*own, F.col("name").alias("type")), [*own, "type"]).join(root_names.select(*own, F.col("name").alias("type")), [*own, "type"], "left_anti")
+    return counts.join(known.where("kind != 'enum'").select(*own, F.col("name").alias("type")).hint("merge"), [*own, "type"]).join(root_names.select(*own, F.col("name").alias("type")), [*own, "type"], "left_anti")
 
 
 def resolver_keys(files: DataFrame) -> DataFrame:
@@ -253,7 +262,7 @@ def missing_resolvers(found: DataFrame, root_names: DataFrame, keys_found: DataF
     """Fields of root types without a resolver; none are missing where there are no resolvers at all."""
     own = keys(found)
     asked = found.join(root_names.select(*own, F.col("name").alias("type"), "root"), [*own, "type"]).select(*own, "root", F.col("name").alias("key"))
-    missing = asked.join(keys_found, [*own, "key"], "left_anti")
+    missing = asked.join(keys_found.hint("merge"), [*own, "key"], "left_anti")
     if own:
         return missing.join(keys_found.select(*own).distinct(), own, "left_semi")
     return missing.crossJoin(F.broadcast(keys_found.limit(1).select(F.lit(True).alias("any")))).drop("any")  # one row at most
