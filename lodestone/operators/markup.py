@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import collapse, js_trim, masked, newlines
+from lodestone.sources.tables import spread
 
 # Fixed values.
 DEPRECATED = ("font", "center", "marquee", "blink", "big", "strike", "tt", "frame", "frameset", "acronym", "applet", "basefont", "dir", "isindex")
@@ -29,7 +30,7 @@ def pieces(pages: DataFrame) -> DataFrame:
     content has one row without a piece.
     """
     whole = rf"(?is)<!--.*?-->|{_RAW}|</?[a-z][a-z0-9-]*(?:\s[^<>]*)?/?>|.[^<]*+"
-    found = pages.select("file", F.posexplode_outer(F.regexp_extract_all("content", F.lit(whole), F.lit(0))).alias("pos", "t"))
+    found = spread(pages).select("file", F.posexplode_outer(F.regexp_extract_all("content", F.lit(whole), F.lit(0))).alias("pos", "t"))
     before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     line = F.coalesce(F.sum(newlines(F.col("t"))).over(before), F.lit(0)) + 1
     return found.withColumns({"line": line, "raw": F.regexp_like("t", F.lit(rf"(?is)\A{_RAW}\z"))})
@@ -170,7 +171,7 @@ def blocks(sheets: DataFrame) -> DataFrame:
     ``line`` is that of the character behind the piece before.
     """
     clean = masked("content", r"/\*.*?\*/")
-    x = sheets.select("file", F.posexplode(F.regexp_extract_all(clean, F.lit(r"(?s)[^{};]*[{};]"), F.lit(0))).alias("pos", "t"))
+    x = spread(sheets).select("file", F.posexplode(F.regexp_extract_all(clean, F.lit(r"(?s)[^{};]*[{};]"), F.lit(0))).alias("pos", "t"))
     w = Window.partitionBy("file").orderBy("pos")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     end = F.right("t", F.lit(1))

@@ -82,7 +82,7 @@ def relations(files: DataFrame) -> DataFrame:
     column = r"^[`\"\[]?(\w+)[`\"\]]?\s+[A-Za-z]+"
     own = d.where(~F.col("d").rlike(_CONSTRAINT) & F.col("d").rlike(inline) & F.col("d").rlike(column))
     by_column = own.select("file", place, F.col("table").alias("from"), F.regexp_extract("d", column, 1).alias("from_column"), clean_identifier(F.regexp_extract("d", inline, 1)).alias("to"), _nullable(F.regexp_extract("d", inline, 2)).alias("to_column"))
-    s = files.select("file", masked("content", _HIDDEN).alias("s"))
+    s = spread(files).select("file", masked("content", _HIDDEN).alias("s"))
     altered = s.select("file", F.posexplode(F.regexp_extract_all("s", F.lit(ALTER_FOREIGN), F.lit(0))).alias("nth", "t"))
     part = lambda k: F.regexp_extract("t", ALTER_FOREIGN, k)
     last = F.struct(F.lit(1).alias("kind"), F.lit(0).alias("table"), "nth").alias("at")
@@ -92,7 +92,7 @@ def relations(files: DataFrame) -> DataFrame:
 
 def issues(files: DataFrame, most: int = MAX_ISSUES) -> DataFrame:
     """Doubtful statements, at most ``most`` a file: file, line, type, table, joins, place (their order)."""
-    s = files.select("file", F.posexplode(F.split(masked("content", _HIDDEN), ";")).alias("nth", "statement"))
+    s = spread(files).select("file", F.posexplode(F.split(masked("content", _HIDDEN), ";")).alias("nth", "statement"))
     before = F.sum(F.length("statement") - F.length(F.replace("statement", F.lit("\n")))).over(Window.partitionBy("file").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
     lead = F.regexp_extract("statement", r"^(\s*)", 1)
     s = s.withColumn("line", F.coalesce(before, F.lit(0)) + 1 + F.length(lead) - F.length(F.replace(lead, F.lit("\n")))).withColumn("t", js_trim("statement")).where("t != ''")
@@ -131,7 +131,7 @@ def _targets(files: DataFrame) -> DataFrame:
 
     The text is split at what a pattern matches, so the line of a match is one more than the newlines before it.
     """
-    hinted = files.where(F.col("content").rlike(HINT))
+    hinted = spread(files).where(F.col("content").rlike(HINT))
 
     def seen(kind: int, pattern: str) -> Column:
         part = lambda t, g: F.regexp_extract(t, pattern, g)
@@ -164,7 +164,7 @@ def _joined(files: DataFrame) -> DataFrame:
     t = _targets(files).where(likely_table(F.col("name")))
     named = t.select("file", "nth", F.lower("name").alias("alias"), "name").unionByName(t.where(likely_table(F.col("alias"))).select("file", "nth", F.lower("alias").alias("alias"), "name"))
     alias = named.groupBy("file", "alias").agg(F.max_by("name", "nth").alias("name"))
-    on = files.where(F.col("content").rlike(HINT)).select("file", F.posexplode(F.regexp_extract_all("content", F.lit(_ON), F.lit(0))).alias("nth", "t"))
+    on = spread(files).where(F.col("content").rlike(HINT)).select("file", F.posexplode(F.regexp_extract_all("content", F.lit(_ON), F.lit(0))).alias("nth", "t"))
     part = lambda k: F.regexp_extract("t", _ON, k)
     last = F.struct(F.lit(2).alias("kind"), F.lit(0).alias("table"), "nth").alias("at")
     on = on.select("file", last, part(1).alias("l"), part(3).alias("r"), F.lower(part(1)).alias("a"), part(2).alias("from_column"), F.lower(part(3)).alias("b"), part(4).alias("to_column"))

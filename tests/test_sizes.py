@@ -7,8 +7,10 @@ import pyarrow.parquet as pq
 import pytest
 from oracle import TABLES, same
 
-from lodestone.operators import graphs
+from lodestone.operators import graphql, graphs, markup
+from lodestone.plans import report
 from lodestone.plans.queries import oracle_sql, queries
+from lodestone.sources.tables import spread
 from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
@@ -41,3 +43,23 @@ def test_project_graph_of_a_report_keeps_its_limits(spark):
     rest = (none("file string, name string, line int, complexity int, lines int, rank int"), none("from string, to string, at struct<file_ord: long, imp_ord: int>"), none("name string, file string, rank int"), none("from string, to string, file string, rank int"))
     assert graphs.project_graph(files, *rest)[0].count() == graphs.AUTO_FILES
     assert graphs.project_graph(files, *rest, whole=True)[0].count() == graphs.AUTO_FILES + 1
+
+
+def test_contents_are_spread_by_their_bytes(spark):
+    files = spark.range(0, 80, 1, 1).select(F.col("id").alias("file"), F.repeat(F.lit("some text "), 26_214).alias("content"))
+    assert spread(files).rdd.getNumPartitions() == 10  # 20 MB in 2 MiB each
+    assert markup.pieces(files).rdd.getNumPartitions() == 10 and markup.blocks(files).rdd.getNumPartitions() == 10
+
+
+def test_style_issues_meet_their_limit_without_a_join(spark):
+    sheets = spark.range(2).select(F.struct(F.lit("p").alias("project_id"), F.col("id").alias("ord"), F.concat(F.lit("f"), "id").alias("path")).alias("file"), F.concat(F.lit("a{"), F.repeat(F.lit("x:1 !important;"), 130), F.lit("}")).alias("content"))
+    rows = report.style_rows(sheets, sheets.limit(0).withColumns({"ord": F.lit(0), "line": F.lit(0), "language": F.lit("css")}))
+    assert "Join" not in rows._jdf.queryExecution().toString()
+    assert rows.groupBy("file").agg(F.count_if("capped").alias("n"), F.count("*").alias("all")).select("n", "all").distinct().collect() == [(120, 259)]
+
+
+def test_only_types_that_fields_lead_to_are_held(spark):
+    found = spark.sql("SELECT 'T' || id AS type, 'f' AS name, 'T' || id % 3 AS base_type, true AS is_list FROM range(1, 100)")
+    known = spark.sql("SELECT 'T' || id AS name, 'type' AS kind FROM range(1, 100)")
+    assert sorted(r.base_type for r in graphql._led_to(found, known).collect()) == ["T1", "T2"]
+    assert graphql.relations(found, known).count() == graphql.n_plus_one(found, known, known.where("name = 'Q'")).count() == 66
