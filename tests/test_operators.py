@@ -319,3 +319,13 @@ def test_all_is_well(spark):
     known = spark.sql(f"SELECT {row}, " + ", ".join(f"{worst} AS {n}" for n in ("complex", "longest", "deepest", "largest", "danger")))
     assert [(r["rank"], r["rule"], r["severity"]) for r in advisor.advise(known).collect()] == [(1, "all-clear", "success")]
     assert [(r["rule"], r["title"]) for r in advisor.advise(known.withColumn("cycle_count", F.lit(2))).collect()] == [("cycles", "Break circular dependencies (2 cycle(s))")]
+
+
+def test_a_chain_into_a_part_takes_few_jobs(spark):
+    """Every file of a long chain also imports one on a cycle: the walk follows the chain and enters at its end."""
+    n = 60
+    rows = [(f"c{k:02}", f"c{k + 1:02}", (k, 0)) for k in range(n)] + [(f"c{k:02}", f"r{k % 3}", (k, 1)) for k in range(n + 1)] + [(f"r{k}", f"r{(k + 1) % 3}", (n + 1 + k, 0)) for k in range(3)]
+    edges = spark.createDataFrame([("p", a, b, at) for a, b, at in rows], "project_id string, from string, to string, at struct<file_ord:long,imp_ord:int>")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert [r.path for r in graphs.cycles(edges).collect()] == walked_in_one_piece(rows)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before < 150
