@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,7 @@ CREATE_TABLE = rf"(?i)\bCREATE\s+(?:TEMPORARY\s+|TEMP\s+)?TABLE\s+(?:IF\s+NOT\s+
 _FOREIGN = rf"(?i)FOREIGN\s+KEY\s*\(([^)]*)\)\s*REFERENCES\s+{_NAME}\s*(?:\(([^)]*)\))?"
 ALTER_FOREIGN = rf"(?i)\bALTER\s+TABLE\s+(?:ONLY\s+)?{_NAME}[^;]*?FOREIGN\s+KEY\s*\(([^)]*)\)\s*REFERENCES\s+{_NAME}\s*(?:\(([^)]*)\))?"
 _CONSTRAINT = r"(?i)^(CONSTRAINT|PRIMARY\s|FOREIGN\s|UNIQUE\b|KEY\b|INDEX\b|CHECK\b|FULLTEXT\b|SPATIAL\b)"
+_BRACKETS = re.compile("([(),])")
 MAX_ISSUES = 100
 MAX_TABLES, MAX_COLUMNS, MAX_RELATIONS = 200, 40, 500
 MAX_CODE_TABLES, MAX_CODE_RELATIONS = 150, 300
@@ -33,40 +38,75 @@ def _nullable(x: Column) -> Column:
     return F.nullif(clean_identifier(x), F.lit(""))
 
 
-def _definitions(files: DataFrame) -> DataFrame:
-    """(file, table_ord, line, table, def_ord, d): the definitions inside CREATE TABLE, parentheses nested as deep as they are.
+def _bodies(heads: list[str], between: list[str]) -> list[tuple[int, int, str, list[str]]]:
+    """(table_ord, line, head, definitions) of a text's tables, by its heads and the texts before, between and behind them.
 
-    A statement whose parenthesis is not closed makes no table.
+    A head inside another table's body is text of that; one whose parenthesis is not closed makes no table.
     """
-    s = spread(files).select("file", masked("content", _HIDDEN).alias("s"))
-    parts = F.regexp_extract_all("s", F.lit(f"(?s){CREATE_TABLE}|[(),]|.[^(),cC]*+"), F.lit(0))
-    x = s.select("file", F.posexplode(parts).alias("pos", "t")).withColumn("head", F.regexp_like("t", F.lit(rf"(?s)\A{CREATE_TABLE}\z")))
-    w = Window.partitionBy("file").orderBy("pos")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumns({"up": ((F.col("t") == "(") | F.col("head")).cast("int"), "down": (F.col("t") == ")").cast("int"), "line": F.coalesce(F.sum(newlines(F.col("t"))).over(past), F.lit(0)).cast("int") + 1})
-    x = x.withColumn("level", F.sum(F.col("up") - F.col("down")).over(w) + F.col("down"))
-    partner = Window.partitionBy("file", (F.col("up") + F.col("down")) > 0, "level").orderBy("pos")
-    x = x.withColumn("end_pos", F.lead("pos").over(partner)).where("not head or end_pos is not null or level > 1")
-    # a head inside another table's body is text of that
-    outer = F.when(F.col("head") & F.col("end_pos").isNotNull(), F.struct("pos", "end_pos", "level", "t", "line"))
-    reach = F.coalesce(F.max(outer["end_pos"]).over(past), F.lit(-1))
-    x = x.withColumn("opens", outer.isNotNull() & (F.col("pos") > reach))
-    x = x.withColumn("o", F.last(F.when(F.col("opens"), outer), ignorenulls=True).over(past)).where((F.col("pos") < F.col("o.end_pos")) | F.col("opens"))
-    x = x.withColumn("table_ord", F.sum(F.col("opens").cast("int")).over(w) - 1).where("not opens")
-    cut = (F.col("t") == ",") & (F.col("level") == F.col("o.level"))
-    x = x.withColumn("def_ord", F.sum(cut.cast("int")).over(Window.partitionBy("file", "table_ord").orderBy("pos"))).where(~cut)
-    d = x.groupBy("file", "table_ord", "def_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda r: r["t"]), "").alias("d"), F.first("o.t").alias("head"), F.first("o.line").alias("line"))
-    return d.select("file", "table_ord", "line", clean_identifier(F.regexp_extract("head", CREATE_TABLE, 1)).alias("table"), "def_ord", collapse("d").alias("d"))
+    tokens, starts = [], {}
+    for k, text in enumerate(between):
+        if k:
+            starts[len(tokens)] = heads[k - 1]
+            tokens.append(heads[k - 1])
+        tokens += filter(None, _BRACKETS.split(text))
+    ends, opened = {}, []
+    for k, t in enumerate(tokens):
+        if t == "(" or k in starts:
+            opened.append(k)
+        elif t == ")" and opened:
+            ends[opened.pop()] = k
+    out, k, line, nth = [], 0, 1, 0
+    while k < len(tokens):
+        end = ends.get(k) if k in starts else None
+        if end is not None:
+            parts, level, filled = [[]], 0, False
+            for at in range(k + 1, end):
+                t = tokens[at]
+                if t == "," and not level:
+                    parts.append([])
+                    continue
+                level += (t == "(" or at in starts) - (t == ")")
+                parts[-1].append(t)
+                filled = True
+            if filled:
+                out.append((nth, line, tokens[k], ["".join(p) for p in parts]))
+            nth += 1
+        stop = k + 1 if end is None else end
+        line += sum(t.count("\n") for t in tokens[k:stop])
+        k = stop
+    return out
+
+
+def _definitions(masked_files: DataFrame) -> DataFrame:
+    """(file, table_ord, line, table, definitions) of (file, s): a row for each CREATE TABLE with anything in its parentheses,
+    which may nest as deep as they do. A text is at most 1 MiB; only those with such a statement leave the JVM."""
+    kind = masked_files.schema["file"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("heads").to_pylist(), batch.column("between").to_pylist(), strict=True)
+            rows = [(k, *r) for k, (heads, between) in enumerate(both) for r in _bodies(heads, between)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            types = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()))
+            file = batch.column("file").take(pa.array(columns[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([file, *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=True))], ["file", "table_ord", "line", "head", "definitions"])
+
+    x = masked_files.where(F.regexp_like("s", F.lit(CREATE_TABLE))).select("file", F.regexp_extract_all("s", F.lit(CREATE_TABLE), F.lit(0)).alias("heads"), F.split("s", CREATE_TABLE, -1).alias("between"))
+    d = x.mapInArrow(run, f"file {kind}, table_ord long, line int, head string, definitions array<string>")
+    return d.select("file", "table_ord", "line", clean_identifier(F.regexp_extract("head", CREATE_TABLE, 1)).alias("table"), F.transform("definitions", collapse).alias("definitions"))
+
+
+def _masked(files: DataFrame) -> DataFrame:
+    """(file, s): contents without comments and strings."""
+    return spread(files).select("file", masked("content", _HIDDEN).alias("s"))
 
 
 def tables(files: DataFrame) -> DataFrame:
     """(file, table_ord, name, line, columns): columns are structs of name, type and primary_key."""
-    d = _definitions(files)
     shape = r"^[`\"\[]?(\w+)[`\"\]]?\s+([A-Za-z]+(?:\s*\([^)]*\))?)"
-    is_column = ~F.col("d").rlike(_CONSTRAINT) & F.col("d").rlike(shape)
-    column = F.struct("def_ord", F.regexp_extract("d", shape, 1).alias("name"), F.regexp_replace(F.upper(F.regexp_extract("d", shape, 2)), r"\s+", "").alias("type"), F.col("d").rlike(r"(?i)PRIMARY\s+KEY").alias("primary_key"))
-    listed = d.groupBy("file", "table_ord", "table", "line").agg(F.array_sort(F.collect_list(F.when(is_column, column))).alias("c"))
-    return listed.select("file", "table_ord", F.col("table").alias("name"), "line", F.transform("c", lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type"), c["primary_key"].alias("primary_key"))).alias("columns"))
+    columns = F.filter("definitions", lambda d: ~d.rlike(_CONSTRAINT) & d.rlike(shape))
+    column = lambda d: F.struct(F.regexp_extract(d, shape, 1).alias("name"), F.regexp_replace(F.upper(F.regexp_extract(d, shape, 2)), r"\s+", "").alias("type"), d.rlike(r"(?i)PRIMARY\s+KEY").alias("primary_key"))
+    return _definitions(_masked(files)).select("file", "table_ord", F.col("table").alias("name"), "line", F.transform(columns, column).alias("columns"))
 
 
 def relations(files: DataFrame) -> DataFrame:
@@ -74,20 +114,22 @@ def relations(files: DataFrame) -> DataFrame:
 
     ``at`` orders those of a file: by table and definition, then those that ALTER TABLE adds.
     """
-    place = F.struct(F.lit(0).alias("kind"), F.col("table_ord").cast("int").alias("table"), F.col("def_ord").cast("int").alias("nth")).alias("at")
-    d = _definitions(files)
-    constraint = d.where(F.col("d").rlike(_CONSTRAINT) & F.col("d").rlike(_FOREIGN))
-    by_table = constraint.select("file", place, F.col("table").alias("from"), clean_identifier(F.regexp_extract("d", _FOREIGN, 1)).alias("from_column"), clean_identifier(F.regexp_extract("d", _FOREIGN, 2)).alias("to"), _nullable(F.regexp_extract("d", _FOREIGN, 3)).alias("to_column"))
+    s = _masked(files)
+    d = _definitions(s).select("file", "table_ord", "table", F.posexplode("definitions").alias("def_ord", "d"))
     inline = rf"(?i)\bREFERENCES\s+{_NAME}\s*(?:\(([^)]*)\))?"
     column = r"^[`\"\[]?(\w+)[`\"\]]?\s+[A-Za-z]+"
-    own = d.where(~F.col("d").rlike(_CONSTRAINT) & F.col("d").rlike(inline) & F.col("d").rlike(column))
-    by_column = own.select("file", place, F.col("table").alias("from"), F.regexp_extract("d", column, 1).alias("from_column"), clean_identifier(F.regexp_extract("d", inline, 1)).alias("to"), _nullable(F.regexp_extract("d", inline, 2)).alias("to_column"))
-    s = spread(files).select("file", masked("content", _HIDDEN).alias("s"))
+    part = lambda k, pattern: F.regexp_extract("d", pattern, k)
+    constraint = F.col("d").rlike(_CONSTRAINT)
+    place = F.struct(F.lit(0).alias("kind"), F.col("table_ord").cast("int").alias("table"), F.col("def_ord").cast("int").alias("nth")).alias("at")
+    of = lambda by_table, by_column: F.when(constraint, by_table).otherwise(by_column)
+    found = d.where((constraint & F.col("d").rlike(_FOREIGN)) | (~constraint & F.col("d").rlike(inline) & F.col("d").rlike(column)))
+    named = {"from": F.col("table"), "from_column": of(clean_identifier(part(1, _FOREIGN)), part(1, column)), "to": of(clean_identifier(part(2, _FOREIGN)), clean_identifier(part(1, inline))), "to_column": of(_nullable(part(3, _FOREIGN)), _nullable(part(2, inline)))}
+    by_table = found.select("file", place, *(c.alias(k) for k, c in named.items()))
     altered = s.select("file", F.posexplode(F.regexp_extract_all("s", F.lit(ALTER_FOREIGN), F.lit(0))).alias("nth", "t"))
-    part = lambda k: F.regexp_extract("t", ALTER_FOREIGN, k)
+    part_of = lambda k: F.regexp_extract("t", ALTER_FOREIGN, k)
     last = F.struct(F.lit(1).alias("kind"), F.lit(0).alias("table"), "nth").alias("at")
-    by_alter = altered.select("file", last, clean_identifier(part(1)).alias("from"), clean_identifier(part(2)).alias("from_column"), clean_identifier(part(3)).alias("to"), _nullable(part(4)).alias("to_column"))
-    return by_table.unionByName(by_column).unionByName(by_alter)
+    by_alter = altered.select("file", last, clean_identifier(part_of(1)).alias("from"), clean_identifier(part_of(2)).alias("from_column"), clean_identifier(part_of(3)).alias("to"), _nullable(part_of(4)).alias("to_column"))
+    return by_table.unionByName(by_alter)
 
 
 def issues(files: DataFrame, most: int = MAX_ISSUES) -> DataFrame:

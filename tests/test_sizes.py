@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from oracle import TABLES, same
 
-from lodestone.operators import graphql, graphs, markup
+from lodestone.operators import duplicates, graphql, graphs, markup, sqlfacts
 from lodestone.plans import report
 from lodestone.plans.queries import oracle_sql, queries
 from lodestone.sources.tables import spread
@@ -63,3 +63,12 @@ def test_only_types_that_fields_lead_to_are_held(spark):
     known = spark.sql("SELECT 'T' || id AS name, 'type' AS kind FROM range(1, 100)")
     assert sorted(r.base_type for r in graphql._led_to(found, known).collect()) == ["T1", "T2"]
     assert graphql.relations(found, known).count() == graphql.n_plus_one(found, known, known.where("name = 'Q'")).count() == 66
+
+
+def test_sql_definitions_are_cut_without_windows(spark):
+    text = "CREATE TABLE a (x INT, CREATE TABLE n (y INT), z DECIMAL(1, 2), FOREIGN KEY (x) REFERENCES v);\n) CREATE TABLE e ();CREATE TABLE c (k INT REFERENCES u(i)); CREATE TABLE open (q INT"
+    files = spark.createDataFrame([("f", text), ("g", None)], "file string, content string")
+    found, links = sqlfacts.tables(files), sqlfacts.relations(files)
+    assert [(r.table_ord, r.name, r.line, [c.name for c in r.columns]) for r in found.collect()] == [(0, "a", 1, ["x", "CREATE", "z"]), (2, "c", 2, ["k"])]
+    assert sorted((r["from"], r.from_column, r.to, r.to_column) for r in links.collect()) == [("a", "x", "v", None), ("c", "k", "u", "i")]
+    assert all("Window" not in x._jdf.queryExecution().toString() for x in (found, links))
