@@ -8,6 +8,7 @@ import pytest
 from oracle import TABLES, same
 
 from lodestone.operators import duplicates, graphql, graphs, markup, sqlfacts
+from lodestone.plans import queries as plans
 from lodestone.plans import report
 from lodestone.plans.queries import oracle_sql, queries
 from lodestone.sources.tables import spread
@@ -72,3 +73,9 @@ def test_sql_definitions_are_cut_without_windows(spark):
     assert [(r.table_ord, r.name, r.line, [c.name for c in r.columns]) for r in found.collect()] == [(0, "a", 1, ["x", "CREATE", "z"]), (2, "c", 2, ["k"])]
     assert sorted((r["from"], r.from_column, r.to, r.to_column) for r in links.collect()) == [("a", "x", "v", None), ("c", "k", "u", "i")]
     assert all("Window" not in x._jdf.queryExecution().toString() for x in (found, links))
+
+
+def test_rows_are_dealt_before_they_become_contents(spark):
+    folder = "/root/testdata/sf0.1"
+    for made in (plans._part(spark, folder, "p_name"), plans._sources(spark, folder, "p_name"), plans._project(spark, folder)):
+        assert made.rdd.getNumPartitions() == 20_000 // plans.MADE_ROWS
