@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.scope import first_rows, keys, scoped, side_by_side
+from lodestone.operators.scope import keys, ranked, scoped, side_by_side
 from lodestone.sources.tables import small, spread, written
 
 # Fixed values.
@@ -231,7 +231,7 @@ def ranked_types(r: Registry, most: int = MAX_LISTED_FIELDS) -> DataFrame:
     x = r.types.join(counts.hint("merge"), [*own, "name"], "left").join(r.roots.groupBy(*own, "name").agg(F.min("root").alias("root")), [*own, "name"], "left")
     x = x.withColumns({"field_count": F.coalesce("field_count", F.lit(0)), "fields": fields})
     x = x.withColumn("too_large", F.col("root").isNull() & (F.col("kind") != "enum") & (F.col("field_count") > MAX_FIELDS))
-    return first_rows(x, 1 << 30, F.col("root").isNull(), F.desc("field_count"), "at").select(*own, "name", "kind", "root", "too_large", "field_count", "fields", "source_files", "rank")
+    return ranked(x, F.col("root").isNull(), F.desc("field_count"), "at").select(*own, "name", "kind", "root", "too_large", "field_count", "fields", "source_files", "rank")
 
 
 def n_plus_one(found: DataFrame, known: DataFrame, root_names: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ import pyarrow.parquet as pq
 import pytest
 from oracle import TABLES, same
 
-from lodestone.operators import duplicates, graphql, graphs, markup, sqlfacts
+from lodestone.operators import duplicates, graphql, graphs, markup, scope, sqlfacts
 from lodestone.plans import queries as plans
 from lodestone.plans import report
 from lodestone.plans.queries import oracle_sql, queries
+from lodestone.sources import tables
 from lodestone.sources.tables import spread
 from pyspark.sql import functions as F
 
@@ -79,3 +80,19 @@ def test_rows_are_dealt_before_they_become_contents(spark):
     folder = "/root/testdata/sf0.1"
     for made in (plans._part(spark, folder, "p_name"), plans._sources(spark, folder, "p_name"), plans._project(spark, folder)):
         assert made.rdd.getNumPartitions() == 20_000 // plans.MADE_ROWS
+
+
+@pytest.mark.parametrize("own", [["project_id"], []])
+def test_ranks_of_many_rows_are_those_of_one_task(spark, monkeypatch, own):
+    rows = spark.range(0, 5000, 1, 7).selectExpr("id % 3 AS project_id", "id * 7919 % 100 AS a", "id").select(*own, "a", "id")
+    want = {(r.id, r.rank) for r in scope.ranked(rows, F.desc("a"), "id").collect()}
+    monkeypatch.setattr(tables, "FEW", 0)
+    found = scope.ranked(rows, F.desc("a"), "id")
+    assert {(r.id, r.rank) for r in found.collect()} == want and len(want) == 5000
+    assert "Window" not in found._jdf.queryExecution().toString()
+
+
+def test_a_copy_of_any_length_is_one_block(spark):
+    text = "\n".join(f"line {i} of a text that stands here twice" for i in range(450))
+    files = spark.createDataFrame([(k, f"d{k}", text) for k in range(2)], "file_ord long, file string, content string")
+    assert duplicates.percentage(files).collect() == [(1, 900, 900, 100.0)]
