@@ -31,7 +31,10 @@ _FROM = r"(?i)\b(?:FROM|JOIN)\s+[`\"\[]?([A-Za-z_]\w*)[`\"\]]?(?:\s+(?:AS\s+)?([
 _INSERT = r"(?i)\bINSERT\s+(?:IGNORE\s+)?INTO\s+[`\"\[]?([A-Za-z_]\w*)()"
 _UPDATE = r"(?i)\bUPDATE\s+[`\"\[]?([A-Za-z_]\w*)[`\"\]]?\s+SET\b()"
 _DELETE = r"(?i)\bDELETE\s+FROM\s+[`\"\[]?([A-Za-z_]\w*)()"
+_TARGETS = (_FROM, _INSERT, _UPDATE, _DELETE)
 _ON = r"(?i)\bON\s+[`\"\[]?([A-Za-z_]\w*)[`\"\]]?\s*\.\s*[`\"\[]?([A-Za-z_]\w*)[`\"\]]?\s*=\s*[`\"\[]?([A-Za-z_]\w*)[`\"\]]?\s*\.\s*[`\"\[]?([A-Za-z_]\w*)"
+#: What a name, an alias or an end of a join condition tells.
+_WORDS = {"key": "string", "nth": "struct<kind: int, k: int>", "name": "string", "on": "int", "side": "int", "word": "string", "column": "string"}
 
 
 def _nullable(x: Column) -> Column:
@@ -164,24 +167,28 @@ def likely_table(x: Column) -> Column:
 
 def embedded_tables(files: DataFrame) -> DataFrame:
     """Tables that code's queries name: name as first seen (reads before writes in a file), in how many files, and where first."""
-    seen = scoped(_targets(files).where(likely_table(F.col("name"))))
-    return seen.groupBy(*keys(seen), F.lower("name").alias("key")).agg(F.min_by("name", F.struct("file", "nth")).alias("name"), F.count_distinct("file").alias("files"), F.min(F.struct("file", "nth", "line")).alias("at"))
+    seen = _targets(files).where(likely_table(F.col("name"))).withColumn("key", F.lower("name"))
+    # files stay where they are, so that a task passes on a row a name
+    seen = scoped(seen.groupBy("file", "key").agg(F.min(F.struct("nth", "line", "name")).alias("t")))
+    first = seen.groupBy(*keys(seen), "key").agg(F.min(F.struct("file", "t")).alias("f"), F.count("*").alias("files"))
+    return first.select(*keys(seen), "key", "f.t.name", "files", F.struct("f.file", "f.t.nth", "f.t.line").alias("at"))
 
 
-def _targets(files: DataFrame) -> DataFrame:
-    """(file, nth, name, alias, line): after FROM and JOIN, then INSERT, UPDATE and DELETE, each in the order of the text.
+def _seen(kind: int, pattern: str) -> Column:
+    """What a pattern matches in a content: structs of nth, name, alias and the newlines before and inside it.
 
-    The text is split at what a pattern matches, so the line of a match is one more than the newlines before it.
+    The text is split at what the pattern matches, so the line of a match is one more than the newlines before it.
     """
-    hinted = spread(files).where(F.col("content").rlike(HINT))
+    part = lambda t, g: F.regexp_extract(t, pattern, g)
+    matches, between = F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), F.split("content", pattern, -1)
+    gap = lambda t, k: F.struct(newlines(F.get(between, k)).alias("before"), newlines(t).alias("inside"))
+    return F.transform(matches, lambda t, k: F.struct(F.struct(F.lit(kind).alias("kind"), k.alias("k")).alias("nth"), part(t, 1).alias("name"), part(t, 2).alias("alias"), gap(t, k).alias("gap")))
 
-    def seen(kind: int, pattern: str) -> Column:
-        part = lambda t, g: F.regexp_extract(t, pattern, g)
-        matches, between = F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), F.split("content", pattern, -1)
-        gap = lambda t, k: F.struct(newlines(F.get(between, k)).alias("before"), newlines(t).alias("inside"))
-        return F.transform(matches, lambda t, k: F.struct(F.struct(F.lit(kind).alias("kind"), k.alias("k")).alias("nth"), part(t, 1).alias("name"), part(t, 2).alias("alias"), gap(t, k).alias("gap")))
 
-    found = [seen(kind, pattern) for kind, pattern in enumerate((_FROM, _INSERT, _UPDATE, _DELETE))]
+def _targets(files: DataFrame) -> DataFrame:
+    """(file, nth, name, alias, line): after FROM and JOIN, then INSERT, UPDATE and DELETE, each in the order of the text."""
+    hinted = spread(files).where(F.col("content").rlike(HINT))
+    found = [_seen(kind, pattern) for kind, pattern in enumerate(_TARGETS)]
     x = hinted.select("file", F.explode(F.concat(*found)).alias("t")).select("file", "t.*")
     w = Window.partitionBy("file", "nth.kind").orderBy("nth.k")
     line = 1 + F.sum("gap.before").over(w) + F.coalesce(F.sum("gap.inside").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -202,18 +209,25 @@ def embedded_declared(files: DataFrame) -> DataFrame:
 
 def _joined(files: DataFrame) -> DataFrame:
     """(file, at, from, from_column, to, to_column) that join conditions show, aliases resolved within their file, the last
-    one of a name; no self-joins."""
-    t = _targets(files).where(likely_table(F.col("name")))
-    named = t.select("file", "nth", F.lower("name").alias("alias"), "name").unionByName(t.where(likely_table(F.col("alias"))).select("file", "nth", F.lower("alias").alias("alias"), "name"))
-    alias = named.groupBy("file", "alias").agg(F.max_by("name", "nth").alias("name"))
-    on = spread(files).where(F.col("content").rlike(HINT)).select("file", F.posexplode(F.regexp_extract_all("content", F.lit(_ON), F.lit(0))).alias("nth", "t"))
-    part = lambda k: F.regexp_extract("t", _ON, k)
-    last = F.struct(F.lit(2).alias("kind"), F.lit(0).alias("table"), "nth").alias("at")
-    on = on.select("file", last, part(1).alias("l"), part(3).alias("r"), F.lower(part(1)).alias("a"), part(2).alias("from_column"), F.lower(part(3)).alias("b"), part(4).alias("to_column"))
-    a, b = alias.select("file", F.col("alias").alias("a"), F.col("name").alias("x")), alias.select("file", F.col("alias").alias("b"), F.col("name").alias("y"))
-    both = on.join(a, ["file", "a"], "left").join(b, ["file", "b"], "left").withColumns({"from": F.coalesce("x", "l"), "to": F.coalesce("y", "r")})
-    both = both.where(likely_table(F.col("from")) & likely_table(F.col("to")) & (F.lower("from") != F.lower("to")))
-    return both.select("file", "at", "from", "from_column", "to", "to_column")
+    one of a name; no self-joins.
+
+    Names, aliases and both ends of the conditions of a file are rows of one table, so that files stay where they are dealt.
+    """
+    row = lambda **c: F.struct(*((c[k] if k in c else F.lit(None).cast(kind)).alias(k) for k, kind in _WORDS.items()))
+    part = lambda t, k: F.regexp_extract(t, _ON, k)
+    ends = lambda k: F.transform("on", lambda t, n: row(key=F.lower(part(t, k)), on=n, side=F.lit(k), word=part(t, k), column=part(t, k + 1)))
+    kinds = [_seen(kind, pattern) for kind, pattern in enumerate(_TARGETS)]
+    hinted = spread(files).where(F.col("content").rlike(HINT)).select("file", "content", F.regexp_extract_all("content", F.lit(_ON), F.lit(0)).alias("on")).where(F.size("on") > 0)
+    x = hinted.select("file", "on", F.filter(F.concat(*kinds), lambda t: likely_table(t["name"])).alias("t"))
+    names = F.transform("t", lambda t: row(key=F.lower(t["name"]), nth=t["nth"], name=t["name"]))
+    aliases = F.transform(F.filter("t", lambda t: likely_table(t["alias"])), lambda t: row(key=F.lower(t["alias"]), nth=t["nth"], name=t["name"]))
+    x = x.select("file", F.explode(F.concat(names, aliases, ends(1), ends(3))).alias("w")).select("file", "w.*")
+    x = x.withColumn("meant", F.max_by("name", "nth").over(Window.partitionBy("file", "key"))).where(F.col("on").isNotNull())
+    end = lambda k: F.max(F.when(F.col("side") == k, F.struct(F.coalesce("meant", "word").alias("name"), "column")))
+    both = x.groupBy("file", "on").agg(end(1).alias("l"), end(3).alias("r"))
+    last = F.struct(F.lit(2).alias("kind"), F.lit(0).alias("table"), F.col("on").alias("nth")).alias("at")
+    both = both.select("file", last, F.col("l.name").alias("from"), F.col("l.column").alias("from_column"), F.col("r.name").alias("to"), F.col("r.column").alias("to_column"))
+    return both.where(likely_table(F.col("from")) & likely_table(F.col("to")) & (F.lower("from") != F.lower("to")))
 
 
 def embedded_relations(files: DataFrame) -> DataFrame:

@@ -96,3 +96,20 @@ def test_a_copy_of_any_length_is_one_block(spark):
     text = "\n".join(f"line {i} of a text that stands here twice" for i in range(450))
     files = spark.createDataFrame([(k, f"d{k}", text) for k in range(2)], "file_ord long, file string, content string")
     assert duplicates.percentage(files).collect() == [(1, 900, 900, 100.0)]
+
+
+def test_aliases_are_resolved_where_their_file_is(spark):
+    texts = [
+        "SELECT 1 FROM orders oo JOIN items AS ii ON oo.id = ii.order_id",
+        "SELECT 1 FROM aa xx JOIN bb xx ON xx.k = cc.k OR ON aa.p = AA.q OR ON select.a = bb.b",  # the last alias counts; no self-joins, no words
+        "SELECT 1 FROM aa yy JOIN yy zz ON YY.a = zz.b OR ON zz.c = dd.d",  # a name is its own alias, and the last
+        "UPDATE up SET a = 1 WHERE b IN (SELECT 1 FROM cc up ON up.a = dd.a)",
+        "no query ON a.b = c.d",
+        None,
+    ]
+    files = spark.createDataFrame(list(enumerate(texts)), "file long, content string")
+    found = sqlfacts._joined(files)
+    assert sorted((r.file, r.at.nth, r["from"], r.from_column, r.to, r.to_column) for r in found.collect()) == [
+        (0, 0, "orders", "id", "items", "order_id"), (1, 0, "bb", "k", "cc", "k"), (2, 1, "yy", "c", "dd", "d"), (3, 0, "up", "a", "dd", "a"),
+    ]
+    assert "Join" not in found._jdf.queryExecution().toString()
