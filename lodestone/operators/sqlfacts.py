@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import clean_identifier, collapse, js_trim, masked, newlines
-from lodestone.operators.scope import first_rows, keys, scoped
-from lodestone.sources.tables import spread
+from lodestone.operators.scope import first_distinct, first_rows, keys, scoped
+from lodestone.sources.tables import deals, spread
 
 # Patterns of SQL, words that are no table names, and sizes of lists.
 _HIDDEN = r"--[^\n]*+|/\*.*?\*/|'[^']*+'"
@@ -241,15 +241,15 @@ def code_schema(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     Tables: name, file, line, columns, inferred, rank; those that code declares come before those that it only uses.
     Relations: from, from_column, to, to_column, file, inferred, rank.
     """
-    declared = embedded_declared(files).withColumn("at", F.struct(F.lit(0).alias("kind"), "file", F.struct(F.lit(0).alias("kind"), F.col("table_ord").cast("int").alias("k")).alias("nth")))
-    used, own = embedded_tables(files), keys(declared)
-    used = used.withColumn("key", F.lower("name")).join(declared.select(*own, F.lower("name").alias("key")), [*own, "key"], "left_anti")
-    used = used.select(*own, "name", F.col("at.file").alias("file"), "at.line", F.struct(F.lit(1).alias("kind"), F.col("at.file").alias("file"), F.col("at.nth").alias("nth")).alias("at"))
-    none = F.array().cast(declared.schema["columns"].dataType)
-    both = declared.select(*own, "name", "file", "line", "at", "columns", F.lit(False).alias("inferred")).unionByName(used.withColumns({"columns": none, "inferred": F.lit(True)}))
-    found = scoped(relations(quoted(files)).withColumn("inferred", F.lit(False)).unionByName(_joined(files).withColumn("inferred", F.lit(True))))
-    first = found.groupBy(*keys(found), _relation_key().alias("key")).agg(F.min(F.struct("file", "at", "from", "from_column", "to", "to_column", "inferred")).alias("r")).select(*keys(found), "r.*")
-    return first_rows(both, MAX_CODE_TABLES, "at").drop("at"), first_rows(first, MAX_CODE_RELATIONS, "file", "at").drop("at")
+    at = lambda kind, own, k: F.struct(F.lit(kind).alias("kind"), "file", F.struct(own.alias("kind"), k.cast("int").alias("k")).alias("nth")).alias("at")
+    declared = tables(quoted(files)).select(at(0, F.lit(0), F.col("table_ord")), "name", "file", "line", "columns", F.lit(False).alias("inferred"))
+    used = _targets(files).where(likely_table(F.col("name")))
+    none = F.array().cast(declared.schema["columns"].dataType).alias("columns")
+    used = used.select(at(1, F.col("nth.kind"), F.col("nth.k")), "name", "file", "line", none, F.lit(True).alias("inferred"))
+    found = relations(quoted(files)).withColumn("inferred", F.lit(False)).unionByName(_joined(files).withColumn("inferred", F.lit(True)))
+    n = deals(files)
+    first = first_distinct(declared.unionByName(used), MAX_CODE_TABLES, F.lower("name"), n, "at")
+    return first.drop("at"), first_distinct(found, MAX_CODE_RELATIONS, _relation_key(), n, "file", "at").drop("at")
 
 
 def schema(sql: DataFrame, code: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """Queries on tables large enough to pass the limits of the lists of a report."""
 
 import os
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -113,3 +114,24 @@ def test_aliases_are_resolved_where_their_file_is(spark):
         (0, 0, "orders", "id", "items", "order_id"), (1, 0, "bb", "k", "cc", "k"), (2, 1, "yy", "c", "dd", "d"), (3, 0, "up", "a", "dd", "a"),
     ]
     assert "Join" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("most", [1, 5, 40])
+def test_first_of_equal_rows_are_those_of_one_task(spark, most):
+    rows = [(f"p{k % 2}", k, f"k{k * 7919 % 97 % (9 if k % 2 else 60)}") for k in range(600)]
+    x = spark.createDataFrame(rows, "project_id string, ord long, name string").select(F.struct("project_id", "ord").alias("file"), "name")
+    want = set()
+    for p in ("p0", "p1"):
+        first = {}
+        for project, k, name in rows:
+            if project == p:
+                first.setdefault(name, k)
+        want |= {(p, k, name, n + 1) for n, (name, k) in enumerate(list(first.items())[:most])}
+    found = scope.first_distinct(x, most, F.col("name"), 3, "file")
+    assert {(r.project_id, r.file.ord, r.name, r["rank"]) for r in found.collect()} == want
+
+
+def test_tasks_of_code_schemas_do_not_depend_on_the_shuffle(spark):
+    rows = spark.range(0, 40, 1, 1).select(F.struct((F.col("id") % 2).alias("project_id"), "id").alias("file"), F.concat(F.lit("SELECT 1 FROM a JOIN b ON a.x = b.y "), F.repeat(F.lit("-"), 1 << 18)).alias("content"))
+    for found in sqlfacts.code_schema(rows):
+        assert re.search(r"hashpartitioning\(group#\w+, 6\), REPARTITION_BY_NUM", found._jdf.queryExecution().toString())  # 10 MiB, 2 in each
