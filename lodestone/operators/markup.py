@@ -23,14 +23,20 @@ _ALT, _HANDLER, _STYLE, _LANG, _SRC = r"(?i)\balt\s*=", r"(?i)\son\w+\s*=", r"(?
 _VIEWPORT, _ID = r"(?i)name\s*=\s*[\"']viewport[\"']", r"(?i)\bid\s*=\s*[\"']([^\"']+)[\"']"
 
 
+def _pieces() -> Column:
+    return F.regexp_extract_all("content", F.lit(rf"(?is)<!--.*?-->|{_RAW}|</?[a-z][a-z0-9-]*(?:\s[^<>]*)?/?>|.[^<]*+"), F.lit(0))
+
+
 def pieces(pages: DataFrame) -> DataFrame:
     """(file, pos, line, t, raw) of (file, content): comments, scripts and styles as a whole (raw), tags, and text between.
 
     A script or style without an end tag takes the rest of the page, one that closes itself is a tag. A file without
     content has one row without a piece.
     """
-    whole = rf"(?is)<!--.*?-->|{_RAW}|</?[a-z][a-z0-9-]*(?:\s[^<>]*)?/?>|.[^<]*+"
-    found = spread(pages).select("file", F.posexplode_outer(F.regexp_extract_all("content", F.lit(whole), F.lit(0))).alias("pos", "t"))
+    return _lined(spread(pages).select("file", F.posexplode_outer(_pieces()).alias("pos", "t")))
+
+
+def _lined(found: DataFrame) -> DataFrame:
     before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     line = F.coalesce(F.sum(newlines(F.col("t"))).over(before), F.lit(0)) + 1
     return found.withColumns({"line": line, "raw": F.regexp_like("t", F.lit(rf"(?is)\A{_RAW}\z"))})
@@ -41,40 +47,75 @@ def tags(pages: DataFrame) -> DataFrame:
 
     A file without tags has one row without a tag.
     """
+    return _tags(pieces(pages))
+
+
+def _tags(found: DataFrame) -> DataFrame:
     part = lambda k: F.regexp_extract("t", _TAG, k)
     own = F.regexp_like("t", F.lit(_TAG.replace("(?i)", r"(?i)\A") + r"\z")) & ~F.col("raw")
-    x = pieces(pages).where(own | (F.coalesce(F.col("pos"), F.lit(0)) == 0))
+    x = found.where(own | (F.coalesce(F.col("pos"), F.lit(0)) == 0))
     of = lambda c: F.when(own, c)
     return x.select("file", "pos", "line", of(part(1) == "/").alias("closing"), of(F.lower(part(2))).alias("tag"), of(part(3)).alias("attrs"), of(F.col("t").endswith("/>")).alias("closed"))
 
 
+def _listed_tags(pages: DataFrame) -> DataFrame:
+    """(file, pieces, tags): a row for each page with the array of its tags, which are structs of pos, tag, attrs, closing and
+    closed as in ``tags``; ``_line`` gives the line of one."""
+    name = lambda t: F.when(t.startswith("<"), F.regexp_extract(t, _TAG.replace("(?i)", r"(?i)\A") + r"\z", 2)).otherwise("")
+    raw = lambda x: F.lower(x["name"]).isin("script", "style") & F.regexp_like(x["t"], F.lit(rf"(?is)\A{_RAW}\z"))
+    cut = spread(pages).select("file", F.coalesce(_pieces(), F.array().cast("array<string>")).alias("pieces"))
+    named = F.filter(F.transform("pieces", lambda t, k: F.struct(k.alias("pos"), t.alias("t"), name(t).alias("name"))), lambda x: (x["name"] != "") & ~raw(x))
+    # what stands between the name and the last character, with the slash
+    attrs = lambda x: F.substring(x["t"], F.length(x["name"]) + F.when(x["t"].startswith("</"), 3).otherwise(2), F.length(x["t"]) - F.length(x["name"]) - F.when(x["t"].startswith("</"), 3).otherwise(2))
+    tag = lambda x: F.struct(x["pos"].alias("pos"), F.lower(x["name"]).alias("tag"), attrs(x).alias("attrs"), x["t"].startswith("</").alias("closing"), x["t"].endswith("/>").alias("closed"))
+    return cut.select("file", "pieces", F.transform(named, tag).alias("tags"))
+
+
+def _has(x: Column, pattern: str) -> Column:
+    return (F.length(x["attrs"]) > 1) & x["attrs"].rlike(pattern)
+
+
+def _line(tag: Column) -> Column:
+    """One more than the newlines of the pieces before; for the few tags of a page whose line is wanted."""
+    return (1 + newlines(F.array_join(F.slice("pieces", F.lit(1), tag["pos"]), ""))).cast("int")
+
+
+def _is_no_alt(x: Column) -> Column:
+    return ~x["closing"] & (x["tag"] == "img") & ~_has(x, _ALT)
+
+
+def _is_handler(x: Column) -> Column:
+    return ~x["closing"] & _has(x, _HANDLER)
+
+
+def _is_deprecated(x: Column) -> Column:
+    return ~x["closing"] & x["tag"].isin(*DEPRECATED)
+
+
 def page_checks(pages: DataFrame) -> DataFrame:
     """A row for each page with what it misses or holds too much of; document checks only where there is an <html> tag.
 
-    max_depth is that of open elements (see ``deepest``), the lists hold the lines of the first tags of their kind.
+    max_depth is that of open elements (see ``deepest``), the lists hold the lines of the first tags of their kind. A page's
+    tags are an array of its own row, so nothing is sorted or grouped.
     """
-    a, tag, opens = F.col("attrs"), F.col("tag"), ~F.col("closing")
-    no_alt, handler = opens & (tag == "img") & ~a.rlike(_ALT), opens & a.rlike(_HANDLER)
-    lines = lambda found: F.slice(F.transform(F.array_sort(F.collect_list(F.when(found, F.struct("pos", "line")))), lambda x: x["line"]), 1, MAX_LINES)
-    any_of = lambda found: F.coalesce(F.bool_or(found), F.lit(False))
-    step = F.when(F.col("closing"), F.concat(F.lit("/"), tag)).when(~tag.isin(*VOID) & ~F.col("closed"), tag)
-    counts = tags(pages).groupBy("file").agg(
-        F.count("tag").alias("tag_count"),
-        F.count_if(no_alt).alias("missing_alt"),
-        F.count_if(handler).alias("inline_handlers"),
-        F.count_if(opens & a.rlike(_STYLE)).alias("inline_styles"),
-        F.count_if(opens & tag.isin(*DEPRECATED)).alias("deprecated_tags"),
-        lines(no_alt).alias("missing_alt_lines"),
-        lines(handler).alias("inline_handler_lines"),
-        any_of(opens & (tag == "html")).alias("has_html"),
-        any_of(opens & (tag == "html") & a.rlike(_LANG)).alias("has_lang"),
-        any_of((tag == "meta") & a.rlike(_VIEWPORT)).alias("has_viewport"),
-        any_of(opens & (tag == "title")).alias("has_title"),
-        F.transform(F.array_sort(F.collect_list(F.when(step.isNotNull(), F.struct("pos", step.alias("step"))))), lambda x: x["step"]).alias("steps"),
+    lines = lambda found: F.transform(F.slice(found, 1, MAX_LINES), _line)
+    step = lambda x: F.when(x["closing"], F.concat(F.lit("/"), x["tag"])).when(~x["tag"].isin(*VOID) & ~x["closed"], x["tag"])
+    is_html = lambda x: ~x["closing"] & (x["tag"] == "html")
+    x = _listed_tags(pages).withColumn("given", F.filter("tags", lambda x: F.length(x["attrs"]) > 1))
+    x = x.withColumns({"no_alt": F.filter("tags", _is_no_alt), "handlers": F.filter("given", _is_handler), "has_html": F.exists("tags", is_html)})
+    has = {"lang": lambda x: is_html(x) & _has(x, _LANG), "viewport": lambda x: (x["tag"] == "meta") & _has(x, _VIEWPORT), "title": lambda x: ~x["closing"] & (x["tag"] == "title")}
+    return x.select(
+        "file",
+        F.size("tags").cast("long").alias("tag_count"),
+        F.size("no_alt").cast("long").alias("missing_alt"),
+        F.size("handlers").cast("long").alias("inline_handlers"),
+        F.size(F.filter("given", lambda x: ~x["closing"] & _has(x, _STYLE))).cast("long").alias("inline_styles"),
+        F.least(F.size(F.filter("tags", _is_deprecated)).cast("long"), F.lit(MAX_DEPRECATED)).alias("deprecated_tags"),
+        lines("no_alt").alias("missing_alt_lines"),
+        lines("handlers").alias("inline_handler_lines"),
+        *((F.col("has_html") & ~F.exists("tags" if k == "title" else "given", found)).alias(f"missing_{k}") for k, found in has.items()),
+        deepest(F.array_compact(F.transform("tags", step))).alias("max_depth"),
     )
-    miss = {f"missing_{k}": F.col("has_html") & ~F.col(f"has_{k}") for k in ("lang", "viewport", "title")}
-    more = {"deprecated_tags": F.least("deprecated_tags", F.lit(MAX_DEPRECATED)), "max_depth": deepest("steps")}
-    return counts.withColumns(miss | more).drop("has_html", "has_lang", "has_viewport", "has_title", "steps")
 
 
 def deepest(steps: Column | str) -> Column:
@@ -87,7 +128,7 @@ def deepest(steps: Column | str) -> Column:
     @F.pandas_udf("int")
     def walk(pages: pd.Series) -> pd.Series:
         out = []
-        for names in pages:
+        for names in pages.str.split():
             opened: list[str] = []
             places: dict[str, list[int]] = {}
             most = 0
@@ -104,7 +145,8 @@ def deepest(steps: Column | str) -> Column:
             out.append(most)
         return pd.Series(out, dtype="int32")
 
-    return walk(steps)
+    # one string, which costs Arrow and pandas less than an array; names hold no spaces
+    return walk(F.array_join(steps, " "))
 
 
 def depth(pages: DataFrame) -> DataFrame:
@@ -113,7 +155,13 @@ def depth(pages: DataFrame) -> DataFrame:
 
 
 def _repeated_ids(pages: DataFrame) -> DataFrame:
-    ids = tags(pages).where(~F.col("closing")).select("file", "pos", "line", F.nullif(F.regexp_extract("attrs", _ID, 1), F.lit("")).alias("id")).where("id is not null")
+    """Only pages in which tags name an id twice become rows of their pieces."""
+    opened = F.filter("tags", lambda x: ~x["closing"])
+    named = F.filter(F.transform(opened, lambda x: F.regexp_extract(x["attrs"], _ID, 1)), lambda x: x != "")
+    some = _listed_tags(pages).withColumn("ids", named)
+    # no filter, which would run before the pages are dealt
+    some = some.select("file", F.posexplode(F.when(F.size("ids") > F.size(F.array_distinct("ids")), F.col("pieces"))).alias("pos", "t"))
+    ids = _tags(_lined(some)).where(~F.col("closing")).select("file", "pos", "line", F.nullif(F.regexp_extract("attrs", _ID, 1), F.lit("")).alias("id")).where("id is not null")
     same = Window.partitionBy("file", "id").orderBy("pos")
     again = ids.withColumns({"nth": F.row_number().over(same), "lines": F.array(F.first("line").over(same), "line").cast("array<int>")}).where("nth > 1")
     return again.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("pos"))).where(F.col("place") <= MAX_DUPLICATE_IDS)
@@ -126,25 +174,24 @@ def duplicate_ids(pages: DataFrame) -> DataFrame:
 
 def deprecated_tags(pages: DataFrame, most: int = MAX_DEPRECATED) -> DataFrame:
     """(file, nth, tag, line) of deprecated tags in the order of the page, at most 30 a file."""
-    found = tags(pages).where(~F.col("closing") & F.col("tag").isin(*DEPRECATED))
-    return found.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("pos"))).where(F.col("nth") <= most).select("file", "nth", "tag", "line")
+    first = F.slice(F.filter("tags", _is_deprecated), 1, most)
+    found = _listed_tags(pages).select("file", F.posexplode(F.transform(first, lambda x: F.struct(x["tag"].alias("tag"), _line(x).alias("line")))).alias("nth", "x"))
+    return found.select("file", (F.col("nth") + 1).alias("nth"), "x.tag", "x.line")
 
 
 def page_issues(pages: DataFrame, checks: DataFrame | None = None) -> DataFrame:
     """(file, ord, type, line, what, lines): missing alts, duplicate ids, deprecated tags, handlers and what the document
     misses, in this order and as many of each as the page's own lists hold."""
-    c = page_checks(pages) if checks is None else checks
     none, no_lines = F.lit(None).cast("string"), F.lit(None).cast("array<int>")
-    row = lambda df, kind, nth, name, line, what=none, lines=no_lines: df.select("file", F.struct(F.lit(kind).alias("kind"), nth.cast("int").alias("nth")).alias("ord"), name.alias("type"), line.cast("int").alias("line"), what.alias("what"), lines.cast("array<int>").alias("lines"))
-    nth, line = F.col("nth"), F.col("line")
-    listed = lambda column: c.select("file", F.posexplode(column).alias("nth", "line"))
+    row = lambda kind, nth, name, line, what=none, lines=no_lines: F.struct(F.struct(F.lit(kind).alias("kind"), nth.cast("int").alias("nth")).alias("ord"), name.alias("type"), line.cast("int").alias("line"), what.alias("what"), lines.cast("array<int>").alias("lines"))
+    listed = lambda column, kind, name: F.transform(column, lambda line, nth: row(kind, nth, F.lit(name), line))
     missing = F.array_compact(F.array(*(F.when(F.col(f"missing_{k}"), f"missing-{k}") for k in ("lang", "viewport", "title"))))
-    document = c.select("file", F.posexplode(missing).alias("nth", "type"))
-    out = row(listed("missing_alt_lines"), 0, nth, F.lit("missing-alt"), line)
-    out = out.unionByName(row(_repeated_ids(pages), 1, F.col("place"), F.lit("duplicate-id"), F.lit(None), F.col("id"), F.col("lines")))
-    out = out.unionByName(row(deprecated_tags(pages), 2, nth, F.lit("deprecated-tag"), line, F.col("tag")))
-    out = out.unionByName(row(listed("inline_handler_lines"), 3, nth, F.lit("inline-handler"), line))
-    return out.unionByName(row(document, 4, nth, F.col("type"), F.lit(1)))
+    document = F.transform(missing, lambda name, nth: row(4, nth, name, F.lit(1)))
+    c = page_checks(pages) if checks is None else checks
+    of_checks = c.select("file", F.explode(F.concat(listed("missing_alt_lines", 0, "missing-alt"), listed("inline_handler_lines", 3, "inline-handler"), document)).alias("i")).select("file", "i.*")
+    of_ids = _repeated_ids(pages).select("file", row(1, F.col("place"), F.lit("duplicate-id"), F.lit(None), F.col("id"), F.col("lines")).alias("i")).select("file", "i.*")
+    of_tags = deprecated_tags(pages).select("file", row(2, F.col("nth"), F.lit("deprecated-tag"), F.col("line"), F.col("tag")).alias("i")).select("file", "i.*")
+    return of_checks.unionByName(of_ids).unionByName(of_tags)
 
 
 def inline_code(pages: DataFrame) -> DataFrame:

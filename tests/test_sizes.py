@@ -135,3 +135,21 @@ def test_tasks_of_code_schemas_do_not_depend_on_the_shuffle(spark):
     rows = spark.range(0, 40, 1, 1).select(F.struct((F.col("id") % 2).alias("project_id"), "id").alias("file"), F.concat(F.lit("SELECT 1 FROM a JOIN b ON a.x = b.y "), F.repeat(F.lit("-"), 1 << 18)).alias("content"))
     for found in sqlfacts.code_schema(rows):
         assert re.search(r"hashpartitioning\(group#\w+, 6\), REPARTITION_BY_NUM", found._jdf.queryExecution().toString())  # 10 MiB, 2 in each
+
+
+def test_page_checks_need_no_windows_or_groups(spark):
+    text = '<!-- <img> --><html\nlang=x><IMG src="a"/>\n<script>"<img>"</script><img ALT=x><p onclick=y style=z>\n<a\nonblur=x>< b <font/><meta NAME="viewport"/></p></i><br><script><img>'
+    pages = spark.createDataFrame([("f", text), ("g", None), ("h", "<b id='a'>\n<b id=\"a\"></b id='a'><i id='b'><!-- <u id='b'> -->\n<b id='a' ID='b'>")], "file string, content string")
+    checks = markup.page_checks(pages)
+    assert not any(word in checks._jdf.queryExecution().toString() for word in ("Window", "Aggregate", "Sort"))
+    of = {r.file: r for r in checks.collect()}
+    assert of["f"].asDict() | {"file": 0} == {
+        "file": 0, "tag_count": 10, "missing_alt": 1, "inline_handlers": 2, "inline_styles": 1, "deprecated_tags": 1, "missing_alt_lines": [2], "inline_handler_lines": [3, 4],
+        "missing_lang": False, "missing_viewport": False, "missing_title": True, "max_depth": 3,
+    }
+    assert (of["g"].tag_count, of["g"].missing_title, of["g"].max_depth, of["g"].missing_alt_lines) == (0, False, 0, [])
+    found = markup.page_issues(pages)
+    assert sorted((r.file, r.ord.kind, r.type, r.line, r.what, r.lines) for r in found.where("file = 'h'").collect()) == [("h", 1, "duplicate-id", None, "a", [1, 2]), ("h", 1, "duplicate-id", None, "a", [1, 3])]
+    assert sorted((r.ord.kind, r.type, r.line) for r in found.where("file = 'f'").collect()) == [(0, "missing-alt", 2), (2, "deprecated-tag", 5), (3, "inline-handler", 3), (3, "inline-handler", 4), (4, "missing-title", 1)]
+    # without an id twice, no row is made of a piece
+    assert "PushedFilters" not in found._jdf.queryExecution().toString() and markup.duplicate_ids(pages).count() == 2
