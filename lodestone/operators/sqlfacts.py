@@ -217,11 +217,11 @@ def _joined(files: DataFrame) -> DataFrame:
     part = lambda t, k: F.regexp_extract(t, _ON, k)
     ends = lambda k: F.transform("on", lambda t, n: row(key=F.lower(part(t, k)), on=n, side=F.lit(k), word=part(t, k), column=part(t, k + 1)))
     kinds = [_seen(kind, pattern) for kind, pattern in enumerate(_TARGETS)]
-    hinted = spread(files).where(F.col("content").rlike(HINT)).select("file", "content", F.regexp_extract_all("content", F.lit(_ON), F.lit(0)).alias("on")).where(F.size("on") > 0)
+    hinted = spread(files).where(F.col("content").rlike(HINT)).select("file", "content", F.regexp_extract_all("content", F.lit(_ON), F.lit(0)).alias("on"))
     x = hinted.select("file", "on", F.filter(F.concat(*kinds), lambda t: likely_table(t["name"])).alias("t"))
     names = F.transform("t", lambda t: row(key=F.lower(t["name"]), nth=t["nth"], name=t["name"]))
     aliases = F.transform(F.filter("t", lambda t: likely_table(t["alias"])), lambda t: row(key=F.lower(t["alias"]), nth=t["nth"], name=t["name"]))
-    x = x.select("file", F.explode(F.concat(names, aliases, ends(1), ends(3))).alias("w")).select("file", "w.*")
+    x = x.select("file", F.explode(F.when(F.size("on") > 0, F.concat(names, aliases, ends(1), ends(3)))).alias("w")).select("file", "w.*")
     x = x.withColumn("meant", F.max_by("name", "nth").over(Window.partitionBy("file", "key"))).where(F.col("on").isNotNull())
     end = lambda k: F.max(F.when(F.col("side") == k, F.struct(F.coalesce("meant", "word").alias("name"), "column")))
     both = x.groupBy("file", "on").agg(end(1).alias("l"), end(3).alias("r"))
