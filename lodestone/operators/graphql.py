@@ -59,9 +59,16 @@ def _others(sources: DataFrame) -> DataFrame:
     return named(r"\bunion\s+([A-Za-z_]\w*)\s*=", "union").unionByName(named(r"\bscalar\s+([A-Za-z_]\w*)", "scalar"))
 
 
-def fields(sources: DataFrame) -> DataFrame:
-    """(type, name, raw_type, base_type, is_list, has_args): of fields that repeat, the first counts."""
-    return _merged_fields(_fields(sources))
+def fields(sources: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(type, name, raw_type, base_type, is_list, has_args): of fields that repeat, the first counts.
+
+    With ``of``, those of types with the names in it alone: the others are left out before anything is shuffled.
+    """
+    found = _fields(sources)
+    if of is not None:
+        own = keys(of)
+        found = scoped(found.withColumn("file", F.col("at.file"))).drop("file").join(small(written(of.select(*own, F.col("name").alias("type")).distinct(), "named")), [*own, "type"], "left_semi")
+    return _merged_fields(found)
 
 
 def _fields(sources: DataFrame) -> DataFrame:

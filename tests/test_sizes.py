@@ -153,3 +153,14 @@ def test_page_checks_need_no_windows_or_groups(spark):
     assert sorted((r.ord.kind, r.type, r.line) for r in found.where("file = 'f'").collect()) == [(0, "missing-alt", 2), (2, "deprecated-tag", 5), (3, "inline-handler", 3), (3, "inline-handler", 4), (4, "missing-title", 1)]
     # without an id twice, no row is made of a piece
     assert "PushedFilters" not in found._jdf.queryExecution().toString() and markup.duplicate_ids(pages).count() == 2
+
+
+def test_only_fields_of_roots_are_merged_for_resolvers(spark):
+    sdl = spark.createDataFrame([(k, f"type T{k} {{ a: Int }} extend type Query {{ q{k % 3}(x: Int): T{k} }} extend type Mutation {{ m: T{k} }}") for k in range(5)], "file long, content string")
+    roots = graphql.roots(sdl)
+    found = graphql.fields(sdl, roots.where("root = 'Query'"))
+    assert sorted((r.type, r.name, r.base_type, r.has_args) for r in found.collect()) == [("Query", f"q{k}", f"T{k}", True) for k in range(3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join LeftSemi")  # the join is below
+    have = spark.createDataFrame([("q1",)], "key string")
+    assert sorted(r.key for r in graphql.missing_resolvers(graphql.fields(sdl, roots), roots, have).collect()) == ["m", "q0", "q2"]
