@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from oracle import TABLES, same
 
-from lodestone.operators import duplicates, graphql, graphs, markup, scope, sqlfacts
+from lodestone.operators import duplicates, graphql, graphs, javascript, markup, scope, sqlfacts
 from lodestone.plans import queries as plans
 from lodestone.plans import report
 from lodestone.plans.queries import oracle_sql, queries
@@ -164,3 +164,12 @@ def test_only_fields_of_roots_are_merged_for_resolvers(spark):
     assert plan.index("Aggregate") < plan.index("Join LeftSemi")  # the join is below
     have = spark.createDataFrame([("q1",)], "key string")
     assert sorted(r.key for r in graphql.missing_resolvers(graphql.fields(sdl, roots), roots, have).collect()) == ["m", "q0", "q2"]
+
+
+def test_scripts_are_cut_into_tokens_once(spark, monkeypatch):
+    cut = []
+    make = javascript._Source.__init__
+    monkeypatch.setattr(javascript._Source, "__init__", lambda self, text: (cut.append(text), make(self, text))[1])
+    found = list(javascript._rows(0, "function f(a) { return `x\n${a ? {b: 1} : 2}` }\nclass K { type() { x.type; if (a?.b) { } } }\n)"))
+    assert [r[1:4] for r in found] == [("f", 1, 2), ("K.type", 3, 3), (None, None, None)] and found[-1][-1].endswith("(line 4)")
+    assert len(cut) == 1 and [r[-1] for r in javascript._rows(1, None)] == []
