@@ -173,3 +173,13 @@ def test_scripts_are_cut_into_tokens_once(spark, monkeypatch):
     found = list(javascript._rows(0, "function f(a) { return `x\n${a ? {b: 1} : 2}` }\nclass K { type() { x.type; if (a?.b) { } } }\n)"))
     assert [r[1:4] for r in found] == [("f", 1, 2), ("K.type", 3, 3), (None, None, None)] and found[-1][-1].endswith("(line 4)")
     assert len(cut) == 1 and [r[-1] for r in javascript._rows(1, None)] == []
+
+
+def test_lines_are_cleaned_and_hashed_once(spark):
+    source = ["a \u0085 b \u0085", "x \t y", "﻿ z // c", "  one  two ", "http://k // d", "　"]
+    files = spark.createDataFrame([(0, "f", "\n".join(source))], "file_ord long, file string, content string")
+    norm = duplicates.normalized_lines(files)
+    assert [r.text for r in norm.orderBy("idx").collect()] == ["a \u0085 b \u0085", "x y", "z", "one two", "http://k"]
+    plan = duplicates.hashed(norm)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("//.*$") == 1 and plan.count("sha1") == 1
+    assert plan.count("Sort [") == 1  # one sorting serves places and windows
