@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -469,3 +470,23 @@ def test_mixing_equal_rows_of_many_tasks(spark):
     open_rows = table.select(F.lit("s").alias("part"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("nth"), F.lit(3).alias("size"), F.lit(0.5).alias("p"), F.lit(False).alias("heavy"))
     numbered = mixing._numbered(open_rows)
     assert numbered.count() == len(rows) == numbered.select("id", "nth").distinct().count()
+
+
+def test_pieces_forgotten_between_texts_are_learnt_together(monkeypatch):
+    c, calls = tokens.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json")), []
+    texts = ["one two three", "two three Łódź four", "five two 中文 one"]
+    want = c.of_texts([*texts, "six seven"])
+    c.forget()
+    c.of_texts(texts)
+    monkeypatch.setattr(tokens, "REMEMBERED", 1)
+    monkeypatch.setattr(c, "_learn", lambda *a, f=c._learn: calls.append(len(a[0])) or f(*a))
+    assert c.of_texts([*texts, "six seven"]) == want
+    assert calls == [len({p for x in [*texts, "six seven"] for p in c.pieces.findall(x)})]
+
+
+def test_latin_texts_are_cut_as_others():
+    deal, chars = random.Random(5), [chr(i) for i in range(0x250)]
+    for some in (chars, list("'stmdrevl \n\tAz09.²\x1c\x1f\u0085 é")):
+        for _ in range(3000):
+            text = "".join(deal.choices(some, k=12))
+            assert tokens.LATIN_PIECES.findall(text) == regex.findall(tokens.PIECES, text)
