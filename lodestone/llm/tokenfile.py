@@ -42,9 +42,10 @@ from lodestone.llm.tokens import _byte_chars as byte_chars
 END = 0
 #: Frequencies of the table add up to 2**SCALE.
 SCALE = 20
-LANES = 2048
+#: Many, as each row of ids costs NumPy the same dozen calls.
+LANES = 8192
 #: Ids between two checkpoints, and in a block: multiples of LANES.
-SEGMENT, BLOCK = 1 << 17, 1 << 20
+SEGMENT, BLOCK = 1 << 19, 1 << 20
 #: Ids after which a task begins another file.
 ROLL = 1 << 26
 #: Ids that a reading task decodes, about.

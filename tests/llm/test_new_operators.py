@@ -264,3 +264,13 @@ def test_pieces_are_the_library_s():
         texts += [f"a{c}b{c}{c} {c}1{c} ", f"{c}", f" {c}\n{c}'s{c}'{c}", f"1{c}2  {c}!{c}?"]
     texts += ["it's we'll they're 'tis ''s  'd   x", "<|endoftext|>a", "tail  \n "]
     assert [np.frombuffer(coder.encode(x), coder.kind).tolist() for x in texts] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_block_is_coded_in_few_rows():
+    ids = np.random.default_rng(7).integers(0, 5000, tokenfile.BLOCK).astype(np.uint32)
+    table = tokenfile.table_of(*np.unique(ids, return_counts=True))
+    block = tokenfile.Block(tokenfile.encode_block(ids, [], 0, table), table)
+    assert block.n // block.lanes <= 128 and len(block.checkpoints) == 2
+    assert (block.ids(0, block.n)[0] == ids).all()
+    found, skipped = block.ids(block.n - 5, block.n)
+    assert skipped == block.segment and (found == ids[skipped:]).all()
